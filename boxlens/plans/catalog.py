@@ -1,0 +1,74 @@
+"""Registered queries: one per operator of the inventory, each with its DuckDB oracle.
+
+Every query reads the driver's tables (through ``boxlens.fixtures``) so its work grows with
+the scale factor; doubles are rounded to 9 digits and arrays rendered sorted so that the
+two engines can be compared value by value.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from boxlens.fixtures import DATASET, RUN_A, derived, duck_with
+from boxlens.operators import errors as E
+from boxlens.plans.sqlkit import error_label_ctes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def deco(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
+        return fn
+    return deco
+
+
+def r9(c: str):
+    return F.round(F.col(c), 9).alias(c)
+
+
+def W(*ctes: str) -> str:
+    return duck_with(*ctes)
+
+
+# ---------------------------------------------------------------------------------------
+# E9 error analysis and what is derived from it
+# ---------------------------------------------------------------------------------------
+
+def _labels(spark, sf_dir, iou=0.5, conf=0.25):
+    d = derived(spark, sf_dir)
+    return E.error_labels(d.annotations, DATASET, RUN_A, iou, conf)
+
+
+@query("E9_error_summary", W(*error_label_ctes()) + """
+SELECT COUNT(*) FILTER (WHERE error_type='tp') true_positives,
+       COUNT(*) FILTER (WHERE error_type='hard_fp') hard_false_positives,
+       COUNT(*) FILTER (WHERE error_type='label_error') label_errors,
+       COUNT(*) FILTER (WHERE error_type='false_negative') false_negatives FROM labels""")
+def e9_summary(spark, sf_dir):
+    return E.error_summary(_labels(spark, sf_dir))
+
+
+@query("E9_error_per_class", W(*error_label_ctes()) + """
+SELECT category_name class_name,
+       COUNT(*) FILTER (WHERE error_type='tp') tp, COUNT(*) FILTER (WHERE error_type='hard_fp') hard_fp,
+       COUNT(*) FILTER (WHERE error_type='label_error') label_error,
+       COUNT(*) FILTER (WHERE error_type='false_negative') fn
+FROM labels GROUP BY category_name ORDER BY class_name""")
+def e9_per_class(spark, sf_dir):
+    return E.error_per_class(_labels(spark, sf_dir))
+
+
+@query("E9_error_labels", W(*error_label_ctes()) + """
+SELECT sample_id, annotation_id, error_type, category_name, ROUND(confidence, 9) confidence, matched_id,
+       ROUND(iou, 9) iou FROM labels""")
+def e9_labels(spark, sf_dir):
+    lab = _labels(spark, sf_dir)
+    return lab.select("sample_id", "annotation_id", "error_type", "category_name", r9("confidence"),
+                      "matched_id", r9("iou"))
