@@ -72,3 +72,365 @@ def e9_labels(spark, sf_dir):
     lab = _labels(spark, sf_dir)
     return lab.select("sample_id", "annotation_id", "error_type", "category_name", r9("confidence"),
                       "matched_id", r9("iou"))
+
+
+def _d(spark, sf_dir):
+    return derived(spark, sf_dir)
+
+
+def tags_str(c: str = "tags"):
+    return F.array_join(F.array_sort(F.col(c)), "|").alias(c)
+
+
+TAGS_SQL = "array_to_string(list_sort(tags), '|') tags"
+
+# ---------------------------------------------------------------------------------------
+# E9 derived: W6, T7, E10, E11, A7, A8, A9, A12
+# ---------------------------------------------------------------------------------------
+from boxlens.operators import stats as S  # noqa: E402
+from boxlens.operators import samples as SM  # noqa: E402
+from boxlens.operators import mutate as MU  # noqa: E402
+from boxlens.plans.sqlkit import argmax_ctes  # noqa: E402
+
+_ORDER_SQL = ("sample_id, CASE WHEN error_type='false_negative' THEN 1 ELSE 0 END, "
+              "COALESCE(confidence, 1.0) DESC, annotation_id")
+
+
+@query("W6_error_samples_top50", W(*error_label_ctes()) + f"""
+SELECT error_type, sample_id, category_name, ROUND(confidence, 9) confidence, annotation_id FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY error_type ORDER BY {_ORDER_SQL}) r FROM labels) WHERE r <= 50""")
+def w6(spark, sf_dir):
+    return E.error_samples(_labels(spark, sf_dir), cap=50).select(
+        "error_type", "sample_id", "category_name", r9("confidence"), "annotation_id")
+
+
+@query("T7_first_error_per_sample", W(*error_label_ctes()) + """
+SELECT error_type, sample_id, category_name, ROUND(confidence, 9) confidence, annotation_id FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY error_type, sample_id ORDER BY COALESCE(confidence,1.0) DESC, annotation_id) r
+  FROM labels) WHERE r = 1""")
+def t7(spark, sf_dir):
+    return E.first_error_per_sample(_labels(spark, sf_dir)).select(
+        "error_type", "sample_id", "category_name", r9("confidence"), "annotation_id")
+
+
+def _triage_sql(with_overrides: bool) -> str:
+    base = W(*argmax_ctes("run_a", 0.45, 0.25)) + """,
+auto AS (
+  SELECT P.sample_id, P.id annotation_id,
+         CASE WHEN c.p_id IS NULL THEN 'fp' WHEN c.p_cat = c.g_cat THEN 'tp' ELSE 'label_error' END auto_label,
+         c.g_id matched_id, c.iou FROM P LEFT JOIN claim c ON c.p_id = P.id
+  UNION ALL
+  SELECT G.sample_id, G.id, CASE WHEN c.p_id IS NULL THEN 'fn' ELSE 'tp' END, c.p_id, c.iou
+  FROM G LEFT JOIN claim c ON c.g_id = G.id),
+ov AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY annotation_id, dataset_id
+                                                   ORDER BY created_at DESC, label DESC) r FROM overrides) WHERE r = 1)
+"""
+    if not with_overrides:
+        return base + "SELECT sample_id, annotation_id, auto_label, matched_id, ROUND(iou, 9) iou, auto_label label, false is_override FROM auto"
+    return base + """SELECT a.sample_id, a.annotation_id, a.auto_label, a.matched_id, ROUND(a.iou, 9) iou,
+       COALESCE(ov.label, a.auto_label) label, ov.label IS NOT NULL is_override
+FROM auto a LEFT JOIN ov ON ov.annotation_id = a.annotation_id"""
+
+
+@query("E10_annotation_triage", _triage_sql(True))
+def e10(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    t = E.annotation_triage(d.annotations, DATASET, RUN_A, 0.45, 0.25, overrides=d.overrides)
+    return t.select("sample_id", "annotation_id", "auto_label", "matched_id", r9("iou"), "label", "is_override")
+
+
+@query("F11_triage_label_filter", _triage_sql(True).replace(
+    "FROM auto a LEFT JOIN ov ON ov.annotation_id = a.annotation_id",
+    "FROM auto a LEFT JOIN ov ON ov.annotation_id = a.annotation_id WHERE COALESCE(ov.label, a.auto_label) = 'label_error'"))
+def f11(spark, sf_dir):
+    return e10(spark, sf_dir).filter(F.col("label") == "label_error")
+
+
+@query("E11_worst_images", W(*error_label_ctes()) + """,
+per AS (SELECT sample_id, COUNT(*) error_count, COUNT(confidence) n, STDDEV_POP(confidence) sd
+        FROM labels WHERE error_type <> 'tp' GROUP BY sample_id),
+sp AS (SELECT *, CASE WHEN n >= 2 THEN sd ELSE 0.0 END spread FROM per),
+mx AS (SELECT MAX(error_count) me, CASE WHEN COALESCE(MAX(spread), 0.0) = 0.0 THEN 1.0 ELSE MAX(spread) END ms FROM sp)
+SELECT sample_id, error_count, ROUND(spread, 4) confidence_spread, ROUND(score, 4) score FROM (
+  SELECT sp.*, 0.6 * (error_count / me) + 0.4 * (spread / ms) score FROM sp, mx)
+ORDER BY ROUND(score, 9) DESC, sample_id LIMIT 50""")
+def e11(spark, sf_dir):
+    return E.worst_images(_labels(spark, sf_dir), limit=50)
+
+
+@query("A7_run_class_counts", W() + """
+SELECT category_name, COUNT(*) FILTER (WHERE source='ground_truth') gt_count,
+       COUNT(*) FILTER (WHERE source='run_a') pred_count
+FROM annotations WHERE dataset_id='ds1' GROUP BY category_name ORDER BY gt_count DESC, category_name LIMIT 50""")
+def a7(spark, sf_dir):
+    return E.run_class_counts(_d(spark, sf_dir).annotations, DATASET, RUN_A)
+
+
+@query("A8_confidence_histogram", W(*error_label_ctes()) + """
+SELECT error_type, CASE WHEN confidence >= 0.9 THEN '0.9-1.0' WHEN confidence >= 0.7 THEN '0.7-0.9'
+                        WHEN confidence >= 0.5 THEN '0.5-0.7' WHEN confidence >= 0.3 THEN '0.3-0.5'
+                        ELSE '0.0-0.3' END confidence_range, COUNT(*) count
+FROM labels WHERE confidence IS NOT NULL GROUP BY ALL""")
+def a8(spark, sf_dir):
+    return E.confidence_histogram(_labels(spark, sf_dir))
+
+
+@query("A9_tag_correlation", W(*error_label_ctes()) + """,
+t AS (SELECT d.error_type, UNNEST(s.tags) tag FROM (SELECT DISTINCT error_type, sample_id FROM labels) d
+      JOIN samples s ON s.id = d.sample_id),
+c AS (SELECT error_type, tag, COUNT(*) count FROM t GROUP BY ALL)
+SELECT error_type, tag, count FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY error_type ORDER BY count DESC, tag) r FROM c) WHERE r <= 10""")
+def a9(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return E.tag_correlation(_labels(spark, sf_dir), d.samples, DATASET)
+
+
+@query("A12_error_shares", W(*error_label_ctes()) + """,
+s AS (SELECT COUNT(*) FILTER (WHERE error_type='tp') true_positives,
+             COUNT(*) FILTER (WHERE error_type='hard_fp') hard_false_positives,
+             COUNT(*) FILTER (WHERE error_type='label_error') label_errors,
+             COUNT(*) FILTER (WHERE error_type='false_negative') false_negatives FROM labels),
+u AS (SELECT 'true_positives' error_type, true_positives count, * FROM s
+      UNION ALL SELECT 'hard_false_positives', hard_false_positives, * FROM s
+      UNION ALL SELECT 'label_errors', label_errors, * FROM s
+      UNION ALL SELECT 'false_negatives', false_negatives, * FROM s)
+SELECT error_type, count, ROUND(CASE WHEN (true_positives+hard_false_positives+label_errors+false_negatives) > 0
+    THEN count * 100.0 / (true_positives+hard_false_positives+label_errors+false_negatives) ELSE 0 END, 9) percent FROM u""")
+def a12(spark, sf_dir):
+    return S.error_shares(E.error_summary(_labels(spark, sf_dir))).select("error_type", "count", r9("percent"))
+
+
+# ---------------------------------------------------------------------------------------
+# Statistics A1-A6, A10
+# ---------------------------------------------------------------------------------------
+
+@query("A1_class_distribution", W() + """
+SELECT category_name, COUNT(*) FILTER (WHERE source='ground_truth') gt_count,
+       COUNT(*) FILTER (WHERE source<>'ground_truth') pred_count
+FROM annotations WHERE dataset_id='ds1' GROUP BY category_name""")
+def a1(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return S.class_distribution(d.annotations, DATASET)
+
+
+@query("A1_class_distribution_split", W() + """
+SELECT a.category_name, COUNT(*) FILTER (WHERE a.source='ground_truth') gt_count,
+       COUNT(*) FILTER (WHERE a.source<>'ground_truth') pred_count
+FROM annotations a JOIN samples s ON a.sample_id = s.id AND a.dataset_id = s.dataset_id
+WHERE a.dataset_id='ds1' AND s.split='train' GROUP BY a.category_name""")
+def a1s(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return S.class_distribution(d.annotations, DATASET, d.samples, "train")
+
+
+@query("A2_split_breakdown", W() + """
+SELECT COALESCE(split, 'unassigned') split_name, COUNT(*) count FROM samples WHERE dataset_id='ds1' GROUP BY 1""")
+def a2(spark, sf_dir):
+    return S.split_breakdown(_d(spark, sf_dir).samples, DATASET)
+
+
+@query("A3_summary_stats", W() + """
+SELECT (SELECT COUNT(*) FROM samples WHERE dataset_id='ds1') total_images,
+       (SELECT COUNT(*) FROM annotations WHERE dataset_id='ds1' AND source='ground_truth') gt_annotations,
+       (SELECT COUNT(*) FROM annotations WHERE dataset_id='ds1' AND source<>'ground_truth') pred_annotations,
+       (SELECT COUNT(DISTINCT category_name) FROM annotations WHERE dataset_id='ds1') total_categories""")
+def a3(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return S.summary_stats(d.samples, d.annotations, DATASET)
+
+
+@query("A3_summary_stats_split", W() + """
+SELECT (SELECT COUNT(*) FROM samples WHERE dataset_id='ds1' AND split='val') total_images,
+       (SELECT COUNT(*) FROM annotations a JOIN samples s ON a.sample_id=s.id AND a.dataset_id=s.dataset_id
+        WHERE a.dataset_id='ds1' AND a.source='ground_truth' AND s.split='val') gt_annotations,
+       (SELECT COUNT(*) FROM annotations a JOIN samples s ON a.sample_id=s.id AND a.dataset_id=s.dataset_id
+        WHERE a.dataset_id='ds1' AND a.source<>'ground_truth' AND s.split='val') pred_annotations,
+       (SELECT COUNT(DISTINCT a.category_name) FROM annotations a JOIN samples s ON a.sample_id=s.id
+        AND a.dataset_id=s.dataset_id WHERE a.dataset_id='ds1' AND s.split='val') total_categories""")
+def a3s(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return S.summary_stats(d.samples, d.annotations, DATASET, "val")
+
+
+@query("A4_facets", W() + """
+SELECT 'category' facet, category_name name, COUNT(*) count FROM annotations WHERE dataset_id='ds1' GROUP BY 2
+UNION ALL SELECT 'split', split, COUNT(*) FROM samples WHERE dataset_id='ds1' AND split IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'tag', tag, COUNT(*) FROM (SELECT UNNEST(tags) tag FROM samples WHERE dataset_id='ds1' AND tags IS NOT NULL) GROUP BY 2
+UNION ALL SELECT 'source', source, COUNT(*) FROM annotations WHERE dataset_id='ds1' GROUP BY 2""")
+def a4(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return S.facets(d.samples, d.annotations, DATASET)
+
+
+@query("A5_embedding_status", W() + """
+SELECT COUNT(*) embedding_count, MAX(model_name) model_name, COUNT(x) reduced_count,
+       COUNT(*) > 0 has_embeddings, COUNT(x) > 0 has_reduction FROM emb_xy WHERE dataset_id='ds1'""")
+def a5(spark, sf_dir):
+    return S.embedding_status(_d(spark, sf_dir).embeddings, DATASET)
+
+
+@query("A10_group_annotations", W() + """
+SELECT sample_id, COUNT(*) n, string_agg(id, '|' ORDER BY id) ids
+FROM annotations WHERE dataset_id='ds1' AND source IN ('ground_truth', 'run_b') GROUP BY sample_id""")
+def a10(spark, sf_dir):
+    g = SM.group_annotations(_d(spark, sf_dir).annotations, DATASET, sources=["ground_truth", "run_b"])
+    return g.select("sample_id", F.size("annotations").cast("long").alias("n"),
+                    F.array_join(F.transform("annotations", lambda a: a["id"]), "|").alias("ids"))
+
+
+# ---------------------------------------------------------------------------------------
+# Filters F1-F16, sort/page T1-T3
+# ---------------------------------------------------------------------------------------
+
+_SAMPLE_COLS_SQL = f"id, file_name, width, height, split, {TAGS_SQL}"
+
+
+def _sample_out(df):
+    return df.select("id", "file_name", "width", "height", "split", tags_str())
+
+
+@query("F7_filter_samples", W() + f"""
+SELECT {_SAMPLE_COLS_SQL} FROM samples s WHERE dataset_id='ds1' AND split='train' AND file_name ILIKE '%img_1%'
+  AND list_contains(tags, '1-URGENT')
+  AND EXISTS (SELECT 1 FROM annotations a WHERE a.sample_id = s.id AND a.dataset_id = s.dataset_id AND a.category_name='A')""")
+def f7(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return _sample_out(SM.filter_samples(d.samples, DATASET, annotations=d.annotations, split="train",
+                                         category="A", search=" img_1 ", tags=["1-URGENT"]))
+
+
+@query("F3_category_filter", W() + """
+SELECT COUNT(DISTINCT s.id) total FROM samples s JOIN annotations a ON s.id = a.sample_id AND a.dataset_id = s.dataset_id
+WHERE s.dataset_id='ds1' AND a.category_name='N'""")
+def f3(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return SM.count_matching(SM.filter_samples(d.samples, DATASET, annotations=d.annotations, category="N"))
+
+
+@query("F4_search_wildcards", W() + f"""
+SELECT {_SAMPLE_COLS_SQL} FROM samples WHERE dataset_id='ds1' AND file_name ILIKE '%IMG_1_3%'""")
+def f4(spark, sf_dir):
+    return _sample_out(SM.filter_samples(_d(spark, sf_dir).samples, DATASET, search="  IMG_1_3 "))
+
+
+@query("F5_tags_all", W() + f"""
+SELECT {_SAMPLE_COLS_SQL} FROM samples WHERE dataset_id='ds1' AND list_contains(tags, 'triage:fp')
+  AND list_contains(tags, '2-HIGH')""")
+def f5(spark, sf_dir):
+    return _sample_out(SM.filter_samples(_d(spark, sf_dir).samples, DATASET, tags=["triage:fp", "2-HIGH"]))
+
+
+@query("F6_sample_id_set", W(*error_label_ctes()) + f"""
+SELECT {_SAMPLE_COLS_SQL} FROM samples WHERE dataset_id='ds1'
+  AND id IN (SELECT sample_id FROM labels WHERE error_type='label_error')""")
+def f6(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    ids = _labels(spark, sf_dir).filter(F.col("error_type") == "label_error").select(F.col("sample_id").alias("id"))
+    return _sample_out(SM.filter_samples(d.samples, DATASET, sample_ids=ids))
+
+
+@query("F16_min_size", W() + f"""
+SELECT {_SAMPLE_COLS_SQL} FROM samples WHERE dataset_id='ds1' AND width >= 1280 AND height >= 960 AND split = 'val'""")
+def f16(spark, sf_dir):
+    return _sample_out(SM.filter_samples(_d(spark, sf_dir).samples, DATASET, split="val", min_width=1280, min_height=960))
+
+
+@query("F8_source_filter", W() + """
+SELECT source, COUNT(*) n FROM annotations WHERE dataset_id='ds1' AND source IN ('ground_truth', 'run_b') GROUP BY source""")
+def f8(spark, sf_dir):
+    a = _d(spark, sf_dir).annotations
+    return (a.filter((F.col("dataset_id") == DATASET) & F.col("source").isin("ground_truth", "run_b"))
+             .groupBy("source").agg(F.count("*").alias("n")))
+
+
+@query("F9_confidence_threshold", W() + """
+SELECT source, COUNT(*) n FROM annotations WHERE dataset_id='ds1' AND COALESCE(confidence, 1.0) >= 0.6 GROUP BY source""")
+def f9(spark, sf_dir):
+    from boxlens.functions.geometry import effective_confidence
+    a = _d(spark, sf_dir).annotations
+    return (a.filter((F.col("dataset_id") == DATASET) & (effective_confidence() >= 0.6))
+             .groupBy("source").agg(F.count("*").alias("n")))
+
+
+@query("F13_highlight", W() + """
+SELECT COUNT(*) FILTER (WHERE COALESCE(list_bool_or(list_transform(
+         list_filter(tags, lambda t: t NOT IN ('triage:tp','triage:fp','triage:fn','triage:mistake')),
+         lambda t: starts_with(t, 'triage:'))), false)) highlighted,
+       COUNT(*) total FROM (SELECT id, CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN list_append(COALESCE(tags, []), 'triage:annotated')
+                                          ELSE tags END tags FROM samples)""")
+def f13(spark, sf_dir):
+    s = _d(spark, sf_dir).samples
+    s = s.withColumn("tags", F.when(F.col("id").cast("long") % 7 == 0,
+                                    F.array_append(F.coalesce("tags", F.array().cast("array<string>")), F.lit("triage:annotated")))
+                              .otherwise(F.col("tags")))
+    return s.agg(F.count_if(SM.highlight(F.col("tags"))).alias("highlighted"), F.count("*").alias("total"))
+
+
+_POLY = [(-0.5, -0.5), (0.6, -0.4), (0.7, 0.5), (0.0, 0.9), (-0.6, 0.3)]
+
+
+def _poly_sql(poly) -> str:
+    xs = [p[0] for p in poly]
+    ys = [p[1] for p in poly]
+    parts, edge = [], []
+    for i in range(len(poly)):
+        xi, yi = poly[i]
+        xj, yj = poly[i - 1]
+        den = (yj - yi) if yj != yi else 1.0
+        parts.append(f"CASE WHEN (({yi} > y) <> ({yj} > y)) AND (x < {xj - xi} * (y - {yi}) / {den} + {xi}) THEN 1 ELSE 0 END")
+        edge.append(f"(ABS(({xj - xi} * (y - {yi})) - ({yj - yi} * (x - {xi}))) <= 1e-12 AND x >= {min(xi, xj)} AND "
+                    f"x <= {max(xi, xj)} AND y >= {min(yi, yj)} AND y <= {max(yi, yj)})")
+    return (f"x IS NOT NULL AND y IS NOT NULL AND x BETWEEN {min(xs)} AND {max(xs)} AND y BETWEEN {min(ys)} AND {max(ys)} "
+            f"AND ((({' + '.join(parts)}) % 2 = 1) OR {' OR '.join(edge)})")
+
+
+@query("F12_lasso", W() + f"SELECT sample_id FROM emb_xy WHERE dataset_id='ds1' AND {_poly_sql(_POLY)}")
+def f12(spark, sf_dir):
+    e = _d(spark, sf_dir).embeddings.filter(F.col("dataset_id") == DATASET)
+    return SM.lasso_filter(e, _POLY).select("sample_id")
+
+
+@query("F15_combined_selection", W() + f"""
+SELECT {_SAMPLE_COLS_SQL} FROM samples WHERE dataset_id='ds1' AND split='train'
+  AND id IN (SELECT sample_id FROM emb_xy WHERE {_poly_sql(_POLY)})""")
+def f15(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    lasso = SM.lasso_filter(d.embeddings.filter(F.col("dataset_id") == DATASET), _POLY).select(F.col("sample_id").alias("id"))
+    sel = SM.combine_selection(lasso, None)
+    return _sample_out(SM.filter_samples(d.samples, DATASET, split="train", sample_ids=sel))
+
+
+@query("F14_apply_saved_views", W() + """,
+v AS (SELECT id view_id, json_extract_string(filters, '$.search') search, json_extract_string(filters, '$.category') category,
+             json_extract_string(filters, '$.split') split, CAST(json_extract(filters, '$.tags') AS VARCHAR[]) tags FROM views)
+SELECT v.view_id, s.id FROM samples s, v
+WHERE s.dataset_id='ds1' AND (v.split IS NULL OR s.split = v.split)
+  AND (v.search IS NULL OR trim(v.search) = '' OR s.file_name ILIKE '%' || trim(v.search) || '%')
+  AND COALESCE(list_bool_and(list_transform(v.tags, lambda t: COALESCE(list_contains(s.tags, t), false))), true)
+  AND (v.category IS NULL OR EXISTS (SELECT 1 FROM annotations a WHERE a.sample_id = s.id AND a.category_name = v.category))""")
+def f14(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return SM.apply_saved_view(d.samples, d.annotations, d.views, DATASET)
+
+
+@query("T1_sort_samples", W() + """
+SELECT id, width, split, ROW_NUMBER() OVER (ORDER BY split DESC NULLS LAST, id) pos FROM samples WHERE dataset_id='ds1'""")
+def t1(spark, sf_dir):
+    s = SM.sort_samples(_d(spark, sf_dir).samples.filter(F.col("dataset_id") == DATASET), "split", "desc")
+    # materialise the order as a position column so the comparison is order-aware
+    return s.select("id", "width", "split").withColumn(
+        "pos", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(
+            F.col("split").desc_nulls_last(), "id")))
+
+
+@query("T2_page", W() + f"""
+SELECT {_SAMPLE_COLS_SQL} FROM samples WHERE dataset_id='ds1' ORDER BY width DESC NULLS LAST, id LIMIT 200 OFFSET 400""")
+def t2(spark, sf_dir):
+    s = SM.sort_samples(_d(spark, sf_dir).samples.filter(F.col("dataset_id") == DATASET), "width", "desc")
+    return _sample_out(SM.page(s, 400, 200))
+
+
+@query("T2_count_matching", W() + """SELECT COUNT(*) total FROM samples WHERE dataset_id='ds1' AND split='val'""")
+def t2c(spark, sf_dir):
+    return SM.count_matching(SM.filter_samples(_d(spark, sf_dir).samples, DATASET, split="val"))
