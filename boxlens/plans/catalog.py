@@ -434,3 +434,262 @@ def t2(spark, sf_dir):
 @query("T2_count_matching", W() + """SELECT COUNT(*) total FROM samples WHERE dataset_id='ds1' AND split='val'""")
 def t2c(spark, sf_dir):
     return SM.count_matching(SM.filter_samples(_d(spark, sf_dir).samples, DATASET, split="val"))
+
+
+# ---------------------------------------------------------------------------------------
+# Mutations M3-M18 (selections are derived from the data, so work grows with it)
+# ---------------------------------------------------------------------------------------
+
+def _sel(spark, sf_dir, etype):
+    return (_labels(spark, sf_dir).filter(F.col("error_type") == etype)
+            .select(F.lit(DATASET).alias("dataset_id"), F.col("sample_id").alias("id")))
+
+
+def _sel_sql(etype):
+    return f"(SELECT sample_id FROM labels WHERE error_type = '{etype}')"
+
+
+def _tag_query(name, etype, spark_fn, sql_expr):
+    sql = W(*error_label_ctes()) + f"""
+SELECT id, CASE WHEN id IN {_sel_sql(etype)} THEN array_to_string(list_sort({sql_expr}), '|')
+                ELSE array_to_string(list_sort(tags), '|') END tags FROM samples"""
+
+    def fn(spark, sf_dir):
+        d = _d(spark, sf_dir)
+        return spark_fn(d.samples, _sel(spark, sf_dir, etype)).select("id", tags_str())
+    query(name, sql)(fn)
+
+
+_tag_query("M8_add_tag", "label_error", lambda s, sel: MU.add_tag(s, sel, "review"),
+           "list_distinct(list_append(COALESCE(tags, []), 'review'))")
+_tag_query("M9_remove_tag", "false_negative", lambda s, sel: MU.remove_tag(s, sel, "1-URGENT"),
+           "list_filter(COALESCE(tags, []), lambda t: t <> '1-URGENT')")
+_tag_query("M10_set_triage_tag", "tp", lambda s, sel: MU.set_triage_tag(s, sel, "triage:tp"),
+           "list_distinct(list_append(list_filter(COALESCE(tags, []), lambda t: NOT starts_with(t, 'triage:')), 'triage:tp'))")
+_tag_query("M11_clear_triage_tag", "hard_fp", lambda s, sel: MU.clear_triage_tag(s, sel),
+           "list_filter(COALESCE(tags, []), lambda t: NOT starts_with(t, 'triage:'))")
+
+
+@query("M14_merge_tags", W() + """,
+gen AS (SELECT sample_id, list_distinct(list(DISTINCT 'cls:' || lower(category_name))) new_tags
+        FROM annotations WHERE source = 'ground_truth' GROUP BY sample_id)
+SELECT s.id, array_to_string(list_sort(CASE WHEN g.new_tags IS NULL THEN s.tags
+                                           ELSE list_distinct(list_concat(COALESCE(s.tags, []), g.new_tags)) END), '|') tags
+FROM samples s LEFT JOIN gen g ON g.sample_id = s.id""")
+def m14(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    gen = (d.annotations.filter(F.col("source") == "ground_truth")
+           .groupBy("dataset_id", F.col("sample_id").alias("id"))
+           .agg(F.collect_set(F.concat(F.lit("cls:"), F.lower("category_name"))).alias("new_tags")))
+    return MU.merge_tags(d.samples, gen).select("id", tags_str())
+
+
+def _new_overrides_spark(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    t = E.annotation_triage(d.annotations, DATASET, RUN_A, 0.45, 0.25)
+    return (t.filter(F.col("auto_label") == "label_error")
+             .select("annotation_id", "dataset_id", "sample_id", F.lit("mistake").alias("label"),
+                     F.lit("2024-02-01 00:00:00").cast("timestamp").alias("created_at")))
+
+
+_NEW_OV_SQL = _triage_sql(False).split("SELECT sample_id, annotation_id, auto_label, matched_id")[0] + """,
+newov AS (SELECT annotation_id, 'ds1' dataset_id, sample_id, 'mistake' label, true is_override,
+                 TIMESTAMP '2024-02-01 00:00:00' created_at FROM auto WHERE auto_label = 'label_error'),
+merged AS (SELECT * FROM overrides WHERE annotation_id NOT IN (SELECT annotation_id FROM newov)
+           UNION ALL SELECT * FROM newov)
+"""
+
+
+@query("M12_set_triage_override", _NEW_OV_SQL + """
+SELECT label, COUNT(*) n, COUNT(DISTINCT sample_id) samples FROM merged GROUP BY label""")
+def m12(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    ov, _ = MU.set_triage_override(d.overrides, d.samples, _new_overrides_spark(spark, sf_dir))
+    return ov.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("sample_id").alias("samples"))
+
+
+@query("M12_annotated_tags", _NEW_OV_SQL + """
+SELECT id, CASE WHEN id IN (SELECT sample_id FROM newov)
+    THEN array_to_string(list_sort(list_distinct(list_append(list_filter(COALESCE(tags, []),
+         lambda t: NOT starts_with(t, 'triage:ann')), 'triage:annotated'))), '|')
+    ELSE array_to_string(list_sort(tags), '|') END tags FROM samples""")
+def m12t(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    _, s = MU.set_triage_override(d.overrides, d.samples, _new_overrides_spark(spark, sf_dir))
+    return s.select("id", tags_str())
+
+
+@query("M13_remove_triage_override", W() + """,
+s2 AS (SELECT id, CASE WHEN id IN (SELECT sample_id FROM overrides)
+                       THEN list_append(COALESCE(tags, []), 'triage:annotated') ELSE tags END tags FROM samples),
+removed AS (SELECT annotation_id FROM overrides WHERE label = 'fn'),
+rest AS (SELECT * FROM overrides WHERE annotation_id NOT IN (SELECT annotation_id FROM removed)),
+emptied AS (SELECT DISTINCT sample_id FROM overrides WHERE annotation_id IN (SELECT annotation_id FROM removed)
+            AND sample_id NOT IN (SELECT sample_id FROM rest))
+SELECT id, CASE WHEN id IN (SELECT sample_id FROM emptied)
+    THEN array_to_string(list_sort(list_filter(COALESCE(tags, []), lambda t: NOT starts_with(t, 'triage:ann'))), '|')
+    ELSE array_to_string(list_sort(tags), '|') END tags FROM s2""")
+def m13(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    touched = d.overrides.select("dataset_id", F.col("sample_id").alias("id"))
+    s2 = MU._retag(d.samples, touched, F.array_append(MU._tags(), F.lit("triage:annotated")))
+    removed = d.overrides.filter(F.col("label") == "fn").select("annotation_id", "dataset_id")
+    _, s3 = MU.remove_triage_override(d.overrides, s2, removed)
+    return s3.select("id", tags_str())
+
+
+_EDIT_SQL = W() + """,
+upd AS (SELECT * FROM edits WHERE op = 'update'), del AS (SELECT id FROM edits WHERE op = 'delete'),
+edited AS (
+  SELECT a.dataset_id, a.id, a.sample_id,
+         CASE WHEN u.id IS NOT NULL AND a.source='ground_truth' THEN COALESCE(u.category_name, a.category_name) ELSE a.category_name END category_name,
+         CASE WHEN u.id IS NOT NULL AND a.source='ground_truth' THEN COALESCE(u.bbox_x, a.bbox_x) ELSE a.bbox_x END bbox_x,
+         CASE WHEN u.id IS NOT NULL AND a.source='ground_truth' THEN COALESCE(u.bbox_y, a.bbox_y) ELSE a.bbox_y END bbox_y,
+         CASE WHEN u.id IS NOT NULL AND a.source='ground_truth' THEN COALESCE(u.bbox_w, a.bbox_w) ELSE a.bbox_w END bbox_w,
+         CASE WHEN u.id IS NOT NULL AND a.source='ground_truth' THEN COALESCE(u.bbox_h, a.bbox_h) ELSE a.bbox_h END bbox_h,
+         CASE WHEN u.id IS NOT NULL AND a.source='ground_truth' THEN COALESCE(u.bbox_w, a.bbox_w) * COALESCE(u.bbox_h, a.bbox_h) ELSE a.area END area,
+         a.is_crowd, a.source, a.confidence
+  FROM annotations a LEFT JOIN upd u ON u.id = a.id AND u.dataset_id = a.dataset_id
+  WHERE NOT (a.id IN (SELECT id FROM del) AND a.source = 'ground_truth')
+  UNION ALL
+  SELECT dataset_id, id, sample_id, category_name, bbox_x, bbox_y, bbox_w, bbox_h, bbox_w*bbox_h, false, 'ground_truth', NULL
+  FROM edits WHERE op = 'create')
+"""
+
+
+@query("M6_apply_annotation_edits", _EDIT_SQL + """
+SELECT id, sample_id, category_name, bbox_x, bbox_y, bbox_w, bbox_h, area FROM edited WHERE source = 'ground_truth'""")
+def m6(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    a, _ = MU.apply_annotation_edits(d.annotations, d.edits)
+    return a.filter(F.col("source") == "ground_truth").select(
+        "id", "sample_id", "category_name", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "area")
+
+
+@query("M7_refresh_counts", _EDIT_SQL + """
+SELECT dataset_id, COUNT(*) annotation_count, COUNT(DISTINCT category_name) category_count FROM edited GROUP BY dataset_id""")
+def m7(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    a, _ = MU.apply_annotation_edits(d.annotations, d.edits)
+    return MU.refresh_counts(a)
+
+
+@query("M6_rejected_edits", W() + """,
+e2 AS (SELECT 'update' op, id, dataset_id FROM annotations WHERE source = 'run_b' AND category_name = 'R')
+SELECT op, id FROM e2 WHERE id IN (SELECT id FROM annotations WHERE source <> 'ground_truth')""")
+def m6r(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    e2 = (d.annotations.filter((F.col("source") == "run_b") & (F.col("category_name") == "R"))
+          .select(F.lit("update").alias("op"), "id", "dataset_id", "sample_id", "category_name",
+                  "bbox_x", "bbox_y", "bbox_w", "bbox_h"))
+    _, rej = MU.apply_annotation_edits(d.annotations, e2)
+    return rej.select("op", "id")
+
+
+@query("M3_merge_categories", W() + """,
+incoming AS (SELECT 'ds1' dataset_id, category_name name, CAST(DENSE_RANK() OVER (ORDER BY category_name DESC) + 1 AS INTEGER) category_id
+             FROM (SELECT DISTINCT category_name FROM annotations WHERE source = 'run_a'))
+SELECT dataset_id, name, category_id FROM categories
+UNION ALL SELECT * FROM incoming i WHERE NOT EXISTS (SELECT 1 FROM categories c WHERE c.dataset_id = i.dataset_id AND c.category_id = i.category_id)""")
+def m3(spark, sf_dir):
+    from pyspark.sql import Window
+    d = _d(spark, sf_dir)
+    inc = (d.annotations.filter(F.col("source") == "run_a").select(F.col("category_name").alias("name")).distinct()
+           .select(F.lit(DATASET).alias("dataset_id"), "name",
+                   (F.dense_rank().over(Window.orderBy(F.col("name").desc())) + 1).cast("int").alias("category_id")))
+    return MU.merge_categories(d.categories, inc)
+
+
+@query("M4_replace_run", W() + """,
+newrows AS (SELECT dataset_id, 'n' || id id, sample_id, category_name, bbox_x, bbox_y, bbox_w, bbox_h, area, is_crowd,
+                   'run_b' source, confidence FROM annotations WHERE source = 'run_a' AND confidence >= 0.5),
+res AS (SELECT * FROM annotations WHERE NOT (dataset_id = 'ds1' AND source = 'run_b') UNION ALL SELECT * FROM newrows)
+SELECT source, COUNT(*) n, ROUND(SUM(area), 6) area_sum FROM res GROUP BY source""")
+def m4(spark, sf_dir):
+    a = _d(spark, sf_dir).annotations
+    new = (a.filter((F.col("source") == "run_a") & (F.col("confidence") >= 0.5))
+           .withColumn("id", F.concat(F.lit("n"), F.col("id"))).withColumn("source", F.lit("run_b")))
+    r = MU.replace_run(a, new, DATASET, "run_b")
+    return r.groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum("area"), 6).alias("area_sum"))
+
+
+@query("M4_prediction_count", W() + """
+SELECT dataset_id, COUNT(*) FILTER (WHERE source <> 'ground_truth') prediction_count FROM annotations GROUP BY dataset_id""")
+def m4c(spark, sf_dir):
+    return MU.prediction_count(_d(spark, sf_dir).annotations)
+
+
+@query("M5_delete_dataset", W() + """,
+a2 AS (SELECT * FROM annotations UNION ALL SELECT 'ds2' dataset_id, id, sample_id, category_name, bbox_x, bbox_y,
+       bbox_w, bbox_h, area, is_crowd, source, confidence FROM annotations WHERE source = 'run_b'),
+s2 AS (SELECT id, dataset_id FROM samples UNION ALL SELECT id, 'ds2' FROM samples WHERE split = 'val'),
+o2 AS (SELECT dataset_id FROM overrides UNION ALL SELECT 'ds2' FROM overrides WHERE label = 'fp')
+SELECT 'annotations' tbl, COUNT(*) n FROM a2 WHERE dataset_id <> 'ds1'
+UNION ALL SELECT 'samples', COUNT(*) FROM s2 WHERE dataset_id <> 'ds1'
+UNION ALL SELECT 'annotation_triage', COUNT(*) FROM o2 WHERE dataset_id <> 'ds1'""")
+def m5(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    tables = {
+        "annotations": d.annotations.unionByName(d.annotations.filter(F.col("source") == "run_b").withColumn("dataset_id", F.lit("ds2"))),
+        "samples": d.samples.unionByName(d.samples.filter(F.col("split") == "val").withColumn("dataset_id", F.lit("ds2"))),
+        "annotation_triage": d.overrides.unionByName(d.overrides.filter(F.col("label") == "fp").withColumn("dataset_id", F.lit("ds2"))),
+    }
+    out = MU.delete_dataset(tables, DATASET)
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("tbl"), "n") for k, df in out.items()]
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res
+
+
+@query("M15_backfill_image_dir", W() + """
+SELECT COALESCE(NULLIF(CASE CAST(id AS BIGINT) % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'own/' || split END, ''), '/data/ds1') image_dir,
+       COUNT(*) n FROM samples GROUP BY 1""")
+def m15(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    m = F.col("id").cast("long") % 3
+    s = d.samples.withColumn("image_dir", F.when(m == 0, F.lit(None).cast("string")).when(m == 1, F.lit(""))
+                             .otherwise(F.concat(F.lit("own/"), F.col("split"))))
+    ds = spark.createDataFrame([(DATASET, "/data/ds1")], "id string, image_dir string")
+    return MU.backfill_image_dir(s, ds).groupBy("image_dir").agg(F.count("*").alias("n"))
+
+
+@query("M16_views_by_priority", W() + """,
+pv AS (SELECT 'pv_' || p id, 'ds1' dataset_id, p name,
+              TIMESTAMP '2024-03-01 00:00:00' + CAST(SUBSTR(p, 1, 1) AS INTEGER) * INTERVAL 1 HOUR created_at
+       FROM (SELECT DISTINCT UNNEST(tags) p FROM samples WHERE tags IS NOT NULL) WHERE p NOT LIKE 'triage:%'),
+allv AS (SELECT id, dataset_id, name, created_at FROM views UNION ALL SELECT * FROM pv)
+SELECT id, name, ROW_NUMBER() OVER (ORDER BY created_at DESC, id) pos FROM allv WHERE id <> 'v1'""")
+def m16(spark, sf_dir):
+    from pyspark.sql import Window
+    d = _d(spark, sf_dir)
+    p = (d.samples.select(F.explode("tags").alias("p")).distinct().filter(~F.col("p").startswith("triage:")))
+    pv = p.select(F.concat(F.lit("pv_"), "p").alias("id"), F.lit(DATASET).alias("dataset_id"), F.col("p").alias("name"),
+                  F.to_json(F.struct(F.array("p").alias("tags"))).alias("filters"),
+                  (F.lit("2024-03-01 00:00:00").cast("timestamp")
+                   + F.make_interval(hours=F.substring("p", 1, 1).cast("int"))).alias("created_at"))
+    pv = pv.withColumn("updated_at", F.col("created_at"))
+    v = MU.save_view(d.views, pv)
+    v = MU.delete_view(v, spark.createDataFrame([("v1",)], "id string"))
+    lst = MU.list_views(v, DATASET)
+    return lst.select("id", "name", F.row_number().over(Window.orderBy(F.col("created_at").desc(), "id")).alias("pos"))
+
+
+@query("M17_replace_embeddings", W() + """
+SELECT COUNT(*) n, ROUND(SUM(vector[1]), 6) s1 FROM (
+  SELECT sample_id, list_transform(vector, lambda x: x * 0.5) vector FROM emb)""")
+def m17(spark, sf_dir):
+    e = _d(spark, sf_dir).embeddings
+    new = e.withColumn("vector", F.transform("vector", lambda x: x * 0.5))
+    r = MU.replace_embeddings(e, new, DATASET)
+    return r.agg(F.count("*").alias("n"), F.round(F.sum(F.element_at("vector", 1)), 6).alias("s1"))
+
+
+@query("M18_write_coordinates", W() + """
+SELECT sample_id, ROUND(CASE WHEN CAST(sample_id AS BIGINT) % 2 = 0 THEN vector[3] ELSE vector[1] END, 9) x,
+       ROUND(CASE WHEN CAST(sample_id AS BIGINT) % 2 = 0 THEN vector[4] ELSE vector[2] END, 9) y FROM emb""")
+def m18(spark, sf_dir):
+    e = _d(spark, sf_dir).embeddings
+    coords = e.filter(F.col("sample_id").cast("long") % 2 == 0).select(
+        "dataset_id", "sample_id", F.element_at("vector", 3).alias("x"), F.element_at("vector", 4).alias("y"))
+    return MU.write_coordinates(e, coords).select("sample_id", r9("x"), r9("y"))
