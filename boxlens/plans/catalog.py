@@ -693,3 +693,95 @@ def m18(spark, sf_dir):
     coords = e.filter(F.col("sample_id").cast("long") % 2 == 0).select(
         "dataset_id", "sample_id", F.element_at("vector", 3).alias("x"), F.element_at("vector", 4).alias("y"))
     return MU.write_coordinates(e, coords).select("sample_id", r9("x"), r9("y"))
+
+
+# ---------------------------------------------------------------------------------------
+# PR curves: E3, E4 (W3, W4), E5, W5, E15
+# ---------------------------------------------------------------------------------------
+from boxlens.operators import evaluate as EV  # noqa: E402
+from boxlens.operators import matching as MT  # noqa: E402
+
+
+def _pg(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return MT.predictions(d.annotations, DATASET, RUN_A), MT.ground_truth(d.annotations, DATASET)
+
+
+_PR_CTES = argmax_ctes("run_a", 0.5, None, same_class=True) + [
+    """m AS (SELECT P.sample_id, P.id p_id, P.category_name class_name, COALESCE(P.confidence, 1.0) conf,
+                 CASE WHEN c.p_id IS NOT NULL THEN 1 ELSE 0 END is_tp FROM P LEFT JOIN claim c ON c.p_id = P.id)""",
+    "mm AS (SELECT p_id, class_name, conf, is_tp FROM m UNION ALL SELECT p_id, 'all', conf, is_tp FROM m)",
+    """ng AS (SELECT category_name class_name, COUNT(*) n_gt FROM G GROUP BY 1 UNION ALL SELECT 'all', COUNT(*) FROM G)""",
+    """cls AS (SELECT DISTINCT category_name class_name FROM (SELECT category_name FROM P UNION ALL SELECT category_name FROM G)
+              UNION ALL SELECT 'all' WHERE EXISTS (SELECT 1 FROM P UNION ALL SELECT 1 FROM G))""",
+    """pts AS (SELECT mm.class_name, mm.p_id, mm.conf confidence, ng.n_gt,
+                   ROW_NUMBER() OVER w rank,
+                   SUM(is_tp) OVER (PARTITION BY mm.class_name ORDER BY conf DESC, p_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) tp_cum
+            FROM mm JOIN ng ON ng.class_name = mm.class_name WINDOW w AS (PARTITION BY mm.class_name ORDER BY conf DESC, p_id))""",
+    "prc AS (SELECT *, tp_cum / n_gt AS recall, tp_cum / rank AS precision FROM pts)",
+    """apc AS (SELECT c.class_name, COALESCE((SELECT SUM(COALESCE(mp, 0.0)) / 101 FROM (
+                 SELECT g.i, (SELECT MAX(p.precision) FROM prc p WHERE p.class_name = c.class_name
+                                                     AND p.recall >= g.i * CAST(0.01 AS DOUBLE)) mp
+                 FROM range(101) g(i))), 0.0) ap FROM cls c)""",
+    "cnt AS (SELECT class_name, MAX(rank) n FROM prc GROUP BY class_name)",
+    """keep AS (SELECT class_name, CAST(CASE WHEN i = 199 THEN n - 1 ELSE FLOOR(i * ((n - 1) / 199.0)) END AS BIGINT) + 1 rank
+              FROM cnt, range(200) t(i) WHERE n > 200
+              UNION SELECT class_name, rank FROM prc WHERE class_name IN (SELECT class_name FROM cnt WHERE n <= 200))""",
+    """curve AS (SELECT p.class_name, p.rank, p.recall, p.precision, p.confidence FROM prc p
+                SEMI JOIN keep k ON k.class_name = p.class_name AND k.rank = p.rank
+                UNION ALL SELECT class_name, 1, 0.0, 1.0, 1.0 FROM cls WHERE class_name NOT IN (SELECT class_name FROM prc))""",
+]
+
+
+@query("E3_pr_matches", W(*_PR_CTES) + "SELECT sample_id, p_id, class_name, ROUND(conf, 9) conf, is_tp FROM m")
+def e3(spark, sf_dir):
+    p, g = _pg(spark, sf_dir)
+    return EV.pr_matches(p, g, 0.5).select("sample_id", "p_id", "class_name", r9("conf"), "is_tp")
+
+
+@query("E4_pr_curve", W(*_PR_CTES) + """
+SELECT class_name, rank, ROUND(recall, 9) recall, ROUND(precision, 9) AS precision, ROUND(confidence, 9) confidence FROM curve""")
+def e4(spark, sf_dir):
+    p, g = _pg(spark, sf_dir)
+    curve, _ = EV.pr_curves(p, g, 0.5)
+    return curve.select("class_name", "rank", r9("recall"), r9("precision"), r9("confidence"))
+
+
+@query("W3_cumulative_pr", W(*_PR_CTES) + """
+SELECT class_name, rank, p_id, tp_cum, ROUND(recall, 9) recall, ROUND(precision, 9) AS precision FROM prc""")
+def w3(spark, sf_dir):
+    p, g = _pg(spark, sf_dir)
+    pts = EV.pr_points(EV.pr_matches(p, g, 0.5), g)
+    return pts.select("class_name", "rank", "p_id", "tp_cum", r9("recall"), r9("precision"))
+
+
+@query("E5_interpolated_ap", W(*_PR_CTES) + "SELECT class_name, ROUND(ap, 9) ap FROM apc")
+def e5(spark, sf_dir):
+    p, g = _pg(spark, sf_dir)
+    _, ap = EV.pr_curves(p, g, 0.5)
+    return ap.select("class_name", r9("ap"))
+
+
+@query("W5_operating_points", W(*_PR_CTES) + """
+SELECT class_name, ROUND(arg_min(precision, (ABS(confidence - 0.25), rank)), 9) AS precision,
+       ROUND(arg_min(recall, (ABS(confidence - 0.25), rank)), 9) recall,
+       ROUND(arg_min(confidence, (ABS(confidence - 0.25), rank)), 9) confidence FROM curve GROUP BY class_name""")
+def w5(spark, sf_dir):
+    p, g = _pg(spark, sf_dir)
+    curve, _ = EV.pr_curves(p, g, 0.5)
+    return EV.operating_points(curve, 0.25).select("class_name", r9("precision"), r9("recall"), r9("confidence"))
+
+
+@query("E15_pr_grid", W(*_PR_CTES) + """,
+gi AS (SELECT i, i / 100 r FROM range(101) t(i)),
+env AS (SELECT c.class_name, gi.i, gi.r, COALESCE((SELECT MAX(precision) FROM curve p WHERE p.class_name = c.class_name
+                                                   AND p.recall >= gi.r), 0.0) AS precision
+        FROM (SELECT DISTINCT class_name FROM curve) c, gi),
+nr AS (SELECT gi.i, arg_min(a.confidence, (ABS(a.recall - gi.r), a.rank)) confidence
+       FROM gi, (SELECT * FROM curve WHERE class_name = 'all') a GROUP BY gi.i)
+SELECT env.class_name, ROUND(env.r, 9) recall, ROUND(env.precision, 9) AS precision, ROUND(nr.confidence, 9) confidence
+FROM env LEFT JOIN nr ON nr.i = env.i""")
+def e15(spark, sf_dir):
+    p, g = _pg(spark, sf_dir)
+    curve, _ = EV.pr_curves(p, g, 0.5)
+    return EV.pr_grid(curve).select("class_name", r9("recall"), r9("precision"), r9("confidence"))
