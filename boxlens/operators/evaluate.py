@@ -59,7 +59,7 @@ def _curve_classes(preds: DataFrame, gts: DataFrame) -> DataFrame:
     return c.union(c.limit(1).select(F.lit(ALL).alias("class_name")))
 
 
-def interpolated_ap(points: DataFrame, classes: DataFrame) -> DataFrame:
+def interpolated_ap(points: DataFrame, classes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """E5: mean over the recall grid i*0.01 (i=0..100) of the max precision at recall >= grid
     value; 0 where nothing reaches it; ap 0 for curves without GT or without predictions.
 
@@ -70,15 +70,16 @@ def interpolated_ap(points: DataFrame, classes: DataFrame) -> DataFrame:
     f = F.floor(rec * 100).cast("int")
     g = (F.when((f + 1 <= 100) & ((f + 1) * F.lit(0.01) <= rec), f + 1)
           .when(f * F.lit(0.01) <= rec, f).otherwise(f - 1))
+    keys = keys or ["class_name"]
     pts = points.filter(F.col("n_gt") > 0).withColumn("g", F.least(g, F.lit(100)))
-    per_g = pts.groupBy("class_name", "g").agg(F.max("precision").alias("p"))
-    w = Window.partitionBy("class_name").orderBy(F.col("g").desc())
+    per_g = pts.groupBy(*keys, "g").agg(F.max("precision").alias("p"))
+    w = Window.partitionBy(*keys).orderBy(F.col("g").desc())
     sw = per_g.withColumn("suf", F.max("p").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     prev = F.lead("g", 1).over(w)
     contrib = sw.withColumn("span", F.col("g") - F.coalesce(prev, F.lit(-1))).select(
-        "class_name", (F.col("suf") * F.col("span")).alias("c"))
-    ap = contrib.groupBy("class_name").agg((F.sum("c") / 101).alias("ap"))
-    return classes.join(ap, "class_name", "left").select("class_name", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+        *keys, (F.col("suf") * F.col("span")).alias("c"))
+    ap = contrib.groupBy(*keys).agg((F.sum("c") / 101).alias("ap"))
+    return classes.join(ap, keys, "left").select(*keys, F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
 def thin(points: DataFrame, max_points: int = MAX_POINTS) -> DataFrame:
@@ -144,3 +145,106 @@ def pr_grid(curve: DataFrame) -> DataFrame:
                                                                  F.col("rank"))).alias("confidence")))
     return (env.join(F.broadcast(near), "i", "left")
                .select("class_name", (F.col("i") / 100).alias("recall"), "precision", "confidence"))
+
+
+# ---------------------------------------------------------------------------------------
+# E6 mAP, E7 confusion matrix, E8 cell drill-down, E13 per-class table, E14 report
+# ---------------------------------------------------------------------------------------
+
+# COCO IoU thresholds 0.50:0.05:0.95.
+COCO_THRESHOLDS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
+BACKGROUND = "background"
+
+
+def map_metrics(preds: DataFrame, gts: DataFrame, max_det: int | None = 100,
+                cell: float = M.DEFAULT_CELL) -> tuple[DataFrame, DataFrame]:
+    """E6 (D5, COCO rule): greedy best-unclaimed same-class matching at every threshold,
+    101-point interpolated AP per (threshold, class) over all images, classes without GT
+    ignored.  Returns (per class: class_name, ap50, ap75, ap50_95; summary: map50, map75,
+    map50_95 as means over classes with GT)."""
+    m = M.greedy_match(preds, gts, COCO_THRESHOLDS, same_class=True, max_det=max_det, cell=cell)
+    m = m.select("t", F.col("p_cat").alias("class_name"), "p_id", "conf",
+                 F.col("g_id").isNotNull().cast("int").alias("is_tp"))
+    ranked = running_counts(m, ["t", "class_name"], [F.col("conf").desc(), F.col("p_id").asc()], "is_tp")
+    ng = gts.groupBy(F.col("category_name").alias("class_name")).agg(F.count("*").alias("n_gt"))
+    pts = (ranked.join(F.broadcast(ng), "class_name")
+                 .select("t", "class_name", "n_gt", (F.col("cum") / F.col("n_gt")).alias("recall"),
+                         (F.col("cum") / F.col("rank")).alias("precision")))
+    tarr = F.array(*[F.lit(t) for t in COCO_THRESHOLDS])
+    keys = ng.select("class_name").withColumn("t", F.explode(tarr))
+    ap = interpolated_ap(pts, keys, ["t", "class_name"])
+    per_class = (ap.groupBy("class_name")
+                   .agg(F.max(F.when(F.col("t") == 0.5, F.col("ap"))).alias("ap50"),
+                        F.max(F.when(F.col("t") == 0.75, F.col("ap"))).alias("ap75"),
+                        F.avg("ap").alias("ap50_95")))
+    summary = per_class.agg(F.coalesce(F.avg("ap50"), F.lit(0.0)).alias("map50"),
+                            F.coalesce(F.avg("ap75"), F.lit(0.0)).alias("map75"),
+                            F.coalesce(F.avg("ap50_95"), F.lit(0.0)).alias("map50_95"))
+    return per_class, summary
+
+
+def confusion_pairs(preds: DataFrame, gts: DataFrame, iou_threshold: float,
+                    cell: float = M.DEFAULT_CELL) -> DataFrame:
+    """(sample_id, actual, predicted) for every matched pair, unmatched prediction
+    (actual = background) and unmatched GT (predicted = background), D6 matching."""
+    acc = M.confusion_match(preds, gts, iou_threshold, cell)
+    matched = acc.select("dataset_id", "sample_id", F.col("g_cat").alias("actual"), F.col("p_cat").alias("predicted"))
+    mp = acc.select("dataset_id", "sample_id", F.col("p_id").alias("id"))
+    mg = acc.select("dataset_id", "sample_id", F.col("g_id").alias("id"))
+    fp = (preds.join(mp, ["dataset_id", "sample_id", "id"], "left_anti")
+               .select("dataset_id", "sample_id", F.lit(BACKGROUND).alias("actual"), F.col("category_name").alias("predicted")))
+    fn = (gts.join(mg, ["dataset_id", "sample_id", "id"], "left_anti")
+             .select("dataset_id", "sample_id", F.col("category_name").alias("actual"), F.lit(BACKGROUND).alias("predicted")))
+    return matched.unionByName(fp).unionByName(fn)
+
+
+def confusion_matrix(preds: DataFrame, gts: DataFrame, iou_threshold: float, conf_threshold: float,
+                     cell: float = M.DEFAULT_CELL) -> DataFrame:
+    """Rows actual, columns predicted, classes + background; non-zero cells in long form."""
+    p = preds.filter(F.coalesce("confidence", F.lit(1.0)) >= conf_threshold)
+    return (confusion_pairs(p, gts, iou_threshold, cell)
+            .groupBy("actual", "predicted").agg(F.count("*").alias("count")))
+
+
+def confusion_cell_samples(preds: DataFrame, gts: DataFrame, actual: str, predicted: str, iou_threshold: float,
+                           conf_threshold: float, compat: bool = False, cell: float = M.DEFAULT_CELL) -> DataFrame:
+    """Distinct samples contributing to one matrix cell.  Default: E7's matching (D7);
+    ``compat=True``: same-class best-unclaimed matching (off-diagonal cells then stay empty)."""
+    p = preds.filter(F.coalesce("confidence", F.lit(1.0)) >= conf_threshold)
+    if compat:
+        m = M.greedy_match(p, gts, [iou_threshold], same_class=True, cell=cell)
+        acc = m.filter(F.col("g_id").isNotNull())
+        matched = acc.select("sample_id", F.col("g_cat").alias("actual"), F.col("p_cat").alias("predicted"))
+        fp = m.filter(F.col("g_id").isNull()).select("sample_id", F.lit(BACKGROUND).alias("actual"),
+                                                      F.col("p_cat").alias("predicted"))
+        fn = (gts.join(acc.select("dataset_id", F.col("g_id").alias("id")), ["dataset_id", "id"], "left_anti")
+                 .select("sample_id", F.col("category_name").alias("actual"), F.lit(BACKGROUND).alias("predicted")))
+        cells = matched.unionByName(fp).unionByName(fn)
+    else:
+        cells = confusion_pairs(p, gts, iou_threshold, cell)
+    return (cells.filter((F.col("actual") == actual) & (F.col("predicted") == predicted))
+                 .select("sample_id").distinct())
+
+
+def per_class_metrics(preds: DataFrame, gts: DataFrame, iou_threshold: float, conf_threshold: float,
+                      max_det: int | None = 100, cell: float = M.DEFAULT_CELL) -> DataFrame:
+    """Class x (ap50, ap75, ap50_95, precision, recall at the operating point)."""
+    curve, _ = pr_curves(preds, gts, iou_threshold, cell=cell)
+    op = operating_points(curve.filter(F.col("class_name") != ALL), conf_threshold)
+    per_class, _ = map_metrics(preds, gts, max_det, cell)
+    return (class_names(preds, gts).join(per_class, "class_name", "left").join(op, "class_name", "left")
+            .select("class_name", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in
+                                    ["ap50", "ap75", "ap50_95", "precision", "recall"]]))
+
+
+def evaluation_report(ann: DataFrame, dataset_id: str, source: str, iou_threshold: float = 0.5,
+                      conf_threshold: float = 0.25, samples: DataFrame | None = None,
+                      split: str | None = None) -> dict[str, DataFrame]:
+    """Every evaluation table for one run (lazy DataFrames)."""
+    preds = M.predictions(ann, dataset_id, source, None, samples, split)
+    gts = M.ground_truth(ann, dataset_id, samples, split)
+    curve, ap = pr_curves(preds, gts, iou_threshold)
+    per_class, summary = map_metrics(preds, gts)
+    return {"pr_curves": curve, "ap": ap, "ap_metrics": summary,
+            "per_class": per_class_metrics(preds, gts, iou_threshold, conf_threshold),
+            "confusion_matrix": confusion_matrix(preds, gts, iou_threshold, conf_threshold)}

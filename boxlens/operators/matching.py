@@ -157,6 +157,37 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     return labels.withColumnRenamed("lab", "component")
 
 
+HOT_GROUP_PAIRS = 20000
+
+
+def fold_groups(pairs: DataFrame, group_cols: list[str], hot_limit: int = HOT_GROUP_PAIRS) -> DataFrame:
+    """Assign every candidate pair a fold group ``grp``.
+
+    Groups are the natural unit (e.g. image and class); a group with more than
+    ``hot_limit`` candidate pairs is split into the connected components of its candidate
+    graph (an exact split: greedy choices never cross components).  Components are only
+    computed when such a hot group exists (one distributed count decides)."""
+    from boxlens.session import checkpoint_dir
+    checkpoint_dir(pairs.sparkSession)
+    # materialise the candidate pairs once: the size check and the fold read the same rows,
+    # and the iterative component search starts from a short lineage
+    pairs = pairs.checkpoint()
+    natural = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in group_cols])
+    sizes = pairs.groupBy(*group_cols).agg(F.count("*").alias("_n"))
+    hot = sizes.filter(F.col("_n") > hot_limit).select(*group_cols)
+    tagged = pairs.join(hot.withColumn("_hot", F.lit(True)), group_cols, "left")
+    if hot.limit(1).count() == 0:
+        return pairs.withColumn("grp", natural)
+    hp = tagged.filter(F.col("_hot").isNotNull())
+    pnode = F.concat(F.lit("p"), natural, F.lit("\u0001"), F.col("p_id"))
+    gnode = F.concat(F.lit("g"), natural, F.lit("\u0001"), F.col("g_id"))
+    comp = connected_components(hp.select(pnode.alias("src"), gnode.alias("dst")))
+    hot_pairs = (hp.withColumn("_node", pnode).join(comp.withColumnRenamed("node", "_node"), "_node")
+                   .withColumn("grp", F.concat(F.lit("c"), F.col("component"))).drop("_node", "component", "_hot"))
+    cold = tagged.filter(F.col("_hot").isNull()).drop("_hot").withColumn("grp", natural)
+    return cold.unionByName(hot_pairs)
+
+
 def greedy_fold_expr(cands: Column, thr: Column, strict: bool = False) -> Column:
     """Fold over predictions (already in confidence order), each with its candidate GTs in
     IoU-desc order: a prediction takes the first candidate with IoU >= thr not yet taken.
@@ -176,13 +207,14 @@ def greedy_fold_expr(cands: Column, thr: Column, strict: bool = False) -> Column
 
 
 def greedy_match(preds: DataFrame, gts: DataFrame, thresholds: list[float], same_class: bool = True,
-                 max_det: int | None = None, cell: float = DEFAULT_CELL) -> DataFrame:
+                 max_det: int | None = None, cell: float = DEFAULT_CELL,
+                 hot_limit: int = HOT_GROUP_PAIRS) -> DataFrame:
     """Predictions (confidence desc, id asc) each take the best *still unclaimed*
-    same-class GT with IoU >= t, for every threshold in ``thresholds``.
+    same-class GT (IoU desc, GT id asc) with IoU >= t, for every threshold in ``thresholds``.
 
     Returns one row per (threshold, prediction): t, dataset_id, sample_id, p_id, p_cat, conf,
-    g_id (null if unmatched), iou.  ``max_det`` keeps only the top-N predictions per image and
-    class (COCO's detection cap) before matching.
+    g_id / g_cat / iou (null if unmatched).  ``max_det`` keeps only the top-N predictions per
+    image and class (COCO's detection cap) before matching.
     """
     p = preds
     if max_det is not None:
@@ -190,24 +222,45 @@ def greedy_match(preds: DataFrame, gts: DataFrame, thresholds: list[float], same
         p = p.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_det).drop("_r")
     tmin = float(min(thresholds))
     pairs = candidate_pairs(p, gts, same_class, cell).filter(F.col("iou") >= tmin)
-    # components of the loosest candidate graph contain those of every stricter threshold
-    edges = pairs.select(F.concat(F.col("dataset_id"), F.lit("\u0001"), F.lit("p"), F.col("p_id")).alias("src"),
-                         F.concat(F.col("dataset_id"), F.lit("\u0001"), F.lit("g"), F.col("g_id")).alias("dst"))
-    comp = connected_components(edges)
-    pc = pairs.join(comp.select(F.col("node").alias("src"), "component"),
-                    F.concat(F.col("dataset_id"), F.lit("\u0001"), F.lit("p"), F.col("p_id")) == F.col("src")).drop("src")
-    per_pred = (pc.groupBy("component", "dataset_id", "sample_id", "p_id", "conf")
-                  .agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("niou"), "g_id", "g_cat", "iou")))
-                       .alias("c")))
-    per_pred = per_pred.withColumn("c", F.transform("c", lambda x: F.struct(x["g_id"].alias("g_id"), x["g_cat"].alias("g_cat"), x["iou"].alias("iou"))))
-    groups = (per_pred.groupBy("component")
+    grouped = fold_groups(pairs, ["dataset_id", "sample_id", "p_cat"], hot_limit)
+    per_pred = (grouped.groupBy("grp", "dataset_id", "p_id", "conf")
+                       .agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("niou"), "g_id", "g_cat", "iou")))
+                            .alias("c")))
+    per_pred = per_pred.withColumn("c", F.transform("c", lambda x: F.struct(
+        x["g_id"].alias("g_id"), x["g_cat"].alias("g_cat"), x["iou"].alias("iou"))))
+    groups = (per_pred.groupBy("grp", "dataset_id")
                       .agg(F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("nconf"), "p_id", "c"))).alias("ps")))
     # thresholds fan out with a generator over a literal array (no join)
     tarr = F.array(*[F.lit(float(t)) for t in thresholds])
     folded = (groups.withColumn("t", F.explode(tarr))
-                    .select("t", F.explode(greedy_fold_expr(F.col("ps"), F.col("t"))).alias("m"))
-                    .select("t", F.col("m.p_id").alias("p_id"), F.col("m.g_id").alias("g_id"),
+                    .select("t", "dataset_id", F.explode(greedy_fold_expr(F.col("ps"), F.col("t"))).alias("m"))
+                    .select("t", "dataset_id", F.col("m.p_id").alias("p_id"), F.col("m.g_id").alias("g_id"),
                             F.col("m.g_cat").alias("g_cat"), F.col("m.iou").alias("iou")))
     allp = p.select("dataset_id", "sample_id", F.col("id").alias("p_id"), F.col("category_name").alias("p_cat"),
                     effective_confidence().alias("conf")).withColumn("t", F.explode(tarr))
-    return allp.join(folded, ["t", "p_id"], "left")
+    return allp.join(folded, ["t", "dataset_id", "p_id"], "left")
+
+
+def pair_fold_expr(pairs: Column) -> Column:
+    """One-to-one greedy over an ordered pair list: accept (p, g) when neither is taken yet.
+    ``pairs`` is array<struct<..., p_id, g_id, ...>>; returns the accepted structs."""
+    def step(acc, x):
+        taken = F.exists(acc, lambda m: (m["p_id"] == x["p_id"]) | (m["g_id"] == x["g_id"]))
+        return F.when(taken, acc).otherwise(F.concat(acc, F.array(x)))
+    return F.aggregate(pairs, F.slice(pairs, 1, 0), step)
+
+
+def confusion_match(preds: DataFrame, gts: DataFrame, iou_threshold: float, cell: float = DEFAULT_CELL,
+                    hot_limit: int = HOT_GROUP_PAIRS) -> DataFrame:
+    """D6 matching for the confusion matrix: class-agnostic candidate pairs with IoU > t,
+    taken greedily one-to-one in the order (same class first, IoU desc, prediction id, GT id).
+
+    Returns the accepted pairs: dataset_id, sample_id, p_id, p_cat, g_id, g_cat, iou."""
+    pairs = candidate_pairs(preds, gts, False, cell).filter(F.col("iou") > F.lit(float(iou_threshold)))
+    grouped = fold_groups(pairs, ["dataset_id", "sample_id"], hot_limit)
+    key = F.struct(F.when(F.col("p_cat") == F.col("g_cat"), 0).otherwise(1).alias("k0"), (-F.col("iou")).alias("k1"),
+                   F.col("p_id").alias("k2"), F.col("g_id").alias("k3"), "p_id", "g_id", "p_cat", "g_cat", "iou",
+                   "sample_id")
+    groups = grouped.groupBy("grp", "dataset_id").agg(F.array_sort(F.collect_list(key)).alias("ps"))
+    acc = groups.select("dataset_id", F.explode(pair_fold_expr(F.col("ps"))).alias("m"))
+    return acc.select("dataset_id", "m.sample_id", "m.p_id", "m.p_cat", "m.g_id", "m.g_cat", "m.iou")

@@ -785,3 +785,137 @@ def e15(spark, sf_dir):
     p, g = _pg(spark, sf_dir)
     curve, _ = EV.pr_curves(p, g, 0.5)
     return EV.pr_grid(curve).select("class_name", r9("recall"), r9("precision"), r9("confidence"))
+
+
+# ---------------------------------------------------------------------------------------
+# Greedy fold family: E12, E7, A11, E8, E6, E13
+# ---------------------------------------------------------------------------------------
+
+_FOLD_LAMBDA = """lambda acc, x: CASE WHEN list_filter(x.c, lambda y: y.iou >= x.t AND NOT list_contains(list_transform(acc, lambda m: m.g_id), y.g_id))[1] IS NULL
+        THEN acc ELSE list_append(acc, {'p_id': x.p_id, 'g_id': list_filter(x.c, lambda y: y.iou >= x.t AND NOT list_contains(list_transform(acc, lambda m: m.g_id), y.g_id))[1].g_id}) END"""
+
+
+def _greedy_ctes(conf, thresholds, max_det=None):
+    cut = f" AND COALESCE(confidence, 1.0) >= {conf}" if conf is not None else ""
+    topn = "" if max_det is None else f""" QUALIFY ROW_NUMBER() OVER (PARTITION BY sample_id, category_name
+                                                        ORDER BY COALESCE(confidence, 1.0) DESC, id) <= {max_det}"""
+    from boxlens.plans.sqlkit import iou_sql
+    tl = ", ".join(str(t) for t in thresholds)
+    return [
+        f"P AS (SELECT * FROM annotations WHERE dataset_id='ds1' AND source='run_a'{cut}{topn})",
+        "G AS (SELECT * FROM annotations WHERE dataset_id='ds1' AND source='ground_truth')",
+        f"""gpairs AS (SELECT p.sample_id, p.category_name p_cat, p.id p_id, COALESCE(p.confidence, 1.0) conf, g.id g_id,
+                   {iou_sql('p', 'g')} iou FROM P p JOIN G g ON p.sample_id = g.sample_id AND p.category_name = g.category_name)""",
+        f"ths AS (SELECT UNNEST([{tl}]) t)",
+        """gpp AS (SELECT t, sample_id, p_cat, p_id, conf, list({'g_id': g_id, 'iou': iou} ORDER BY iou DESC, g_id) c
+                 FROM gpairs, ths WHERE iou >= t GROUP BY ALL)""",
+        """ggrp AS (SELECT t, sample_id, p_cat, list({'p_id': p_id, 'c': c, 't': t} ORDER BY conf DESC, p_id) ps FROM gpp GROUP BY ALL)""",
+        f"""gacc AS (SELECT t, UNNEST(list_reduce(ps, {_FOLD_LAMBDA}, []::STRUCT(p_id VARCHAR, g_id VARCHAR)[]), recursive := true)
+                 FROM ggrp)""",
+        """gm AS (SELECT ths.t, P.sample_id, P.id p_id, P.category_name p_cat, COALESCE(P.confidence, 1.0) conf, a.g_id
+               FROM P CROSS JOIN ths LEFT JOIN gacc a ON a.p_id = P.id AND a.t = ths.t)""",
+    ]
+
+
+@query("E12_greedy_match", W(*_greedy_ctes(0.25, [0.5])) + "SELECT sample_id, p_id, g_id FROM gm")
+def e12(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    p = MT.predictions(d.annotations, DATASET, RUN_A, 0.25)
+    g = MT.ground_truth(d.annotations, DATASET)
+    return MT.greedy_match(p, g, [0.5]).select("sample_id", "p_id", "g_id")
+
+
+_PAIR_FOLD = """lambda acc, x: CASE WHEN list_bool_or(list_transform(acc, lambda m: m.p_id = x.p_id OR m.g_id = x.g_id))
+                                THEN acc ELSE list_append(acc, x) END"""
+
+
+def _confusion_ctes(conf=0.25, iou=0.5):
+    from boxlens.plans.sqlkit import iou_sql
+    return [
+        f"P AS (SELECT * FROM annotations WHERE dataset_id='ds1' AND source='run_a' AND COALESCE(confidence, 1.0) >= {conf})",
+        "G AS (SELECT * FROM annotations WHERE dataset_id='ds1' AND source='ground_truth')",
+        f"""cpairs AS (SELECT * FROM (SELECT p.sample_id, p.id p_id, p.category_name p_cat, g.id g_id, g.category_name g_cat,
+                      {iou_sql('p', 'g')} iou FROM P p JOIN G g ON p.sample_id = g.sample_id) WHERE iou > {iou})""",
+        """cgrp AS (SELECT sample_id, list({'p_id': p_id, 'g_id': g_id, 'p_cat': p_cat, 'g_cat': g_cat}
+                   ORDER BY CASE WHEN p_cat = g_cat THEN 0 ELSE 1 END, iou DESC, p_id, g_id) ps FROM cpairs GROUP BY sample_id)""",
+        f"""cacc AS (SELECT sample_id, UNNEST(list_reduce(ps, {_PAIR_FOLD},
+                 []::STRUCT(p_id VARCHAR, g_id VARCHAR, p_cat VARCHAR, g_cat VARCHAR)[]), recursive := true) FROM cgrp)""",
+        """cells AS (SELECT sample_id, g_cat actual, p_cat predicted FROM cacc
+                  UNION ALL SELECT sample_id, 'background', category_name FROM P WHERE id NOT IN (SELECT p_id FROM cacc)
+                  UNION ALL SELECT sample_id, category_name, 'background' FROM G WHERE id NOT IN (SELECT g_id FROM cacc))""",
+        "cm AS (SELECT actual, predicted, COUNT(*) count FROM cells GROUP BY ALL)",
+    ]
+
+
+def _pg_conf(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return MT.predictions(d.annotations, DATASET, RUN_A), MT.ground_truth(d.annotations, DATASET)
+
+
+@query("E7_confusion_matrix", W(*_confusion_ctes()) + "SELECT actual, predicted, count FROM cm")
+def e7(spark, sf_dir):
+    p, g = _pg_conf(spark, sf_dir)
+    return EV.confusion_matrix(p, g, 0.5, 0.25)
+
+
+@query("A11_row_normalize", W(*_confusion_ctes()) + """
+SELECT actual, predicted, count, ROUND(CASE WHEN SUM(count) OVER (PARTITION BY actual) > 0
+       THEN count / SUM(count) OVER (PARTITION BY actual) ELSE 0 END, 9) share FROM cm""")
+def a11(spark, sf_dir):
+    p, g = _pg_conf(spark, sf_dir)
+    return S.row_normalize(EV.confusion_matrix(p, g, 0.5, 0.25)).select("actual", "predicted", "count", r9("share"))
+
+
+@query("E8_confusion_cell_samples", W(*_confusion_ctes()) + "SELECT DISTINCT sample_id FROM cells WHERE actual = 'R' AND predicted = 'N'")
+def e8(spark, sf_dir):
+    p, g = _pg_conf(spark, sf_dir)
+    return EV.confusion_cell_samples(p, g, "R", "N", 0.5, 0.25)
+
+
+@query("E8_cell_samples_background", W(*_confusion_ctes()) + "SELECT DISTINCT sample_id FROM cells WHERE actual = 'background' AND predicted = 'A'")
+def e8b(spark, sf_dir):
+    p, g = _pg_conf(spark, sf_dir)
+    return EV.confusion_cell_samples(p, g, "background", "A", 0.5, 0.25)
+
+
+@query("E8_cell_samples_compat", W(*_greedy_ctes(0.25, [0.5])) + """
+SELECT DISTINCT sample_id FROM gm WHERE g_id IS NOT NULL AND p_cat = 'A'""")
+def e8c(spark, sf_dir):
+    p, g = _pg_conf(spark, sf_dir)
+    return EV.confusion_cell_samples(p, g, "A", "A", 0.5, 0.25, compat=True)
+
+
+_COCO = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
+_MAP_CTES = _greedy_ctes(None, _COCO, max_det=100) + [
+    "mng AS (SELECT category_name class_name, COUNT(*) n_gt FROM G GROUP BY 1)",
+    """mpts AS (SELECT gm.t, gm.p_cat class_name, mng.n_gt,
+                    SUM(CASE WHEN g_id IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY gm.t, gm.p_cat ORDER BY conf DESC, p_id
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / mng.n_gt AS recall,
+                    SUM(CASE WHEN g_id IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY gm.t, gm.p_cat ORDER BY conf DESC, p_id
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                      / ROW_NUMBER() OVER (PARTITION BY gm.t, gm.p_cat ORDER BY conf DESC, p_id) AS precision
+             FROM gm JOIN mng ON mng.class_name = gm.p_cat)""",
+    """mgrid AS (SELECT ths.t, mng.class_name, r.i FROM ths, mng, range(101) r(i))""",
+    """mip AS (SELECT g.t, g.class_name, g.i, (SELECT MAX(p.precision) FROM mpts p WHERE p.t = g.t AND p.class_name = g.class_name
+                                                AND p.recall >= g.i * CAST(0.01 AS DOUBLE)) mp FROM mgrid g)""",
+    "map AS (SELECT t, class_name, SUM(COALESCE(mp, 0.0)) / 101 ap FROM mip GROUP BY t, class_name)",
+    """mpc AS (SELECT class_name, MAX(CASE WHEN t = 0.5 THEN ap END) ap50, MAX(CASE WHEN t = 0.75 THEN ap END) ap75,
+                   AVG(ap) ap50_95 FROM map GROUP BY class_name)""",
+]
+
+
+@query("E6_map_per_class", W(*_MAP_CTES) + """
+SELECT class_name, ROUND(ap50, 9) ap50, ROUND(ap75, 9) ap75, ROUND(ap50_95, 9) ap50_95 FROM mpc""")
+def e6(spark, sf_dir):
+    p, g = _pg(spark, sf_dir)
+    per_class, _ = EV.map_metrics(p, g)
+    return per_class.select("class_name", r9("ap50"), r9("ap75"), r9("ap50_95"))
+
+
+@query("E6_map_summary", W(*_MAP_CTES) + """
+SELECT ROUND(COALESCE(AVG(ap50), 0), 9) map50, ROUND(COALESCE(AVG(ap75), 0), 9) map75,
+       ROUND(COALESCE(AVG(ap50_95), 0), 9) map50_95 FROM mpc""")
+def e6s(spark, sf_dir):
+    p, g = _pg(spark, sf_dir)
+    _, summary = EV.map_metrics(p, g)
+    return summary.select(r9("map50"), r9("map75"), r9("map50_95"))
