@@ -919,3 +919,28 @@ def e6s(spark, sf_dir):
     p, g = _pg(spark, sf_dir)
     _, summary = EV.map_metrics(p, g)
     return summary.select(r9("map50"), r9("map75"), r9("map50_95"))
+
+
+def _map_ctes_renamed():
+    out = []
+    for c in _MAP_CTES:
+        if c.startswith("G AS"):
+            continue
+        c = c.replace("P AS (SELECT", "PM AS (SELECT", 1) if c.startswith("P AS") else c
+        c = c.replace("FROM P p JOIN G g", "FROM PM p JOIN G g").replace("FROM P CROSS JOIN ths", "FROM PM P CROSS JOIN ths")
+        out.append(c)
+    return out
+
+
+@query("E13_per_class_metrics", W(*(_PR_CTES + _map_ctes_renamed())) + """,
+op AS (SELECT class_name, arg_min(precision, (ABS(confidence - 0.25), rank)) AS precision,
+              arg_min(recall, (ABS(confidence - 0.25), rank)) AS recall FROM curve WHERE class_name <> 'all' GROUP BY class_name)
+SELECT c.class_name, ROUND(COALESCE(mpc.ap50, 0), 9) ap50, ROUND(COALESCE(mpc.ap75, 0), 9) ap75,
+       ROUND(COALESCE(mpc.ap50_95, 0), 9) ap50_95, ROUND(COALESCE(op.precision, 0), 9) AS precision,
+       ROUND(COALESCE(op.recall, 0), 9) AS recall
+FROM cls c LEFT JOIN mpc ON mpc.class_name = c.class_name LEFT JOIN op ON op.class_name = c.class_name
+WHERE c.class_name <> 'all'""")
+def e13(spark, sf_dir):
+    p, g = _pg(spark, sf_dir)
+    return EV.per_class_metrics(p, g, 0.5, 0.25).select(
+        "class_name", r9("ap50"), r9("ap75"), r9("ap50_95"), r9("precision"), r9("recall"))
