@@ -944,3 +944,132 @@ def e13(spark, sf_dir):
     p, g = _pg(spark, sf_dir)
     return EV.per_class_metrics(p, g, 0.5, 0.25).select(
         "class_name", r9("ap50"), r9("ap75"), r9("ap50_95"), r9("precision"), r9("recall"))
+
+
+# ---------------------------------------------------------------------------------------
+# Vectors: V1, V2, V3, V6, V7, F10
+# ---------------------------------------------------------------------------------------
+from boxlens.operators import vectors as V  # noqa: E402
+
+_COS_SQL = """list_reduce(list_transform(list_zip(a.vector, b.vector), lambda z: z[1] * z[2]), lambda x, y: x + y)
+   / (sqrt(list_reduce(list_transform(a.vector, lambda x: x * x), lambda x, y: x + y))
+      * sqrt(list_reduce(list_transform(b.vector, lambda x: x * x), lambda x, y: x + y)))"""
+
+
+@query("V1_find_similar", W() + f"""
+SELECT sample_id, score FROM (
+  SELECT b.sample_id, ROUND({_COS_SQL}, 9) score FROM emb a, emb b WHERE a.sample_id = '10' AND b.sample_id <> '10')
+ORDER BY score DESC, sample_id LIMIT 20""")
+def v1(spark, sf_dir):
+    r = V.find_similar(_d(spark, sf_dir).embeddings, DATASET, "10", 20)
+    return r.select("sample_id", F.round("score", 9).alias("score"))
+
+
+_DUP_CTES = [
+    """un AS (SELECT sample_id, list_transform(vector, lambda x: x / sqrt(list_reduce(list_transform(vector, lambda y: y * y),
+                                                                             lambda p, q: p + q))) u FROM emb)""",
+    "ky AS (SELECT sample_id, u, list_transform(u, lambda x: ROUND(x, 6)) k FROM un)",
+    "rp AS (SELECT k, MIN(sample_id) rep FROM ky GROUP BY k)",
+    "cg AS (SELECT ky.sample_id, rp.rep, ky.u FROM ky JOIN rp ON rp.k = ky.k)",
+    """dots AS (SELECT x.sample_id a, y.sample_id b,
+                   list_reduce(list_transform(list_zip(x.u, y.u), lambda z: z[1] * z[2]), lambda p, q: p + q) cosine
+            FROM cg x JOIN cg y ON x.sample_id < y.sample_id
+            WHERE (x.sample_id = x.rep AND y.sample_id = y.rep) OR (x.rep = y.sample_id AND x.sample_id <> x.rep)
+                  OR (y.rep = x.sample_id AND y.sample_id <> y.rep))""",
+    """edges AS (SELECT a, b, cosine FROM dots WHERE cosine >= 0.95 OR a IN (SELECT sample_id FROM cg WHERE rep = b)
+                 OR b IN (SELECT sample_id FROM cg WHERE rep = a))""",
+]
+
+
+@query("V2_near_duplicate_pairs", W(*_DUP_CTES) + "SELECT a, b, ROUND(cosine, 6) cosine FROM edges")
+def v2(spark, sf_dir):
+    e = V.near_duplicate_pairs(_d(spark, sf_dir).embeddings, DATASET, 0.95)
+    return e.select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@query("V3_near_duplicate_groups", "WITH RECURSIVE " + W(*_DUP_CTES)[5:] + """,
+und AS (SELECT a x, b y FROM edges UNION SELECT b, a FROM edges),
+reach(node, other) AS (SELECT x, x FROM und UNION SELECT r.node, u.y FROM reach r JOIN und u ON u.x = r.other),
+comp AS (SELECT node, MIN(other) component FROM reach GROUP BY node)
+SELECT component group_id, COUNT(*) size, string_agg(node, '|' ORDER BY node) members FROM comp GROUP BY component""")
+def v3(spark, sf_dir):
+    g = V.near_duplicate_groups(_d(spark, sf_dir).embeddings, DATASET, 0.95)
+    return g.select("group_id", "size", F.array_join("members", "|").alias("members"))
+
+
+@query("V3_duplicate_totals", "WITH RECURSIVE " + W(*_DUP_CTES)[5:] + """,
+und AS (SELECT a x, b y FROM edges UNION SELECT b, a FROM edges),
+reach(node, other) AS (SELECT x, x FROM und UNION SELECT r.node, u.y FROM reach r JOIN und u ON u.x = r.other),
+comp AS (SELECT node, MIN(other) component FROM reach GROUP BY node),
+grp AS (SELECT component, COUNT(*) size FROM comp GROUP BY component HAVING COUNT(*) >= 2)
+SELECT COUNT(*) total_groups, COALESCE(SUM(size), 0) total_duplicates FROM grp""")
+def v3t(spark, sf_dir):
+    return V.duplicate_totals(V.near_duplicate_groups(_d(spark, sf_dir).embeddings, DATASET, 0.95))
+
+
+@query("V6_coordinates", W() + """
+SELECT e.sample_id, ROUND(e.x, 9) x, ROUND(e.y, 9) y, s.file_name FROM emb_xy e JOIN samples s ON s.id = e.sample_id""")
+def v6(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return V.coordinates(d.embeddings, d.samples, DATASET).select("sample_id", r9("x"), r9("y"), "file_name")
+
+
+_DIMS = V.TAG_DIMENSIONS
+_VOCAB_SQL = " UNION ALL ".join(f"SELECT '{d}' dimension, '{w}' tag" for d, ws in V.TAG_VOCABULARY.items() for w in ws)
+
+
+# Fixed test values: answers of a deterministic stand-in tagging model, picked by the
+# sample key (raw answers, before normalisation; some are outside the vocabulary).
+STAND_IN_ANSWERS = {
+    "lighting": ["Dark.", " dim ", "BRIGHT", "normal..", "sunny"],
+    "clarity": ["blurry", "Sharp.", "noisy", "fuzzy"],
+    "setting": ["indoor", "Outdoor.", "both"],
+    "weather": ["sunny", "cloudy", "rainy", "foggy", "snowy", "night", "day", "Night."],
+    "density": ["empty", "sparse", "moderate", "crowded", "dense"],
+}
+
+
+def stand_in_model(pdf):
+    """A batch "model" for V8: answers per (dimension) from the numeric sample id."""
+    import pandas as pd
+    rows = []
+    for ds, sid in zip(pdf["dataset_id"], pdf["id"]):
+        k = int(sid)
+        for dim, opts in STAND_IN_ANSWERS.items():
+            rows.append((ds, sid, dim, opts[k % len(opts)]))
+    return pd.DataFrame(rows, columns=["dataset_id", "id", "dimension", "answer"])
+
+
+def _answers_sql():
+    parts = []
+    for dim, opts in STAND_IN_ANSWERS.items():
+        arr = ", ".join("'" + o + "'" for o in opts)
+        parts.append(f"SELECT id, '{dim}' dimension, ([{arr}])[CAST(id AS BIGINT) % {len(opts)} + 1] answer FROM samples")
+    return " UNION ALL ".join(parts)
+
+
+_V7_SQL = W() + f""",
+voc AS ({_VOCAB_SQL}),
+ans AS (SELECT id, dimension, regexp_replace(lower(trim(answer)), '\\.+$', '') tag FROM ({_answers_sql()}))
+SELECT id, array_to_string(list_sort(list_distinct(list(tag))), '|') new_tags
+FROM ans SEMI JOIN voc USING (dimension, tag) GROUP BY id"""
+
+
+@query("V7_normalize_tag_answers", _V7_SQL)
+def v7(spark, sf_dir):
+    s = _d(spark, sf_dir).samples
+    parts = []
+    for dim, opts in STAND_IN_ANSWERS.items():
+        arr = F.array(*[F.lit(o) for o in opts])
+        parts.append(s.select("dataset_id", "id", F.lit(dim).alias("dimension"),
+                              F.element_at(arr, (F.col("id").cast("long") % len(opts) + 1).cast("int")).alias("answer")))
+    ans = parts[0]
+    for p in parts[1:]:
+        ans = ans.unionByName(p)
+    return V.normalize_tag_answers(ans).select("id", F.array_join("new_tags", "|").alias("new_tags"))
+
+
+@query("V8_tag_images", _V7_SQL)
+def v8(spark, sf_dir):
+    s = _d(spark, sf_dir).samples.select("dataset_id", "id", "file_name")
+    return V.tag_images(s, stand_in_model).select("id", F.array_join("new_tags", "|").alias("new_tags"))
