@@ -36,6 +36,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# sf_dir -> folder holding the materialised detection tables (see ``materialize``)
+_STORED: dict[str, str] = {}
+
+# table -> partition columns when stored
+STORED_TABLES = {"samples": ["dataset_id"], "annotations": ["dataset_id", "source"], "categories": ["dataset_id"],
+                 "embeddings": ["dataset_id"], "overrides": ["dataset_id"], "edits": ["dataset_id"]}
+
+
 @dataclass
 class Derived:
     spark: SparkSession
@@ -44,6 +52,26 @@ class Derived:
     def table(self, name: str) -> DataFrame:
         return _read(self.spark, self.sf_dir, name)
 
+    def __getattribute__(self, name):
+        # once materialised, detection tables are read from their partitioned parquet copy
+        if name in STORED_TABLES:
+            stored = _STORED.get(object.__getattribute__(self, "sf_dir"))
+            if stored:
+                return object.__getattribute__(self, "spark").read.parquet(f"{stored}/{name}")
+        return object.__getattribute__(self, name)
+
+    def materialize(self, path: str) -> dict[str, int]:
+        """Ingest: write every detection table as parquet partitioned like production
+        (annotations by dataset_id and source) and serve later reads from there."""
+        counts = {}
+        for name, parts in STORED_TABLES.items():
+            df = object.__getattribute__(self, name)
+            df.write.mode("overwrite").partitionBy(*parts).parquet(f"{path}/{name}")
+        _STORED[self.sf_dir] = path
+        for name in STORED_TABLES:
+            counts[name] = getattr(self, name).count()
+        return counts
+
     # -- boxes ---------------------------------------------------------------------------
     @cached_property
     def base(self) -> DataFrame:

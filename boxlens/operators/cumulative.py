@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxlens.session import checkpoint_dir
+from boxlens.session import pin
 
 
 def running_counts(df: DataFrame, keys: list[str], order: list[Column], flag: str,
@@ -20,11 +20,9 @@ def running_counts(df: DataFrame, keys: list[str], order: list[Column], flag: st
     """Add ``rank`` (1-based position within the key in ``order``) and ``cum`` (running sum
     of the 0/1 column ``flag`` up to and including the row)."""
     spark = df.sparkSession
-    checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = (df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
-           .withColumn("_pid", F.spark_partition_id())
-           .checkpoint())
+    r = pin(df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
+              .withColumn("_pid", F.spark_partition_id()))
     lw = Window.partitionBy("_pid", *keys).orderBy(*order)
     loc = (r.withColumn("_lr", F.row_number().over(lw))
             .withColumn("_lc", F.sum(flag).over(lw.rowsBetween(Window.unboundedPreceding, Window.currentRow))))

@@ -34,24 +34,22 @@ def error_labels(ann: DataFrame, dataset_id: str, source: str, iou_threshold: fl
                       .withColumn("real_conf", F.col("confidence"))
                       .withColumn("confidence", F.col("bbox_h")))
     gts = M.ground_truth(ann, dataset_id, samples, split)
-    m = M.argmax_match(preds, gts, iou_threshold, cell=cell)
-    etype = (F.when(F.col("claimed") & (F.col("p_cat") == F.col("g_cat")), "tp")
-              .when(F.col("claimed"), "label_error").otherwise("hard_fp"))
-    pside = m.select("dataset_id", "sample_id", F.col("p_id").alias("annotation_id"), etype.alias("error_type"),
-                     F.col("p_cat").alias("category_name"),
-                     F.when(F.col("claimed"), F.col("g_id")).alias("matched_id"),
-                     F.when(F.col("claimed"), F.col("iou")).alias("iou"))
-    # the reported confidence is the stored one (null stays null)
-    conf = preds.select("dataset_id", "sample_id", F.col("id").alias("annotation_id"),
-                        F.col("real_conf" if compat else "confidence").alias("confidence"))
-    pside = pside.join(conf, ["dataset_id", "sample_id", "annotation_id"])
-    claims = m.filter("claimed").select("dataset_id", "sample_id", F.col("g_id").alias("annotation_id"))
-    fn = (gts.select("dataset_id", "sample_id", F.col("id").alias("annotation_id"), "category_name")
-             .join(claims, ["dataset_id", "sample_id", "annotation_id"], "left_anti")
-             .select("dataset_id", "sample_id", "annotation_id", F.lit("false_negative").alias("error_type"),
-                     "category_name", F.lit(None).cast("double").alias("confidence"),
-                     F.lit(None).cast("string").alias("matched_id"), F.lit(None).cast("double").alias("iou")))
-    return pside.unionByName(fn)
+    if compat:
+        # the stored confidence is reported; the box height only drives the cut and order
+        gts = gts.withColumn("real_conf", F.lit(None).cast("double"))
+    m = M.match_outcomes(preds, gts, iou_threshold, cell=cell)
+    if compat:
+        m = m.drop("confidence").join(preds.select("dataset_id", "sample_id", "id", F.col("real_conf").alias("confidence")),
+                                      ["dataset_id", "sample_id", "id"], "left")
+    pred = F.col("kind") == "pred"
+    etype = (F.when(pred & F.col("claimed") & (F.col("cat") == F.col("g_cat")), "tp")
+              .when(pred & F.col("claimed"), "label_error")
+              .when(pred, "hard_fp").when(~F.col("claimed"), "false_negative"))
+    return (m.withColumn("error_type", etype).filter(F.col("error_type").isNotNull())
+             .select("dataset_id", "sample_id", F.col("id").alias("annotation_id"), "error_type",
+                     F.col("cat").alias("category_name"), "confidence",
+                     F.when(pred & F.col("claimed"), F.col("g_id")).alias("matched_id"),
+                     F.when(pred & F.col("claimed"), F.col("iou")).alias("iou")))
 
 
 def error_summary(labels: DataFrame) -> DataFrame:
@@ -105,20 +103,14 @@ def annotation_triage(ann: DataFrame, dataset_id: str, source: str, iou_threshol
     """
     preds = M.predictions(ann, dataset_id, source, conf_threshold)
     gts = M.ground_truth(ann, dataset_id)
-    m = M.argmax_match(preds, gts, iou_threshold, cell=cell)
-    plabel = (F.when(F.col("claimed") & (F.col("p_cat") == F.col("g_cat")), "tp")
-               .when(F.col("claimed"), "label_error").otherwise("fp"))
-    pside = m.select("dataset_id", "sample_id", F.col("p_id").alias("annotation_id"), plabel.alias("auto_label"),
-                     F.when(F.col("claimed"), F.col("g_id")).alias("matched_id"),
-                     F.when(F.col("claimed"), F.col("iou")).alias("iou"))
-    claims = m.filter("claimed").select("dataset_id", "sample_id", F.col("g_id").alias("annotation_id"),
-                                        F.col("p_id").alias("claimant"), F.col("iou").alias("c_iou"))
-    gside = (gts.select("dataset_id", "sample_id", F.col("id").alias("annotation_id"))
-                .join(claims, ["dataset_id", "sample_id", "annotation_id"], "left")
-                .select("dataset_id", "sample_id", "annotation_id",
-                        F.when(F.col("claimant").isNotNull(), "tp").otherwise("fn").alias("auto_label"),
-                        F.col("claimant").alias("matched_id"), F.col("c_iou").alias("iou")))
-    auto = pside.unionByName(gside)
+    m = M.match_outcomes(preds, gts, iou_threshold, cell=cell)
+    pred = F.col("kind") == "pred"
+    label = (F.when(pred & F.col("claimed") & (F.col("cat") == F.col("g_cat")), "tp")
+              .when(pred & F.col("claimed"), "label_error").when(pred, "fp")
+              .when(F.col("claimed"), "tp").otherwise("fn"))
+    auto = m.select("dataset_id", "sample_id", F.col("id").alias("annotation_id"), label.alias("auto_label"),
+                    F.when(pred & F.col("claimed"), F.col("g_id")).when(~pred, F.col("m_id")).alias("matched_id"),
+                    F.when(pred & F.col("claimed"), F.col("iou")).when(~pred, F.col("m_iou")).alias("iou"))
     if overrides is None:
         return auto.select("*", F.col("auto_label").alias("label"), F.lit(False).alias("is_override"))
     ov = latest_overrides(overrides).filter(F.col("dataset_id") == dataset_id).select(

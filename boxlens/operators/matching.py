@@ -92,29 +92,64 @@ def candidate_pairs(preds: DataFrame, gts: DataFrame, same_class: bool = False,
                          iou("p_", "g_", F.col("inter")).alias("iou")))
 
 
-def argmax_match(preds: DataFrame, gts: DataFrame, iou_threshold: float, same_class: bool = False,
-                 cell: float = DEFAULT_CELL) -> DataFrame:
-    """W1 + W2: each prediction's best GT (IoU desc, GT id asc on ties) and whether it claims
-    it (first by confidence desc, prediction id asc among those whose best it is, IoU >= t).
-
-    One row per prediction: dataset_id, sample_id, p_id, p_cat, conf, g_id, g_cat, iou, claimed.
-    ``g_id``/``iou`` are null when the prediction overlaps no GT.
+def match_outcomes(preds: DataFrame, gts: DataFrame, iou_threshold: float, same_class: bool = False,
+                   cell: float = DEFAULT_CELL) -> DataFrame:
+    """W1 + W2 in two passes, one row per box (predictions and GT).
+
+    W1: each prediction's best GT (IoU desc, GT id asc) -- a grouped aggregate over the pair
+    table with every prediction added once as a no-partner row (so predictions without any
+    overlap survive without an outer join).  W2: one window partitioned by GT over the best
+    pairs *and* the GT rows themselves: among predictions whose best GT it is with IoU >= t
+    the first by (confidence desc, prediction id) claims it, and the GT row reads its claimant
+    from the same partition.
+
+    Columns: dataset_id, sample_id, kind ('pred' | 'gt'), id, cat, conf (effective),
+    confidence (stored), g_id / g_cat / iou (pred: its best GT), claimed (pred: claims its
+    best GT; gt: has a claimant), m_id / m_cat / m_iou (gt: the claimant).
     """
     pairs = candidate_pairs(preds, gts, same_class, cell)
-    # W1 as an aggregate: min over (-iou, g_id) is "IoU desc, first GT id"; partial
-    # aggregation collapses pairs map-side before the shuffle.
-    best = (pairs.groupBy("dataset_id", "sample_id", "p_id")
-                 .agg(F.min(F.struct((-F.col("iou")).alias("niou"), "g_id", "g_cat")).alias("b"))
-                 .select("dataset_id", "sample_id", "p_id", F.col("b.g_id").alias("g_id"),
-                         F.col("b.g_cat").alias("g_cat"), (-F.col("b.niou")).alias("iou")))
-    allp = preds.select("dataset_id", "sample_id", F.col("id").alias("p_id"),
-                        F.col("category_name").alias("p_cat"), effective_confidence().alias("conf"))
-    m = allp.join(best, ["dataset_id", "sample_id", "p_id"], "left")
-    # First claimant per GT among predictions whose best GT passes the threshold.
-    eligible = F.col("iou") >= F.lit(float(iou_threshold))
-    w = Window.partitionBy("dataset_id", "sample_id", "g_id", eligible).orderBy(F.col("conf").desc(), "p_id")
-    claimed = F.coalesce(eligible & (F.row_number().over(w) == 1), F.lit(False))
-    return m.withColumn("claimed", claimed)
+    lone = preds.select("dataset_id", "sample_id", F.col("id").alias("p_id"),
+                        F.lit(None).cast("string").alias("g_id"), F.lit(None).cast("string").alias("g_cat"),
+                        F.lit(None).cast("double").alias("iou"))
+    cand = pairs.select("dataset_id", "sample_id", "p_id", "g_id", "g_cat", "iou").unionByName(lone)
+    # min over (rank, -iou, g_id): real partners (rank 0) before the no-partner row (rank 1)
+    best = (cand.groupBy("dataset_id", "sample_id", "p_id")
+                .agg(F.min(F.struct(F.when(F.col("g_id").isNull(), 1).otherwise(0).alias("r"),
+                                    (-F.col("iou")).alias("niou"), "g_id", "g_cat", "iou")).alias("b"))
+                .select("dataset_id", "sample_id", "p_id", "b.g_id", "b.g_cat", "b.iou"))
+    prow = (preds.select("dataset_id", "sample_id", F.col("id").alias("p_id"), F.col("category_name").alias("cat"),
+                         effective_confidence().alias("conf"), "confidence")
+                 .join(best, ["dataset_id", "sample_id", "p_id"])
+                 .select("dataset_id", "sample_id", F.lit("pred").alias("kind"), F.col("p_id").alias("id"), "cat",
+                         "conf", "confidence", "g_id", "g_cat", "iou", F.col("g_id").alias("key")))
+    grow = gts.select("dataset_id", "sample_id", F.lit("gt").alias("kind"), "id", F.col("category_name").alias("cat"),
+                      F.lit(None).cast("double").alias("conf"), F.lit(None).cast("double").alias("confidence"),
+                      F.lit(None).cast("string").alias("g_id"), F.lit(None).cast("string").alias("g_cat"),
+                      F.lit(None).cast("double").alias("iou"), F.col("id").alias("key"))
+    rows = prow.unionByName(grow)
+    elig = (F.col("kind") == "pred") & F.coalesce(F.col("iou") >= F.lit(float(iou_threshold)), F.lit(False))
+    rows = rows.withColumn("_e", elig)
+    w = Window.partitionBy("dataset_id", "sample_id", "key").orderBy(
+        F.col("_e").desc(), F.col("conf").desc_nulls_last(), F.col("id"))
+    first = F.first(F.struct("_e", "id", "cat", "iou")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    out = rows.withColumn("_f", first)
+    is_pred = F.col("kind") == "pred"
+    claimed = F.when(is_pred, F.col("_e") & (F.col("_f.id") == F.col("id"))).otherwise(F.col("_f._e"))
+    gt_side = (~is_pred) & F.col("_f._e")
+    return out.select("dataset_id", "sample_id", "kind", "id", "cat", "conf", "confidence", "g_id", "g_cat", "iou",
+                      claimed.alias("claimed"),
+                      F.when(gt_side, F.col("_f.id")).alias("m_id"), F.when(gt_side, F.col("_f.cat")).alias("m_cat"),
+                      F.when(gt_side, F.col("_f.iou")).alias("m_iou"))
+
+
+def argmax_match(preds: DataFrame, gts: DataFrame, iou_threshold: float, same_class: bool = False,
+                 cell: float = DEFAULT_CELL) -> DataFrame:
+    """Prediction rows of ``match_outcomes`` in the pair-table naming: dataset_id, sample_id,
+    p_id, p_cat, conf, g_id, g_cat, iou, claimed."""
+    m = match_outcomes(preds, gts, iou_threshold, same_class, cell)
+    return m.filter(F.col("kind") == "pred").select(
+        "dataset_id", "sample_id", F.col("id").alias("p_id"), F.col("cat").alias("p_cat"), "conf",
+        "g_id", "g_cat", "iou", "claimed")
 
 
 # ---------------------------------------------------------------------------------------
@@ -132,14 +167,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
 
     Returns (node, component) where component is the smallest node id of the component.
     """
-    from boxlens.session import checkpoint_dir
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
+    from boxlens.session import pin
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter(F.col("a") != F.col("b"))
     und = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    und = und.checkpoint()
-    labels = (und.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("lab"))
-                 .select(F.col("a").alias("node"), "lab")).checkpoint()
+    und = pin(und)
+    labels = pin(und.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("lab"))
+                    .select(F.col("a").alias("node"), "lab"))
     for _ in range(max_rounds):
         # neighbour minimum
         nb = (und.join(labels.select(F.col("node").alias("b"), F.col("lab").alias("nlab")), "b")
@@ -149,7 +182,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
         # pointer jumping: adopt the label of the label
         jump = (step.alias("s").join(step.select(F.col("node").alias("n2"), F.col("lab").alias("l2")),
                                      F.col("s.lab") == F.col("n2"), "left")
-                    .select("node", F.least("lab", F.coalesce("l2", "lab")).alias("lab"))).checkpoint()
+                    .select("node", F.least("lab", F.coalesce("l2", "lab")).alias("lab")))
+        jump = pin(jump)
         changed = jump.join(labels.withColumnRenamed("lab", "old"), "node").filter(F.col("lab") != F.col("old")).limit(1).count()
         labels = jump
         if changed == 0:
@@ -167,11 +201,10 @@ def fold_groups(pairs: DataFrame, group_cols: list[str], hot_limit: int = HOT_GR
     ``hot_limit`` candidate pairs is split into the connected components of its candidate
     graph (an exact split: greedy choices never cross components).  Components are only
     computed when such a hot group exists (one distributed count decides)."""
-    from boxlens.session import checkpoint_dir
-    checkpoint_dir(pairs.sparkSession)
+    from boxlens.session import pin
     # materialise the candidate pairs once: the size check and the fold read the same rows,
     # and the iterative component search starts from a short lineage
-    pairs = pairs.checkpoint()
+    pairs = pin(pairs)
     natural = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in group_cols])
     sizes = pairs.groupBy(*group_cols).agg(F.count("*").alias("_n"))
     hot = sizes.filter(F.col("_n") > hot_limit).select(*group_cols)

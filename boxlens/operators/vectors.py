@@ -10,9 +10,10 @@ Near-duplicates without all-pairs work
    r = sqrt(2 - 2t).  By the triangle inequality |d(u,p) - d(w,p)| <= |u - w| for every pivot
    p, so two representatives can only be neighbours if their pivot-distance cells
    floor(d(., p_j) / r) differ by at most one for every pivot.  Each representative is
-   replicated to the 3^k neighbouring cells on one side of an equi-join and kept at its home
-   cell on the other; the exact cosine is checked on the candidates.  The k pivots are k
-   representatives (a bounded k x dim literal).
+   replicated to the 3^k neighbouring cells and meets the representatives living there; the
+   exact cosine is computed per (cell, chunk) block as one dense matrix product (numpy in
+   ``applyInPandas``), and a cell with many representatives is split into bounded chunks.
+   The k pivots are k representatives (a bounded k x dim literal).
 3. **Components** of the threshold graph by distributed label propagation (V3).
 """
 
@@ -38,9 +39,24 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x))
 
 
+def _unit_batch(v):
+    import numpy as np
+    import pandas as pd
+    out = []
+    for x in v:
+        if x is None:
+            out.append(None)
+            continue
+        a = np.asarray(x, dtype=np.float64)
+        n = np.sqrt(np.dot(a, a))
+        out.append(a / n if n > 0 else a)
+    return pd.Series(out)
+
+
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: x / n)
+    """Unit-normalised vector.  An Arrow-batched pandas UDF: as a higher-order expression the
+    norm would sit inside the per-element lambda and be recomputed for every element."""
+    return F.pandas_udf(_unit_batch, "array<double>")(a)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -77,7 +93,7 @@ def copy_groups(emb: DataFrame, dataset_id: str) -> DataFrame:
 
 
 def near_duplicate_pairs(emb: DataFrame, dataset_id: str, threshold: float = DEFAULT_THRESHOLD,
-                         num_pivots: int = 4) -> DataFrame:
+                         num_pivots: int = 3, block_rows: int = 4096) -> DataFrame:
     """V2: edges of the threshold graph with copies collapsed.
 
     Returns (a, b, cosine) with a < b: every member -> representative link of an exact copy
@@ -90,27 +106,61 @@ def near_duplicate_pairs(emb: DataFrame, dataset_id: str, threshold: float = DEF
                .select(F.least("sample_id", "rep").alias("a"), F.greatest("sample_id", "rep").alias("b"),
                        dot(F.col("u"), F.col("ur")).alias("cosine")))
     reps = cg.filter(F.col("sample_id") == F.col("rep")).select(F.col("rep").alias("id"), "u")
+    return links.unionByName(_grid_pairs(reps, threshold, num_pivots, block_rows))
+
+
+def _grid_pairs(reps: DataFrame, threshold: float, num_pivots: int, block_rows: int) -> DataFrame:
+    """Representative pairs with cosine >= threshold: pivot-grid candidate blocks, verified
+    by dense matrix products per block (numpy inside ``applyInPandas``).
+
+    Blocks are (home cell, chunk): a cell holding more than ``block_rows`` representatives is
+    split into chunks, and every probe row aimed at that cell is replicated to each chunk, so
+    no task receives more than ``block_rows`` home rows whatever the skew."""
+    import numpy as np
+    import pandas as pd
+
     r = math.sqrt(2.0 - 2.0 * threshold)
     # pivots: a bounded number of representatives (k x dim values), chosen by hash order
-    piv = (reps.orderBy(F.xxhash64("id"), "id").limit(num_pivots).select("u").collect())
+    piv = reps.orderBy(F.xxhash64("id"), "id").limit(num_pivots).select("u").collect()
     if not piv:
-        return links
+        return reps.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine")).limit(0)
     cells = []
-    for j, row in enumerate(piv):
+    for row in piv:
         pv = F.array(*[F.lit(float(x)) for x in row["u"]])
         dist = F.sqrt(F.aggregate(F.zip_with(F.col("u"), pv, lambda x, y: (x - y) * (x - y)), F.lit(0.0),
                                   lambda acc, x: acc + x))
-        cells.append(F.floor(dist / F.lit(r)).alias(f"c{j}"))
+        cells.append(F.floor(dist / F.lit(r)).cast("int"))
     rc = reps.select("id", "u", F.array(*cells).alias("cell"))
+    sizes = rc.groupBy("cell").agg(F.count("*").alias("n")).select(
+        "cell", F.ceil(F.col("n") / F.lit(block_rows)).cast("int").alias("chunks"))
+    home = (rc.join(sizes, "cell")
+              .select("cell", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"),
+                      F.lit(True).alias("is_home"), "id", "u"))
     offsets = [list(o) for o in itertools.product([-1, 0, 1], repeat=len(piv))]
     off = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])
-    probe = rc.select(F.col("id").alias("a"), F.col("u").alias("ua"),
-                      F.explode(F.transform(off, lambda o: F.zip_with(F.col("cell"), o, lambda c, d: c + d))).alias("cell"))
-    home = rc.select(F.col("id").alias("b"), F.col("u").alias("ub"), "cell")
-    cand = probe.join(home, "cell").filter(F.col("a") < F.col("b"))
-    hits = (cand.select("a", "b", dot(F.col("ua"), F.col("ub")).alias("cosine"))
-                .filter(F.col("cosine") >= F.lit(float(threshold))))
-    return links.unionByName(hits)
+    probe = rc.select("id", "u", F.explode(F.transform(off, lambda o: F.zip_with(F.col("cell"), o, lambda c, d: c + d)))
+                      .alias("cell"))
+    probe = (probe.join(sizes, "cell")   # only cells that hold representatives
+                  .select("cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
+                          F.lit(False).alias("is_home"), "id", "u"))
+    t = float(threshold)
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = pdf[pdf["is_home"]]
+        q = pdf[~pdf["is_home"]]
+        if h.empty or q.empty:
+            return pd.DataFrame({"a": [], "b": [], "cosine": []})
+        H = np.stack(h["u"].to_numpy())
+        Q = np.stack(q["u"].to_numpy())
+        S = Q @ H.T
+        qi, hi = np.nonzero(S >= t)
+        a = q["id"].to_numpy()[qi]
+        b = h["id"].to_numpy()[hi]
+        keep = a < b
+        return pd.DataFrame({"a": a[keep], "b": b[keep], "cosine": S[qi, hi][keep]})
+
+    blocks = home.unionByName(probe)
+    return blocks.groupBy("cell", "chunk").applyInPandas(verify, "a string, b string, cosine double")
 
 
 def near_duplicate_groups(emb: DataFrame, dataset_id: str, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:

@@ -53,3 +53,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def pin(df):
+    """Materialise ``df`` into the shared checkpoint folder and return the checkpointed frame.
+
+    Persisting first lets the checkpoint job write the rows computed by the count instead of
+    computing them a second time; the cache is dropped once the files exist.  Checkpointed
+    data survives executor loss and cuts the lineage of iterative jobs."""
+    from pyspark import StorageLevel
+    checkpoint_dir(df.sparkSession)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
