@@ -1,0 +1,52 @@
+import math
+import random
+
+from pyspark.sql import functions as F
+
+from boxlens.operators import vectors as V
+
+
+def test_near_duplicates_exact_against_brute_force(spark):
+    rnd = random.Random(5)
+    base = [[rnd.gauss(0, 1) for _ in range(16)] for _ in range(60)]
+    rows = [(f"s{i:03d}", "d", v) for i, v in enumerate(base)]
+    # near copies (noise) and exact scaled copies
+    rows += [(f"n{i:03d}", "d", [x + rnd.gauss(0, 0.01) for x in base[i]]) for i in range(0, 60, 6)]
+    rows += [(f"c{i:03d}", "d", [3 * x for x in base[i]]) for i in range(0, 60, 10)]
+    emb = spark.createDataFrame(rows, "sample_id string, dataset_id string, vector array<double>")
+
+    def cos(a, b):
+        return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    vec = {r[0]: r[2] for r in rows}
+    ids = sorted(vec)
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for i, a in enumerate(ids):
+        for b in ids[i + 1:]:
+            if cos(vec[a], vec[b]) >= 0.95:
+                parent[find(b)] = find(a)
+    want = {}
+    for i in ids:
+        want.setdefault(find(i), []).append(i)
+    want = sorted(sorted(g) for g in want.values() if len(g) >= 2)
+    got = sorted(sorted(r.members) for r in V.near_duplicate_groups(emb, "d", 0.95).collect())
+    assert got == want
+
+
+def test_find_similar_excludes_self(spark):
+    emb = spark.createDataFrame([("a", "d", [1.0, 0.0]), ("b", "d", [1.0, 0.1]), ("c", "d", [0.0, 1.0])],
+                                "sample_id string, dataset_id string, vector array<double>")
+    r = V.find_similar(emb, "d", "a", 2).collect()
+    assert [x.sample_id for x in r] == ["b", "c"]
+    assert V.find_similar(emb, "d", "zzz", 2).count() == 0
+
+
+def test_reduce_2d_shapes(spark):
+    emb = spark.createDataFrame([(str(i), "d", [float(i), float(i % 3), 1.0]) for i in range(20)],
+                                "sample_id string, dataset_id string, vector array<double>")
+    out = V.reduce_2d(emb, "d")
+    assert out.count() == 20 and out.filter(F.col("x").isNull()).count() == 0
