@@ -144,11 +144,15 @@ def worst_images(labels: DataFrame, limit: int | None = 50, cap: int | None = No
                     F.count("confidence").alias("_n"),
                     F.stddev_pop("confidence").alias("_sd"))
                .withColumn("spread", F.when(F.col("_n") >= 2, F.col("_sd")).otherwise(F.lit(0.0))))
+    # one row per image with errors, read three times (two maxima and the ranking): pin it
+    from boxlens.session import pin
+    per = pin(per)
     max_err = per.select(F.max("error_count")).scalar()
     max_spread = per.select(F.max("spread")).scalar()
     max_spread = F.when(F.coalesce(max_spread, F.lit(0.0)) == 0.0, F.lit(1.0)).otherwise(max_spread)
     scored = per.withColumn("_score", 0.6 * (F.col("error_count") / max_err) + 0.4 * (F.col("spread") / max_spread))
-    out = scored.orderBy(F.col("_score").desc(), "sample_id")
+    # ties are compared at 9 digits so the order does not depend on summation order
+    out = scored.orderBy(F.round("_score", 9).desc(), "sample_id")
     if limit is not None:
         out = out.limit(limit)
     return out.select("sample_id", "error_count", F.round("spread", 4).alias("confidence_spread"),

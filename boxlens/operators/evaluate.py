@@ -111,7 +111,9 @@ def pr_curves(preds: DataFrame, gts: DataFrame, iou_threshold: float,
     ap = interpolated_ap(full, classes)
     real = thin(full.filter(F.col("n_gt") > 0), max_points).select(
         "class_name", "rank", "recall", "precision", "confidence")
-    has_real = real.select("class_name").distinct()
+    # curves with >= 1 GT and >= 1 prediction, from two small aggregates (not from ``real``)
+    pc = _with_pooled(matches.select("class_name")).groupBy("class_name").agg(F.count("*").alias("_np"))
+    has_real = pc.join(gt_counts(gts), "class_name").select("class_name")
     degenerate = (classes.join(has_real, "class_name", "left_anti")
                          .select("class_name", F.lit(1).cast("long").alias("rank"), F.lit(0.0).alias("recall"),
                                  F.lit(1.0).alias("precision"), F.lit(1.0).alias("confidence")))
@@ -162,14 +164,21 @@ def map_metrics(preds: DataFrame, gts: DataFrame, max_det: int | None = 100,
     101-point interpolated AP per (threshold, class) over all images, classes without GT
     ignored.  Returns (per class: class_name, ap50, ap75, ap50_95; summary: map50, map75,
     map50_95 as means over classes with GT)."""
-    m = M.greedy_match(preds, gts, COCO_THRESHOLDS, same_class=True, max_det=max_det, cell=cell)
-    m = m.select("t", F.col("p_cat").alias("class_name"), "p_id", "conf",
-                 F.col("g_id").isNotNull().cast("int").alias("is_tp"))
-    ranked = running_counts(m, ["t", "class_name"], [F.col("conf").desc(), F.col("p_id").asc()], "is_tp")
+    # A prediction's rank in its class curve does not depend on the threshold, and the
+    # interpolated precision is always attained at a true-positive row (precision only falls
+    # along false positives).  So: rank every prediction once, then per threshold count the
+    # true positives (the accepted matches) in rank order -- no threshold x prediction table.
+    p = M.cap_detections(preds, max_det)
+    folded = M.greedy_pairs(p, gts, COCO_THRESHOLDS, True, cell)
+    base = p.select(F.col("category_name").alias("class_name"), F.col("id").alias("p_id"), "dataset_id",
+                    F.coalesce("confidence", F.lit(1.0)).alias("conf"), F.lit(0).alias("_z"))
+    ranked = running_counts(base, ["class_name"], [F.col("conf").desc(), F.col("p_id").asc()], "_z")
+    tps = folded.join(ranked.select("dataset_id", "p_id", "class_name", F.col("rank").alias("prank")), ["dataset_id", "p_id"])
+    tps = running_counts(tps.withColumn("_o", F.lit(1)), ["t", "class_name"], [F.col("prank").asc()], "_o")
     ng = gts.groupBy(F.col("category_name").alias("class_name")).agg(F.count("*").alias("n_gt"))
-    pts = (ranked.join(F.broadcast(ng), "class_name")
-                 .select("t", "class_name", "n_gt", (F.col("cum") / F.col("n_gt")).alias("recall"),
-                         (F.col("cum") / F.col("rank")).alias("precision")))
+    pts = (tps.join(F.broadcast(ng), "class_name")
+              .select("t", "class_name", "n_gt", (F.col("cum") / F.col("n_gt")).alias("recall"),
+                      (F.col("cum") / F.col("prank")).alias("precision")))
     tarr = F.array(*[F.lit(t) for t in COCO_THRESHOLDS])
     keys = ng.select("class_name").withColumn("t", F.explode(tarr))
     ap = interpolated_ap(pts, keys, ["t", "class_name"])

@@ -157,35 +157,42 @@ def argmax_match(preds: DataFrame, gts: DataFrame, iou_threshold: float, same_cl
 # ---------------------------------------------------------------------------------------
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
-                         max_rounds: int = 64) -> DataFrame:
+                         max_rounds: int = 64, pin_every: int = 4) -> DataFrame:
     """Connected components of an undirected graph given as an edge DataFrame.
 
-    Min-label propagation with pointer jumping (each round every node takes the smallest
-    label among itself and its neighbours, then the label of its label); lineage is cut with
-    ``checkpoint()`` into the session's shared checkpoint folder every round.  The loop ends
-    when no label changes (checked with a distributed count, nothing is collected).
+    Min-label propagation with pointer jumping: each round every node takes the smallest
+    label among itself and its neighbours, then the label of its label.  Each round's labels
+    are persisted by the same job that checks convergence (a distributed count of changed
+    labels; nothing is collected), and every ``pin_every`` rounds they are written to the
+    shared checkpoint folder, which cuts the lineage and survives executor loss.
 
     Returns (node, component) where component is the smallest node id of the component.
     """
+    from pyspark import StorageLevel
+
     from boxlens.session import pin
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter(F.col("a") != F.col("b"))
-    und = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    und = pin(und)
+    und = pin(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = pin(und.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("lab"))
                     .select(F.col("a").alias("node"), "lab"))
-    for _ in range(max_rounds):
-        # neighbour minimum
+    cached = None
+    for r in range(max_rounds):
         nb = (und.join(labels.select(F.col("node").alias("b"), F.col("lab").alias("nlab")), "b")
                  .groupBy("a").agg(F.min("nlab").alias("m")))
         step = (labels.join(nb, labels.node == nb.a, "left")
                       .select("node", F.least("lab", F.coalesce("m", "lab")).alias("lab")))
-        # pointer jumping: adopt the label of the label
         jump = (step.alias("s").join(step.select(F.col("node").alias("n2"), F.col("lab").alias("l2")),
                                      F.col("s.lab") == F.col("n2"), "left")
                     .select("node", F.least("lab", F.coalesce("l2", "lab")).alias("lab")))
-        jump = pin(jump)
-        changed = jump.join(labels.withColumnRenamed("lab", "old"), "node").filter(F.col("lab") != F.col("old")).limit(1).count()
-        labels = jump
+        if (r + 1) % pin_every == 0:
+            new, new_cached = pin(jump), None
+        else:
+            new = new_cached = jump.persist(StorageLevel.MEMORY_AND_DISK)
+        changed = (new.join(labels.withColumnRenamed("lab", "old"), "node")
+                      .filter(F.col("lab") != F.col("old")).limit(1).count())
+        if cached is not None:
+            cached.unpersist()
+        labels, cached = new, new_cached
         if changed == 0:
             break
     return labels.withColumnRenamed("lab", "component")
@@ -239,20 +246,17 @@ def greedy_fold_expr(cands: Column, thr: Column, strict: bool = False) -> Column
     return F.aggregate(cands, acc0, step)
 
 
-def greedy_match(preds: DataFrame, gts: DataFrame, thresholds: list[float], same_class: bool = True,
-                 max_det: int | None = None, cell: float = DEFAULT_CELL,
-                 hot_limit: int = HOT_GROUP_PAIRS) -> DataFrame:
-    """Predictions (confidence desc, id asc) each take the best *still unclaimed*
-    same-class GT (IoU desc, GT id asc) with IoU >= t, for every threshold in ``thresholds``.
+def cap_detections(preds: DataFrame, max_det: int | None) -> DataFrame:
+    """Top-``max_det`` predictions per image and class (confidence desc, id): COCO's cap."""
+    if max_det is None:
+        return preds
+    w = Window.partitionBy("dataset_id", "sample_id", "category_name").orderBy(effective_confidence().desc(), "id")
+    return preds.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_det).drop("_r")
 
-    Returns one row per (threshold, prediction): t, dataset_id, sample_id, p_id, p_cat, conf,
-    g_id / g_cat / iou (null if unmatched).  ``max_det`` keeps only the top-N predictions per
-    image and class (COCO's detection cap) before matching.
-    """
-    p = preds
-    if max_det is not None:
-        w = Window.partitionBy("dataset_id", "sample_id", "category_name").orderBy(effective_confidence().desc(), "id")
-        p = p.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_det).drop("_r")
+
+def greedy_pairs(p: DataFrame, gts: DataFrame, thresholds: list[float], same_class: bool = True,
+                 cell: float = DEFAULT_CELL, hot_limit: int = HOT_GROUP_PAIRS) -> DataFrame:
+    """The accepted matches of E12 only: (t, dataset_id, p_id, g_id, g_cat, iou)."""
     tmin = float(min(thresholds))
     pairs = candidate_pairs(p, gts, same_class, cell).filter(F.col("iou") >= tmin)
     grouped = fold_groups(pairs, ["dataset_id", "sample_id", "p_cat"], hot_limit)
@@ -265,10 +269,25 @@ def greedy_match(preds: DataFrame, gts: DataFrame, thresholds: list[float], same
                       .agg(F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("nconf"), "p_id", "c"))).alias("ps")))
     # thresholds fan out with a generator over a literal array (no join)
     tarr = F.array(*[F.lit(float(t)) for t in thresholds])
-    folded = (groups.withColumn("t", F.explode(tarr))
-                    .select("t", "dataset_id", F.explode(greedy_fold_expr(F.col("ps"), F.col("t"))).alias("m"))
-                    .select("t", "dataset_id", F.col("m.p_id").alias("p_id"), F.col("m.g_id").alias("g_id"),
-                            F.col("m.g_cat").alias("g_cat"), F.col("m.iou").alias("iou")))
+    return (groups.withColumn("t", F.explode(tarr))
+                  .select("t", "dataset_id", F.explode(greedy_fold_expr(F.col("ps"), F.col("t"))).alias("m"))
+                  .select("t", "dataset_id", F.col("m.p_id").alias("p_id"), F.col("m.g_id").alias("g_id"),
+                          F.col("m.g_cat").alias("g_cat"), F.col("m.iou").alias("iou")))
+
+
+def greedy_match(preds: DataFrame, gts: DataFrame, thresholds: list[float], same_class: bool = True,
+                 max_det: int | None = None, cell: float = DEFAULT_CELL,
+                 hot_limit: int = HOT_GROUP_PAIRS) -> DataFrame:
+    """Predictions (confidence desc, id asc) each take the best *still unclaimed*
+    same-class GT (IoU desc, GT id asc) with IoU >= t, for every threshold in ``thresholds``.
+
+    Returns one row per (threshold, prediction): t, dataset_id, sample_id, p_id, p_cat, conf,
+    g_id / g_cat / iou (null if unmatched).  ``max_det`` keeps only the top-N predictions per
+    image and class (COCO's detection cap) before matching.
+    """
+    p = cap_detections(preds, max_det)
+    folded = greedy_pairs(p, gts, thresholds, same_class, cell, hot_limit)
+    tarr = F.array(*[F.lit(float(t)) for t in thresholds])
     allp = p.select("dataset_id", "sample_id", F.col("id").alias("p_id"), F.col("category_name").alias("p_cat"),
                     effective_confidence().alias("conf")).withColumn("t", F.explode(tarr))
     return allp.join(folded, ["t", "dataset_id", "p_id"], "left")

@@ -100,7 +100,8 @@ def near_duplicate_pairs(emb: DataFrame, dataset_id: str, threshold: float = DEF
     group, and every representative pair with cosine >= threshold (exact check)."""
     if not 0.80 <= threshold <= 0.99:
         raise ValueError("threshold must be in [0.80, 0.99]")
-    cg = copy_groups(emb, dataset_id)
+    from boxlens.session import pin
+    cg = pin(copy_groups(emb, dataset_id))   # read by the pivots, the links and the grid
     ru = cg.filter(F.col("sample_id") == F.col("rep")).select("rep", F.col("u").alias("ur"))
     links = (cg.filter(F.col("sample_id") != F.col("rep")).join(ru, "rep")
                .select(F.least("sample_id", "rep").alias("a"), F.greatest("sample_id", "rep").alias("b"),
