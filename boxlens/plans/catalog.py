@@ -1073,3 +1073,39 @@ def v7(spark, sf_dir):
 def v8(spark, sf_dir):
     s = _d(spark, sf_dir).samples.select("dataset_id", "id", "file_name")
     return V.tag_images(s, stand_in_model).select("id", F.array_join("new_tags", "|").alias("new_tags"))
+
+
+# ---------------------------------------------------------------------------------------
+# E1 / J8 pair join, E2 class list, T6 per-class order, V5 reduction
+# ---------------------------------------------------------------------------------------
+
+@query("E1_iou_pairs", W(*argmax_ctes("run_b", 0.5, None)) + """
+SELECT sample_id, p_id, g_id, ROUND(iou, 9) iou FROM pairs WHERE iou > 0""")
+def e1(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    p = MT.predictions(d.annotations, DATASET, "run_b")
+    g = MT.ground_truth(d.annotations, DATASET)
+    return MT.candidate_pairs(p, g).select("sample_id", "p_id", "g_id", r9("iou"))
+
+
+@query("E2_class_names", W() + """
+SELECT DISTINCT category_name class_name FROM annotations WHERE dataset_id = 'ds1' AND source IN ('ground_truth', 'run_b')""")
+def e2(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return EV.class_names(MT.predictions(d.annotations, DATASET, "run_b"), MT.ground_truth(d.annotations, DATASET))
+
+
+@query("T6_per_class_order", W(*(_PR_CTES + _map_ctes_renamed())) + """
+SELECT c.class_name, ROW_NUMBER() OVER (ORDER BY ROUND(COALESCE(mpc.ap50, 0), 9) DESC, c.class_name) pos
+FROM cls c LEFT JOIN mpc ON mpc.class_name = c.class_name WHERE c.class_name <> 'all'""")
+def t6(spark, sf_dir):
+    from pyspark.sql import Window
+    pcm = e13(spark, sf_dir)
+    # one row per class: a small table, ordered for display
+    return pcm.select("class_name", F.row_number().over(Window.orderBy(F.col("ap50").desc(), "class_name")).alias("pos"))
+
+
+@query("V5_reduce_2d")
+def v5(spark, sf_dir):
+    """PCA(k=2) of the unit vectors; not the reference's projection, so rows-only."""
+    return V.reduce_2d(_d(spark, sf_dir).embeddings, DATASET).select("sample_id", "x", "y")
