@@ -34,8 +34,11 @@ def con():
     return c
 
 
+ROWS_ONLY = {"V5_reduce_2d"}   # PCA is not the reference's projection; checked in test_vectors
+
+
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
 
 
 def test_entry_runs(spark):
