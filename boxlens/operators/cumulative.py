@@ -17,8 +17,8 @@ from boxlens.session import pin
 
 def running_counts(df: DataFrame, keys: list[str], order: list[Column], flag: str,
                    num_partitions: int | None = None) -> DataFrame:
-    """Add ``rank`` (1-based position within the key in ``order``) and ``cum`` (running sum
-    of the 0/1 column ``flag`` up to and including the row)."""
+    """Add ``rank`` (1-based position within the key in ``order``), ``cum`` (running sum of
+    the 0/1 column ``flag`` up to and including the row) and ``total`` (rows of the key)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = pin(df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
@@ -29,7 +29,8 @@ def running_counts(df: DataFrame, keys: list[str], order: list[Column], flag: st
     tot = r.groupBy("_pid", *keys).agg(F.count("*").alias("_c"), F.sum(flag).alias("_t"))
     ow = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("_pid", *keys, F.coalesce(F.sum("_c").over(ow), F.lit(0)).alias("_oc"),
-                     F.coalesce(F.sum("_t").over(ow), F.lit(0)).alias("_ot"))
+                     F.coalesce(F.sum("_t").over(ow), F.lit(0)).alias("_ot"),
+                     F.sum("_c").over(Window.partitionBy(*keys)).cast("long").alias("total"))
     # ``off`` has one row per non-empty (partition, key): bounded by #partitions + #keys
     return (loc.join(F.broadcast(off), ["_pid", *keys])
                .withColumn("rank", (F.col("_lr") + F.col("_oc")).cast("long"))

@@ -47,7 +47,7 @@ def pr_points(matches: DataFrame, gts: DataFrame) -> DataFrame:
     m = _with_pooled(matches)
     ranked = running_counts(m, ["class_name"], [F.col("conf").desc(), F.col("p_id").asc()], "is_tp")
     return (ranked.join(F.broadcast(gt_counts(gts)), "class_name", "left")
-                  .select("class_name", "rank", "p_id", F.col("conf").alias("confidence"), "is_tp",
+                  .select("class_name", "rank", "total", "p_id", F.col("conf").alias("confidence"), "is_tp",
                           F.coalesce("n_gt", F.lit(0)).alias("n_gt"), F.col("cum").alias("tp_cum"),
                           (F.col("cum") / F.col("n_gt")).alias("recall"),
                           (F.col("cum") / F.col("rank")).alias("precision")))
@@ -86,9 +86,8 @@ def thin(points: DataFrame, max_points: int = MAX_POINTS) -> DataFrame:
     """Keep positions floor(i*(n-1)/(max_points-1)) for i < max_points-1 plus the last
     (numpy ``linspace(..., dtype=int)``) when n > max_points; every point otherwise.  A
     column predicate per row: no join with the index set."""
-    n = F.col("n")
-    counts = points.groupBy("class_name").agg(F.max("rank").alias("n"))
-    p = points.join(F.broadcast(counts), "class_name")
+    n = F.col("total")          # points per curve, carried by the running count
+    p = points
     k = F.col("rank") - 1
     s = (n - 1) / F.lit(float(max_points - 1))
     i1 = F.ceil(k / s)
@@ -96,7 +95,7 @@ def thin(points: DataFrame, max_points: int = MAX_POINTS) -> DataFrame:
     def hit(i: Column) -> Column:
         return (i >= 0) & (i <= max_points - 2) & (F.floor(i * s) == k)
     keep = (n <= max_points) | (k == n - 1) | hit(i1 - 1) | hit(i1) | hit(i1 + 1)
-    return p.filter(keep).drop("n")
+    return p.filter(keep)
 
 
 def pr_curves(preds: DataFrame, gts: DataFrame, iou_threshold: float,

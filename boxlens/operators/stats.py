@@ -6,7 +6,7 @@ prediction counts come from a single scan with map-side partial aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxlens.operators.matching import GT_SOURCE, restrict_split
@@ -88,8 +88,3 @@ def error_shares(summary: DataFrame) -> DataFrame:
                  F.when(total > 0, F.col(c) * 100.0 / total).otherwise(0.0).alias("percent"))
         for c in cols])).alias("r"))
     return stacked.select("r.*")
-
-
-def top_tags_window(df: DataFrame, part: str, order_col: str, n: int) -> DataFrame:
-    w = Window.partitionBy(part).orderBy(F.col(order_col).desc())
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")

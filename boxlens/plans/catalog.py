@@ -419,9 +419,9 @@ SELECT id, width, split, ROW_NUMBER() OVER (ORDER BY split DESC NULLS LAST, id)
 def t1(spark, sf_dir):
     s = SM.sort_samples(_d(spark, sf_dir).samples.filter(F.col("dataset_id") == DATASET), "split", "desc")
     # materialise the order as a position column so the comparison is order-aware
+    from pyspark.sql import Window
     return s.select("id", "width", "split").withColumn(
-        "pos", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(
-            F.col("split").desc_nulls_last(), "id")))
+        "pos", F.row_number().over(Window.orderBy(F.col("split").desc_nulls_last(), "id")))
 
 
 @query("T2_page", W() + f"""
