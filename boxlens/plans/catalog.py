@@ -271,12 +271,13 @@ def a5(spark, sf_dir):
 
 
 @query("A10_group_annotations", W() + """
-SELECT sample_id, COUNT(*) n, string_agg(id, '|' ORDER BY id) ids
+SELECT sample_id, COUNT(*) n, MIN(id) first_id, MAX(id) last_id, ROUND(SUM(bbox_w * bbox_h), 6) box_area
 FROM annotations WHERE dataset_id='ds1' AND source IN ('ground_truth', 'run_b') GROUP BY sample_id""")
 def a10(spark, sf_dir):
-    g = SM.group_annotations(_d(spark, sf_dir).annotations, DATASET, sources=["ground_truth", "run_b"])
-    return g.select("sample_id", F.size("annotations").cast("long").alias("n"),
-                    F.array_join(F.transform("annotations", lambda a: a["id"]), "|").alias("ids"))
+    g = SM.annotations_by_sample(_d(spark, sf_dir).annotations, DATASET, sources=["ground_truth", "run_b"])
+    return (g.groupBy("sample_id")
+             .agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"),
+                  F.round(F.sum(F.col("bbox_w") * F.col("bbox_h")), 6).alias("box_area")))
 
 
 # ---------------------------------------------------------------------------------------
@@ -419,9 +420,11 @@ SELECT id, width, split, ROW_NUMBER() OVER (ORDER BY split DESC NULLS LAST, id)
 def t1(spark, sf_dir):
     s = SM.sort_samples(_d(spark, sf_dir).samples.filter(F.col("dataset_id") == DATASET), "split", "desc")
     # materialise the order as a position column so the comparison is order-aware
-    from pyspark.sql import Window
-    return s.select("id", "width", "split").withColumn(
-        "pos", F.row_number().over(Window.orderBy(F.col("split").desc_nulls_last(), "id")))
+    # positions of the total order, by the distributed running count (no single-task window)
+    from boxlens.operators.cumulative import running_counts
+    r = running_counts(s.select("id", "width", "split", F.lit(0).alias("_z")), [],
+                       [F.col("split").desc_nulls_last(), F.col("id").asc()], "_z")
+    return r.select("id", "width", "split", F.col("rank").alias("pos"))
 
 
 @query("T2_page", W() + f"""
