@@ -71,23 +71,33 @@ class Ingested:
 
 
 def ingest_dataset(spark: SparkSession, annotation_path: str, dataset_id: str, *, image_dir: str = "",
-                   name: str | None = None, split: str | None = None, hooks: Hooks | None = None) -> Ingested:
+                   name: str | None = None, split: str | None = None, hooks: Hooks | None = None,
+                   stream_sections: bool = False) -> Ingested:
     """M1: one COCO document -> dataset row, samples, annotations, categories.
 
-    The document is parsed once and cached while the three tables are derived from it.
-    The dataset name defaults to the file stem; counts are image / GT / category counts of
-    the file (D10).  Nothing is written here: ``write_ingested`` appends the partitions."""
+    Small documents are parsed whole by the multiLine reader; with ``stream_sections=True``
+    (multi-GB documents) each section is streamed by its own task with bounded memory
+    (``coco.read_coco_streaming``).  The dataset name defaults to the file stem; counts are
+    image / GT / category counts of the file (D10).  Nothing is written here:
+    ``write_ingested`` appends the partitions."""
     hooks = hooks or Hooks()
     name = name or os.path.splitext(os.path.basename(annotation_path))[0]
     results = hooks.fire("on_start", dataset_id=dataset_id, name=name)
-    doc = coco.read_coco(spark, annotation_path).cache()
-    cats = coco.read_coco_categories(doc, dataset_id)
-    samples = coco.read_coco_samples(doc, dataset_id, split, image_dir)
+    if stream_sections:
+        parts = coco.read_coco_streaming(spark, [annotation_path])
+        src = {k: parts[k] for k in ("categories", "images", "annotations")}
+    else:
+        doc = coco.read_coco(spark, annotation_path)
+        src = {k: doc for k in ("categories", "images", "annotations")}
+    cats = coco.read_coco_categories(src["categories"], dataset_id)
+    samples = coco.read_coco_samples(src["images"], dataset_id, split, image_dir)
     samples, r2 = hooks.transform_samples(samples)
-    anns = coco.read_coco_annotations(doc, dataset_id, cats, split)
-    counts = doc.select(F.coalesce(F.size("images"), F.lit(0)).alias("image_count"),
-                        F.coalesce(F.size("annotations"), F.lit(0)).alias("annotation_count"),
-                        F.coalesce(F.size("categories"), F.lit(0)).alias("category_count"))
+    anns = coco.read_coco_annotations(src["annotations"], dataset_id, cats, split)
+    # counts of the file as scalar subqueries over the three sections (no join of tables)
+    counts = spark.range(1).select(
+        coco.read_coco_samples(src["images"], dataset_id).select(F.count("*")).scalar().alias("image_count"),
+        anns.select(F.count("*")).scalar().alias("annotation_count"),
+        cats.select(F.count("*")).scalar().alias("category_count"))
     dataset = counts.select(F.lit(dataset_id).alias("id"), F.lit(name).alias("name"), F.lit("coco").alias("format"),
                             F.lit(annotation_path).alias("source_path"), F.lit(image_dir).alias("image_dir"),
                             F.col("image_count").cast("int"), F.col("annotation_count").cast("int"),

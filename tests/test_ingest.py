@@ -38,6 +38,16 @@ def test_ingest_counts_and_hooks(spark, tmp):
     assert spark.read.parquet(f"{tmp}/store/annotations").filter("dataset_id = 'd1'").count() == 17
 
 
+def test_ingest_streamed_sections_same_result(spark, tmp):
+    p = write(f"{tmp}/small.json", small_doc())
+    a = ingest_dataset(spark, p, "d1")
+    b = ingest_dataset(spark, p, "d1", stream_sections=True)
+    for x, y in ((a.samples, b.samples), (a.annotations, b.annotations), (a.categories, b.categories)):
+        assert sorted(x.collect()) == sorted(y.collect())
+    ra, rb = a.dataset.first(), b.dataset.first()
+    assert (ra.image_count, ra.annotation_count, ra.category_count) == (rb.image_count, rb.annotation_count, rb.category_count)
+
+
 def test_ingest_splits_sum_counts(spark, tmp):
     a = write(f"{tmp}/train.json", small_doc())
     b = write(f"{tmp}/val.json", small_doc())
