@@ -28,6 +28,7 @@ def error_labels(ann: DataFrame, dataset_id: str, source: str, iou_threshold: fl
     Columns: dataset_id, sample_id, annotation_id, error_type, category_name, confidence,
     matched_id, iou.
     """
+    M.check_thresholds(iou_threshold, conf_threshold)
     preds = M.predictions(ann, dataset_id, source, None if compat else conf_threshold, samples, split)
     if compat:
         preds = (preds.filter(F.coalesce("bbox_h", F.lit(1.0)) >= conf_threshold)
@@ -101,6 +102,7 @@ def annotation_triage(ann: DataFrame, dataset_id: str, source: str, iou_threshol
     the claimant and its IoU, else ``fn``.  Manual overrides win: label = coalesce(override,
     auto_label), is_override.
     """
+    M.check_thresholds(iou_threshold, conf_threshold)
     preds = M.predictions(ann, dataset_id, source, conf_threshold)
     gts = M.ground_truth(ann, dataset_id)
     m = M.match_outcomes(preds, gts, iou_threshold, cell=cell)
@@ -136,6 +138,8 @@ def worst_images(labels: DataFrame, limit: int | None = 50, cap: int | None = No
     the unrounded score, then sample id; outputs rounded to 4 digits (D23).  ``cap`` mimics the
     reference's 50-per-type input lists (D3); default uncapped.
     """
+    if limit is not None and not 1 <= limit <= 200:
+        raise ValueError("limit must be in [1, 200]")
     errs = labels.filter(F.col("error_type") != "tp")
     if cap is not None:
         errs = error_samples(errs, cap)

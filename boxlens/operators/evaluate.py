@@ -249,6 +249,7 @@ def evaluation_report(ann: DataFrame, dataset_id: str, source: str, iou_threshol
                       conf_threshold: float = 0.25, samples: DataFrame | None = None,
                       split: str | None = None) -> dict[str, DataFrame]:
     """Every evaluation table for one run (lazy DataFrames)."""
+    M.check_thresholds(iou_threshold, conf_threshold)
     preds = M.predictions(ann, dataset_id, source, None, samples, split)
     gts = M.ground_truth(ann, dataset_id, samples, split)
     curve, ap = pr_curves(preds, gts, iou_threshold)

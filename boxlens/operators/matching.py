@@ -32,6 +32,14 @@ _BOX_COLS = ["dataset_id", "sample_id", "id", "category_name", "bbox_x", "bbox_y
              "bbox_h", "confidence"]
 
 
+def check_thresholds(iou_threshold: float | None = None, conf_threshold: float | None = None) -> None:
+    """Request bounds: IoU in [0.1, 1], confidence in [0, 1]."""
+    if iou_threshold is not None and not 0.1 <= iou_threshold <= 1.0:
+        raise ValueError("iou_threshold must be in [0.1, 1]")
+    if conf_threshold is not None and not 0.0 <= conf_threshold <= 1.0:
+        raise ValueError("conf_threshold must be in [0, 1]")
+
+
 def ground_truth(ann: DataFrame, dataset_id: str, samples: DataFrame | None = None,
                  split: str | None = None) -> DataFrame:
     """E2 (GT half): ground-truth boxes of one dataset, optionally restricted to a split."""

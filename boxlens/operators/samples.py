@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The largest literal id list accepted (bigger selections are DataFrames).
+MAX_ID_LIST = 5000
 # Sortable sample columns (anything else sorts by id).
 SORTABLE_COLUMNS = ["id", "file_name", "width", "height", "split"]
 # Triage tag prefix and the obsolete triage tags the grid no longer highlights.
@@ -53,6 +55,8 @@ def filter_samples(samples: DataFrame, dataset_id: str, *, annotations: DataFram
         conds.append(F.col("height") >= min_height)
     ids_df = None
     if isinstance(sample_ids, list):
+        if len(sample_ids) > MAX_ID_LIST:
+            raise ValueError(f"at most {MAX_ID_LIST} sample ids per literal list; pass a DataFrame selection")
         if sample_ids:
             conds.append(F.col("id").isin(sample_ids))
         elif not compat_empty_ids:

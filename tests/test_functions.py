@@ -77,3 +77,17 @@ def test_read_tables_roundtrip(spark, tmp):
     t = read_tables(spark, f"{tmp}/store")
     assert {"samples", "annotations", "categories", "datasets"} <= set(t)
     assert t["annotations"].filter("dataset_id = 'd1' AND source = 'ground_truth'").count() == 17
+
+
+def test_parameter_bounds(spark):
+    import pytest
+    ann = _toy(spark)
+    with pytest.raises(ValueError):
+        E.error_labels(ann, "d", "r", 0.05, 0.2)
+    with pytest.raises(ValueError):
+        E.annotation_triage(ann, "d", "r", 0.5, 1.5)
+    with pytest.raises(ValueError):
+        E.worst_images(E.error_labels(ann, "d", "r"), limit=500)
+    from boxlens.operators import samples as SM
+    with pytest.raises(ValueError):
+        SM.filter_samples(ann, "d", sample_ids=[str(i) for i in range(5001)])
