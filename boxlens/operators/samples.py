@@ -29,6 +29,16 @@ def like_pattern(search: str) -> str:
     return "%" + search.strip().replace("\\", "\\\\") + "%"
 
 
+def split_list(c: Column) -> Column:
+    """Comma-separated text -> list of trimmed, non-empty items (tags / id parameters)."""
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def list_datasets(datasets: DataFrame) -> DataFrame:
+    """Datasets newest first (id breaks ties)."""
+    return datasets.orderBy(F.col("created_at").desc_nulls_last(), "id")
+
+
 def filter_samples(samples: DataFrame, dataset_id: str, *, annotations: DataFrame | None = None,
                    split: str | None = None, category: str | None = None, search: str | None = None,
                    tags: list[str] | None = None, sample_ids: DataFrame | list[str] | None = None,

@@ -91,3 +91,12 @@ def test_parameter_bounds(spark):
     from boxlens.operators import samples as SM
     with pytest.raises(ValueError):
         SM.filter_samples(ann, "d", sample_ids=[str(i) for i in range(5001)])
+
+
+def test_split_list_and_dataset_order(spark):
+    from boxlens.operators import samples as SM
+    df = spark.createDataFrame([(" a, b ,,c ",), (None,)], "s string")
+    assert [r.l for r in df.select(SM.split_list(F.col("s")).alias("l")).collect()] == [["a", "b", "c"], None]
+    ds = spark.createDataFrame([("x", "2024-01-01 00:00:00"), ("y", "2024-02-01 00:00:00")], "id string, created_at string")
+    ds = ds.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    assert [r.id for r in SM.list_datasets(ds).collect()] == ["y", "x"]
