@@ -675,7 +675,7 @@ def m16(spark, sf_dir):
     v = MU.save_view(d.views, pv)
     v = MU.delete_view(v, spark.createDataFrame([("v1",)], "id string"))
     lst = MU.list_views(v, DATASET)
-    return lst.select("id", "name", F.row_number().over(Window.orderBy(F.col("created_at").desc(), "id")).alias("pos"))
+    return lst.select("id", "name", F.row_number().over(Window.orderBy(F.col("created_at").desc(), "id")).cast("long").alias("pos"))
 
 
 @query("M17_replace_embeddings", W() + """
@@ -751,7 +751,7 @@ def e4(spark, sf_dir):
 
 
 @query("W3_cumulative_pr", W(*_PR_CTES) + """
-SELECT class_name, rank, p_id, tp_cum, ROUND(recall, 9) recall, ROUND(precision, 9) AS precision FROM prc""")
+SELECT class_name, rank, p_id, CAST(tp_cum AS BIGINT) tp_cum, ROUND(recall, 9) recall, ROUND(precision, 9) AS precision FROM prc""")
 def w3(spark, sf_dir):
     p, g = _pg(spark, sf_dir)
     pts = EV.pr_points(EV.pr_matches(p, g, 0.5), g)
@@ -1005,7 +1005,7 @@ und AS (SELECT a x, b y FROM edges UNION SELECT b, a FROM edges),
 reach(node, other) AS (SELECT x, x FROM und UNION SELECT r.node, u.y FROM reach r JOIN und u ON u.x = r.other),
 comp AS (SELECT node, MIN(other) component FROM reach GROUP BY node),
 grp AS (SELECT component, COUNT(*) size FROM comp GROUP BY component HAVING COUNT(*) >= 2)
-SELECT COUNT(*) total_groups, COALESCE(SUM(size), 0) total_duplicates FROM grp""")
+SELECT COUNT(*) total_groups, CAST(COALESCE(SUM(size), 0) AS BIGINT) total_duplicates FROM grp""")
 def v3t(spark, sf_dir):
     return V.duplicate_totals(V.near_duplicate_groups(_d(spark, sf_dir).embeddings, DATASET, 0.95))
 
@@ -1105,7 +1105,7 @@ def t6(spark, sf_dir):
     from pyspark.sql import Window
     pcm = e13(spark, sf_dir)
     # one row per class: a small table, ordered for display
-    return pcm.select("class_name", F.row_number().over(Window.orderBy(F.col("ap50").desc(), "class_name")).alias("pos"))
+    return pcm.select("class_name", F.row_number().over(Window.orderBy(F.col("ap50").desc(), "class_name")).cast("long").alias("pos"))
 
 
 @query("V5_reduce_2d")

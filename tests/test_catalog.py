@@ -53,3 +53,21 @@ def test_query_matches_oracle(spark, con, name):
     drows, dnames = cur.fetchall(), [d[0] for d in cur.description]
     assert sorted(snames) == sorted(dnames)
     assert _rows(snames, srows) == _rows(dnames, drows)
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "timestamp": "TIMESTAMP"}
+
+
+def test_schemas_match_oracle_types(spark, con):
+    """Column names and types of every registered query equal those of its oracle."""
+    for t in ["customer", "supplier", "part", "region", "nation", "events", "pages", "benchmark", "labels", "conversations"]:
+        con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    bad = []
+    for name, sql in entry.oracle_sql().items():
+        st = dict(entry.queries()[name](spark, SF).dtypes)
+        rel = con.sql(sql)
+        dt = dict(zip(rel.columns, [str(x) for x in rel.types]))
+        if set(st) != set(dt) or any(SPARK_TO_DUCK.get(st[c], st[c]) != dt[c] for c in st):
+            bad.append((name, st, dt))
+    assert not bad, bad[:3]
