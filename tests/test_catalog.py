@@ -59,12 +59,19 @@ SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "stri
                  "timestamp": "TIMESTAMP"}
 
 
+QUICK_SCHEMA = ("A", "F", "M", "T2", "V1", "V6", "V7", "E9", "E10", "E1_", "E2_")
+
+
 def test_schemas_match_oracle_types(spark, con):
-    """Column names and types of every registered query equal those of its oracle."""
+    """Column names and types of the registered queries equal those of their oracles
+    (a quick subset by default; every query with BOXLENS_FULL=1)."""
     for t in ["customer", "supplier", "part", "region", "nation", "events", "pages", "benchmark", "labels", "conversations"]:
         con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     bad = []
+    full = bool(os.environ.get("BOXLENS_FULL"))
     for name, sql in entry.oracle_sql().items():
+        if not full and not name.startswith(QUICK_SCHEMA):
+            continue
         st = dict(entry.queries()[name](spark, SF).dtypes)
         rel = con.sql(sql)
         dt = dict(zip(rel.columns, [str(x) for x in rel.types]))
