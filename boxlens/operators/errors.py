@@ -86,10 +86,13 @@ def error_samples(labels: DataFrame, cap: int | None = None) -> DataFrame:
 
 def first_error_per_sample(labels: DataFrame) -> DataFrame:
     """One row per (error type, sample): the first in the error list order."""
-    w = Window.partitionBy("error_type", "sample_id").orderBy(
-        F.coalesce("confidence", F.lit(1.0)).desc(), "annotation_id")
-    return (labels.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
-                  .select("error_type", "sample_id", "category_name", "confidence", "annotation_id"))
+    # an aggregate (min over the order key), so a sample with a third of all boxes is
+    # combined map-side instead of sorted in one task
+    key = F.struct((-F.coalesce("confidence", F.lit(1.0))).alias("k"), F.col("annotation_id").alias("a"),
+                   "category_name", "confidence")
+    return (labels.groupBy("error_type", "sample_id").agg(F.min(key).alias("m"))
+                  .select("error_type", "sample_id", "m.category_name", "m.confidence",
+                          F.col("m.a").alias("annotation_id")))
 
 
 def annotation_triage(ann: DataFrame, dataset_id: str, source: str, iou_threshold: float = 0.45,
@@ -124,9 +127,13 @@ def annotation_triage(ann: DataFrame, dataset_id: str, source: str, iou_threshol
 
 
 def latest_overrides(overrides: DataFrame) -> DataFrame:
-    """Last write wins per (annotation_id, dataset_id), by created_at (M12 semantics)."""
-    w = Window.partitionBy("annotation_id", "dataset_id").orderBy(F.col("created_at").desc(), F.col("label").desc())
-    return overrides.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+    """Last write wins per (annotation_id, dataset_id), by created_at (M12 semantics); an
+    aggregate (max over (created_at, label)), combined map-side, not a window."""
+    cols = [c for c in overrides.columns if c not in ("annotation_id", "dataset_id")]
+    latest = (overrides.groupBy("annotation_id", "dataset_id")
+                       .agg(F.max(F.struct("created_at", "label", *[c for c in cols if c not in ("created_at", "label")]))
+                            .alias("m")))
+    return latest.select("annotation_id", "dataset_id", *[F.col(f"m.{c}").alias(c) for c in cols])
 
 
 def worst_images(labels: DataFrame, limit: int | None = 50, cap: int | None = None) -> DataFrame:

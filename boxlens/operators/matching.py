@@ -106,10 +106,9 @@ def match_outcomes(preds: DataFrame, gts: DataFrame, iou_threshold: float, same_
 
     W1: each prediction's best GT (IoU desc, GT id asc) -- a grouped aggregate over the pair
     table with every prediction added once as a no-partner row (so predictions without any
-    overlap survive without an outer join).  W2: one window partitioned by GT over the best
-    pairs *and* the GT rows themselves: among predictions whose best GT it is with IoU >= t
-    the first by (confidence desc, prediction id) claims it, and the GT row reads its claimant
-    from the same partition.
+    overlap survive without an outer join).  W2: among predictions whose best GT it is with
+    IoU >= t the first by (confidence desc, prediction id) claims it -- a grouped aggregate
+    per GT, joined back to the prediction (by its id) and to the GT row.
 
     Columns: dataset_id, sample_id, kind ('pred' | 'gt'), id, cat, conf (effective),
     confidence (stored), g_id / g_cat / iou (pred: its best GT), claimed (pred: claims its
@@ -130,24 +129,29 @@ def match_outcomes(preds: DataFrame, gts: DataFrame, iou_threshold: float, same_
                  .join(best, ["dataset_id", "sample_id", "p_id"])
                  .select("dataset_id", "sample_id", F.lit("pred").alias("kind"), F.col("p_id").alias("id"), "cat",
                          "conf", "confidence", "g_id", "g_cat", "iou", F.col("g_id").alias("key")))
-    grow = gts.select("dataset_id", "sample_id", F.lit("gt").alias("kind"), "id", F.col("category_name").alias("cat"),
-                      F.lit(None).cast("double").alias("conf"), F.lit(None).cast("double").alias("confidence"),
-                      F.lit(None).cast("string").alias("g_id"), F.lit(None).cast("string").alias("g_cat"),
-                      F.lit(None).cast("double").alias("iou"), F.col("id").alias("key"))
-    rows = prow.unionByName(grow)
-    elig = (F.col("kind") == "pred") & F.coalesce(F.col("iou") >= F.lit(float(iou_threshold)), F.lit(False))
-    rows = rows.withColumn("_e", elig)
-    w = Window.partitionBy("dataset_id", "sample_id", "key").orderBy(
-        F.col("_e").desc(), F.col("conf").desc_nulls_last(), F.col("id"))
-    first = F.first(F.struct("_e", "id", "cat", "iou")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    out = rows.withColumn("_f", first)
-    is_pred = F.col("kind") == "pred"
-    claimed = F.when(is_pred, F.col("_e") & (F.col("_f.id") == F.col("id"))).otherwise(F.col("_f._e"))
-    gt_side = (~is_pred) & F.col("_f._e")
-    return out.select("dataset_id", "sample_id", "kind", "id", "cat", "conf", "confidence", "g_id", "g_cat", "iou",
-                      claimed.alias("claimed"),
-                      F.when(gt_side, F.col("_f.id")).alias("m_id"), F.when(gt_side, F.col("_f.cat")).alias("m_cat"),
-                      F.when(gt_side, F.col("_f.iou")).alias("m_iou"))
+    # W2 as an aggregate, not a window: the first claimant per GT is the minimum of
+    # (-confidence, prediction id) among predictions whose best GT it is with IoU >= t.
+    # Partial aggregation combines map-side, so one GT chosen by a third of all predictions
+    # is still one small row per task.
+    elig = prow.filter(F.col("iou") >= F.lit(float(iou_threshold)))
+    claims = (elig.groupBy("dataset_id", "sample_id", "g_id")
+                  .agg(F.min(F.struct((-F.col("conf")).alias("nc"), F.col("id").alias("m_id"),
+                                      F.col("cat").alias("m_cat"), F.col("iou").alias("m_iou"))).alias("c"))
+                  .select("dataset_id", "sample_id", "g_id", "c.m_id", "c.m_cat", "c.m_iou"))
+    won = claims.select("dataset_id", "sample_id", F.col("m_id").alias("id"), F.lit(True).alias("claimed"))
+    pred_rows = (prow.drop("key").join(won, ["dataset_id", "sample_id", "id"], "left")
+                     .select("dataset_id", "sample_id", "kind", "id", "cat", "conf", "confidence", "g_id", "g_cat", "iou",
+                             F.coalesce("claimed", F.lit(False)).alias("claimed"),
+                             F.lit(None).cast("string").alias("m_id"), F.lit(None).cast("string").alias("m_cat"),
+                             F.lit(None).cast("double").alias("m_iou")))
+    gt_rows = (gts.select("dataset_id", "sample_id", F.col("id"), F.col("category_name").alias("cat"))
+                  .join(claims.withColumnRenamed("g_id", "id"), ["dataset_id", "sample_id", "id"], "left")
+                  .select("dataset_id", "sample_id", F.lit("gt").alias("kind"), "id", "cat",
+                          F.lit(None).cast("double").alias("conf"), F.lit(None).cast("double").alias("confidence"),
+                          F.lit(None).cast("string").alias("g_id"), F.lit(None).cast("string").alias("g_cat"),
+                          F.lit(None).cast("double").alias("iou"), F.col("m_id").isNotNull().alias("claimed"),
+                          "m_id", "m_cat", "m_iou"))
+    return pred_rows.unionByName(gt_rows)
 
 
 def argmax_match(preds: DataFrame, gts: DataFrame, iou_threshold: float, same_class: bool = False,
