@@ -157,3 +157,36 @@ def require_source(ann: DataFrame, dataset_id: str, source: str | None = None) -
         raise NotFound(f"dataset {dataset_id!r} not found")
     if source is not None and q.filter(F.col("source") == source).limit(1).count() == 0:
         raise NotFound(f"no annotations with source {source!r} in dataset {dataset_id!r}")
+
+
+# ---- M4 end to end -----------------------------------------------------------------------
+
+@dataclass
+class Imported:
+    annotations: DataFrame     # the whole table after the import
+    inserted: DataFrame        # one row: inserted
+    skipped: DataFrame         # per-reason skip counts
+    prediction_count: DataFrame
+
+
+def import_predictions(spark: SparkSession, annotations: DataFrame, categories: DataFrame, samples: DataFrame,
+                       dataset_id: str, path: str, fmt: str = "coco", run_name: str | None = None,
+                       split: str | None = None) -> Imported:
+    """M4 with its sources: read a COCO result array (S4) or a folder of per-image files (S5),
+    replace that run in the dataset (GT and other runs untouched) and report inserted /
+    skipped rows and the new prediction count.  The run name defaults to S6.  Ids are
+    content hashes, so importing the same file twice gives the same rows."""
+    from boxlens.operators import mutate
+    from boxlens.sources import detection
+    require_source(annotations, dataset_id)
+    if fmt == "coco":
+        name = run_name or os.path.splitext(os.path.basename(path.rstrip("/")))[0]
+        rows, bad = coco.read_coco_predictions(spark, path, categories, dataset_id, name, split)
+        skipped = bad.agg(F.count("*").alias("files")).select(F.lit("unmapped_category").alias("reason"), "files")
+    else:
+        name = run_name or detection.derive_run_name(detection.read_detection_files(spark, path)).first().run_name
+        rows, skipped = detection.read_detection_dir(spark, path, samples, dataset_id, name)
+    rows = rows.select(*[c for c in annotations.columns])
+    out = mutate.replace_run(annotations, rows, dataset_id, name)
+    return Imported(out, rows.agg(F.count("*").alias("inserted")), skipped,
+                    mutate.prediction_count(out.filter(F.col("dataset_id") == dataset_id)))

@@ -95,3 +95,19 @@ def test_tag_mutations_and_views(spark):
         raise AssertionError
     except ValueError:
         pass
+
+
+def test_import_predictions_end_to_end(spark, tmp):
+    from boxlens.plans.ingest import import_predictions
+    doc = coco.read_coco(spark, write(f"{tmp}/small.json", small_doc()))
+    cats = coco.read_coco_categories(doc, "d1")
+    gt = coco.read_coco_annotations(doc, "d1", cats).drop("metadata").withColumn("metadata", F.lit(None).cast("string"))
+    samples = coco.read_coco_samples(doc, "d1")
+    path = write(f"{tmp}/model_v1.json", predictions())
+    imp = import_predictions(spark, gt, cats, samples, "d1", path)
+    assert imp.inserted.first().inserted == 8
+    assert imp.skipped.first().files == 1
+    again = import_predictions(spark, imp.annotations, cats, samples, "d1", path)
+    assert again.annotations.filter("source = 'model_v1'").count() == 8
+    assert again.annotations.filter("source = 'ground_truth'").count() == 17
+    assert again.prediction_count.first().prediction_count == 8
