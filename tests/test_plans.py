@@ -42,3 +42,10 @@ def test_pair_join_prunes_partitions_and_columns(spark, stored):
 def test_top_k_per_type_is_limited_before_the_shuffle(spark, stored):
     plan = _plan(C.QUERIES["W6_error_samples_top50"](spark, SF))
     assert "WindowGroupLimit" in plan
+
+
+def test_flagship_has_no_window(spark, stored):
+    """E9 matching is aggregates and equi-joins only: no window can hold a hot GT or image."""
+    plan = _plan(C.QUERIES["E9_error_summary"](spark, SF))
+    assert "Window" not in plan
+    assert "SortMergeJoin" in plan or "BroadcastHashJoin" in plan or "ShuffledHashJoin" in plan
