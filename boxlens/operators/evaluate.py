@@ -110,9 +110,9 @@ def pr_curves(preds: DataFrame, gts: DataFrame, iou_threshold: float,
     ap = interpolated_ap(full, classes)
     real = thin(full.filter(F.col("n_gt") > 0), max_points).select(
         "class_name", "rank", "recall", "precision", "confidence")
-    # curves with >= 1 GT and >= 1 prediction, from two small aggregates (not from ``real``)
-    pc = _with_pooled(matches.select("class_name")).groupBy("class_name").agg(F.count("*").alias("_np"))
-    has_real = pc.join(gt_counts(gts), "class_name").select("class_name")
+    # curves with >= 1 GT and >= 1 prediction: read from the ranked points (pinned data), not
+    # by recomputing the matching
+    has_real = full.filter(F.col("n_gt") > 0).select("class_name").distinct()
     degenerate = (classes.join(has_real, "class_name", "left_anti")
                          .select("class_name", F.lit(1).cast("long").alias("rank"), F.lit(0.0).alias("recall"),
                                  F.lit(1.0).alias("precision"), F.lit(1.0).alias("confidence")))
