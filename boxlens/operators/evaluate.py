@@ -235,11 +235,15 @@ def confusion_cell_samples(preds: DataFrame, gts: DataFrame, actual: str, predic
 
 
 def per_class_metrics(preds: DataFrame, gts: DataFrame, iou_threshold: float, conf_threshold: float,
-                      max_det: int | None = 100, cell: float = M.DEFAULT_CELL) -> DataFrame:
-    """Class x (ap50, ap75, ap50_95, precision, recall at the operating point)."""
-    curve, _ = pr_curves(preds, gts, iou_threshold, cell=cell)
+                      max_det: int | None = 100, cell: float = M.DEFAULT_CELL, curve: DataFrame | None = None,
+                      per_class: DataFrame | None = None) -> DataFrame:
+    """Class x (ap50, ap75, ap50_95, precision, recall at the operating point).  Curves and
+    per-class AP already built (E14) can be passed in instead of being recomputed."""
+    if curve is None:
+        curve, _ = pr_curves(preds, gts, iou_threshold, cell=cell)
     op = operating_points(curve.filter(F.col("class_name") != ALL), conf_threshold)
-    per_class, _ = map_metrics(preds, gts, max_det, cell)
+    if per_class is None:
+        per_class, _ = map_metrics(preds, gts, max_det, cell)
     return (class_names(preds, gts).join(per_class, "class_name", "left").join(op, "class_name", "left")
             .select("class_name", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in
                                     ["ap50", "ap75", "ap50_95", "precision", "recall"]]))
@@ -255,5 +259,5 @@ def evaluation_report(ann: DataFrame, dataset_id: str, source: str, iou_threshol
     curve, ap = pr_curves(preds, gts, iou_threshold)
     per_class, summary = map_metrics(preds, gts)
     return {"pr_curves": curve, "ap": ap, "ap_metrics": summary,
-            "per_class": per_class_metrics(preds, gts, iou_threshold, conf_threshold),
+            "per_class": per_class_metrics(preds, gts, iou_threshold, conf_threshold, curve=curve, per_class=per_class),
             "confusion_matrix": confusion_matrix(preds, gts, iou_threshold, conf_threshold)}
