@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxlens.functions.geometry import effective_confidence, intersection, iou
+from boxlens.operators.components import connected_components
 
 GT_SOURCE = "ground_truth"
 DEFAULT_CELL = 128.0
@@ -168,48 +169,6 @@ def argmax_match(preds: DataFrame, gts: DataFrame, iou_threshold: float, same_cl
 # Greedy best-unclaimed matching, folded per connected component
 # ---------------------------------------------------------------------------------------
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
-                         max_rounds: int = 64, pin_every: int = 4) -> DataFrame:
-    """Connected components of an undirected graph given as an edge DataFrame.
-
-    Min-label propagation with pointer jumping: each round every node takes the smallest
-    label among itself and its neighbours, then the label of its label.  Each round's labels
-    are persisted by the same job that checks convergence (a distributed count of changed
-    labels; nothing is collected), and every ``pin_every`` rounds they are written to the
-    shared checkpoint folder, which cuts the lineage and survives executor loss.
-
-    Returns (node, component) where component is the smallest node id of the component.
-    """
-    from pyspark import StorageLevel
-
-    from boxlens.session import pin
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter(F.col("a") != F.col("b"))
-    und = pin(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = pin(und.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("lab"))
-                    .select(F.col("a").alias("node"), "lab"))
-    cached = None
-    for r in range(max_rounds):
-        nb = (und.join(labels.select(F.col("node").alias("b"), F.col("lab").alias("nlab")), "b")
-                 .groupBy("a").agg(F.min("nlab").alias("m")))
-        step = (labels.join(nb, labels.node == nb.a, "left")
-                      .select("node", F.least("lab", F.coalesce("m", "lab")).alias("lab")))
-        jump = (step.alias("s").join(step.select(F.col("node").alias("n2"), F.col("lab").alias("l2")),
-                                     F.col("s.lab") == F.col("n2"), "left")
-                    .select("node", F.least("lab", F.coalesce("l2", "lab")).alias("lab")))
-        if (r + 1) % pin_every == 0:
-            new, new_cached = pin(jump), None
-        else:
-            new = new_cached = jump.persist(StorageLevel.MEMORY_AND_DISK)
-        changed = (new.join(labels.withColumnRenamed("lab", "old"), "node")
-                      .filter(F.col("lab") != F.col("old")).limit(1).count())
-        if cached is not None:
-            cached.unpersist()
-        labels, cached = new, new_cached
-        if changed == 0:
-            break
-    return labels.withColumnRenamed("lab", "component")
-
-
 HOT_GROUP_PAIRS = 20000
 
 

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxlens.operators.matching import connected_components
+from boxlens.operators.components import connected_components
 
 DEFAULT_THRESHOLD = 0.95
 COPY_DECIMALS = 6

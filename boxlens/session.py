@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import logging
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_PINNED: set[str] = set()
+_LOCAL_DIRS: dict[str, str] = {}   # application id -> scratch folder of a local session without the setting
 
 # Defaults that matter at any scale: AQE re-plans joins and coalesces/splits partitions at
 # runtime (skew join handling included); the UI server stays off.
@@ -44,27 +52,82 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) a fresh scratch folder is created and set.
+    A local session without the setting (tests, trials) gets a fresh scratch folder; off a
+    local master the setting is required, because executors would each write to their own
+    disk otherwise.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not d:
-        d = tempfile.mkdtemp(prefix="boxlens-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[[^\]]*\])?$", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder shared by driver and executors (master {master})")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="boxlens-ckpt-", dir="/tmp")
+        d = _LOCAL_DIRS[app]
     return d
 
 
-def pin(df):
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new, unused path under the shared checkpoint folder; removed by ``release`` or when
+    the driver's Python ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    if not _PINNED:
+        atexit.register(release_all, spark)
+    _PINNED.add(path)
+    return path
+
+
+def pin(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a parquet table under the shared checkpoint folder and return a
     frame reading it back.
 
-    One write job; the rows are then fixed (e.g. partition ids computed before the write
-    are read back unchanged), survive executor loss, and the lineage of iterative jobs is
-    cut.  Columnar files are smaller and faster to write than serialised RDD checkpoints."""
-    import uuid
+    One write job; the rows are then fixed (e.g. row ids computed before the write are read
+    back unchanged), survive executor loss, and the lineage of iterative jobs is cut.
+    ``release`` removes the table as soon as nothing reads it any more; whatever a returned,
+    lazily evaluated result still needs goes when the driver ends."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/pin-{uuid.uuid4().hex}"
+    path = shared_path(spark, "pin")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pin_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    hp.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hp, True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables behind frames returned by ``pin`` (others are ignored)."""
+    for f in frames:
+        path = getattr(f, "_pin_path", None)
+        if path in _PINNED:
+            _PINNED.discard(path)
+            _delete(f.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete every table still pinned: call it when all results have been consumed."""
+    for path in sorted(_PINNED):
+        try:
+            _delete(spark, path)
+        except Exception as e:  # noqa: BLE001 - the session may already be stopped at exit
+            logging.getLogger(__name__).debug("pin %s not removed: %s", path, e)
+            continue
+        _PINNED.discard(path)
+
+
+@contextlib.contextmanager
+def pin_scope(spark: SparkSession):
+    """``with pin_scope(spark): result = query(...); result.write...`` leaves no pinned table
+    of the block behind."""
+    before = set(_PINNED)
+    try:
+        yield
+    finally:
+        for path in sorted(_PINNED - before):
+            _PINNED.discard(path)
+            _delete(spark, path)
