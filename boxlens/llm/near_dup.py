@@ -163,7 +163,8 @@ def near_duplicates(docs: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:
     members = pin(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
                           .join(classes.select("id", "n", "first_doc", "th"), "id"))
     m = members.select("id", "first_doc", F.col("th").alias("mth"))
-    texts = src.join(m, (F.col("th") == F.col("mth")) & F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("id", "text")
+    # members grow with the corpus: one plan at every size, no broadcast while they are few
+    texts = src.join(m.hint("merge"), (F.col("th") == F.col("mth")) & F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("id", "text")
     links = simjoin.verified_links(members.select("id", "cluster", "n"), texts.mapInArrow(_sets, "id long, data binary"),
                                    jaccard_matcher(percent), F.col("n"))
     groups = connected_components(links, "a", "b")
