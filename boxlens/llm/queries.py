@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from boxlens.llm.decontaminate import contamination
+from boxlens.llm.langid import identify
+from boxlens.llm.line_dedup import dedup_lines
+from boxlens.llm.mixing import taken_words
 from boxlens.llm.near_dup import near_duplicates
 
 
@@ -11,12 +15,73 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; held-out accuracy is tested."""
+    return identify(_table(spark, sf_dir, "documents")).drop("th")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("th", "matches", "longest")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mixture takes of every document."""
+    return taken_words(_table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat an earlier similar line."""
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_decontamination": op3_decontamination,
+    "op4_mixing": op4_mixing,
+    "op7_line_dedup": op7_line_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLE: dict[str, str] = {}
+
+# Windows of ten words, joined by their text; whole items of fewer words alike.
+ORACLE["op3_decontamination"] = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+d AS (SELECT doc_id, CASE WHEN w IS NULL THEN [] ELSE w END w FROM dw),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark WHERE text IS NOT NULL),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') k
+        FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+t AS (SELECT doc_id, unnest(w) x, generate_subscripts(w, 1) i FROM d),
+u AS (SELECT doc_id, i, list(x) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) l FROM t),
+occ AS (SELECT doc_id, n, i, array_to_string(l[1:n], ' ') k FROM u, sizes WHERE len(l) >= n),
+hits AS (SELECT doc_id, occ.n, occ.i, item_id FROM occ JOIN win ON occ.n = win.n AND occ.k = win.k),
+cov AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) n_items, string_agg(s, ',' ORDER BY s) ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) s FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(n_hit, 0) AS BIGINT) n_hit, CAST(coalesce(n_items, 0) AS BIGINT) n_items,
+       sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+ORACLE["op10_minhash_near_dedup"] = r"""
+WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x20\x09-\x0D]+') w FROM documents),
+t AS (SELECT doc_id, len(w) m, unnest(w) x, generate_subscripts(w, 1) i FROM dw),
+u AS (SELECT doc_id, m, i, list(x) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) l FROM t),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(l, ' ')) k FROM u WHERE len(l) = 5 OR (m < 5 AND i = 1)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id x, b.doc_id y, count(*) both_n FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * both_n >= 85 * (nx.n + ny.n - both_n)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT x doc_id, min(y) m FROM r GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) n_shingles, least(d.doc_id, coalesce(c.m, d.doc_id)) component_id,
+       d.doc_id = least(d.doc_id, coalesce(c.m, d.doc_id)) kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
