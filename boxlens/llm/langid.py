@@ -305,7 +305,8 @@ def identify(docs: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
     losses = cal.agg(*[F.avg(log_norm(t) + (own - F.col("best")) * t).alias(f"t{i}") for i, t in enumerate(TEMPERATURES)]).first()
     temperature = min(((losses[i], t) for i, t in enumerate(TEMPERATURES) if losses[i] is not None), default=(0, 8.0))[1]
     right = cal.filter(F.col("pred") == F.col("lang"))
-    mean = {r["pred"]: r["m"] for r in right.groupBy("pred").agg((F.sum(F.col("best") * F.col("chars")) / F.sum("chars")).alias("m")).collect()}
+    # the median: a few odd texts, however long, do not move it
+    mean = {r["pred"]: r["m"] for r in right.groupBy("pred").agg(F.percentile_approx("best", 0.5, 10_000).alias("m")).collect()}
 
     def per_lang(values: dict, default: float) -> Column:
         return F.element_at(F.array(*[F.lit(float(values.get(x, default))) for x in langs]), F.array_position(names, F.col("pred")).cast("int"))

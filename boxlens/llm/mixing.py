@@ -131,7 +131,7 @@ def plan(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, wor
     # a shard's quota of a source takes the next places of the source's permutation
     offsets = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     ranges = (shards.withColumn("_lo", F.coalesce(F.sum("quota").over(offsets), F.lit(0)))
-                    .select("source", "shard", F.explode(F.sequence(F.col("_lo") + 1, F.col("_lo") + F.col("quota"))).cast("int").alias("place")))
+                    .select("source", "shard", F.explode(F.sequence(F.col("_lo") + 1, F.col("_lo") + F.col("quota"))).alias("place")))
     units = pin(_join(units, ranges, "place").drop("place"))
     return {"thin": thin, "sources": sources, "units": units, "chosen": chosen, "depth": depth}
 
