@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from boxlens.llm.decontaminate import contamination
 from boxlens.llm.langid import identify
 from boxlens.llm.line_dedup import dedup_lines
 from boxlens.llm.mixing import taken_words
 from boxlens.llm.near_dup import near_duplicates
+from boxlens.llm.quality import quality_scores
+from boxlens.llm.secrets import scan
+from boxlens.llm.topk import top_k
+from boxlens.llm.url_filter import judge
+from boxlens.llm.warc import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +26,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents")).drop("th")
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back by byte ranges."""
+    return round_trip(_table(spark, sf_dir, "pages")).drop("archive", "place")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("th", "matches", "longest")
@@ -30,11 +41,31 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(_table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets and linked credential parts of every document."""
+    return scan(_table(spark, sf_dir, "documents")).drop("n_linked")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; held-out accuracy is tested."""
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeat an earlier similar line."""
     return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return judge(_table(spark, sf_dir, "pages"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best neighbours of every vector whose id is divisible by 20, among all others."""
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
@@ -42,9 +73,14 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_warc_round_trip": op2_warc_round_trip,
     "op3_decontamination": op3_decontamination,
     "op4_mixing": op4_mixing,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_line_dedup": op7_line_dedup,
+    "op8_url_filter": op8_url_filter,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
@@ -85,3 +121,35 @@ c AS (SELECT x doc_id, min(y) m FROM r GROUP BY x)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) n_shingles, least(d.doc_id, coalesce(c.m, d.doc_id)) component_id,
        d.doc_id = least(d.doc_id, coalesce(c.m, d.doc_id)) kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+ORACLE["op2_warc_round_trip"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) n, sha1(coalesce(html, '')) d FROM pages),
+g AS (SELECT d, n, max(page_id) first FROM p WHERE n >= 1000 GROUP BY d, n)
+SELECT p.page_id, CAST(p.n AS BIGINT) payload_bytes, p.d payload_digest,
+       CASE WHEN g.first IS NULL OR g.first = p.page_id THEN 'response' ELSE 'revisit' END record_type,
+       CASE WHEN g.first <> p.page_id THEN g.first END refers_to
+FROM p LEFT JOIN g ON p.d = g.d AND p.n = g.n"""
+
+ORACLE["op8_url_filter"] = r"""
+WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END rest FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+             regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) path FROM a),
+r(rule, h, p, v) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+                     ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+f AS (SELECT page_id, host, path, rule, v, row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule) DESC) k
+      FROM (SELECT DISTINCT page_id, host, path FROM b) b JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT b.page_id, b.host, b.path, f.rule,
+       coalesce(f.v, CASE WHEN regexp_matches(b.host || b.path, '^([^/]*\.)?(ads-track|free-bets|cheap-pills|spam-farm)\.')
+                          OR regexp_matches(b.host || b.path, '(^|[^A-Za-z0-9%])(adserver|doubleclick)([^A-Za-z0-9%]|$)')
+                          OR regexp_matches(b.host || b.path, '/popunder([^A-Za-z0-9%]|$)')
+                          OR regexp_matches(b.host || b.path, '(?s)(^|[^A-Za-z0-9%])casino-.*/bonus([^A-Za-z0-9%]|$)') THEN 'block' ELSE 'allow' END) verdict
+FROM b LEFT JOIN f ON f.k = 1 AND f.page_id IS NOT DISTINCT FROM b.page_id AND f.host = b.host AND f.path = b.path"""
+
+ORACLE["op9_exact_top_k"] = """
+WITH e AS (SELECT DISTINCT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] v FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) score
+      FROM e q, e c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20"""

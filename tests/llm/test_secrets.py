@@ -1,0 +1,80 @@
+"""Operator 5 against Python's re, and the links of weak parts."""
+
+import hashlib
+import re
+
+from boxlens.llm.secrets import scan
+
+PATTERNS = {
+    "assign": re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A),
+    "access": re.compile("AKIA[A-Z0-9]+"),
+    "hex": re.compile("[0-9a-f]+"),
+}
+LEAST = {"assign": 12, "access": 18, "hex": 16}
+
+
+def base(text):
+    out = []
+    for no, (kind, p) in enumerate(PATTERNS.items()):
+        for m in p.finditer(text or ""):
+            if len(m[2] if kind == "assign" else m[0]) >= LEAST[kind]:
+                out.append((m.start(), no, m.end(), kind))
+    return sorted(out)
+
+
+def expect(text):
+    b = base(text)
+    joined = ",".join(f"{k}:{s}:{e}" for s, _, e, k in b)
+    return (*(sum(x[3] == k for x in b) for k in PATTERNS), hashlib.sha256(joined.encode()).hexdigest())
+
+
+def check(rows, docs):
+    assert len(rows) == len(docs)
+    got = sorted(((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in rows), key=repr)
+    assert got == sorted(((d, *expect(t)) for d, t in docs), key=repr)
+    text = dict(docs)
+    for r in rows:
+        spans = [x for x in r["spans"].split(",") if x]
+        have = {f"{k}:{s}:{e}" for s, _, e, k in base(text[r["doc_id"]])}
+        assert have <= set(spans) and r["n_linked"] == len(spans) - len(have)
+
+
+def test_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = scan(docs).collect()
+    check(rows, [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    assert sum(r["n_hex"] for r in rows) > 0
+
+
+def test_matching_rules_and_edge_cases(spark):
+    key = "abcdefghijkl"
+    docs = [
+        (1, None), (2, ""), (3, f"password={key}"), (4, f"PassWd: '{key}' x"), (5, "token=short"), (6, f'api_key" : "{key}=="'),
+        (7, f"password=token: {key}"), (8, f"secret=secret={key}"), (9, f"\U0001F600é password = {key} \U0001F600 APIKEY:{key}"),
+        (10, "AKIA" + "A" * 13), (11, "AKIA" + "A" * 14 + "AKIA" + "B" * 14), (12, "xAKIAKIA" + "Z9" * 10), (13, "0" * 15 + "g" + "f" * 16 + "G" + "0" * 40),
+        (14, f"\u0001password={key}\u0002\u0003 " + "a" * 20), (15, f"pa\u017f\u017fword={key} to\u212aen={key}"), (16, f"secret\n={key}"), (17, "f" * 300_000),
+        (18, f"password={key} " * 3000), (19, "$1 \\2 password=$abcdefghijkl"), (None, f"token={key}")]
+    df = spark.createDataFrame([(d, t, "r", 1) for d, t in docs], "doc_id long, text string, rid string, n_hex int")
+    check(scan(df).collect(), docs)
+    assert scan(df.limit(0)).collect() == []
+    twice = df.filter("doc_id = 3")
+    assert scan(twice.unionAll(twice)).count() == 2
+
+
+def test_weak_parts_need_complements(spark):
+    weak = "Zx9" * 10
+    ak = "AKIA" + "Q1" * 8
+    docs = [
+        (1, f"a {weak} b"),                                         # a token alone
+        (2, f"{ak} then {weak} b"),                                 # with an identifier in scope
+        (3, f"{ak} {'far ' * 100} {weak}"),                         # out of scope
+        (4, f"user=admin1 password=abcdefghijkl"),                  # weak identifier with a secret
+        (5, "user=admin1 and nothing else"),
+        (6, "https://db.example.com/x user=bob1 secret=abcdefghijkl"),   # endpoint with both
+        (7, "https://db.example.com/x secret=abcdefghijkl"),             # endpoint with one
+        (8, f"token={weak}"),                                       # overlaps a strong part
+        (9, f"https://h.example.com/{'p' * 500} user=bob1 secret=abcdefghijkl"),   # a span longer than the scope
+    ]
+    rows = {r["doc_id"]: [x.split(":")[0] for x in r["spans"].split(",") if x] for r in scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows == {1: [], 2: ["access", "token"], 3: ["access"], 4: ["ident", "assign"], 5: [], 6: ["endpoint", "ident", "assign"],
+                    7: ["assign"], 8: ["assign"], 9: ["endpoint", "ident", "assign"]}
