@@ -69,7 +69,7 @@ def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(data bytes, offsets) of a string column; nulls count as empty."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
-    arr = pc.fill_null(arr, "").cast(pa.large_string())
+    arr = pc.fill_null(arr.cast(pa.large_string()), "")
     off = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset:arr.offset + len(arr) + 1]
     buf = arr.buffers()[2]
     data = np.frombuffer(buf, np.uint8) if buf is not None and buf.size else np.zeros(0, np.uint8)
