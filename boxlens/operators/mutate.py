@@ -1,16 +1,18 @@
 """Mutations as pure functions: tables in, new tables out.
 
-Persisting is the caller's choice: ``write_table`` writes a result with dynamic partition
-overwrite on (dataset_id[, source]) so only the touched partitions are replaced.
+Persisting is the caller's choice: ``write_table`` replaces partitions on (dataset_id[, source])
+-- those present in the result and those named, so an emptied partition disappears -- and
+``drop_partitions`` removes partitions outright.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxlens.operators.matching import GT_SOURCE
 from boxlens.operators.samples import TRIAGE_PREFIX, TRIAGE_TAGS
+from boxlens.session import pin, release
 
 # Per-annotation triage labels a user may set, and the sample tag marking
 # that a sample has such overrides.
@@ -19,10 +21,50 @@ ANNOTATED_TAG = "triage:annotated"
 ANNOTATED_PREFIX = "triage:ann"
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    """Dynamic partition overwrite: replaces only the partitions present in ``df``."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy(*partition_by).parquet(path))
+def _partition_dir(spark, path: str, values: dict) -> str:
+    util = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    return "/".join([path.rstrip("/"), *(util.getPartitionPathString(c, None if v is None else str(v)) for c, v in values.items())])
+
+
+def drop_partitions(spark, path: str, partitions: list[dict]) -> None:
+    """Remove partition folders of a stored table; ``partitions`` give the values of the leading
+    partition columns in order, e.g. ``{"dataset_id": "d1"}``.  Missing ones are ignored."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for values in partitions:
+        hp = jvm.org.apache.hadoop.fs.Path(_partition_dir(spark, path, values))
+        hp.getFileSystem(conf).delete(hp, True)
+    spark.catalog.refreshByPath(path)
+
+
+def write_table(df: DataFrame, path: str, partition_by: list[str], replaced: list[dict] | None = None) -> None:
+    """Replace the partitions present in ``df`` and, of the ``replaced`` ones (values of the leading
+    partition columns), those that ``df`` has no rows for.
+
+    ``df`` may read the table itself: its rows are stored before anything is overwritten."""
+    spark = df.sparkSession
+    rows = pin(df)
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*partition_by).parquet(path))
+    empty = [v for v in replaced or []
+             if rows.filter(" AND ".join(f"`{c}` <=> {_sql_text(x)}" for c, x in v.items())).limit(1).count() == 0]
+    release(rows)
+    drop_partitions(spark, path, empty)
+
+
+def _sql_text(value) -> str:
+    return "NULL" if value is None else "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def delete_dataset_stored(spark, root: str, dataset_id: str, tables: list[str]) -> None:
+    """M5 on stored tables: drop the dataset's partitions of every table under ``root``; the
+    ``datasets`` table (not partitioned) is rewritten without the row."""
+    for name in tables:
+        if name != "datasets":
+            drop_partitions(spark, f"{root}/{name}", [{"dataset_id": dataset_id}])
+            continue
+        rest = pin(spark.read.parquet(f"{root}/{name}").filter(F.col("id") != dataset_id))
+        rest.write.mode("overwrite").parquet(f"{root}/{name}")
+        release(rest)
 
 
 def _selected(samples: DataFrame, selection: DataFrame) -> DataFrame:
@@ -82,7 +124,10 @@ def set_triage_override(overrides: DataFrame, samples: DataFrame, new: DataFrame
     if "created_at" not in new.columns:
         new = new.withColumn("created_at", F.current_timestamp())
     new = new.filter(F.col("label").isin(ANNOTATION_TRIAGE_LABELS)).withColumn("is_override", F.lit(True))
-    # new rows replace old ones for the same key (anti-join, then union): no timestamps compared
+    # last write wins inside the batch too: newest created_at, then the larger label
+    last = Window.partitionBy("annotation_id", "dataset_id").orderBy(F.col("created_at").desc_nulls_last(), F.col("label").desc(), F.col("sample_id").desc())
+    new = new.withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r")
+    # new rows replace old ones for the same key, whatever their timestamps
     kept = overrides.join(new.select("annotation_id", "dataset_id"), ["annotation_id", "dataset_id"], "left_anti")
     out = kept.unionByName(new.select(*overrides.columns))
     touched = new.select("dataset_id", F.col("sample_id").alias("id"))
@@ -105,31 +150,59 @@ def remove_triage_override(overrides: DataFrame, samples: DataFrame, removed: Da
     return out, _retag(samples, emptied, F.filter(_tags(), lambda t: ~t.startswith(ANNOTATED_PREFIX)))
 
 
+_EDITED = ["category_name", "bbox_x", "bbox_y", "bbox_w", "bbox_h"]
+
+
+def _last_edits(edits: DataFrame) -> DataFrame:
+    """One row per (dataset_id, id): the outcome of its edits in order.  The last op decides; each
+    field takes its last non-null value since the last delete."""
+    if "seq" not in edits.columns:
+        edits = edits.withColumn("seq", F.monotonically_increasing_id())   # the order of the frame
+    key = ["dataset_id", "id"]
+    since = F.max(F.when(F.col("op") == "delete", F.col("seq"))).over(Window.partitionBy(*key))
+    e = edits.withColumn("_live", F.coalesce(F.col("seq") > since, F.lit(True)))
+    field = lambda c: F.max_by(c, F.when(F.col("_live") & F.col(c).isNotNull(), F.col("seq"))).alias(f"_n_{c}")
+    return e.groupBy(*key).agg(
+        F.max_by("op", "seq").alias("_op"), F.max((F.col("_live") & (F.col("op") == "create")).cast("int")).alias("_new"),
+        F.max((F.col("op") == "delete").cast("int")).alias("_del"), *[field(c) for c in ["sample_id", *_EDITED]])
+
+
 def apply_annotation_edits(ann: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M6: batch edits {op: update|create|delete, id, dataset_id, sample_id, category_name,
-    bbox_x/y/w/h}.  Only ground-truth rows are editable: updates and deletes aimed at
-    prediction rows are returned as rejected.  Updates recompute area = w*h; creates are GT
-    with null confidence.  Returns (annotations, rejected edits)."""
-    upd = edits.filter(F.col("op") == "update").select(
-        "dataset_id", "id", *[F.col(c).alias(f"_n_{c}") for c in ["category_name", "bbox_x", "bbox_y", "bbox_w", "bbox_h"]],
-        F.lit(True).alias("_upd"))
-    dele = edits.filter(F.col("op") == "delete").select("dataset_id", "id", F.lit(True).alias("_del"))
+    bbox_x/y/w/h[, seq]}, applied per id in the order of ``seq`` (the frame's order without it).
+
+    Only ground-truth rows are editable.  Updates recompute area = w*h; creates are GT with null
+    confidence.  Returns (annotations, rejected edits): rejected are updates and deletes aimed
+    at prediction rows or at ids that neither exist nor are created in the batch, and creates of
+    an id that exists and is not deleted in the batch."""
     is_gt = F.col("source") == GT_SOURCE
-    a = ann.join(upd, ["dataset_id", "id"], "left").join(dele, ["dataset_id", "id"], "left")
-    u = F.coalesce(F.col("_upd"), F.lit(False)) & is_gt
-    for c in ["category_name", "bbox_x", "bbox_y", "bbox_w", "bbox_h"]:
+    last = _last_edits(edits)
+    a = ann.join(last, ["dataset_id", "id"], "left")
+    hit = F.col("_op").isNotNull() & is_gt
+    # a row deleted in the batch is gone, even if a later create brings its id back
+    a = a.filter(~(hit & (F.col("_del") == 1)))
+    u = hit
+    for c in _EDITED:
         a = a.withColumn(c, F.when(u, F.coalesce(F.col(f"_n_{c}"), F.col(c))).otherwise(F.col(c)))
     a = a.withColumn("area", F.when(u, F.col("bbox_w") * F.col("bbox_h")).otherwise(F.col("area")))
-    kept = a.filter(~(F.coalesce(F.col("_del"), F.lit(False)) & is_gt)).select(*ann.columns)
-    created = edits.filter(F.col("op") == "create").select(
-        "dataset_id", "id", "sample_id", "category_name", "bbox_x", "bbox_y", "bbox_w", "bbox_h",
-        (F.col("bbox_w") * F.col("bbox_h")).alias("area"), F.lit(False).alias("is_crowd"),
+    kept = a.select(*ann.columns)
+    there = ann.groupBy("dataset_id", "id").agg(F.max((~is_gt).cast("int")).alias("_pred"))
+    state = last.join(there, ["dataset_id", "id"], "left").select(
+        "dataset_id", "id", "_op", "_new", "_del", "_pred", *[f"_n_{c}" for c in ["sample_id", *_EDITED]])
+    free = F.col("_pred").isNull() | ((F.col("_pred") == 0) & (F.col("_del") == 1))
+    created = state.filter((F.col("_new") == 1) & (F.col("_op") != "delete") & free).select(
+        "dataset_id", "id", *[F.col(f"_n_{c}").alias(c) for c in ["sample_id", *_EDITED]],
+        (F.col("_n_bbox_w") * F.col("_n_bbox_h")).alias("area"), F.lit(False).alias("is_crowd"),
         F.lit(GT_SOURCE).alias("source"), F.lit(None).cast("double").alias("confidence"))
     for c in ann.columns:
         if c not in created.columns:
             created = created.withColumn(c, F.lit(None).cast(ann.schema[c].dataType))
-    rejected = (edits.filter(F.col("op").isin("update", "delete"))
-                     .join(ann.filter(~is_gt).select("dataset_id", "id"), ["dataset_id", "id"], "left_semi"))
+    has_create = edits.filter(F.col("op") == "create").select("dataset_id", "id").distinct().withColumn("_c", F.lit(True))
+    flags = state.select("dataset_id", "id", "_pred", "_del").join(has_create, ["dataset_id", "id"], "left")
+    changes = F.col("op").isin("update", "delete")
+    bad = ((changes & (F.col("_pred") == 1)) | (changes & F.col("_pred").isNull() & F.col("_c").isNull())
+           | ((F.col("op") == "create") & F.col("_pred").isNotNull() & ((F.col("_pred") == 1) | (F.col("_del") == 0))))
+    rejected = edits.join(flags, ["dataset_id", "id"]).filter(F.coalesce(bad, F.lit(False))).select(*edits.columns)
     return kept.unionByName(created.select(*ann.columns)), rejected
 
 
@@ -148,11 +221,18 @@ def merge_categories(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def replace_run(ann: DataFrame, new_rows: DataFrame, dataset_id: str, source: str) -> DataFrame:
     """M4: drop this run's rows in the dataset and add the new ones; GT and other runs stay.
-    Written with ``write_table(..., ["dataset_id", "source"])`` only that partition is replaced."""
+    ``store_run`` does the same to a stored table."""
     keep = ann.filter(~((F.col("dataset_id") == dataset_id) & (F.col("source") == source)))
     return keep.unionByName(new_rows.select(*ann.columns))
 
 
+def store_run(new_rows: DataFrame, path: str, dataset_id: str, source: str) -> None:
+    """M4 on a stored table: the run's partition holds exactly ``new_rows`` afterwards; without
+    any, the old run is gone.  Other partitions are not touched."""
+    rows = new_rows.filter((F.col("dataset_id") == dataset_id) & (F.col("source") == source))
+    write_table(rows, path, ["dataset_id", "source"], [{"dataset_id": dataset_id, "source": source}])
+
+
 def prediction_count(ann: DataFrame) -> DataFrame:
     """M4 recount: predictions per dataset (source != ground truth)."""
     return ann.groupBy("dataset_id").agg(F.count_if(F.col("source") != GT_SOURCE).alias("prediction_count"))
@@ -171,7 +251,7 @@ def delete_dataset(tables: dict[str, DataFrame], dataset_id: str) -> dict[str, D
 def backfill_image_dir(samples: DataFrame, datasets: DataFrame) -> DataFrame:
     """Fill null/'' image_dir from the dataset row (datasets is one row per dataset)."""
     d = datasets.select(F.col("id").alias("dataset_id"), F.col("image_dir").alias("_d_dir"))
-    return (samples.join(F.broadcast(d), "dataset_id", "left")
+    return (samples.join(d, "dataset_id", "left")
                    .withColumn("image_dir", F.coalesce(F.nullif(F.col("image_dir"), F.lit("")), F.col("_d_dir")))
                    .drop("_d_dir"))
 

@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxlens.operators.mutate import write_table
+from boxlens.session import pin, release, table_exists
 from boxlens.sources import coco
 
 log = logging.getLogger(__name__)
@@ -83,11 +85,12 @@ def ingest_dataset(spark: SparkSession, annotation_path: str, dataset_id: str, *
     hooks = hooks or Hooks()
     name = name or os.path.splitext(os.path.basename(annotation_path))[0]
     results = hooks.fire("on_start", dataset_id=dataset_id, name=name)
+    # the document is parsed once; every table and count reads the stored sections
     if stream_sections:
         parts = coco.read_coco_streaming(spark, [annotation_path])
-        src = {k: parts[k] for k in ("categories", "images", "annotations")}
+        src = {k: pin(parts[k]) for k in ("categories", "images", "annotations")}
     else:
-        doc = coco.read_coco(spark, annotation_path)
+        doc = pin(coco.read_coco(spark, annotation_path))
         src = {k: doc for k in ("categories", "images", "annotations")}
     cats = coco.read_coco_categories(src["categories"], dataset_id)
     samples = coco.read_coco_samples(src["images"], dataset_id, split, image_dir)
@@ -137,11 +140,19 @@ def ingest_splits(spark: SparkSession, splits: list[tuple[str, str, str]], datas
 
 
 def write_ingested(ing: Ingested, root: str) -> None:
-    """Append the new partitions (samples by dataset_id, annotations by dataset_id/source)."""
-    ing.samples.write.mode("append").partitionBy("dataset_id").parquet(f"{root}/samples")
-    ing.annotations.write.mode("append").partitionBy("dataset_id", "source").parquet(f"{root}/annotations")
-    ing.categories.write.mode("append").partitionBy("dataset_id").parquet(f"{root}/categories")
-    ing.dataset.write.mode("append").parquet(f"{root}/datasets")
+    """Store the dataset: its partitions of samples (dataset_id), annotations (dataset_id, source:
+    the ground truth) and categories are replaced, so writing it again changes nothing; prediction runs
+    stay.  The one row of ``datasets`` replaces an older one of its id."""
+    write_table(ing.samples, f"{root}/samples", ["dataset_id"])
+    write_table(ing.annotations, f"{root}/annotations", ["dataset_id", "source"])
+    write_table(ing.categories, f"{root}/categories", ["dataset_id"])
+    spark, path = ing.dataset.sparkSession, f"{root}/datasets"
+    rows = ing.dataset
+    if table_exists(spark, path):
+        rows = rows.unionByName(spark.read.parquet(path).join(rows.select("id"), "id", "left_anti"))
+    rows = pin(rows)
+    rows.write.mode("overwrite").parquet(path)
+    release(rows)
 
 
 # ---- E17 ---------------------------------------------------------------------------------
@@ -150,10 +161,14 @@ class NotFound(LookupError):
     pass
 
 
-def require_source(ann: DataFrame, dataset_id: str, source: str | None = None) -> None:
-    """Unknown dataset or a source with no rows is an error (existence via ``limit(1)``)."""
+def require_source(ann: DataFrame, dataset_id: str, source: str | None = None, datasets: DataFrame | None = None) -> None:
+    """Unknown dataset or a source with no rows is an error (existence via ``limit(1)``).
+
+    With the ``datasets`` table a dataset is known by its row there, annotations or not; without
+    it, by its annotations."""
     q = ann.filter(F.col("dataset_id") == dataset_id)
-    if q.limit(1).count() == 0:
+    known = q if datasets is None else datasets.filter(F.col("id") == dataset_id)
+    if known.limit(1).count() == 0:
         raise NotFound(f"dataset {dataset_id!r} not found")
     if source is not None and q.filter(F.col("source") == source).limit(1).count() == 0:
         raise NotFound(f"no annotations with source {source!r} in dataset {dataset_id!r}")
@@ -171,14 +186,14 @@ class Imported:
 
 def import_predictions(spark: SparkSession, annotations: DataFrame, categories: DataFrame, samples: DataFrame,
                        dataset_id: str, path: str, fmt: str = "coco", run_name: str | None = None,
-                       split: str | None = None) -> Imported:
+                       split: str | None = None, datasets: DataFrame | None = None) -> Imported:
     """M4 with its sources: read a COCO result array (S4) or a folder of per-image files (S5),
     replace that run in the dataset (GT and other runs untouched) and report inserted /
     skipped rows and the new prediction count.  The run name defaults to S6.  Ids are
     content hashes, so importing the same file twice gives the same rows."""
     from boxlens.operators import mutate
     from boxlens.sources import detection
-    require_source(annotations, dataset_id)
+    require_source(annotations, dataset_id, datasets=datasets)
     if fmt == "coco":
         name = run_name or os.path.splitext(os.path.basename(path.rstrip("/")))[0]
         rows, bad = coco.read_coco_predictions(spark, path, categories, dataset_id, name, split)

@@ -100,6 +100,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     hp.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hp, True)
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """A stored table (or folder) is at ``path``."""
+    hp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hp)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the tables behind frames returned by ``pin`` (others are ignored)."""
     for f in frames:

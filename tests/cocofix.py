@@ -3,15 +3,15 @@
 import json
 import os
 
-CATS = [{"id": 1, "name": "cat", "supercategory": "animal"}, {"id": 2, "name": "dog", "supercategory": "animal"},
-        {"id": 3, "name": "car", "supercategory": "vehicle"}]
+CATS = [{"id": 1, "name": "bolt", "supercategory": "part"}, {"id": 2, "name": "nut", "supercategory": "part"},
+        {"id": 3, "name": "gauge", "supercategory": "tool"}]
 
 
 def small_doc():
     images = [{"id": i, "file_name": f"img_{i:03d}.jpg", "width": 640, "height": 480} for i in range(1, 11)]
     anns = []
     aid = 1
-    # image 1 gets two boxes (and image 3); dog (2) appears on images 2, 5, 7, 10; 17 boxes in total
+    # image 1 gets two boxes (and image 3); nut (2) appears on images 2, 5, 7, 10; 17 boxes in total
     plan = {1: [1, 3], 2: [2], 3: [1, 3], 4: [3], 5: [2, 1], 6: [3, 3], 7: [2], 8: [1, 1], 9: [3, 1], 10: [2, 3]}
     for img, cats in plan.items():
         for c in cats:
@@ -22,11 +22,12 @@ def small_doc():
 
 
 def malformed_doc():
-    return {"images": [{"id": 1, "file_name": "a.jpg", "width": 10, "height": 10},
-                       {"id": 2, "file_name": "b.jpg", "height": 10}],
-            "annotations": [{"id": 1, "image_id": 1, "category_id": 999, "bbox": [1, 2, 3, 4]},
-                            {"id": 2, "image_id": 2, "category_id": 1, "bbox": [1, 2]},
-                            {"id": 3, "image_id": 2, "category_id": 1}]}
+    return {"images": [{"id": 40, "file_name": "north.png", "width": 32, "height": 24},
+                       {"id": 41, "file_name": "south.png", "height": 24}],
+            "annotations": [{"id": 70, "image_id": 40, "category_id": 12, "bbox": [5, 6, 7, 8]},
+                            {"id": 71, "image_id": 41, "category_id": 1, "bbox": [5]},
+                            {"id": 72, "image_id": 41, "category_id": 1, "bbox": []},
+                            {"id": 73, "image_id": 41, "bbox": None}]}
 
 
 def predictions():

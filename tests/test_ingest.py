@@ -35,7 +35,9 @@ def test_ingest_counts_and_hooks(spark, tmp):
     complete(ing, hooks)
     assert calls == [("start", "d1"), ("complete", 10)]
     write_ingested(ing, f"{tmp}/store")
+    write_ingested(ing, f"{tmp}/store")          # again: nothing doubles
     assert spark.read.parquet(f"{tmp}/store/annotations").filter("dataset_id = 'd1'").count() == 17
+    assert spark.read.parquet(f"{tmp}/store/datasets").count() == 1
 
 
 def test_ingest_streamed_sections_same_result(spark, tmp):
@@ -111,3 +113,66 @@ def test_import_predictions_end_to_end(spark, tmp):
     assert again.annotations.filter("source = 'model_v1'").count() == 8
     assert again.annotations.filter("source = 'ground_truth'").count() == 17
     assert again.prediction_count.first().prediction_count == 8
+
+
+def test_require_source_by_dataset_row(spark, tmp):
+    doc = coco.read_coco(spark, write(f"{tmp}/small.json", small_doc()))
+    gt = coco.read_coco_annotations(doc, "d1", coco.read_coco_categories(doc, "d1"))
+    datasets = spark.createDataFrame([("d1",), ("empty",)], "id string")
+    require_source(gt, "empty", datasets=datasets)
+    try:
+        require_source(gt, "gone", datasets=datasets)
+        raise AssertionError("expected NotFound")
+    except NotFound:
+        pass
+
+
+def _boxes(spark, rows):
+    return spark.createDataFrame(rows, "dataset_id string, id string, sample_id string, category_name string, bbox_x double, bbox_y double, "
+                                       "bbox_w double, bbox_h double, area double, is_crowd boolean, source string, confidence double")
+
+
+def _box(i, source="ground_truth", ds="d1"):
+    return (ds, i, "s1", "bolt", 1.0, 1.0, 2.0, 3.0, 6.0, False, source, None)
+
+
+def test_stored_delete_and_replace(spark, tmp):
+    path = f"{tmp}/annotations"
+    MU.write_table(_boxes(spark, [_box("g1"), _box("p1", "run a'b"), _box("p2", "run2"), _box("g2", ds="d2")]), path, ["dataset_id", "source"])
+    new = _boxes(spark, [_box("p9", "run2")])
+    MU.store_run(new, path, "d1", "run2")
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == ["g1", "g2", "p1", "p9"]
+    MU.store_run(new, path, "d1", "run a'b")                 # an import without rows: the old run is gone
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == ["g1", "g2", "p9"]
+    spark.createDataFrame([("d1",), ("d2",)], "id string").write.parquet(f"{tmp}/datasets")
+    MU.delete_dataset_stored(spark, tmp, "d1", ["annotations", "datasets", "samples"])
+    assert [r.id for r in spark.read.parquet(path).collect()] == ["g2"]
+    assert [r.id for r in spark.read.parquet(f"{tmp}/datasets").collect()] == ["d2"]
+
+
+def test_edits_last_one_wins_and_unknown_ids(spark):
+    ann = _boxes(spark, [_box("a"), _box("b"), _box("c"), _box("p", "run")])
+    rows = [(1, "update", "a", None, "nut", None), (2, "update", "a", None, None, 9.0), (3, "update", "a", None, "gauge", None),
+            (4, "delete", "b", None, None, None), (5, "update", "zz", None, "nut", None), (6, "delete", "p", None, None, None),
+            (7, "create", "n", "s2", "nut", 4.0), (8, "update", "n", None, "bolt", None), (9, "create", "m", "s2", "nut", 4.0), (10, "delete", "m", None, None, None),
+            (11, "delete", "c", None, None, None), (12, "create", "c", "s3", "nut", 5.0), (13, "create", "a", "s9", None, None)]
+    edits = spark.createDataFrame([(s, op, i, "d1", sid, cat, None, None, w, 2.0 if w else None) for s, op, i, sid, cat, w in rows],
+                                  "seq int, op string, id string, dataset_id string, sample_id string, category_name string, bbox_x double, "
+                                  "bbox_y double, bbox_w double, bbox_h double")
+    out, rej = MU.apply_annotation_edits(ann, edits)
+    got = {r.id: (r.sample_id, r.category_name, r.bbox_w, r.bbox_h, r.area, r.source) for r in out.collect()}
+    assert got == {"a": ("s1", "gauge", 9.0, 2.0, 18.0, "ground_truth"), "p": ("s1", "bolt", 2.0, 3.0, 6.0, "run"),
+                   "n": ("s2", "bolt", 4.0, 2.0, 8.0, "ground_truth"), "c": ("s3", "nut", 5.0, 2.0, 10.0, "ground_truth")}
+    assert out.count() == 4
+    assert sorted(r.seq for r in rej.collect()) == [5, 6, 13]
+
+
+def test_override_last_write_in_a_batch(spark):
+    from datetime import datetime
+    samples = spark.createDataFrame([("s1", "d1", ["x"])], "id string, dataset_id string, tags array<string>")
+    schema = "annotation_id string, dataset_id string, sample_id string, label string, is_override boolean, created_at timestamp"
+    old = spark.createDataFrame([("a", "d1", "s1", "tp", True, datetime(2030, 1, 1))], schema)
+    new = spark.createDataFrame([("a", "d1", "s1", lab, True, datetime(2024, 1, d)) for lab, d in (("fn", 1), ("mistake", 3), ("fp", 2), ("bogus", 9))], schema)
+    out, tagged = MU.set_triage_override(old, samples, new)
+    assert [(r.annotation_id, r.label) for r in out.collect()] == [("a", "mistake")]
+    assert tagged.first().tags == ["x", "triage:annotated"]
