@@ -4,7 +4,7 @@ A window ``ORDER BY conf DESC`` with no (or a skewed) partition key runs in one
 the rows are range-partitioned on (keys, order) -- Spark samples the bounds, so even a key
 holding a third of all rows is split over many partitions -- and pinned with
 ``checkpoint()``.  Each task computes local running counts; per-(partition, key) totals
-(at most #partitions + #keys rows) give prefix offsets that are broadcast back.
+(at most #partitions + #keys rows) give prefix offsets that are joined back.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ def running_counts(df: DataFrame, keys: list[str], order: list[Column], flag: st
     off = tot.select("_pid", *keys, F.coalesce(F.sum("_c").over(ow), F.lit(0)).alias("_oc"),
                      F.coalesce(F.sum("_t").over(ow), F.lit(0)).alias("_ot"),
                      F.sum("_c").over(Window.partitionBy(*keys)).cast("long").alias("total"))
-    # ``off`` has one row per non-empty (partition, key): bounded by #partitions + #keys
-    return (loc.join(F.broadcast(off), ["_pid", *keys])
+    # ``off`` has one row per non-empty (partition, key), #partitions + #keys at most
+    return (loc.join(off, ["_pid", *keys])
                .withColumn("rank", (F.col("_lr") + F.col("_oc")).cast("long"))
                .withColumn("cum", (F.col("_lc") + F.col("_ot")).cast("long"))
                .drop("_pid", "_lr", "_lc", "_oc", "_ot"))

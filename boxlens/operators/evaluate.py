@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from boxlens.operators import matching as M
 from boxlens.operators.cumulative import running_counts
+from boxlens.session import pin
 
 ALL = "all"
 MAX_POINTS = 200
@@ -22,10 +23,17 @@ def class_names(preds: DataFrame, gts: DataFrame) -> DataFrame:
                  .union(gts.select(F.col("category_name").alias("class_name"))).distinct())
 
 
-def pr_matches(preds: DataFrame, gts: DataFrame, iou_threshold: float, cell: float = M.DEFAULT_CELL) -> DataFrame:
+def shared_pairs(preds: DataFrame, gts: DataFrame, same_class: bool, cell: float = M.DEFAULT_CELL) -> DataFrame:
+    """The pair join, stored once for all tables of a report: pairs with IoU >= 0.1, the least
+    threshold a request may ask for (a lesser pair can neither match nor be claimed)."""
+    return pin(M.candidate_pairs(preds, gts, same_class, cell).filter(F.col("iou") >= 0.1))
+
+
+def pr_matches(preds: DataFrame, gts: DataFrame, iou_threshold: float, cell: float = M.DEFAULT_CELL,
+               pairs: DataFrame | None = None) -> DataFrame:
     """Per prediction, ``is_tp``: its best same-class GT has IoU >= t and no earlier
     (higher-confidence) prediction of the image took it.  No confidence cut."""
-    m = M.argmax_match(preds, gts, iou_threshold, same_class=True, cell=cell)
+    m = M.argmax_match(preds, gts, iou_threshold, same_class=True, cell=cell, pairs=pairs)
     return m.select("dataset_id", "sample_id", "p_id", F.col("p_cat").alias("class_name"), "conf",
                     F.col("claimed").cast("int").alias("is_tp"))
 
@@ -46,7 +54,7 @@ def pr_points(matches: DataFrame, gts: DataFrame) -> DataFrame:
     precision, confidence (conf desc, prediction id asc)."""
     m = _with_pooled(matches)
     ranked = running_counts(m, ["class_name"], [F.col("conf").desc(), F.col("p_id").asc()], "is_tp")
-    return (ranked.join(F.broadcast(gt_counts(gts)), "class_name", "left")
+    return (ranked.join(gt_counts(gts), "class_name", "left")
                   .select("class_name", "rank", "total", "p_id", F.col("conf").alias("confidence"), "is_tp",
                           F.coalesce("n_gt", F.lit(0)).alias("n_gt"), F.col("cum").alias("tp_cum"),
                           (F.col("cum") / F.col("n_gt")).alias("recall"),
@@ -99,12 +107,13 @@ def thin(points: DataFrame, max_points: int = MAX_POINTS) -> DataFrame:
 
 
 def pr_curves(preds: DataFrame, gts: DataFrame, iou_threshold: float,
-              max_points: int = MAX_POINTS, cell: float = M.DEFAULT_CELL) -> tuple[DataFrame, DataFrame]:
+              max_points: int = MAX_POINTS, cell: float = M.DEFAULT_CELL,
+              pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """E4 + E5: (thinned curve points, ap per curve).
 
     Curves exist for every class with GT or predictions and for ``all``; a curve without
     predictions or without GT is the single point (recall 0, precision 1, confidence 1)."""
-    matches = pr_matches(preds, gts, iou_threshold, cell)
+    matches = pr_matches(preds, gts, iou_threshold, cell, pairs)
     full = pr_points(matches, gts)
     classes = _curve_classes(preds, gts)
     ap = interpolated_ap(full, classes)
@@ -144,7 +153,7 @@ def pr_grid(curve: DataFrame) -> DataFrame:
     near = (pts.filter(F.col("class_name") == ALL)
                .groupBy("i").agg(F.min_by("confidence", F.struct(F.abs(F.col("recall") - F.col("i") / 100),
                                                                  F.col("rank"))).alias("confidence")))
-    return (env.join(F.broadcast(near), "i", "left")
+    return (env.join(near, "i", "left")
                .select("class_name", (F.col("i") / 100).alias("recall"), "precision", "confidence"))
 
 
@@ -157,25 +166,26 @@ COCO_THRESHOLDS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
 BACKGROUND = "background"
 
 
-def map_metrics(preds: DataFrame, gts: DataFrame, max_det: int | None = 100,
-                cell: float = M.DEFAULT_CELL) -> tuple[DataFrame, DataFrame]:
+def map_metrics(preds: DataFrame, gts: DataFrame, max_det: int | None = None,
+                cell: float = M.DEFAULT_CELL, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """E6 (D5, COCO rule): greedy best-unclaimed same-class matching at every threshold,
     101-point interpolated AP per (threshold, class) over all images, classes without GT
-    ignored.  Returns (per class: class_name, ap50, ap75, ap50_95; summary: map50, map75,
+    ignored.  Every prediction counts; ``max_det`` = 100 is COCO's cap per image and class, as an
+    option.  Returns (per class: class_name, ap50, ap75, ap50_95; summary: map50, map75,
     map50_95 as means over classes with GT)."""
     # A prediction's rank in its class curve does not depend on the threshold, and the
     # interpolated precision is always attained at a true-positive row (precision only falls
     # along false positives).  So: rank every prediction once, then per threshold count the
     # true positives (the accepted matches) in rank order -- no threshold x prediction table.
     p = M.cap_detections(preds, max_det)
-    folded = M.greedy_pairs(p, gts, COCO_THRESHOLDS, True, cell)
+    folded = M.greedy_pairs(p, gts, COCO_THRESHOLDS, True, cell, pairs if max_det is None else None)
     base = p.select(F.col("category_name").alias("class_name"), F.col("id").alias("p_id"), "dataset_id",
                     F.coalesce("confidence", F.lit(1.0)).alias("conf"), F.lit(0).alias("_z"))
     ranked = running_counts(base, ["class_name"], [F.col("conf").desc(), F.col("p_id").asc()], "_z")
     tps = folded.join(ranked.select("dataset_id", "p_id", "class_name", F.col("rank").alias("prank")), ["dataset_id", "p_id"])
     tps = running_counts(tps.withColumn("_o", F.lit(1)), ["t", "class_name"], [F.col("prank").asc()], "_o")
     ng = gts.groupBy(F.col("category_name").alias("class_name")).agg(F.count("*").alias("n_gt"))
-    pts = (tps.join(F.broadcast(ng), "class_name")
+    pts = (tps.join(ng, "class_name")
               .select("t", "class_name", "n_gt", (F.col("cum") / F.col("n_gt")).alias("recall"),
                       (F.col("cum") / F.col("prank")).alias("precision")))
     tarr = F.array(*[F.lit(t) for t in COCO_THRESHOLDS])
@@ -192,10 +202,10 @@ def map_metrics(preds: DataFrame, gts: DataFrame, max_det: int | None = 100,
 
 
 def confusion_pairs(preds: DataFrame, gts: DataFrame, iou_threshold: float,
-                    cell: float = M.DEFAULT_CELL) -> DataFrame:
+                    cell: float = M.DEFAULT_CELL, pairs: DataFrame | None = None) -> DataFrame:
     """(sample_id, actual, predicted) for every matched pair, unmatched prediction
     (actual = background) and unmatched GT (predicted = background), D6 matching."""
-    acc = M.confusion_match(preds, gts, iou_threshold, cell)
+    acc = pin(M.confusion_match(preds, gts, iou_threshold, cell, pairs))     # read three times
     matched = acc.select("dataset_id", "sample_id", F.col("g_cat").alias("actual"), F.col("p_cat").alias("predicted"))
     mp = acc.select("dataset_id", "sample_id", F.col("p_id").alias("id"))
     mg = acc.select("dataset_id", "sample_id", F.col("g_id").alias("id"))
@@ -207,10 +217,12 @@ def confusion_pairs(preds: DataFrame, gts: DataFrame, iou_threshold: float,
 
 
 def confusion_matrix(preds: DataFrame, gts: DataFrame, iou_threshold: float, conf_threshold: float,
-                     cell: float = M.DEFAULT_CELL) -> DataFrame:
+                     cell: float = M.DEFAULT_CELL, pairs: DataFrame | None = None) -> DataFrame:
     """Rows actual, columns predicted, classes + background; non-zero cells in long form."""
     p = preds.filter(F.coalesce("confidence", F.lit(1.0)) >= conf_threshold)
-    return (confusion_pairs(p, gts, iou_threshold, cell)
+    if pairs is not None:
+        pairs = pairs.filter(F.col("conf") >= conf_threshold)
+    return (confusion_pairs(p, gts, iou_threshold, cell, pairs)
             .groupBy("actual", "predicted").agg(F.count("*").alias("count")))
 
 
@@ -235,15 +247,16 @@ def confusion_cell_samples(preds: DataFrame, gts: DataFrame, actual: str, predic
 
 
 def per_class_metrics(preds: DataFrame, gts: DataFrame, iou_threshold: float, conf_threshold: float,
-                      max_det: int | None = 100, cell: float = M.DEFAULT_CELL, curve: DataFrame | None = None,
-                      per_class: DataFrame | None = None) -> DataFrame:
+                      max_det: int | None = None, cell: float = M.DEFAULT_CELL, curve: DataFrame | None = None,
+                      per_class: DataFrame | None = None, max_points: int = MAX_POINTS) -> DataFrame:
     """Class x (ap50, ap75, ap50_95, precision, recall at the operating point).  Curves and
     per-class AP already built (E14) can be passed in instead of being recomputed."""
+    pairs = shared_pairs(preds, gts, True, cell) if curve is None or per_class is None else None
     if curve is None:
-        curve, _ = pr_curves(preds, gts, iou_threshold, cell=cell)
+        curve, _ = pr_curves(preds, gts, iou_threshold, max_points, cell, pairs)
     op = operating_points(curve.filter(F.col("class_name") != ALL), conf_threshold)
     if per_class is None:
-        per_class, _ = map_metrics(preds, gts, max_det, cell)
+        per_class, _ = map_metrics(preds, gts, max_det, cell, pairs)
     return (class_names(preds, gts).join(per_class, "class_name", "left").join(op, "class_name", "left")
             .select("class_name", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in
                                     ["ap50", "ap75", "ap50_95", "precision", "recall"]]))
@@ -251,13 +264,18 @@ def per_class_metrics(preds: DataFrame, gts: DataFrame, iou_threshold: float, co
 
 def evaluation_report(ann: DataFrame, dataset_id: str, source: str, iou_threshold: float = 0.5,
                       conf_threshold: float = 0.25, samples: DataFrame | None = None,
-                      split: str | None = None) -> dict[str, DataFrame]:
-    """Every evaluation table for one run (lazy DataFrames)."""
+                      split: str | None = None, max_points: int = MAX_POINTS,
+                      max_det: int | None = None) -> dict[str, DataFrame]:
+    """Every evaluation table for one run.  The boxes are matched once: one stored table of
+    candidate pairs serves the curves, the mAP and the confusion matrix.  Building the report runs the
+    shared jobs (pairs, components, ranks); the returned frames are evaluated lazily."""
     M.check_thresholds(iou_threshold, conf_threshold)
     preds = M.predictions(ann, dataset_id, source, None, samples, split)
     gts = M.ground_truth(ann, dataset_id, samples, split)
-    curve, ap = pr_curves(preds, gts, iou_threshold)
-    per_class, summary = map_metrics(preds, gts)
+    pairs = shared_pairs(preds, gts, False)
+    same = pairs.filter(F.col("p_cat") == F.col("g_cat"))
+    curve, ap = pr_curves(preds, gts, iou_threshold, max_points, pairs=same)
+    per_class, summary = map_metrics(preds, gts, max_det, pairs=same)
     return {"pr_curves": curve, "ap": ap, "ap_metrics": summary,
             "per_class": per_class_metrics(preds, gts, iou_threshold, conf_threshold, curve=curve, per_class=per_class),
-            "confusion_matrix": confusion_matrix(preds, gts, iou_threshold, conf_threshold)}
+            "confusion_matrix": confusion_matrix(preds, gts, iou_threshold, conf_threshold, pairs=pairs)}

@@ -13,18 +13,19 @@ Design for scale
   claimant per GT (a window partitioned by GT).
 * **Greedy "best unclaimed" matching (E12)** is inherently sequential, but only inside a
   connected component of the candidate graph (pred--GT edges with IoU >= t).  Components are
-  found with a distributed label-propagation loop and folded with a higher-order
-  ``aggregate`` expression, so the unit of sequential work is a cluster of mutually
-  overlapping boxes, never a whole image.
+  found by a distributed job of logarithmically many rounds, many small ones are packed into
+  a task, and each is folded in one sorted pass with a set of claimed ids: the unit of
+  sequential work is a cluster of mutually overlapping boxes, never a whole image.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxlens.functions.geometry import effective_confidence, intersection, iou
 from boxlens.operators.components import connected_components
+from boxlens.session import pin
 
 GT_SOURCE = "ground_truth"
 DEFAULT_CELL = 128.0
@@ -102,7 +103,7 @@ def candidate_pairs(preds: DataFrame, gts: DataFrame, same_class: bool = False,
 
 
 def match_outcomes(preds: DataFrame, gts: DataFrame, iou_threshold: float, same_class: bool = False,
-                   cell: float = DEFAULT_CELL) -> DataFrame:
+                   cell: float = DEFAULT_CELL, pairs: DataFrame | None = None) -> DataFrame:
     """W1 + W2 in two passes, one row per box (predictions and GT).
 
     W1: each prediction's best GT (IoU desc, GT id asc) -- a grouped aggregate over the pair
@@ -113,9 +114,11 @@ def match_outcomes(preds: DataFrame, gts: DataFrame, iou_threshold: float, same_
 
     Columns: dataset_id, sample_id, kind ('pred' | 'gt'), id, cat, conf (effective),
     confidence (stored), g_id / g_cat / iou (pred: its best GT), claimed (pred: claims its
-    best GT; gt: has a claimant), m_id / m_cat / m_iou (gt: the claimant).
+    best GT; gt: has a claimant), m_id / m_cat / m_iou (gt: the claimant).  ``pairs`` saves the
+    pair join if it has been made already.
     """
-    pairs = candidate_pairs(preds, gts, same_class, cell)
+    if pairs is None:
+        pairs = candidate_pairs(preds, gts, same_class, cell)
     lone = preds.select("dataset_id", "sample_id", F.col("id").alias("p_id"),
                         F.lit(None).cast("string").alias("g_id"), F.lit(None).cast("string").alias("g_cat"),
                         F.lit(None).cast("double").alias("iou"))
@@ -156,10 +159,10 @@ def match_outcomes(preds: DataFrame, gts: DataFrame, iou_threshold: float, same_
 
 
 def argmax_match(preds: DataFrame, gts: DataFrame, iou_threshold: float, same_class: bool = False,
-                 cell: float = DEFAULT_CELL) -> DataFrame:
+                 cell: float = DEFAULT_CELL, pairs: DataFrame | None = None) -> DataFrame:
     """Prediction rows of ``match_outcomes`` in the pair-table naming: dataset_id, sample_id,
     p_id, p_cat, conf, g_id, g_cat, iou, claimed."""
-    m = match_outcomes(preds, gts, iou_threshold, same_class, cell)
+    m = match_outcomes(preds, gts, iou_threshold, same_class, cell, pairs)
     return m.filter(F.col("kind") == "pred").select(
         "dataset_id", "sample_id", F.col("id").alias("p_id"), F.col("cat").alias("p_cat"), "conf",
         "g_id", "g_cat", "iou", "claimed")
@@ -169,52 +172,44 @@ def argmax_match(preds: DataFrame, gts: DataFrame, iou_threshold: float, same_cl
 # Greedy best-unclaimed matching, folded per connected component
 # ---------------------------------------------------------------------------------------
 
-HOT_GROUP_PAIRS = 20000
+FOLD_PACK_PAIRS = 50_000     # candidate pairs packed into one fold task
 
 
-def fold_groups(pairs: DataFrame, group_cols: list[str], hot_limit: int = HOT_GROUP_PAIRS) -> DataFrame:
-    """Assign every candidate pair a fold group ``grp``.
-
-    Groups are the natural unit (e.g. image and class); a group with more than
-    ``hot_limit`` candidate pairs is split into the connected components of its candidate
-    graph (an exact split: greedy choices never cross components).  Components are only
-    computed when such a hot group exists (one distributed count decides)."""
-    from boxlens.session import pin
-    # materialise the candidate pairs once: the size check and the fold read the same rows,
-    # and the iterative component search starts from a short lineage
-    pairs = pin(pairs)
+def fold_groups(pairs: DataFrame, group_cols: list[str]) -> DataFrame:
+    """``pairs``, stored, with ``grp``: the connected component of the candidate graph inside the
+    natural group (image, or image and class), and ``pack``, the task it is folded in.  An exact
+    split: greedy choices never cross components."""
+    pairs = pin(pairs)      # the component search, the size and the fold read the same rows
     natural = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in group_cols])
-    sizes = pairs.groupBy(*group_cols).agg(F.count("*").alias("_n"))
-    hot = sizes.filter(F.col("_n") > hot_limit).select(*group_cols)
-    tagged = pairs.join(hot.withColumn("_hot", F.lit(True)), group_cols, "left")
-    if hot.limit(1).count() == 0:
-        return pairs.withColumn("grp", natural)
-    hp = tagged.filter(F.col("_hot").isNotNull())
     pnode = F.concat(F.lit("p"), natural, F.lit("\u0001"), F.col("p_id"))
     gnode = F.concat(F.lit("g"), natural, F.lit("\u0001"), F.col("g_id"))
-    comp = connected_components(hp.select(pnode.alias("src"), gnode.alias("dst")))
-    hot_pairs = (hp.withColumn("_node", pnode).join(comp.withColumnRenamed("node", "_node"), "_node")
-                   .withColumn("grp", F.concat(F.lit("c"), F.col("component"))).drop("_node", "component", "_hot"))
-    cold = tagged.filter(F.col("_hot").isNull()).drop("_hot").withColumn("grp", natural)
-    return cold.unionByName(hot_pairs)
-
-
-def greedy_fold_expr(cands: Column, thr: Column, strict: bool = False) -> Column:
-    """Fold over predictions (already in confidence order), each with its candidate GTs in
-    IoU-desc order: a prediction takes the first candidate with IoU >= thr not yet taken.
-
-    ``cands`` is array<struct<p_id, c: array<struct<g_id, g_cat, iou>>>>; the result is
-    array<struct<p_id, g_id, g_cat, iou>> of accepted matches.
-    """
-    acc0 = F.array().cast("array<struct<p_id:string,g_id:string,g_cat:string,iou:double>>")
-
-    def step(acc, p):
-        ok = (lambda x: (x["iou"] > thr) if strict else (x["iou"] >= thr))
-        free = F.filter(p["c"], lambda x: ok(x) & ~F.exists(acc, lambda m: m["g_id"] == x["g_id"]))
-        first = F.slice(free, 1, 1)
-        return F.concat(acc, F.transform(first, lambda x: F.struct(
-            p["p_id"].alias("p_id"), x["g_id"].alias("g_id"), x["g_cat"].alias("g_cat"), x["iou"].alias("iou"))))
-    return F.aggregate(cands, acc0, step)
+    comp = connected_components(pairs.select(pnode.alias("src"), gnode.alias("dst")))
+    packs = pairs.count() // FOLD_PACK_PAIRS + 1
+    return (pairs.withColumn("_node", pnode).join(comp.select(F.col("node").alias("_node"), F.col("component").alias("grp")), "_node")
+                 .drop("_node").withColumn("pack", F.pmod(F.xxhash64("grp"), F.lit(packs))))
+
+
+def _fold_best_unclaimed(thresholds: list[float]):
+    """Predictions in confidence order (conf desc, id) each take their best candidate with IoU >= t
+    (IoU desc, GT id) that no earlier prediction took."""
+    def run(table):
+        import pandas as pd
+        pdf = table.to_pandas().sort_values(["grp", "conf", "p_id", "iou", "g_id"], ascending=[True, False, True, False, True])
+        rows = list(zip(pdf["grp"], pdf["dataset_id"], pdf["p_id"], pdf["g_id"], pdf["g_cat"], pdf["iou"]))
+        out = []
+        for t in thresholds:
+            group, claimed, done = None, set(), None
+            for grp, ds, p, g, cat, iou in rows:
+                if grp != group:
+                    group, claimed, done = grp, set(), None
+                if p != done and iou >= t and g not in claimed:
+                    claimed.add(g)
+                    done = p
+                    out.append((t, ds, p, g, cat, iou))
+        import pyarrow as pa
+        return pa.Table.from_pandas(pd.DataFrame(out, columns=["t", "dataset_id", "p_id", "g_id", "g_cat", "iou"])
+                                      .astype({"t": "float64", "iou": "float64"}), preserve_index=False)
+    return run
 
 
 def cap_detections(preds: DataFrame, max_det: int | None) -> DataFrame:
@@ -226,29 +221,19 @@ def cap_detections(preds: DataFrame, max_det: int | None) -> DataFrame:
 
 
 def greedy_pairs(p: DataFrame, gts: DataFrame, thresholds: list[float], same_class: bool = True,
-                 cell: float = DEFAULT_CELL, hot_limit: int = HOT_GROUP_PAIRS) -> DataFrame:
+                 cell: float = DEFAULT_CELL, pairs: DataFrame | None = None) -> DataFrame:
     """The accepted matches of E12 only: (t, dataset_id, p_id, g_id, g_cat, iou)."""
-    tmin = float(min(thresholds))
-    pairs = candidate_pairs(p, gts, same_class, cell).filter(F.col("iou") >= tmin)
-    grouped = fold_groups(pairs, ["dataset_id", "sample_id", "p_cat"], hot_limit)
-    per_pred = (grouped.groupBy("grp", "dataset_id", "p_id", "conf")
-                       .agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("niou"), "g_id", "g_cat", "iou")))
-                            .alias("c")))
-    per_pred = per_pred.withColumn("c", F.transform("c", lambda x: F.struct(
-        x["g_id"].alias("g_id"), x["g_cat"].alias("g_cat"), x["iou"].alias("iou"))))
-    groups = (per_pred.groupBy("grp", "dataset_id")
-                      .agg(F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("nconf"), "p_id", "c"))).alias("ps")))
-    # thresholds fan out with a generator over a literal array (no join)
-    tarr = F.array(*[F.lit(float(t)) for t in thresholds])
-    return (groups.withColumn("t", F.explode(tarr))
-                  .select("t", "dataset_id", F.explode(greedy_fold_expr(F.col("ps"), F.col("t"))).alias("m"))
-                  .select("t", "dataset_id", F.col("m.p_id").alias("p_id"), F.col("m.g_id").alias("g_id"),
-                          F.col("m.g_cat").alias("g_cat"), F.col("m.iou").alias("iou")))
+    if pairs is None:
+        pairs = candidate_pairs(p, gts, same_class, cell)
+    pairs = pairs.filter(F.col("iou") >= float(min(thresholds)))
+    grouped = fold_groups(pairs, ["dataset_id", "sample_id", "p_cat"] if same_class else ["dataset_id", "sample_id"])
+    return (grouped.select("pack", "grp", "dataset_id", "p_id", "conf", "g_id", "g_cat", "iou").groupBy("pack")
+                   .applyInArrow(_fold_best_unclaimed([float(t) for t in thresholds]),
+                                 "t double, dataset_id string, p_id string, g_id string, g_cat string, iou double"))
 
 
 def greedy_match(preds: DataFrame, gts: DataFrame, thresholds: list[float], same_class: bool = True,
-                 max_det: int | None = None, cell: float = DEFAULT_CELL,
-                 hot_limit: int = HOT_GROUP_PAIRS) -> DataFrame:
+                 max_det: int | None = None, cell: float = DEFAULT_CELL) -> DataFrame:
     """Predictions (confidence desc, id asc) each take the best *still unclaimed*
     same-class GT (IoU desc, GT id asc) with IoU >= t, for every threshold in ``thresholds``.
 
@@ -257,33 +242,42 @@ def greedy_match(preds: DataFrame, gts: DataFrame, thresholds: list[float], same
     image and class (COCO's detection cap) before matching.
     """
     p = cap_detections(preds, max_det)
-    folded = greedy_pairs(p, gts, thresholds, same_class, cell, hot_limit)
+    folded = greedy_pairs(p, gts, thresholds, same_class, cell)
     tarr = F.array(*[F.lit(float(t)) for t in thresholds])
     allp = p.select("dataset_id", "sample_id", F.col("id").alias("p_id"), F.col("category_name").alias("p_cat"),
                     effective_confidence().alias("conf")).withColumn("t", F.explode(tarr))
     return allp.join(folded, ["t", "dataset_id", "p_id"], "left")
 
 
-def pair_fold_expr(pairs: Column) -> Column:
-    """One-to-one greedy over an ordered pair list: accept (p, g) when neither is taken yet.
-    ``pairs`` is array<struct<..., p_id, g_id, ...>>; returns the accepted structs."""
-    def step(acc, x):
-        taken = F.exists(acc, lambda m: (m["p_id"] == x["p_id"]) | (m["g_id"] == x["g_id"]))
-        return F.when(taken, acc).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(pairs, F.slice(pairs, 1, 0), step)
+def _fold_one_to_one(table):
+    """Pairs in order (same class first, IoU desc, prediction id, GT id) are taken when neither
+    side is taken yet."""
+    import pandas as pd
+    import pyarrow as pa
+    pdf = table.to_pandas()
+    pdf["k"] = pdf["p_cat"] != pdf["g_cat"]
+    pdf = pdf.sort_values(["grp", "k", "iou", "p_id", "g_id"], ascending=[True, True, False, True, True])
+    cols = ["dataset_id", "sample_id", "p_id", "p_cat", "g_id", "g_cat", "iou"]
+    out, group, taken = [], None, set()
+    for grp, *row in zip(pdf["grp"], *(pdf[c] for c in cols)):
+        if grp != group:
+            group, taken = grp, set()
+        p, g = ("p", row[2]), ("g", row[4])
+        if p not in taken and g not in taken:
+            taken |= {p, g}
+            out.append(row)
+    return pa.Table.from_pandas(pd.DataFrame(out, columns=cols).astype({"iou": "float64"}), preserve_index=False)
 
 
 def confusion_match(preds: DataFrame, gts: DataFrame, iou_threshold: float, cell: float = DEFAULT_CELL,
-                    hot_limit: int = HOT_GROUP_PAIRS) -> DataFrame:
+                    pairs: DataFrame | None = None) -> DataFrame:
     """D6 matching for the confusion matrix: class-agnostic candidate pairs with IoU > t,
     taken greedily one-to-one in the order (same class first, IoU desc, prediction id, GT id).
 
     Returns the accepted pairs: dataset_id, sample_id, p_id, p_cat, g_id, g_cat, iou."""
-    pairs = candidate_pairs(preds, gts, False, cell).filter(F.col("iou") > F.lit(float(iou_threshold)))
-    grouped = fold_groups(pairs, ["dataset_id", "sample_id"], hot_limit)
-    key = F.struct(F.when(F.col("p_cat") == F.col("g_cat"), 0).otherwise(1).alias("k0"), (-F.col("iou")).alias("k1"),
-                   F.col("p_id").alias("k2"), F.col("g_id").alias("k3"), "p_id", "g_id", "p_cat", "g_cat", "iou",
-                   "sample_id")
-    groups = grouped.groupBy("grp", "dataset_id").agg(F.array_sort(F.collect_list(key)).alias("ps"))
-    acc = groups.select("dataset_id", F.explode(pair_fold_expr(F.col("ps"))).alias("m"))
-    return acc.select("dataset_id", "m.sample_id", "m.p_id", "m.p_cat", "m.g_id", "m.g_cat", "m.iou")
+    if pairs is None:
+        pairs = candidate_pairs(preds, gts, False, cell)
+    grouped = fold_groups(pairs.filter(F.col("iou") > F.lit(float(iou_threshold))), ["dataset_id", "sample_id"])
+    return (grouped.select("pack", "grp", "dataset_id", "sample_id", "p_id", "p_cat", "g_id", "g_cat", "iou").groupBy("pack")
+                   .applyInArrow(_fold_one_to_one, "dataset_id string, sample_id string, p_id string, p_cat string, "
+                                                   "g_id string, g_cat string, iou double"))

@@ -889,7 +889,7 @@ def e8c(spark, sf_dir):
 
 
 _COCO = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
-_MAP_CTES = _greedy_ctes(None, _COCO, max_det=100) + [
+_MAP_CTES = _greedy_ctes(None, _COCO) + [
     "mng AS (SELECT category_name class_name, COUNT(*) n_gt FROM G GROUP BY 1)",
     """mpts AS (SELECT gm.t, gm.p_cat class_name, mng.n_gt,
                     SUM(CASE WHEN g_id IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY gm.t, gm.p_cat ORDER BY conf DESC, p_id
@@ -1082,20 +1082,20 @@ def v8(spark, sf_dir):
 # E1 / J8 pair join, E2 class list, T6 per-class order, V5 reduction
 # ---------------------------------------------------------------------------------------
 
-@query("E1_iou_pairs", W(*argmax_ctes("run_b", 0.5, None)) + """
+@query("E1_iou_pairs", W(*argmax_ctes("run_a", 0.5, None)) + """
 SELECT sample_id, p_id, g_id, ROUND(iou, 9) iou FROM pairs WHERE iou > 0""")
 def e1(spark, sf_dir):
     d = _d(spark, sf_dir)
-    p = MT.predictions(d.annotations, DATASET, "run_b")
+    p = MT.predictions(d.annotations, DATASET, RUN_A)
     g = MT.ground_truth(d.annotations, DATASET)
     return MT.candidate_pairs(p, g).select("sample_id", "p_id", "g_id", r9("iou"))
 
 
 @query("E2_class_names", W() + """
-SELECT DISTINCT category_name class_name FROM annotations WHERE dataset_id = 'ds1' AND source IN ('ground_truth', 'run_b')""")
+SELECT DISTINCT category_name class_name FROM annotations WHERE dataset_id = 'ds1' AND source IN ('ground_truth', 'run_a')""")
 def e2(spark, sf_dir):
     d = _d(spark, sf_dir)
-    return EV.class_names(MT.predictions(d.annotations, DATASET, "run_b"), MT.ground_truth(d.annotations, DATASET))
+    return EV.class_names(MT.predictions(d.annotations, DATASET, RUN_A), MT.ground_truth(d.annotations, DATASET))
 
 
 @query("T6_per_class_order", W(*(_PR_CTES + _map_ctes_renamed())) + """

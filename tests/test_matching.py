@@ -98,12 +98,13 @@ def test_error_labels_equal_loop(spark):
         assert got == _loop_error_analysis(gts, prs, 0.5)
 
 
-def test_greedy_fold_equal_loop_and_components(spark):
+def test_greedy_fold_equal_loop_and_components(spark, monkeypatch):
     gts, prs = _random_boxes(3)
     p, g = _frames(spark, gts, prs)
     want = _loop_greedy(gts, prs, 0.3)
-    for hot in (10**6, 2):   # per image-class groups, then forced connected components
-        got = {r.p_id: r.g_id for r in M.greedy_match(p, g, [0.3], hot_limit=hot, cell=48.0).collect()}
+    for pack in (50_000, 3):   # all components in one task, then a few pairs a task
+        monkeypatch.setattr(M, "FOLD_PACK_PAIRS", pack)
+        got = {r.p_id: r.g_id for r in M.greedy_match(p, g, [0.3], cell=48.0).collect()}
         assert got == want
 
 
