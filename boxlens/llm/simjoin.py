@@ -26,7 +26,7 @@ from boxlens.session import pin, release
 
 BLOCK_ROWS = 2048           # rows of one block of a large group
 BLOCK_WEIGHT = 4 << 20      # and its total weight (elements of the compared sets)
-PACK_ROWS = 20_000          # rows of small groups packed into one task
+PACK_ROWS = 4_000           # rows of small groups packed into one task
 
 Matcher = Callable[[int, np.ndarray], np.ndarray]
 
