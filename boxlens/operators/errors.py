@@ -209,8 +209,9 @@ def tag_correlation(labels: DataFrame, samples: DataFrame, dataset_id: str, top:
 
 
 def error_evidence(ann: DataFrame, samples: DataFrame, dataset_id: str, source: str,
-                   iou_threshold: float = 0.45, conf_threshold: float = 0.25) -> dict[str, DataFrame]:
-    """The evidence tables handed to a report writer (summary, A7, A8, A9)."""
+                   iou_threshold: float = 0.45, conf_threshold: float = 0.25, top_tags: int = 10) -> dict[str, DataFrame]:
+    """The evidence tables handed to a report writer (summary, A7, A8, A9); ``top_tags`` per
+    error type, ten as in the report by default."""
     labels = error_labels(ann, dataset_id, source, iou_threshold, conf_threshold)
     return {"summary": error_summary(labels), "per_class": run_class_counts(ann, dataset_id, source),
-            "confidence": confidence_histogram(labels), "tags": tag_correlation(labels, samples, dataset_id)}
+            "confidence": confidence_histogram(labels), "tags": tag_correlation(labels, samples, dataset_id, top_tags)}

@@ -43,14 +43,14 @@ def filter_samples(samples: DataFrame, dataset_id: str, *, annotations: DataFram
                    split: str | None = None, category: str | None = None, search: str | None = None,
                    tags: list[str] | None = None, sample_ids: DataFrame | list[str] | None = None,
                    min_width: int | None = None, min_height: int | None = None,
-                   compat_empty_ids: bool = True) -> DataFrame:
+                   compat_empty_ids: bool = False) -> DataFrame:
     """F1-F7 (+F16): AND of all given conditions.
 
     * category (F3): samples with >= 1 annotation of that category in any source
       (``left_semi``, so no DISTINCT is needed afterwards).
     * sample_ids (F6): a list (``isin``) or a DataFrame with an ``id`` column (semi-join,
-      for selections of any size).  ``[]`` is no filter unless ``compat_empty_ids=False``
-      (then no rows, D21).
+      for selections of any size).  ``None`` is no filter and ``[]`` selects no rows (D21);
+      ``compat_empty_ids=True`` ignores an empty list.
     """
     conds: list[Column] = [F.col("dataset_id") == dataset_id]
     if split is not None:
@@ -126,8 +126,9 @@ def group_annotations(annotations: DataFrame, dataset_id: str, sample_ids: DataF
         a = a.filter(F.col("source").isin(sources))
     a = a.join(sample_ids.select(F.col("id").alias("sample_id")), "sample_id", "left_semi")
     return (a.groupBy("sample_id")
-             .agg(F.array_sort(F.collect_list(F.struct("id", "category_name", "source", "bbox_x", "bbox_y",
-                                                       "bbox_w", "bbox_h", "confidence"))).alias("annotations")))
+             .agg(F.array_sort(F.collect_list(F.struct(
+                 "id", "dataset_id", "category_name", "source", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "area", "is_crowd",
+                 "confidence"))).alias("annotations")))
 
 
 def highlight(tags: Column) -> Column:
@@ -179,10 +180,11 @@ VIEW_SCHEMA = "search string, category string, split string, tags array<string>,
 def apply_saved_view(samples: DataFrame, annotations: DataFrame, views: DataFrame, dataset_id: str) -> DataFrame:
     """F14 for every saved view at once: (view_id, sample id) of the samples each view selects.
 
-    The view JSON is parsed with ``from_json``; the views side is tiny and broadcast, the
-    category condition becomes a semi-join on (view, sample) pairs."""
+    The view JSON is parsed with ``from_json``; views meet the samples of their dataset in an
+    equi-join on dataset_id with the conditions behind it, the category condition becomes a
+    semi-join on (view, sample) pairs."""
     v = (views.filter(F.col("dataset_id") == dataset_id)
-              .select(F.col("id").alias("view_id"), F.from_json("filters", VIEW_SCHEMA).alias("f")))
+              .select("dataset_id", F.col("id").alias("view_id"), F.from_json("filters", VIEW_SCHEMA).alias("f")))
     s = samples.filter(F.col("dataset_id") == dataset_id)
     term = F.trim(F.col("f.search"))
     cond = ((F.col("f.split").isNull() | (F.col("split") == F.col("f.split")))
@@ -190,9 +192,33 @@ def apply_saved_view(samples: DataFrame, annotations: DataFrame, views: DataFram
                F.ilike(F.col("file_name"), F.concat(F.lit("%"), F.regexp_replace(term, r"\\", r"\\\\"), F.lit("%"))))
             & F.coalesce(F.forall(F.col("f.tags"), lambda t: F.coalesce(F.array_contains(F.col("tags"), t), F.lit(False))),
                          F.lit(True)))
-    # views are a handful of rows: broadcast-nested-loop against the sample scan (no shuffle)
-    hit = s.join(F.broadcast(v), cond, "inner").select("view_id", "id", F.col("f.category").alias("cat"))
+    s, vv = s.alias("s"), v.withColumnRenamed("dataset_id", "v_dataset")
+    hit = s.join(vv, (F.col("dataset_id") == F.col("v_dataset")) & cond).select("view_id", "id", F.col("f.category").alias("cat"))
     a = (annotations.filter(F.col("dataset_id") == dataset_id)
                     .select(F.col("sample_id").alias("id"), F.col("category_name").alias("cat")).distinct())
     with_cat = hit.filter(F.col("cat").isNotNull()).join(a, ["id", "cat"], "left_semi")
     return hit.filter(F.col("cat").isNull()).unionByName(with_cat).select("view_id", "id")
+
+
+def saved_view_order(samples: DataFrame, annotations: DataFrame, views: DataFrame, dataset_id: str) -> DataFrame:
+    """F14 with the views' sort: (view_id, id, pos), pos from 1 in the order of the view's sortBy and
+    sortDir (T1's rules: unknown columns sort by id ascending, nulls last, id breaks ties).
+
+    Positions come from the distributed running count, so a view that selects every sample is
+    not one task."""
+    from boxlens.operators.cumulative import running_counts
+    v = (views.filter(F.col("dataset_id") == dataset_id)
+              .select(F.col("id").alias("view_id"), F.from_json("filters", VIEW_SCHEMA).alias("f"))
+              .select("view_id", F.col("f.sortBy").alias("by"), (F.col("f.sortDir") == "desc").alias("desc")))
+    cols = samples.filter(F.col("dataset_id") == dataset_id).select("id", *[c for c in SORTABLE_COLUMNS if c != "id"])
+    hit = apply_saved_view(samples, annotations, views, dataset_id).join(cols, "id").join(v, "view_id")
+    known = F.col("by").isin(SORTABLE_COLUMNS)
+    down = F.coalesce(known & F.col("desc"), F.lit(False))
+    number = F.when(F.col("by") == "width", F.col("width")).when(F.col("by") == "height", F.col("height")).cast("double")
+    text = F.when(F.col("by") == "file_name", F.col("file_name")).when(F.col("by") == "split", F.col("split")).when(F.col("by") == "id", F.col("id"))
+    # one pair of order columns per direction: the other direction's are null throughout a view
+    hit = hit.select("view_id", "id", F.lit(0).alias("_z"), F.when(~down, number).alias("n_up"), F.when(down, number).alias("n_down"),
+                     F.when(~down, text).alias("t_up"), F.when(down, text).alias("t_down"))
+    order = [F.col("n_up").asc_nulls_last(), F.col("n_down").desc_nulls_last(), F.col("t_up").asc_nulls_last(),
+             F.col("t_down").desc_nulls_last(), F.col("id").asc()]
+    return running_counts(hit, ["view_id"], order, "_z").select("view_id", "id", F.col("rank").alias("pos"))

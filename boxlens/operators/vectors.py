@@ -79,8 +79,18 @@ def find_similar(emb: DataFrame, dataset_id: str, sample_id: str, limit: int = 2
     return scored.orderBy(F.round("score", 9).desc(), "sample_id").limit(limit)
 
 
+def similar_with_samples(emb: DataFrame, samples: DataFrame, dataset_id: str, sample_id: str, limit: int = 20) -> DataFrame:
+    """V1's neighbours with their sample's file_name and thumbnail_path, null where the sample
+    (or the column) is missing; best first."""
+    near = find_similar(emb, dataset_id, sample_id, limit)
+    thumb = F.col("thumbnail_path") if "thumbnail_path" in samples.columns else F.lit(None).cast("string")
+    s = samples.filter(F.col("dataset_id") == dataset_id).select(F.col("id").alias("sample_id"), "file_name", thumb.alias("thumbnail_path"))
+    return near.join(s, "sample_id", "left").orderBy(F.round("score", 9).desc(), "sample_id")
+
+
 def _prepared(emb: DataFrame, dataset_id: str) -> DataFrame:
-    e = emb.filter(F.col("dataset_id") == dataset_id).select("sample_id", "vector")
+    # a zero vector has no direction: it is a near-duplicate of nothing
+    e = emb.filter((F.col("dataset_id") == dataset_id) & F.exists("vector", lambda x: x != 0)).select("sample_id", "vector")
     return (e.withColumn("u", unit(F.col("vector")))
              .withColumn("key", F.transform("u", lambda x: F.round(x, COPY_DECIMALS))))
 
@@ -97,7 +107,8 @@ def near_duplicate_pairs(emb: DataFrame, dataset_id: str, threshold: float = DEF
     """V2: edges of the threshold graph with copies collapsed.
 
     Returns (a, b, cosine) with a < b: every member -> representative link of an exact copy
-    group, and every representative pair with cosine >= threshold (exact check)."""
+    group, and every representative pair with cosine >= threshold (exact check).  Zero vectors
+    take no part."""
     if not 0.80 <= threshold <= 0.99:
         raise ValueError("threshold must be in [0.80, 0.99]")
     from boxlens.session import pin
@@ -114,9 +125,10 @@ def _grid_pairs(reps: DataFrame, threshold: float, num_pivots: int, block_rows:
     """Representative pairs with cosine >= threshold: pivot-grid candidate blocks, verified
     by dense matrix products per block (numpy inside ``applyInPandas``).
 
-    Blocks are (home cell, chunk): a cell holding more than ``block_rows`` representatives is
-    split into chunks, and every probe row aimed at that cell is replicated to each chunk, so
-    no task receives more than ``block_rows`` home rows whatever the skew."""
+    Blocks are (home cell, home chunk, probe chunk): both sides of a cell are cut into chunks of
+    about ``block_rows`` rows, so no task receives more than that of either side whatever the
+    skew.  A cell probes itself and, of every pair of neighbours, only the one that comes later,
+    so each block pair is computed once."""
     import numpy as np
     import pandas as pd
 
@@ -134,16 +146,20 @@ def _grid_pairs(reps: DataFrame, threshold: float, num_pivots: int, block_rows:
     rc = reps.select("id", "u", F.array(*cells).alias("cell"))
     sizes = rc.groupBy("cell").agg(F.count("*").alias("n")).select(
         "cell", F.ceil(F.col("n") / F.lit(block_rows)).cast("int").alias("chunks"))
-    home = (rc.join(sizes, "cell")
-              .select("cell", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"),
-                      F.lit(True).alias("is_home"), "id", "u"))
-    offsets = [list(o) for o in itertools.product([-1, 0, 1], repeat=len(piv))]
+    offsets = [list(o) for o in itertools.product([-1, 0, 1], repeat=len(piv)) if list(o) >= [0] * len(piv)]
     off = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])
-    probe = rc.select("id", "u", F.explode(F.transform(off, lambda o: F.zip_with(F.col("cell"), o, lambda c, d: c + d)))
-                      .alias("cell"))
-    probe = (probe.join(sizes, "cell")   # only cells that hold representatives
+    probe = rc.select("id", "u", F.explode(F.transform(off, lambda o: F.struct(
+        F.zip_with(F.col("cell"), o, lambda c, d: c + d).alias("cell"), F.forall(o, lambda d: d == 0).alias("own")))).alias("p"))
+    probe = probe.select("id", "u", "p.cell", "p.own").join(sizes, "cell")   # only cells that hold representatives
+    psizes = probe.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("pchunks"))
+    home = (rc.join(sizes, "cell").join(psizes, "cell")
+              .select("cell", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"),
+                      F.explode(F.sequence(F.lit(0), F.col("pchunks") - 1)).alias("pchunk"),
+                      F.lit(True).alias("is_home"), F.lit(False).alias("own"), "id", "u"))
+    probe = (probe.join(psizes, "cell")
                   .select("cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-                          F.lit(False).alias("is_home"), "id", "u"))
+                          F.pmod(F.xxhash64("id", F.lit(5)), F.col("pchunks")).cast("int").alias("pchunk"),
+                          F.lit(False).alias("is_home"), "own", "id", "u"))
     t = float(threshold)
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -157,11 +173,14 @@ def _grid_pairs(reps: DataFrame, threshold: float, num_pivots: int, block_rows:
         qi, hi = np.nonzero(S >= t)
         a = q["id"].to_numpy()[qi]
         b = h["id"].to_numpy()[hi]
-        keep = a < b
-        return pd.DataFrame({"a": a[keep], "b": b[keep], "cosine": S[qi, hi][keep]})
+        # inside a cell every pair meets twice, between cells once
+        keep = ~q["own"].to_numpy()[qi] | (a < b)
+        a, b = a[keep], b[keep]
+        first = a < b
+        return pd.DataFrame({"a": np.where(first, a, b), "b": np.where(first, b, a), "cosine": S[qi, hi][keep]})
 
     blocks = home.unionByName(probe)
-    return blocks.groupBy("cell", "chunk").applyInPandas(verify, "a string, b string, cosine double")
+    return blocks.groupBy("cell", "chunk", "pchunk").applyInPandas(verify, "a string, b string, cosine double")
 
 
 def near_duplicate_groups(emb: DataFrame, dataset_id: str, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
@@ -196,8 +215,9 @@ def reduce_2d(emb: DataFrame, dataset_id: str, seed: int = 42) -> DataFrame:
 def coordinates(emb: DataFrame, samples: DataFrame, dataset_id: str) -> DataFrame:
     """Reduced points with the sample's file name, ordered by sample id."""
     e = emb.filter((F.col("dataset_id") == dataset_id) & F.col("x").isNotNull() & F.col("y").isNotNull())
-    s = samples.filter(F.col("dataset_id") == dataset_id).select(F.col("id").alias("sample_id"), "file_name")
-    return e.join(s, "sample_id").select("sample_id", "x", "y", "file_name").orderBy("sample_id")
+    thumb = F.col("thumbnail_path") if "thumbnail_path" in samples.columns else F.lit(None).cast("string")
+    s = samples.filter(F.col("dataset_id") == dataset_id).select(F.col("id").alias("sample_id"), "file_name", thumb.alias("thumbnail_path"))
+    return e.join(s, "sample_id").select("sample_id", "x", "y", "file_name", "thumbnail_path").orderBy("sample_id")
 
 
 # Controlled tag vocabulary per tagging dimension.
@@ -211,22 +231,22 @@ TAG_VOCABULARY = {
 TAG_DIMENSIONS = list(TAG_VOCABULARY)
 
 
-def vocabulary(spark) -> DataFrame:
-    rows = [(d, w) for d, ws in TAG_VOCABULARY.items() for w in ws]
+def vocabulary(spark, words: dict[str, list[str]] | None = None) -> DataFrame:
+    rows = [(d, w) for d, ws in (words or TAG_VOCABULARY).items() for w in ws]
     return spark.createDataFrame(rows, "dimension string, tag string")
 
 
-def normalize_tag_answers(answers: DataFrame) -> DataFrame:
+def normalize_tag_answers(answers: DataFrame, words: dict[str, list[str]] | None = None) -> DataFrame:
     """V7: (dataset_id, id, dimension, answer) -> (dataset_id, id, new_tags).  An answer is
     trimmed, lower-cased, stripped of trailing dots and kept only if it is a word of that
-    dimension's vocabulary (broadcast join with the 20-row vocabulary)."""
-    v = vocabulary(answers.sparkSession)
+    dimension's vocabulary (``words``: dimension -> words, by default the fixed vocabulary)."""
+    v = vocabulary(answers.sparkSession, words)
     norm_ans = answers.withColumn("tag", F.regexp_replace(F.lower(F.trim(F.col("answer"))), r"\.+$", ""))
-    kept = norm_ans.join(F.broadcast(v), ["dimension", "tag"], "left_semi")
+    kept = norm_ans.join(v, ["dimension", "tag"], "left_semi")
     return kept.groupBy("dataset_id", "id").agg(F.array_sort(F.collect_set("tag")).alias("new_tags"))
 
 
-def tag_images(images: DataFrame, answer_fn, batch_size: int = 50) -> DataFrame:
+def tag_images(images: DataFrame, answer_fn, batch_size: int = 50, words: dict[str, list[str]] | None = None) -> DataFrame:
     """V8: apply a user-supplied model to images in Arrow batches.
 
     ``answer_fn(pandas.DataFrame) -> pandas.DataFrame`` receives columns dataset_id, id, path
@@ -240,7 +260,7 @@ def tag_images(images: DataFrame, answer_fn, batch_size: int = 50) -> DataFrame:
                 out = answer_fn(pdf.iloc[start:start + batch_size])
                 if out is not None and len(out):
                     yield out[["dataset_id", "id", "dimension", "answer"]]
-    return normalize_tag_answers(images.mapInPandas(run, schema))
+    return normalize_tag_answers(images.mapInPandas(run, schema), words)
 
 
 def embed_images(images: DataFrame, embed_fn, model_name: str, batch_size: int = 32) -> DataFrame:

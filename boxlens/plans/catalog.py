@@ -1017,65 +1017,151 @@ def v6(spark, sf_dir):
     return V.coordinates(d.embeddings, d.samples, DATASET).select("sample_id", r9("x"), r9("y"), "file_name")
 
 
-_DIMS = V.TAG_DIMENSIONS
-_VOCAB_SQL = " UNION ALL ".join(f"SELECT '{d}' dimension, '{w}' tag" for d, ws in V.TAG_VOCABULARY.items() for w in ws)
+# V7: the answers are text columns of the given tables (an order's priority and status, its
+# lines' return flags); words outside the vocabulary of their dimension are dropped.
+V7_WORDS = {"priority": ["1-urgent", "2-high", "3-medium"], "flag": ["a", "r"], "status": ["f", "o"]}
 
+_V7_SQL = """
+WITH voc AS (SELECT * FROM (VALUES """ + ", ".join(f"('{d}', '{w}')" for d, ws in V7_WORDS.items() for w in ws) + """) v(dimension, tag)),
+ans AS (SELECT CAST(o_orderkey AS VARCHAR) id, 'priority' dimension, ' ' || o_orderpriority || '..' answer FROM orders
+        UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'status', o_orderstatus || '.' FROM orders
+        UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'flag', l_returnflag FROM lineitem),
+nrm AS (SELECT id, dimension, regexp_replace(lower(trim(answer)), '\\.+$', '') tag FROM ans)
+SELECT id, array_to_string(list_sort(list_distinct(list(tag))), '|') new_tags FROM nrm SEMI JOIN voc USING (dimension, tag) GROUP BY id"""
 
-# Fixed test values: answers of a deterministic stand-in tagging model, picked by the
-# sample key (raw answers, before normalisation; some are outside the vocabulary).
-STAND_IN_ANSWERS = {
-    "lighting": ["Dark.", " dim ", "BRIGHT", "normal..", "sunny"],
-    "clarity": ["blurry", "Sharp.", "noisy", "fuzzy"],
-    "setting": ["indoor", "Outdoor.", "both"],
-    "weather": ["sunny", "cloudy", "rainy", "foggy", "snowy", "night", "day", "Night."],
-    "density": ["empty", "sparse", "moderate", "crowded", "dense"],
-}
 
+@query("V7_normalize_tag_answers", _V7_SQL)
+def v7(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    o, li = d.table("orders"), d.table("lineitem")
+    key = lambda c: [F.lit(DATASET).alias("dataset_id"), F.col(c).cast("string").alias("id")]
+    ans = (o.select(*key("o_orderkey"), F.lit("priority").alias("dimension"), F.concat(F.lit(" "), "o_orderpriority", F.lit("..")).alias("answer"))
+            .unionByName(o.select(*key("o_orderkey"), F.lit("status").alias("dimension"), F.concat("o_orderstatus", F.lit(".")).alias("answer")))
+            .unionByName(li.select(*key("l_orderkey"), F.lit("flag").alias("dimension"), F.col("l_returnflag").alias("answer"))))
+    return V.normalize_tag_answers(ans, V7_WORDS).select("id", F.array_join("new_tags", "|").alias("new_tags"))
+
+
+@query("V8_tag_images", """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) v FROM embeddings),
+c AS (SELECT label, i, avg(x) m FROM (SELECT label, unnest(v) x, generate_subscripts(v, 1) i FROM e) GROUP BY label, i),
+t AS (SELECT vec_id, unnest(v) x, generate_subscripts(v, 1) i FROM e),
+s AS (SELECT t.vec_id, c.label, sum(t.x * c.m) - sum(c.m * c.m) / 2 score FROM t JOIN c ON c.i = t.i GROUP BY t.vec_id, c.label)
+SELECT CAST(vec_id AS VARCHAR) id, 'label ' || arg_max(label, (round(score, 9), -label)) new_tags FROM s GROUP BY vec_id""")
+def v8(spark, sf_dir):
+    """Batch tagging with a model learned from the table: the nearest class centroid of a vector."""
+    e = _d(spark, sf_dir).table("embeddings")
+    rows = (e.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+             .groupBy("label", "i").agg(F.avg("x").alias("m"))
+             .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c")).orderBy("label").collect())   # one row a class
+    labels, centroids = [r["label"] for r in rows], [[x["m"] for x in r["c"]] for r in rows]
+
+    def nearest_class(pdf):
+        import numpy as np
+        import pandas as pd
+        c = np.array(centroids)
+        v = np.stack([np.asarray(x, np.float64) for x in pdf["vector"]])
+        score = np.round(v @ c.T - (c * c).sum(axis=1) / 2, 9)
+        return pd.DataFrame({"dataset_id": pdf["dataset_id"], "id": pdf["id"], "dimension": "label",
+                             "answer": [f"Label {labels[k]}." for k in score.argmax(axis=1)]})
+    images = e.select(F.lit(DATASET).alias("dataset_id"), F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
+    out = V.tag_images(images, nearest_class, words={"label": [f"label {x}" for x in labels]})
+    return out.select("id", F.array_join("new_tags", "|").alias("new_tags"))
+
+
+@query("J5_similar_with_samples", W() + f"""
+SELECT n.sample_id, n.score, s.file_name FROM (
+  SELECT b.sample_id, ROUND({_COS_SQL}, 9) score FROM emb a, emb b WHERE a.sample_id = '10' AND b.sample_id <> '10'
+  ORDER BY score DESC, b.sample_id LIMIT 20) n LEFT JOIN samples s ON s.id = n.sample_id""")
+def j5(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    r = V.similar_with_samples(d.embeddings, d.samples, DATASET, "10", 20)
+    return r.select("sample_id", F.round("score", 9).alias("score"), "file_name")
 
-def stand_in_model(pdf):
-    """A batch "model" for V8: answers per (dimension) from the numeric sample id."""
-    import pandas as pd
-    rows = []
-    for ds, sid in zip(pdf["dataset_id"], pdf["id"]):
-        k = int(sid)
-        for dim, opts in STAND_IN_ANSWERS.items():
-            rows.append((ds, sid, dim, opts[k % len(opts)]))
-    return pd.DataFrame(rows, columns=["dataset_id", "id", "dimension", "answer"])
 
+# ---------------------------------------------------------------------------------------
+# G1-G4 display geometry, A10 nested, F14 order, E16 evidence, list_datasets
+# ---------------------------------------------------------------------------------------
+from boxlens.functions import geometry as GEO  # noqa: E402
 
-def _answers_sql():
-    parts = []
-    for dim, opts in STAND_IN_ANSWERS.items():
-        arr = ", ".join("'" + o + "'" for o in opts)
-        parts.append(f"SELECT id, '{dim}' dimension, ([{arr}])[CAST(id AS BIGINT) % {len(opts)} + 1] answer FROM samples")
-    return " UNION ALL ".join(parts)
 
+def _on_display(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    s = d.samples.select(F.col("id").alias("sample_id"), "width", "height")
+    return (d.annotations.join(s, "sample_id").withColumn("display_w", F.lit(800.0)).withColumn("display_h", F.lit(600.0)))
 
-_V7_SQL = W() + f""",
-voc AS ({_VOCAB_SQL}),
-ans AS (SELECT id, dimension, regexp_replace(lower(trim(answer)), '\\.+$', '') tag FROM ({_answers_sql()}))
-SELECT id, array_to_string(list_sort(list_distinct(list(tag))), '|') new_tags
-FROM ans SEMI JOIN voc USING (dimension, tag) GROUP BY id"""
 
+def _box9(df):
+    return df.select("id", *[r9(c) for c in ("bbox_x", "bbox_y", "bbox_w", "bbox_h")])
 
-@query("V7_normalize_tag_answers", _V7_SQL)
-def v7(spark, sf_dir):
-    s = _d(spark, sf_dir).samples
-    parts = []
-    for dim, opts in STAND_IN_ANSWERS.items():
-        arr = F.array(*[F.lit(o) for o in opts])
-        parts.append(s.select("dataset_id", "id", F.lit(dim).alias("dimension"),
-                              F.element_at(arr, (F.col("id").cast("long") % len(opts) + 1).cast("int")).alias("answer")))
-    ans = parts[0]
-    for p in parts[1:]:
-        ans = ans.unionByName(p)
-    return V.normalize_tag_answers(ans).select("id", F.array_join("new_tags", "|").alias("new_tags"))
 
+@query("G1_scale_boxes", W() + """
+SELECT a.id, ROUND(bbox_x * (800.0 / s.width), 9) bbox_x, ROUND(bbox_y * (600.0 / s.height), 9) bbox_y,
+       ROUND(bbox_w * (800.0 / s.width), 9) bbox_w, ROUND(bbox_h * (600.0 / s.height), 9) bbox_h
+FROM (SELECT * REPLACE (CAST(width AS DOUBLE) AS width, CAST(height AS DOUBLE) AS height) FROM samples) s JOIN annotations a ON a.sample_id = s.id""".replace("800.0", "CAST(800 AS DOUBLE)").replace("600.0", "CAST(600 AS DOUBLE)"))
+def g1(spark, sf_dir):
+    return _box9(GEO.scale_boxes(_on_display(spark, sf_dir)))
 
-@query("V8_tag_images", _V7_SQL)
-def v8(spark, sf_dir):
-    s = _d(spark, sf_dir).samples.select("dataset_id", "id", "file_name")
-    return V.tag_images(s, stand_in_model).select("id", F.array_join("new_tags", "|").alias("new_tags"))
+
+@query("G2_unscale_boxes", W() + """
+SELECT a.id, ROUND(bbox_x * (s.width / CAST(800 AS DOUBLE)), 9) bbox_x, ROUND(bbox_y * (s.height / CAST(600 AS DOUBLE)), 9) bbox_y,
+       ROUND(bbox_w * (s.width / CAST(800 AS DOUBLE)), 9) bbox_w, ROUND(bbox_h * (s.height / CAST(600 AS DOUBLE)), 9) bbox_h
+FROM samples s JOIN annotations a ON a.sample_id = s.id""")
+def g2(spark, sf_dir):
+    return _box9(GEO.unscale_boxes(_on_display(spark, sf_dir)))
+
+
+@query("G3_normalize_boxes", W() + """
+SELECT id, ROUND(bbox_x, 9) bbox_x, ROUND(bbox_y, 9) bbox_y, ROUND(bbox_w, 9) bbox_w, ROUND(bbox_h, 9) bbox_h FROM annotations""")
+def g3(spark, sf_dir):
+    """Every second box is drawn from its right edge, every third from its bottom edge."""
+    a = _d(spark, sf_dir).annotations
+    flip_x, flip_y = F.crc32(F.col("id").cast("binary")) % 2 == 0, F.crc32(F.col("id").cast("binary")) % 3 == 0
+    drawn = (a.withColumn("bbox_x", F.when(flip_x, F.col("bbox_x") + F.col("bbox_w")).otherwise(F.col("bbox_x")))
+              .withColumn("bbox_w", F.when(flip_x, -F.col("bbox_w")).otherwise(F.col("bbox_w")))
+              .withColumn("bbox_y", F.when(flip_y, F.col("bbox_y") + F.col("bbox_h")).otherwise(F.col("bbox_y")))
+              .withColumn("bbox_h", F.when(flip_y, -F.col("bbox_h")).otherwise(F.col("bbox_h"))))
+    return _box9(GEO.normalize_boxes(drawn))
+
+
+@query("G4_next_triage_label", W() + """
+SELECT annotation_id, CASE label WHEN 'tp' THEN 'fp' WHEN 'fp' THEN 'fn' WHEN 'fn' THEN 'mistake' ELSE 'tp' END next_label FROM overrides""")
+def g4(spark, sf_dir):
+    return _d(spark, sf_dir).overrides.select("annotation_id", GEO.next_triage_label(F.col("label")).alias("next_label"))
+
+
+@query("A10_nested_page", W() + """
+SELECT sample_id, COUNT(*) n, string_agg(id || ':' || dataset_id || ':' || category_name || ':' || CAST(CAST(area AS BIGINT) AS VARCHAR) || ':' ||
+       CAST(is_crowd AS VARCHAR), '|' ORDER BY id) boxes
+FROM annotations WHERE sample_id IN (SELECT id FROM samples WHERE dataset_id = 'ds1' ORDER BY width DESC NULLS LAST, id LIMIT 200 OFFSET 400)
+  AND source IN ('ground_truth', 'run_b') GROUP BY sample_id""")
+def a10n(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    ids = SM.page(SM.sort_samples(d.samples.filter(F.col("dataset_id") == DATASET), "width", "desc"), 400, 200).select("id")
+    g = SM.group_annotations(d.annotations, DATASET, ids, ["ground_truth", "run_b"])
+    box = lambda x: F.concat_ws(":", x["id"], x["dataset_id"], x["category_name"], x["area"].cast("long").cast("string"), x["is_crowd"].cast("string"))
+    return g.select("sample_id", F.size("annotations").cast("long").alias("n"), F.array_join(F.transform("annotations", box), "|").alias("boxes"))
+
+
+@query("F14_saved_view_order", ORACLE["F14_apply_saved_views"].replace("SELECT v.view_id, s.id FROM samples s, v", """
+SELECT view_id, id, ROW_NUMBER() OVER (PARTITION BY view_id ORDER BY
+    CASE WHEN NOT d THEN n END NULLS LAST, CASE WHEN d THEN n END DESC NULLS LAST,
+    CASE WHEN NOT d THEN t END NULLS LAST, CASE WHEN d THEN t END DESC NULLS LAST, id) pos
+FROM (SELECT v.view_id, s.id, COALESCE(v.sort_dir = 'desc', false) d,
+             CASE v.sort_by WHEN 'width' THEN s.width WHEN 'height' THEN s.height END n,
+             CASE v.sort_by WHEN 'file_name' THEN s.file_name WHEN 'split' THEN s.split END t FROM samples s, v""").replace(
+    "'$.tags') AS VARCHAR[]) tags FROM views)",
+    "'$.tags') AS VARCHAR[]) tags, json_extract_string(filters, '$.sortBy') sort_by, json_extract_string(filters, '$.sortDir') sort_dir FROM views)") + ")")
+def f14o(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return SM.saved_view_order(d.samples, d.annotations, d.views, DATASET)
+
+
+@query("E16_error_evidence_summary", W(*error_label_ctes("run_a", 0.45, 0.25)) + """
+SELECT COUNT(*) FILTER (WHERE error_type='tp') true_positives, COUNT(*) FILTER (WHERE error_type='hard_fp') hard_false_positives,
+       COUNT(*) FILTER (WHERE error_type='label_error') label_errors, COUNT(*) FILTER (WHERE error_type='false_negative') false_negatives FROM labels""")
+def e16(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return E.error_evidence(d.annotations, d.samples, DATASET, RUN_A)["summary"]
 
 
 # ---------------------------------------------------------------------------------------
