@@ -2,10 +2,10 @@
 
 Design for scale
 ----------------
-* **Pair join (J8)** is an equi-join on ``(dataset_id, sample_id, cell_x, cell_y)``: every box
-  is replicated to the grid cells it covers and a pair is kept only in the cell holding the
-  top-left corner of the pair's intersection, so each overlapping pair appears exactly once
-  and disjoint pairs (IoU 0, irrelevant to every rule) are never formed.  An image holding a
+* **Pair join (J8)** is an equi-join on ``(dataset_id, sample_id, level, cell_x, cell_y)`` of a grid
+  with levels of doubling cell size: a pair meets at the level of its larger box and is kept
+  only in the cell holding the top-left corner of its intersection, so each overlapping pair
+  appears exactly once and disjoint pairs (IoU 0, irrelevant to every rule) are rarely formed.  An image holding a
   third of all boxes is thereby split over many join keys instead of one quadratic task.
 * **Argmax matching (W1 + W2)**: when a prediction's candidate is its best GT over *all* GT
   (the rule of error analysis, triage and PR matching) the sequential greedy loop equals two
@@ -66,17 +66,30 @@ def restrict_split(boxes: DataFrame, samples: DataFrame | None, split: str | Non
     return boxes.join(s, ["dataset_id", "sample_id"], "left_semi")
 
 
-def _with_cells(boxes: DataFrame, prefix: str, cell: float) -> DataFrame:
-    """Corner columns with ``prefix`` plus one row per covered grid cell.  Boxes without
-    positive area can overlap nothing and are dropped from the pair join."""
-    b = boxes.filter((F.col("bbox_w") > 0) & (F.col("bbox_h") > 0)).select(
-        "dataset_id", "sample_id",
+MIN_LEVEL, MAX_LEVEL = -6, 12        # cells of cell * 2^level pixels
+
+
+def _solid(boxes: DataFrame, cell: float) -> DataFrame:
+    """Boxes of positive area (others can overlap nothing) with their grid level: the smallest
+    cell size that is no smaller than the box, so a box covers at most 2 x 2 cells of its level."""
+    side = F.greatest("bbox_w", "bbox_h") / F.lit(float(cell))
+    level = F.least(F.greatest(F.ceil(F.log2(side)), F.lit(MIN_LEVEL)), F.lit(MAX_LEVEL)).cast("int")
+    return boxes.filter((F.col("bbox_w") > 0) & (F.col("bbox_h") > 0)).withColumn("_own", level)
+
+
+def _with_cells(boxes: DataFrame, prefix: str, cell: float, levels: list[int]) -> DataFrame:
+    """Corner columns with ``prefix`` plus one row per covered cell of its own and every coarser
+    level in use."""
+    b = boxes.select(
+        "dataset_id", "sample_id", F.col("_own").alias(f"{prefix}own"),
         F.col("id").alias(f"{prefix}id"), F.col("category_name").alias(f"{prefix}cat"),
         F.col("bbox_x").alias(f"{prefix}x1"), F.col("bbox_y").alias(f"{prefix}y1"),
         (F.col("bbox_x") + F.col("bbox_w")).alias(f"{prefix}x2"),
         (F.col("bbox_y") + F.col("bbox_h")).alias(f"{prefix}y2"),
         *([effective_confidence().alias("conf")] if prefix == "p_" else []))
-    c = F.lit(float(cell))
+    known = F.array(*[F.lit(x) for x in levels])
+    b = b.withColumn("level", F.explode(F.filter(known, lambda x: x >= F.col(f"{prefix}own"))))
+    c = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("level"))
     return (b.withColumn("cx", F.explode(F.sequence(F.floor(F.col(f"{prefix}x1") / c), F.floor(F.col(f"{prefix}x2") / c))))
              .withColumn("cy", F.explode(F.sequence(F.floor(F.col(f"{prefix}y1") / c), F.floor(F.col(f"{prefix}y2") / c)))))
 
@@ -85,13 +98,19 @@ def candidate_pairs(preds: DataFrame, gts: DataFrame, same_class: bool = False,
                     cell: float = DEFAULT_CELL) -> DataFrame:
     """Every (prediction, GT) pair of one image with positive overlap, exactly once.
 
+    The grid has levels of doubling cell size.  A pair meets at the level of its larger box, so
+    small boxes crowded at one spot are told apart by small cells, and a box over the whole image
+    covers four cells instead of hundreds.  One small job finds the levels in use.
+
     Columns: dataset_id, sample_id, p_id, p_cat, conf, g_id, g_cat, iou.
     """
-    p = _with_cells(preds, "p_", cell)
-    g = _with_cells(gts, "g_", cell)
-    keys = ["dataset_id", "sample_id", "cx", "cy"]
-    c = F.lit(float(cell))
-    pairs = p.join(g, keys)
+    ps, gs = _solid(preds, cell), _solid(gts, cell)
+    levels = sorted(r["_own"] for r in ps.select("_own").union(gs.select("_own")).distinct().collect()) or [0]   # at most 19 numbers
+    p = _with_cells(ps, "p_", cell, levels)
+    g = _with_cells(gs, "g_", cell, levels)
+    keys = ["dataset_id", "sample_id", "level", "cx", "cy"]
+    c = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("level"))
+    pairs = p.join(g, keys).filter((F.col("level") == F.col("p_own")) | (F.col("level") == F.col("g_own")))
     if same_class:
         pairs = pairs.filter(F.col("p_cat") == F.col("g_cat"))
     inter = intersection("p_", "g_")

@@ -1177,6 +1177,19 @@ def e1(spark, sf_dir):
     return MT.candidate_pairs(p, g).select("sample_id", "p_id", "g_id", r9("iou"))
 
 
+@query("E1_iou_pairs_wide", W(*argmax_ctes("run_a", 0.5, None)) + """
+SELECT sample_id, p_id, g_id, ROUND(iou, 9) iou FROM pairs WHERE iou > 0""")
+def e1w(spark, sf_dir):
+    """The same boxes 64 times as large (to 4,700 x 4,600 pixels, over many grid cells); a power of
+    two, so every IoU stays the same to the last bit."""
+    a = _d(spark, sf_dir).annotations
+    big = a.select(*[F.col(c) * F.lit(64.0) if c.startswith("bbox_") else F.col(c) for c in a.columns])
+    big = big.toDF(*a.columns)
+    p = MT.predictions(big, DATASET, RUN_A)
+    g = MT.ground_truth(big, DATASET)
+    return MT.candidate_pairs(p, g).select("sample_id", "p_id", "g_id", r9("iou"))
+
+
 @query("E2_class_names", W() + """
 SELECT DISTINCT category_name class_name FROM annotations WHERE dataset_id = 'ds1' AND source IN ('ground_truth', 'run_a')""")
 def e2(spark, sf_dir):

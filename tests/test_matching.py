@@ -139,3 +139,19 @@ def test_interpolated_ap_hand_case(spark):
     classes = spark.createDataFrame([("c",)], "class_name string")
     ap = EV.interpolated_ap(pts, classes).first().ap
     assert abs(ap - (51 * 1.0 + 50 * (2 / 3)) / 101) < 1e-12
+
+
+def test_pairs_of_very_different_sizes_and_a_dense_spot(spark):
+    rnd = random.Random(11)
+    gts, prs = [], []
+    for k, out in ((0, gts), (1, prs)):
+        for i in range(150):
+            side = 2.0 ** rnd.uniform(0, 12)
+            out.append((f"{'gp'[k]}{i:03d}", "s1", "a", rnd.uniform(-50, 4000), rnd.uniform(-50, 3000), side * rnd.uniform(.3, 1), side * rnd.uniform(.3, 1), 0.5))
+        for i in range(150):           # many small boxes at one spot
+            out.append((f"{'gp'[k]}d{i:03d}", "s1", "a", 100 + rnd.uniform(0, 30), 100 + rnd.uniform(0, 30), rnd.uniform(1, 4), rnd.uniform(1, 4), 0.5))
+    p, g = _frames(spark, [r[:7] for r in gts], prs)
+    got = sorted((r.p_id, r.g_id) for r in M.candidate_pairs(p, g).collect())
+    want = sorted((a[0], b[0]) for a in prs for b in gts
+                  if min(a[3] + a[5], b[3] + b[5]) > max(a[3], b[3]) and min(a[4] + a[6], b[4] + b[6]) > max(a[4], b[4]))
+    assert got == want
