@@ -30,29 +30,34 @@ def _small_star(e: DataFrame) -> DataFrame:
     return rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _finished(e: DataFrame) -> bool:
+    """The edges are stars around their smallest node: every node points to one node at most, and
+    none that points is pointed at.  Counted in one job."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    ends = (e.select(F.col("u").alias("x"), one.alias("o"), none.alias("i"))
+             .unionByName(e.select(F.col("v").alias("x"), none.alias("o"), one.alias("i"))))
+    per = ends.groupBy("x").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+    return per.agg(F.count_if((F.col("o") > 1) | ((F.col("o") > 0) & (F.col("i") > 0)))).first()[0] == 0
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> DataFrame:
     """(node, component) for every node of ``edges``; component is its smallest reachable node.
 
-    Self-loops keep their node in the result; null ends are ignored.  Runs until a round
-    changes nothing (the edge table's count and hash sums repeat) and raises if that takes
-    more than ``max_rounds``: an unfinished labelling is never returned."""
+    Self-loops keep their node in the result; null ends are ignored.  Runs until the edges are
+    stars and raises if that takes more than ``max_rounds``: an unfinished labelling is never
+    returned."""
     raw = pin(edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
                    .filter(F.col("a").isNotNull() & F.col("b").isNotNull()))
     e = pin(raw.filter(F.col("a") != F.col("b"))
                .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
-    for _ in range(max_rounds):
-        state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-                      F.bit_xor(F.xxhash64("v", "u")).alias("x")).first()
-        if state == seen or state["n"] == 0:
-            break
-        seen = state
+    rounds = 0
+    while not _finished(e):
+        if rounds == max_rounds:
+            release(raw, e)
+            raise RuntimeError(f"components not finished after {max_rounds} rounds")
         step = pin(_small_star(_large_star(e)))
         release(e)
-        e = step
-    else:
-        release(raw, e)
-        raise RuntimeError(f"components not finished after {max_rounds} rounds")
+        e, rounds = step, rounds + 1
     # u > v in every edge of a finished star: v is the root
     nodes = raw.select(F.col("a").alias("node")).unionByName(raw.select(F.col("b").alias("node"))).distinct()
     out = pin(nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
