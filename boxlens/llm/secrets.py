@@ -74,9 +74,9 @@ def _near(weak: DataFrame, strong: DataFrame, scope: int, how: str) -> DataFrame
     s = strong.select(F.col("rid").alias("_rid"), F.col("start").alias("_s"), F.col("end").alias("_e"), buckets(max(scope, 0)).alias("_b"))
     w = weak.select("rid", "no", "start", "end", buckets(0).alias("_wb"))
     near = (F.col("_s") - F.col("end") <= scope) & (F.col("start") - F.col("_e") <= scope)
-    hit = (w.join(s, (F.col("rid") == F.col("_rid")) & (F.col("_wb") == F.col("_b")) & near, "left_semi")
+    hit = (w.join(s.hint("merge"), (F.col("rid") == F.col("_rid")) & (F.col("_wb") == F.col("_b")) & near, "left_semi")
             .select("rid", "no", "start").distinct())
-    return weak.join(hit, ["rid", "no", "start"], how)
+    return weak.join(hit.hint("merge"), ["rid", "no", "start"], how)
 
 
 def linked_weak(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -110,7 +110,8 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     none = F.array().cast("array<struct<start:bigint,no:int,end:bigint,kind:string>>")
     every = F.coalesce("all", none)
     base = F.filter(every, lambda x: x["no"] < len(BASE))
-    return rows.join(per, "rid", "left").select(
+    # spans grow with the documents: no broadcast while they are few
+    return rows.join(per.hint("merge"), "rid", "left").select(
         "doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(joined(base), 256).alias("base_sha256"), joined(every).alias("spans"),
         (F.size(every) - F.size(base)).cast("long").alias("n_linked"))

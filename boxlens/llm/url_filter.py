@@ -83,6 +83,7 @@ def judge(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     fetched = words.join(index, "token").filter(F.regexp_like(F.concat("host", "path"), F.col("regex")))
     named = F.when(F.col("name").isNotNull(), F.struct(F.length("name").alias("n"), "name", F.col("verdict").alias("v")))
     found = pin(fetched.groupBy("host", "path").agg(F.max(named).alias("best"), F.max((F.col("name").isNull() & (F.col("verdict") == "block")).cast("int")).alias("hit")))
-    out = parsed.join(found, ["host", "path"], "left")
+    # matched subjects grow with the pages: their stored size says little of their size in memory
+    out = parsed.join(found.hint("merge"), ["host", "path"], "left")
     return out.select("page_id", "host", "path", F.col("best.name").alias("rule"),
                       F.coalesce("best.v", F.when(F.col("hit") == 1, "block").otherwise("allow")).alias("verdict"))
