@@ -7,12 +7,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from boxlens.plans import catalog
 from conftest import SF
 
 FAST = ["E9_error_summary", "E9_error_per_class", "E10_annotation_triage", "E11_worst_images", "E4_pr_curve",
         "E5_interpolated_ap", "E7_confusion_matrix", "E12_greedy_match", "E6_map_per_class", "A4_facets", "F7_filter_samples",
         "F14_apply_saved_views", "M6_apply_annotation_edits", "M12_annotated_tags", "V3_near_duplicate_groups",
-        "V7_normalize_tag_answers", "T2_page"]
+        "V7_normalize_tag_answers", "V8_tag_images", "E1_iou_pairs_wide", "F14_saved_view_order", "T2_page"]
 
 
 def _norm(v):
@@ -38,7 +39,8 @@ ROWS_ONLY = {"V5_reduce_2d"}   # PCA is not the reference's projection; checked
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(catalog.QUERIES) - set(catalog.ORACLE) == ROWS_ONLY
+    assert set(catalog.QUERIES) <= set(entry.queries()) and set(catalog.ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry_runs(spark):
@@ -59,7 +61,7 @@ SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "stri
                  "timestamp": "TIMESTAMP"}
 
 
-QUICK_SCHEMA = ("A", "F", "M", "T2", "V1", "V6", "V7", "E9", "E10", "E1_", "E2_")
+QUICK_SCHEMA = ("A", "F", "G", "J", "M", "T2", "V1", "V6", "V7", "V8", "E9", "E10", "E1_", "E2_", "E16")
 
 
 def test_schemas_match_oracle_types(spark, con):
@@ -69,10 +71,10 @@ def test_schemas_match_oracle_types(spark, con):
         con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     bad = []
     full = bool(os.environ.get("BOXLENS_FULL"))
-    for name, sql in entry.oracle_sql().items():
+    for name, sql in catalog.ORACLE.items():
         if not full and not name.startswith(QUICK_SCHEMA):
             continue
-        st = dict(entry.queries()[name](spark, SF).dtypes)
+        st = dict(catalog.QUERIES[name](spark, SF).dtypes)
         rel = con.sql(sql)
         dt = dict(zip(rel.columns, [str(x) for x in rel.types]))
         if set(st) != set(dt) or any(SPARK_TO_DUCK.get(st[c], st[c]) != dt[c] for c in st):

@@ -9,7 +9,7 @@ from conftest import SF
 
 HEAVY = ["E9_error_labels", "E10_annotation_triage", "E12_greedy_match", "E7_confusion_matrix", "E3_pr_matches",
          "A1_class_distribution", "A4_facets", "F7_filter_samples", "M6_apply_annotation_edits", "V2_near_duplicate_pairs",
-         "E1_iou_pairs"]
+         "E1_iou_pairs", "F14_apply_saved_views"]
 
 
 @pytest.fixture(scope="module")
