@@ -50,3 +50,39 @@ def test_reduce_2d_shapes(spark):
                                 "sample_id string, dataset_id string, vector array<double>")
     out = V.reduce_2d(emb, "d")
     assert out.count() == 20 and out.filter(F.col("x").isNull()).count() == 0
+
+
+def test_pairs_in_small_two_sided_blocks_and_zero_vectors(spark):
+    rnd = random.Random(8)
+    centers = [[rnd.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    vec = {f"v{i:03d}": [x + rnd.gauss(0, 0.12) for x in centers[i % 5]] for i in range(90)}
+    rows = [(k, "d", v) for k, v in vec.items()] + [("z1", "d", [0.0] * 6), ("z2", "d", [0.0] * 6)]
+    emb = spark.createDataFrame(rows, "sample_id string, dataset_id string, vector array<double>")
+
+    def cos(a, b):
+        return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    ids = sorted(vec)
+    want = sorted((a, b) for i, a in enumerate(ids) for b in ids[i + 1:] if cos(vec[a], vec[b]) >= 0.95)
+    got = V.near_duplicate_pairs(emb, "d", 0.95, block_rows=7).collect()
+    assert sorted((r.a, r.b) for r in got) == want and len(want) > 50
+
+
+def test_long_chain_of_near_copies_is_one_group(spark):
+    # neighbours on an arc are near, its ends are not; ids in shuffled order
+    rnd = random.Random(9)
+    order = list(range(150))
+    rnd.shuffle(order)
+    rows = [(f"s{order[i]:03d}", "d", [math.cos(i * 0.02), math.sin(i * 0.02)]) for i in range(150)]
+    emb = spark.createDataFrame(rows, "sample_id string, dataset_id string, vector array<double>")
+    groups = V.near_duplicate_groups(emb, "d", 0.99).collect()
+    assert [(g.group_id, g["size"]) for g in groups] == [("s000", 150)]
+
+
+def test_similar_results_with_samples(spark):
+    emb = spark.createDataFrame([("a", "d", [1.0, 0.0]), ("b", "d", [1.0, 0.1]), ("c", "d", [0.0, 1.0])],
+                                "sample_id string, dataset_id string, vector array<double>")
+    samples = spark.createDataFrame([("b", "d", "b.jpg", "t/b.png"), ("b", "other", "x.jpg", None)],
+                                    "id string, dataset_id string, file_name string, thumbnail_path string")
+    r = V.similar_with_samples(emb, samples, "d", "a", 5).collect()
+    assert [(x.sample_id, x.file_name, x.thumbnail_path) for x in r] == [("b", "b.jpg", "t/b.png"), ("c", None, None)]
+    assert V.similar_with_samples(emb, samples.drop("thumbnail_path"), "d", "a", 1).first().thumbnail_path is None
