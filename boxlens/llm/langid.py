@@ -33,6 +33,7 @@ MAX_ENTRIES = 3_000_000      # (language, 5-gram) counts the model keeps at most
 DISCOUNT = 0.75
 FLUSH = 2_000_000            # n-grams a counting task holds before it hands them on
 MIN_SPREAD = 6.0             # standard deviations a text may always lie above its language
+MIN_GAIN = 0.25              # and the share of the model's gain over its alphabet that keeps a text
 _MASK = [np.int64((1 << (BITS * o)) - 1) for o in range(ORDER + 1)]
 TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
 
@@ -206,7 +207,10 @@ def build_model(langs: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarr
         lower = p
     for t in tables.values():
         t["find"].order = None
-    return {"langs": langs, "tables": tables, "base": base}
+    # nats a character of a text that owes nothing to a language but its alphabet
+    top_lang, top_key, _ = cells[ORDER]
+    alphabet = [max(2, len(np.unique(top_key[top_lang == i] & _MASK[1]))) for i in range(nl)]
+    return {"langs": langs, "tables": tables, "base": base, "uniform": np.log(alphabet)}
 
 
 def log_probs(model: dict, key: np.ndarray) -> np.ndarray:
@@ -275,7 +279,8 @@ def identify(docs: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
     lang_pred is a learned lang value for every text with a letter, else 'und' (null, empty or
     letterless text, or nothing to learn from) with score 0, null cross_entropy and rejected.
     score is the calibrated posterior of lang_pred.  rejected marks texts whose cross-entropy
-    lies above the bound of its language at their length.  lang, source and doc_id are never
+    lies above the bound of its language at their length, and so high that the model gains less
+    than a quarter of its usual gain over the bare alphabet.  lang, source and doc_id are never
     inputs of a prediction; equal cross-entropies go to the smaller lang value; rows without
     lang are predicted like others.  Other columns are ignored."""
     spark = docs.sparkSession
@@ -317,7 +322,11 @@ def identify(docs: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
     z = dev / spread
     # the bound lies well beyond what calibration rows of the language show
     wide = {r["pred"]: max(MIN_SPREAD, 1.5 * r["q"]) for r in right.groupBy("pred").agg(F.percentile_approx(z, 0.999, 10_000).alias("q")).collect()}
-    rejected = ~F.col("known") | (z > per_lang(wide, MIN_SPREAD))
+    # a text with tokens or repetitions between its words is still of the language: it goes only if
+    # the model gains next to nothing on it
+    uniform = per_lang(dict(zip(langs, model["uniform"])), math.inf)
+    lost = F.col("best") > uniform - MIN_GAIN * F.greatest(uniform - per_lang(mean, math.inf), F.lit(0.0))
+    rejected = ~F.col("known") | ((z > per_lang(wide, MIN_SPREAD)) & lost)
     return rows.select(
         "doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"),
         F.when(F.col("known"), F.col("pred")).otherwise("und").alias("lang_pred"),
