@@ -126,8 +126,7 @@ def match_outcomes(preds: DataFrame, gts: DataFrame, iou_threshold: float, same_
     """W1 + W2 in two passes, one row per box (predictions and GT).
 
     W1: each prediction's best GT (IoU desc, GT id asc) -- a grouped aggregate over the pair
-    table with every prediction added once as a no-partner row (so predictions without any
-    overlap survive without an outer join).  W2: among predictions whose best GT it is with
+    table, joined to the predictions.  W2: among predictions whose best GT it is with
     IoU >= t the first by (confidence desc, prediction id) claims it -- a grouped aggregate
     per GT, joined back to the prediction (by its id) and to the GT row.
 
@@ -138,20 +137,14 @@ def match_outcomes(preds: DataFrame, gts: DataFrame, iou_threshold: float, same_
     """
     if pairs is None:
         pairs = candidate_pairs(preds, gts, same_class, cell)
-    lone = preds.select("dataset_id", "sample_id", F.col("id").alias("p_id"),
-                        F.lit(None).cast("string").alias("g_id"), F.lit(None).cast("string").alias("g_cat"),
-                        F.lit(None).cast("double").alias("iou"))
-    cand = pairs.select("dataset_id", "sample_id", "p_id", "g_id", "g_cat", "iou").unionByName(lone)
-    # min over (rank, -iou, g_id): real partners (rank 0) before the no-partner row (rank 1)
-    best = (cand.groupBy("dataset_id", "sample_id", "p_id")
-                .agg(F.min(F.struct(F.when(F.col("g_id").isNull(), 1).otherwise(0).alias("r"),
-                                    (-F.col("iou")).alias("niou"), "g_id", "g_cat", "iou")).alias("b"))
-                .select("dataset_id", "sample_id", "p_id", "b.g_id", "b.g_cat", "b.iou"))
-    prow = (preds.select("dataset_id", "sample_id", F.col("id").alias("p_id"), F.col("category_name").alias("cat"),
+    # the first of (-iou, g_id) per prediction; predictions without any overlap join to nothing
+    best = (pairs.groupBy("dataset_id", "sample_id", F.col("p_id").alias("id"))
+                 .agg(F.min(F.struct((-F.col("iou")).alias("niou"), "g_id", "g_cat")).alias("b"))
+                 .select("dataset_id", "sample_id", "id", "b.g_id", "b.g_cat", (-F.col("b.niou")).alias("iou")))
+    prow = (preds.select("dataset_id", "sample_id", "id", F.col("category_name").alias("cat"),
                          effective_confidence().alias("conf"), "confidence")
-                 .join(best, ["dataset_id", "sample_id", "p_id"])
-                 .select("dataset_id", "sample_id", F.lit("pred").alias("kind"), F.col("p_id").alias("id"), "cat",
-                         "conf", "confidence", "g_id", "g_cat", "iou", F.col("g_id").alias("key")))
+                 .join(best, ["dataset_id", "sample_id", "id"], "left")
+                 .select("dataset_id", "sample_id", F.lit("pred").alias("kind"), "id", "cat", "conf", "confidence", "g_id", "g_cat", "iou"))
     # W2 as an aggregate, not a window: the first claimant per GT is the minimum of
     # (-confidence, prediction id) among predictions whose best GT it is with IoU >= t.
     # Partial aggregation combines map-side, so one GT chosen by a third of all predictions
@@ -162,7 +155,7 @@ def match_outcomes(preds: DataFrame, gts: DataFrame, iou_threshold: float, same_
                                       F.col("cat").alias("m_cat"), F.col("iou").alias("m_iou"))).alias("c"))
                   .select("dataset_id", "sample_id", "g_id", "c.m_id", "c.m_cat", "c.m_iou"))
     won = claims.select("dataset_id", "sample_id", F.col("m_id").alias("id"), F.lit(True).alias("claimed"))
-    pred_rows = (prow.drop("key").join(won, ["dataset_id", "sample_id", "id"], "left")
+    pred_rows = (prow.join(won, ["dataset_id", "sample_id", "id"], "left")
                      .select("dataset_id", "sample_id", "kind", "id", "cat", "conf", "confidence", "g_id", "g_cat", "iou",
                              F.coalesce("claimed", F.lit(False)).alias("claimed"),
                              F.lit(None).cast("string").alias("m_id"), F.lit(None).cast("string").alias("m_cat"),

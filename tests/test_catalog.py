@@ -1,6 +1,5 @@
 """Registered queries against their DuckDB oracle on sf0.001 (the driver repeats this at sf0.01)."""
 
-import math
 import os
 
 import duckdb
