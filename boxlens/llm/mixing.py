@@ -62,13 +62,6 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
     return s.withColumn("target", F.least("_cap", F.col("_level") * F.col("_w"))).drop("_w", "_cap", "_level")
 
 
-def _same(a: DataFrame, b: DataFrame, *cols: str) -> Column:
-    cond = a["source"].eqNullSafe(b["source"])
-    for c in cols:
-        cond = cond & (a[c] == b[c])
-    return cond
-
-
 def _join(a: DataFrame, b: DataFrame, *cols: str, how: str = "inner") -> DataFrame:
     """Join on source (null equals null) and ``cols``; the left side's columns stay."""
     b = b.select(*[F.col(c).alias(f"_r_{c}") for c in ("source", *cols)], *[c for c in b.columns if c not in ("source", *cols)])
