@@ -36,8 +36,9 @@ _MAGIC = b"\x1f\x8b\x08"
 
 def _open(uri: str):
     from pyarrow import fs
-    system, path = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-    return system, path
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
 # ------------------------------------------------------------------ writing
@@ -82,7 +83,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     spark = pages.sparkSession
     jvm = spark._jvm
     hp = jvm.org.apache.hadoop.fs.Path(folder)
-    hp.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hp)
+    system = hp.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(hp)
+    folder = system.makeQualified(hp).toString()     # a path without scheme is one of the cluster's default store
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                      F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
     p = p.withColumn("sha1", F.sha1("html")).withColumn("size", F.octet_length("html").cast("long"))
