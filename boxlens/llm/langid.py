@@ -7,11 +7,12 @@ back-off weight in each language.  A text goes to the language of the lowest cro
 character.
 
 Rows whose crc32(doc_id) mod 3 is 0 give the n-gram counts, rows with 2 the calibration, rows
-with 1 are held out.  Counting is a distributed aggregation over all of the first; the model
-keeps the n-grams whose count reaches the smallest threshold that fits ``MAX_ENTRIES``, so what
-is sent to the tasks is bounded whatever the corpus.  Calibration fits the temperature of the
-score, and per language the spread of the cross-entropy against text length, from which the
-rejection bound follows.
+with 1 are held out.  Counting is a distributed aggregation over all of the first, and every count
+is used: a model of more than ``MAX_ENTRIES`` is cut into blocks by the third and fourth
+character, which hold whatever scores a 5-gram with these two, and the texts are scored in one pass
+for every block, so what is sent to the tasks at once is bounded whatever the corpus.
+Calibration fits the temperature of the score, and per language the spread of the cross-entropy
+against text length, from which the rejection bound follows.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxlens.llm import textvec
-from boxlens.session import pin
+from boxlens.session import pin, release
 
 ORDER = 5
 BITS = 12
-MAX_ENTRIES = 3_000_000      # (language, 5-gram) counts the model keeps at most
+MAX_ENTRIES = 3_000_000      # (language, 5-gram) counts of one block of the model (more if two characters alone have more)
 DISCOUNT = 0.75
 FLUSH = 2_000_000            # n-grams a counting task holds before it hands them on
 MIN_SPREAD = 6.0             # standard deviations a text may always lie above its language
@@ -125,11 +126,13 @@ def _count(batches):
         yield from out(name)
 
 
-def ngram_counts(docs: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """(lang, key, n) 5-gram counts of labelled ``docs`` (lang, text), cut to ``max_entries`` rows
-    by the smallest count threshold that fits."""
+def ngram_counts(docs: DataFrame, max_entries: int | None = None) -> DataFrame:
+    """(lang, key, n) 5-gram counts of labelled ``docs`` (lang, text): all, or cut to ``max_entries``
+    rows by the smallest count threshold that fits."""
     counts = pin(docs.select("lang", "text").mapInArrow(_count, "lang string, key long, n long")
                      .groupBy("lang", "key").agg(F.sum("n").alias("n")))
+    if max_entries is None:
+        return counts
     hist = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("n")).collect()
     total, least = 0, 1
     for r in hist:
@@ -168,9 +171,12 @@ class HashArray:
         return np.where((got == h) & (at < n), at, -1)
 
 
-def build_model(langs: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarray) -> dict:
+def build_model(langs: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarray, low: dict | None = None) -> dict:
     """Interpolated Kneser-Ney: 5-gram counts, below that continuation counts (distinct left
-    neighbours), absolute discounting, lower order weighted by the mass discounted."""
+    neighbours), absolute discounting, lower order weighted by the mass discounted.
+
+    The counts of a block need ``low``, the continuation counts of orders 1 and 2 of the whole
+    table; those above and all their contexts hold the block's two characters."""
     nl = len(langs)
     # order o holds its own n-grams, and the suffixes and contexts of order o + 1
     grams = {ORDER: np.unique(key)}
@@ -180,7 +186,9 @@ def build_model(langs: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarr
         suf = k & _MASK[o]
         code = np.unique(np.stack([l, suf]), axis=1, return_counts=True) if len(suf) else (np.zeros((2, 0), np.int64), np.zeros(0))
         cells[o] = (code[0][0], code[0][1], code[1].astype(np.float64))
-        grams[o] = np.unique(np.concatenate([grams[o + 1] & _MASK[o], grams[o + 1] >> BITS]))
+        if low and o in low:
+            cells[o] = low[o]
+        grams[o] = np.unique(np.concatenate([grams[o + 1] & _MASK[o], grams[o + 1] >> BITS, cells[o][1]]))
     tables = {}
     lower = None
     for o in range(1, ORDER + 1):
@@ -208,8 +216,7 @@ def build_model(langs: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarr
     for t in tables.values():
         t["find"].order = None
     # nats a character of a text that owes nothing to a language but its alphabet
-    top_lang, top_key, _ = cells[ORDER]
-    alphabet = [max(2, len(np.unique(top_key[top_lang == i] & _MASK[1]))) for i in range(nl)]
+    alphabet = np.maximum(2, np.bincount(cells[1][0], minlength=nl))
     return {"langs": langs, "tables": tables, "base": base, "uniform": np.log(alphabet)}
 
 
@@ -235,18 +242,71 @@ def log_probs(model: dict, key: np.ndarray) -> np.ndarray:
     return res
 
 
-def fit(docs: DataFrame, max_entries: int = MAX_ENTRIES) -> dict | None:
-    """Model from labelled rows (lang, text); None without any."""
-    counts = ngram_counts(docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()), max_entries)
+def _arrays(langs: list[str], counts: DataFrame):
+    """(lang, key, n) arrays of a table of counts."""
+    t = counts.select("lang", "key", "n").toArrow()
+    lang = np.searchsorted(np.array(langs), np.array(t["lang"].to_pylist(), dtype=np.array(langs).dtype))
+    return lang.astype(np.int64), t["key"].to_numpy(), t["n"].to_numpy()
+
+
+def _pair(key):
+    """Third and fourth character of 5-grams."""
+    return (key >> BITS) & _MASK[2]
+
+
+def _blocks(counts: DataFrame, max_entries: int) -> list[tuple[int, int]]:
+    """Ranges (first, last) of character pairs, each of ``max_entries`` counts at most or one pair."""
+    hist = counts.groupBy(F.shiftright("key", BITS).bitwiseAND(F.lit(int(_MASK[2]))).alias("pair")).agg(F.count("*").alias("c")).toArrow()
+    pair, c = hist["pair"].to_numpy(), hist["c"].to_numpy()
+    order = np.argsort(pair)
+    firsts, held = [0], 0
+    for p, n in zip(pair[order].tolist(), c[order].tolist()):
+        if held and held + n > max_entries:
+            firsts.append(p)
+            held = 0
+        held += n
+    return list(zip(firsts, [*(f - 1 for f in firsts[1:]), int(_MASK[2])]))
+
+
+def _lower(langs: list[str], counts: DataFrame) -> dict:
+    """Continuation counts of orders 2 and 1 from all counts: at most as many as there are pairs
+    of characters."""
+    cut = lambda o: F.col("key").bitwiseAND(F.lit(int(_MASK[o]))).alias("key")
+    two = pin(counts.select("lang", cut(3)).distinct().groupBy("lang", cut(2)).agg(F.count("*").alias("n")))
+    cells = {o: _arrays(langs, t) for o, t in ((2, two), (1, two.groupBy("lang", cut(1)).agg(F.count("*").alias("n"))))}
+    release(two)
+    low = {}
+    for o, (lang, key, n) in cells.items():
+        order = np.lexsort((key, lang))
+        low[o] = (lang[order], key[order], n[order].astype(np.float64))
+    return low
+
+
+def fit_blocks(docs: DataFrame, max_entries: int = MAX_ENTRIES):
+    """(langs, blocks) from labelled rows (lang, text): an iterator of (first pair, last pair, model);
+    no langs without any row."""
+    counts = ngram_counts(docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()))
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-    if not langs:
-        return None
-    t = counts.toArrow()
-    lang = np.searchsorted(np.array(langs), np.array(t["lang"].to_pylist()))
-    return build_model(langs, lang.astype(np.int64), t["key"].to_numpy(), t["n"].to_numpy())
+
+    def models():
+        ranges = _blocks(counts, max_entries)
+        low = _lower(langs, counts) if len(ranges) > 1 else None
+        for a, b in ranges:
+            part = counts
+            if low:
+                part = counts.filter(F.shiftright("key", BITS).bitwiseAND(F.lit(int(_MASK[2]))).between(a, b))
+            yield a, b, build_model(langs, *_arrays(langs, part), low)
+    return langs, models()
 
 
-def _score(model_bc):
+def fit(docs: DataFrame) -> dict | None:
+    """The whole model from labelled rows (lang, text) in one piece; None without any."""
+    langs, blocks = fit_blocks(docs, 1 << 62)
+    return next(blocks)[2] if langs else None
+
+
+def _score(model_bc, first: int, last: int):
+    """Cross-entropies per language, as far as the characters of one block make them up."""
     def score(batches):
         model = model_bc.value
         nl = len(model["langs"])
@@ -257,7 +317,13 @@ def _score(model_bc):
                 ce = np.zeros((j - i, nl))
                 full = np.flatnonzero(np.diff(koff) > 0)
                 if len(full):
-                    ce[full] = -np.add.reduceat(log_probs(model, key), koff[full], axis=0, dtype=np.float64)
+                    if first == 0 and last == _MASK[2]:
+                        logp = log_probs(model, key)
+                    else:
+                        own = np.flatnonzero((_pair(key) >= first) & (_pair(key) <= last))
+                        logp = np.zeros((len(key), nl), np.float32)
+                        logp[own] = log_probs(model, key[own])
+                    ce[full] = -np.add.reduceat(logp, koff[full], axis=0, dtype=np.float64)
                     ce[full] /= np.diff(koff)[full, None]
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c).slice(i, j - i) for c in ("doc_id", "lang", "th")), pa.array(np.diff(koff), pa.int64()),
@@ -286,15 +352,29 @@ def identify(docs: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                       F.col("lang").cast("string").alias("lang"))
-    model = fit(src.filter(fold(F.col("doc_id")) == 0), max_entries)
-    if model is None:
+    langs, blocks = fit_blocks(src.filter(fold(F.col("doc_id")) == 0), max_entries)
+    if not langs:
         return src.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), F.lit("und").alias("lang_pred"),
                           F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"),
                           F.lit(True).alias("rejected"), F.xxhash64("text").alias("th"))
-    langs = model["langs"]
-    scored = pin(src.withColumn("th", F.xxhash64("text")).mapInArrow(
-        _score(spark.sparkContext.broadcast(model)),
-        "doc_id long, lang string, th long, chars long, letters long, ce array<double>"))
+    hashed = src.withColumn("th", F.xxhash64("text"))
+    parts = []
+    for first, last, model in blocks:
+        sent = spark.sparkContext.broadcast(model)
+        parts.append(pin(hashed.mapInArrow(_score(sent, first, last),
+                                           "doc_id long, lang string, th long, chars long, letters long, ce array<double>")))
+        uniforms = model["uniform"]
+        sent.unpersist()
+        del model
+    scored = parts[0]
+    if len(parts) > 1:
+        # rows alike in doc_id, lang and text have the same parts: summed once, then as many rows again
+        whole = functools.reduce(DataFrame.unionByName, parts)
+        sums = [(F.sum(F.col("ce")[i]) / F.count("*") * len(parts)).alias(f"c{i}") for i in range(len(langs))]
+        scored = pin(whole.groupBy("doc_id", "lang", "th", "chars", "letters").agg(F.count("*").alias("_n"), *sums)
+                          .withColumn("_i", F.explode(F.sequence(F.lit(1), (F.col("_n") / len(parts)).cast("int"))))
+                          .select("doc_id", "lang", "th", "chars", "letters", F.array(*[f"c{i}" for i in range(len(langs))]).alias("ce")))
+        release(*parts)
     names = F.array(*[F.lit(x) for x in langs])
     best = F.array_min("ce")
     at = F.array_position("ce", best).cast("int")
@@ -324,7 +404,7 @@ def identify(docs: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
     wide = {r["pred"]: max(MIN_SPREAD, 1.5 * r["q"]) for r in right.groupBy("pred").agg(F.percentile_approx(z, 0.999, 10_000).alias("q")).collect()}
     # a text with tokens or repetitions between its words is still of the language: it goes only if
     # the model gains next to nothing on it
-    uniform = per_lang(dict(zip(langs, model["uniform"])), math.inf)
+    uniform = per_lang(dict(zip(langs, uniforms)), math.inf)
     lost = F.col("best") > uniform - MIN_GAIN * F.greatest(uniform - per_lang(mean, math.inf), F.lit(0.0))
     rejected = ~F.col("known") | ((z > per_lang(wide, MIN_SPREAD)) & lost)
     return rows.select(

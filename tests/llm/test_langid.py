@@ -111,3 +111,17 @@ def test_entry_bound_keeps_most_frequent(spark):
     full = langid.ngram_counts(df, 10_000).count()
     cut = langid.ngram_counts(df, 5)
     assert cut.count() <= 5 < full
+
+
+def test_blocks_of_the_model_score_like_the_whole(spark):
+    """However small a block, no n-gram and no language is lost."""
+    rows = [(i, "the quick brown fox number " + "abcdefghij"[i % 10] * 3, "en") for i in range(60)]
+    rows += [(i, "der schnelle braune fuchs", "de") for i in range(60, 120)]
+    rows += [(i, "rzadki język mały", "pl") for i in range(120, 132)] + [(120, "rzadki język mały", "pl"), (200, "", "pl")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole, cut = (sorted(identify(df, n).collect(), key=lambda r: (r["doc_id"], r["th"])) for n in (10_000, 20))
+    assert len(whole) == len(cut) == len(rows)
+    for a, b in zip(whole, cut):
+        assert (a["lang_pred"], a["rejected"], a["held_out"]) == (b["lang_pred"], b["rejected"], b["held_out"])
+        assert a["cross_entropy"] is b["cross_entropy"] or math.isclose(a["cross_entropy"], b["cross_entropy"], rel_tol=1e-5)
+    assert {r["lang_pred"] for r in cut if 120 <= r["doc_id"] < 132} == {"pl"}
