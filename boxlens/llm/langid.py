@@ -34,7 +34,7 @@ MAX_ENTRIES = 3_000_000      # (language, 5-gram) counts of one block of the mod
 DISCOUNT = 0.75
 FLUSH = 2_000_000            # n-grams a counting task holds before it hands them on
 MIN_SPREAD = 6.0             # standard deviations a text may always lie above its language
-MIN_GAIN = 0.25              # and the share of the model's gain over its alphabet that keeps a text
+MIN_GAIN = 0.25              # and the share of the model's usual gain over single characters that keeps a text
 _MASK = [np.int64((1 << (BITS * o)) - 1) for o in range(ORDER + 1)]
 TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
 
@@ -201,6 +201,7 @@ def build_model(langs: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarr
             lam = DISCOUNT * kinds / np.maximum(total, 1)
             p = np.maximum(count - DISCOUNT, 0) / np.maximum(total, 1) + np.maximum(lam, 1e-9) / (1 << BITS)
             base = np.log(np.maximum(lam, 1e-9) / (1 << BITS))
+            first = p
         else:
             ctx = np.searchsorted(grams[o - 1], g >> BITS)
             m = len(grams[o - 1])
@@ -215,9 +216,10 @@ def build_model(langs: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarr
         lower = p
     for t in tables.values():
         t["find"].order = None
-    # nats a character of a text that owes nothing to a language but its alphabet
-    alphabet = np.maximum(2, np.bincount(cells[1][0], minlength=nl))
-    return {"langs": langs, "tables": tables, "base": base, "uniform": np.log(alphabet)}
+    # nats a character of a text that owes nothing to a language but its single characters
+    single = np.tile(base.astype(np.float32), (1 << BITS, 1))
+    single[grams[1]] = np.log(first)
+    return {"langs": langs, "tables": tables, "base": base, "single": single}
 
 
 def log_probs(model: dict, key: np.ndarray) -> np.ndarray:
@@ -306,7 +308,8 @@ def fit(docs: DataFrame) -> dict | None:
 
 
 def _score(model_bc, first: int, last: int):
-    """Cross-entropies per language, as far as the characters of one block make them up."""
+    """Cross-entropies per language, of the model and of its single characters (bare), as far as
+    the characters of one block make them up."""
     def score(batches):
         model = model_bc.value
         nl = len(model["langs"])
@@ -314,22 +317,22 @@ def _score(model_bc, first: int, last: int):
             data, off = textvec.buffers(b.column("text"))
             for i, j in textvec.slices(off):
                 key, koff, letters = keys_of(data, off[i:j + 1])
-                ce = np.zeros((j - i, nl))
+                ce, bare = np.zeros((j - i, nl)), np.zeros((j - i, nl))
                 full = np.flatnonzero(np.diff(koff) > 0)
                 if len(full):
-                    if first == 0 and last == _MASK[2]:
-                        logp = log_probs(model, key)
-                    else:
-                        own = np.flatnonzero((_pair(key) >= first) & (_pair(key) <= last))
-                        logp = np.zeros((len(key), nl), np.float32)
-                        logp[own] = log_probs(model, key[own])
-                    ce[full] = -np.add.reduceat(logp, koff[full], axis=0, dtype=np.float64)
-                    ce[full] /= np.diff(koff)[full, None]
+                    own = slice(None) if first == 0 and last == _MASK[2] else np.flatnonzero((_pair(key) >= first) & (_pair(key) <= last))
+                    for sums, logp in ((ce, log_probs(model, key[own])), (bare, model["single"][key[own] & _MASK[1]])):
+                        every = logp
+                        if not isinstance(own, slice):
+                            every = np.zeros((len(key), nl), np.float32)
+                            every[own] = logp
+                        sums[full] = -np.add.reduceat(every, koff[full], axis=0, dtype=np.float64)
+                        sums[full] /= np.diff(koff)[full, None]
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c).slice(i, j - i) for c in ("doc_id", "lang", "th")), pa.array(np.diff(koff), pa.int64()),
                      pa.array(letters, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * nl, pa.int32()), pa.array(ce.ravel()))],
-                    ["doc_id", "lang", "th", "chars", "letters", "ce"])
+                     *(pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * nl, pa.int32()), pa.array(x.ravel())) for x in (ce, bare))],
+                    ["doc_id", "lang", "th", "chars", "letters", "ce", "bare"])
     return score
 
 
@@ -345,8 +348,8 @@ def identify(docs: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
     lang_pred is a learned lang value for every text with a letter, else 'und' (null, empty or
     letterless text, or nothing to learn from) with score 0, null cross_entropy and rejected.
     score is the calibrated posterior of lang_pred.  rejected marks texts whose cross-entropy
-    lies above the bound of its language at their length, and so high that the model gains less
-    than a quarter of its usual gain over the bare alphabet.  lang, source and doc_id are never
+    lies above the bound of its language at their length, and on which the model gains less than a
+    quarter of what it usually gains over its single characters (order 1 on the same text).  lang, source and doc_id are never
     inputs of a prediction; equal cross-entropies go to the smaller lang value; rows without
     lang are predicted like others.  Other columns are ignored."""
     spark = docs.sparkSession
@@ -362,24 +365,24 @@ def identify(docs: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
     for first, last, model in blocks:
         sent = spark.sparkContext.broadcast(model)
         parts.append(pin(hashed.mapInArrow(_score(sent, first, last),
-                                           "doc_id long, lang string, th long, chars long, letters long, ce array<double>")))
-        uniforms = model["uniform"]
+                                           "doc_id long, lang string, th long, chars long, letters long, ce array<double>, bare array<double>")))
         sent.unpersist()
         del model
     scored = parts[0]
     if len(parts) > 1:
         # rows alike in doc_id, lang and text have the same parts: summed once, then as many rows again
         whole = functools.reduce(DataFrame.unionByName, parts)
-        sums = [(F.sum(F.col("ce")[i]) / F.count("*") * len(parts)).alias(f"c{i}") for i in range(len(langs))]
+        sums = [(F.sum(F.col(c)[i]) / F.count("*") * len(parts)).alias(f"{c}{i}") for c in ("ce", "bare") for i in range(len(langs))]
         scored = pin(whole.groupBy("doc_id", "lang", "th", "chars", "letters").agg(F.count("*").alias("_n"), *sums)
                           .withColumn("_i", F.explode(F.sequence(F.lit(1), (F.col("_n") / len(parts)).cast("int"))))
-                          .select("doc_id", "lang", "th", "chars", "letters", F.array(*[f"c{i}" for i in range(len(langs))]).alias("ce")))
+                          .select("doc_id", "lang", "th", "chars", "letters", *[F.array(*[f"{c}{i}" for i in range(len(langs))]).alias(c) for c in ("ce", "bare")]))
         release(*parts)
     names = F.array(*[F.lit(x) for x in langs])
     best = F.array_min("ce")
     at = F.array_position("ce", best).cast("int")
     known = F.col("letters") > 0
-    rows = scored.select("doc_id", "lang", "th", "chars", "ce", known.alias("known"), best.alias("best"), F.element_at(names, at).alias("pred"))
+    rows = scored.select("doc_id", "lang", "th", "chars", "ce", known.alias("known"), best.alias("best"), F.element_at(names, at).alias("pred"),
+                         (F.element_at("bare", at) - best).alias("gain"))
 
     # calibration on fold 2: temperature of the score, and the spread of each language
     cal = rows.filter((fold(F.col("doc_id")) == 2) & F.col("known") & F.col("lang").isin(langs))
@@ -391,7 +394,8 @@ def identify(docs: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
     temperature = min(((losses[i], t) for i, t in enumerate(TEMPERATURES) if losses[i] is not None), default=(0, 8.0))[1]
     right = cal.filter(F.col("pred") == F.col("lang"))
     # the median: a few odd texts, however long, do not move it
-    mean = {r["pred"]: r["m"] for r in right.groupBy("pred").agg(F.percentile_approx("best", 0.5, 10_000).alias("m")).collect()}
+    middle = right.groupBy("pred").agg(*[F.percentile_approx(c, 0.5, 10_000).alias(c) for c in ("best", "gain")]).collect()
+    mean, usual = ({r["pred"]: r[c] for r in middle} for c in ("best", "gain"))
 
     def per_lang(values: dict, default: float) -> Column:
         return F.element_at(F.array(*[F.lit(float(values.get(x, default))) for x in langs]), F.array_position(names, F.col("pred")).cast("int"))
@@ -404,8 +408,7 @@ def identify(docs: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
     wide = {r["pred"]: max(MIN_SPREAD, 1.5 * r["q"]) for r in right.groupBy("pred").agg(F.percentile_approx(z, 0.999, 10_000).alias("q")).collect()}
     # a text with tokens or repetitions between its words is still of the language: it goes only if
     # the model gains next to nothing on it
-    uniform = per_lang(dict(zip(langs, uniforms)), math.inf)
-    lost = F.col("best") > uniform - MIN_GAIN * F.greatest(uniform - per_lang(mean, math.inf), F.lit(0.0))
+    lost = F.col("gain") < MIN_GAIN * F.greatest(per_lang(usual, 0.0), F.lit(0.0))
     rejected = ~F.col("known") | ((z > per_lang(wide, MIN_SPREAD)) & lost)
     return rows.select(
         "doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"),

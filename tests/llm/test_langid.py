@@ -125,3 +125,24 @@ def test_blocks_of_the_model_score_like_the_whole(spark):
         assert (a["lang_pred"], a["rejected"], a["held_out"]) == (b["lang_pred"], b["rejected"], b["held_out"])
         assert a["cross_entropy"] is b["cross_entropy"] or math.isclose(a["cross_entropy"], b["cross_entropy"], rel_tol=1e-5)
     assert {r["lang_pred"] for r in cut if 120 <= r["doc_id"] < 132} == {"pl"}
+
+
+def test_unlearned_text_is_rejected_whatever_stray_letters_were_learned(spark):
+    """Texts of an unlearned language in Latin script and random letters, beside clean ones."""
+    import random
+    rnd = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    # every language has seen a thousand letters once
+    stray = "".join(c for c in map(chr, range(0x370, 0x1000)) if c.isalpha())[:1000]
+    langs = sorted(r["lang"] for r in docs.select("lang").distinct().collect())
+    first = [d for d in range(1_000_000, 1_000_100) if zlib.crc32(str(d).encode()) % 3 == 0]
+    extra = [(d, " ".join(stray), lang) for d, lang in zip(first, langs)]
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem "
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto "
+    bad = [(2_000_000, polish * 6, None), (2_000_001, finnish * 6, None)]
+    bad += [(2_000_002 + i, " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(150)), None)
+            for i in range(4)]
+    df = docs.unionByName(spark.createDataFrame(extra + bad, "doc_id long, text string, lang string"))
+    rows = {r["doc_id"]: r for r in identify(df).collect()}
+    assert [d for d, *_ in bad if not rows[d]["rejected"]] == []
+    assert [d for d, r in rows.items() if r["rejected"] and d < 1_000_000] == []
