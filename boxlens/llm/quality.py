@@ -7,8 +7,9 @@ of the difference of their scores, and the weights minimise the logistic loss of
 differences.  A document counts as good if its score lies above the quantile of the scores of
 the learning rows that matches their share of quality 0.
 
-Learning reads at most ``MAX_ROWS`` labelled rows of each quality (those with the smallest hash
-of their doc_id), so the fit on the driver is bounded; every document is scored in the tasks.
+The weights are learned from at most ``MAX_ROWS`` labelled rows of each quality (those with the
+smallest hash of their doc_id), so the fit on the driver is bounded; every document is scored in
+the tasks, and the quantile and the share are those of all learning rows.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from pyspark.sql import functions as F
 
 from boxlens.llm import textvec
 from boxlens.llm.langid import fold
-from boxlens.session import pin
+from boxlens.session import pin, release
 
 MAX_ROWS = 20_000          # learning rows of each quality
 PAIRS = 30_000             # preference pairs drawn from them
 BINS = 8
+CELLS = 1024               # ranges of scores counted at a time for the threshold
 RIDGE = 1e-3
 _TABLE = textvec.byte_table("nonspace")
 NAMES = ("log_words", "word_len", "upper", "digit", "symbol", "pipe", "punct", "high", "space", "distinct", "top_word", "adjacent",
@@ -168,14 +170,38 @@ def learn(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, seed: int = 7)
     return {"cuts": cuts, "w": w, "threshold": float(np.quantile(scores, len(b) / len(scores)))}
 
 
-def _score(model_bc):
-    def score(batches):
+def _raw_scores(model_bc):
+    def raw(batches):
         m = model_bc.value
         for b in batches:
             x = np.frombuffer(b.column("x").flatten().to_numpy(zero_copy_only=False), np.float32).reshape(b.num_rows, -1).astype(np.float64)
-            s = spread(x, m["cuts"]) @ m["w"] - m["threshold"] if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1.0 / (1.0 + np.exp(-np.clip(s, -40, 40))))], ["doc_id", "score"])
-    return score
+            s = spread(x, m["cuts"]) @ m["w"] if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], ["doc_id", "raw"])
+    return raw
+
+
+def _threshold(scores: DataFrame, share: float) -> float:
+    """The value below which ``share`` of the column raw lies, between neighbours as np.quantile
+    has it.  The scores are looked at by ranges, a count per range, so neither the driver
+    nor a task holds them, however many are equal."""
+    n = scores.count()
+    at = share * (n - 1)
+    low = min(int(at), n - 1)
+
+    def nth(k: int) -> float:
+        lo, hi = scores.agg(F.min("raw"), F.max("raw")).first()
+        while lo < hi:
+            cell = F.least(F.floor((F.col("raw") - lo) * (CELLS / (hi - lo))), F.lit(CELLS - 1))
+            for r in (scores.filter(F.col("raw").between(lo, hi)).groupBy(cell.alias("c"))
+                            .agg(F.count("*").alias("n"), F.min("raw").alias("a"), F.max("raw").alias("b")).orderBy("c").collect()):
+                if k < r["n"]:
+                    break
+                k -= r["n"]
+            lo, hi = r["a"], r["b"]
+        return lo
+    a = nth(low)
+    b = nth(low + 1) if at > low else a
+    return a + (b - a) * (at - low)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, pairs: int = PAIRS) -> DataFrame:
@@ -191,6 +217,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
                     .mapInArrow(_extract, "doc_id long, x array<float>"))
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
                    .filter((fold(F.col("doc_id")) != 1) & F.col("quality").isin(0, 1)).join(feats, "doc_id"))
+    known = pin(known)
     rows = {}
     for q in (1, 0):
         r = known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("x").toArrow()
@@ -199,5 +226,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     if not len(rows[0]) or not len(rows[1]):
         return feats.select("doc_id", held, F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
     model = spark.sparkContext.broadcast(learn(rows[1], rows[0], pairs))
-    scored = feats.mapInArrow(_score(model), "doc_id long, score double")
+    taught = pin(known.select("quality", "doc_id", "x").mapInArrow(_raw_scores(model), "doc_id long, raw double"))
+    bad = known.filter("quality = 0").count()
+    threshold = _threshold(taught, bad / taught.count())
+    release(taught, known)
+    raw = feats.mapInArrow(_raw_scores(model), "doc_id long, raw double")
+    bound = F.greatest(F.least(F.col("raw") - F.lit(threshold), F.lit(40.0)), F.lit(-40.0))
+    scored = raw.select("doc_id", (1.0 / (1.0 + F.exp(-bound))).alias("score"))
     return scored.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

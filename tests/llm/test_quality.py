@@ -65,3 +65,34 @@ def test_edge_cases(spark):
     assert by[100] == by[101] == by[102]
     assert quality_scores(df.limit(0), lab).collect() == []
     assert {r["score"] for r in quality_scores(df, lab.limit(0)).collect()} == {0.5}
+
+
+def test_threshold_does_not_depend_on_the_sample(spark):
+    """One bad row in ten; the sample for the weights holds as many of either quality."""
+    import random
+    rnd = random.Random(4)
+    words = "a of the stone river light many small plain common words in text".split()
+    docs, lab = [], []
+    for i in range(900):
+        good = i % 10 > 0
+        noise = rnd.randrange(0, 8) if good else rnd.randrange(5, 16)
+        w = [rnd.choice(words) for _ in range(20 - noise)] + ["#!" + rnd.choice("AB")] * noise
+        rnd.shuffle(w)
+        docs.append((i, " ".join(w)))
+        lab.append((i, int(good)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame(lab, "doc_id long, quality int")
+    learning = {d for d, _ in lab if zlib.crc32(str(d).encode()) % 3 != 1}
+    share = sum(q == 0 for d, q in lab if d in learning) / len(learning)
+    for cap in (20_000, 40):
+        rows = quality_scores(df, labels, max_rows=cap).collect()
+        out = sum(r["predicted"] == 0 for r in rows if r["doc_id"] in learning) / len(learning)
+        assert abs(out - share) < 0.03, (cap, out, share)
+
+
+def test_threshold_is_the_quantile(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0, 1, 500), np.full(300, 0.25), [1e6, -1e6]])
+    df = spark.createDataFrame([(float(v),) for v in x], "raw double")
+    for share in (0.0, 0.1, 0.5, 0.61, 1.0):
+        assert np.isclose(quality._threshold(df, share), np.quantile(x, share))
