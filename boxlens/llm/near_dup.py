@@ -146,6 +146,11 @@ def near_duplicates(docs: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:
     Null or wordless text: empty set, linked with nothing, kept.  Rows with the same doc_id
     count as one document for ``kept``; a null doc_id never is a component's smallest unless
     the whole component has none (then null, and kept).  Other columns are ignored."""
+    return near_duplicate_rows(docs, percent).drop("th")
+
+
+def near_duplicate_rows(docs: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:
+    """``near_duplicates`` plus th, the hash of the row's text, which tells rows of one doc_id apart."""
     if percent < MIN_PERCENT:
         raise ValueError("the signature threshold is set for a similarity of 0.85 or more")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
@@ -175,7 +180,7 @@ def near_duplicates(docs: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:
     label = pin(classes.join(linked, ["h1", "h2"], "left")
                        .select("h1", "h2", F.coalesce("low", "first_doc").alias("component")))
     release(edges, members, links, classes)
-    out = (prof.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("h1")).alias("h1"), "h2")
+    out = (prof.select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("h1")).alias("h1"), "h2")
                .join(label, ["h1", "h2"], "left")
-               .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+               .select("doc_id", "th", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "th")
