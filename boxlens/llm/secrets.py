@@ -29,7 +29,7 @@ KINDS = {
     "access": ("", r"AKIA[A-Z0-9]+", 18),
     "hex": ("", r"[0-9a-f]{16,}", 16),       # the maximal runs that are long enough
     "ident": (r"""(?i:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?""", r"[A-Za-z0-9_.@-]+", 3),
-    "token": ("", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{24,}(?![A-Za-z0-9+/=_-])", 24),
+    "token": ("", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/=_-])", 24),
     "endpoint": ("", r"""(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|amqp)://[^\s"'<>,;]+""", 10),
 }
 BASE = ("assign", "access", "hex")
