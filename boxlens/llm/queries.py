@@ -12,6 +12,7 @@ from boxlens.llm.mixing import taken_words
 from boxlens.llm.near_dup import near_duplicates
 from boxlens.llm.quality import quality_scores
 from boxlens.llm.secrets import scan
+from boxlens.llm.simhash_dup import simhash_groups
 from boxlens.llm.topk import top_k
 from boxlens.llm.url_filter import judge
 from boxlens.llm.warc import round_trip
@@ -71,6 +72,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document."""
+    return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -82,6 +88,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }
 
 ORACLE: dict[str, str] = {}

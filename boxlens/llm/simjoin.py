@@ -94,8 +94,9 @@ def hamming_matcher(parts: int, dtype: str, limit: int) -> Callable[[list], Matc
     return make
 
 
-def signature_edges(keys: DataFrame, sigs: DataFrame, make: Callable[[list], Matcher]) -> DataFrame:
-    """Forest of the signature threshold graph over ``keys`` (key, id) and ``sigs`` (id, sig).
+def signature_edges(keys: DataFrame, sigs: DataFrame | None, make: Callable[[list], Matcher]) -> DataFrame:
+    """Forest of the signature threshold graph over ``keys`` (key, id) and ``sigs`` (id, sig);
+    without ``sigs`` the ids are the signatures.
 
     Buckets with the same members under several keys are compared once (recognised by count,
     smallest, largest and the xor of hashed ids).  Returns pinned (a, b)."""
@@ -108,7 +109,8 @@ def signature_edges(keys: DataFrame, sigs: DataFrame, make: Callable[[list], Mat
     two = buckets.filter("n = 2").select("key", F.explode(F.array("lo", "hi")).alias("id"))
     more = keys.join(buckets.filter("n > 2").select("key"), "key").select("key", "id")
     sizes = buckets.select("key", "n", F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).alias("blocks"))
-    rows = _dealt(two.unionByName(more), "key", sizes, PACK_ROWS).join(sigs, "id")
+    rows = _dealt(two.unionByName(more), "key", sizes, PACK_ROWS)
+    rows = rows.withColumn("sig", F.col("id")) if sigs is None else rows.join(sigs, "id")
     edges = pin(_grouped_forest(rows, "key", "sig", make).distinct())
     release(buckets)
     return edges
