@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxlens.llm.decontaminate import contamination
+from boxlens.llm.fim import digests
 from boxlens.llm.langid import identify
 from boxlens.llm.line_dedup import dedup_lines
 from boxlens.llm.mixing import taken_words
@@ -72,6 +73,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into prefix, middle and suffix and put in the order of its form; digests
+    of the output and of the text restored from it."""
+    return digests(_table(spark, sf_dir, "documents"))
+
+
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     return simhash_groups(_table(spark, sf_dir, "documents"))
@@ -88,6 +95,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle,
     "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }
 
@@ -160,3 +168,18 @@ s AS (SELECT q.vec_id query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUB
       FROM e q, e c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 20"""
+
+# Tokens as a list; the cuts are list slices.  The restored text is the text.
+ORACLE["op12_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') t, sha256('1:' || CAST(doc_id AS VARCHAR)) h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') w,
+             [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN [0, 1, 2, 3]] r FROM d),
+c AS (SELECT *, CAST(len(w) AS BIGINT) n, least(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) a, greatest(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain'
+                  WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END form FROM u),
+p AS (SELECT *, coalesce(array_to_string(w[1:a], ''), '') pre, coalesce(array_to_string(w[a + 1:b], ''), '') mid, coalesce(array_to_string(w[b + 1:], ''), '') suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) output_sha256,
+       sha256(t) restored_sha256
+FROM p"""
