@@ -12,6 +12,7 @@ from boxlens.llm.line_dedup import dedup_lines
 from boxlens.llm.mixing import taken_words
 from boxlens.llm.near_dup import near_duplicates
 from boxlens.llm.quality import quality_scores
+from boxlens.llm.ranked import ranked_search
 from boxlens.llm.secrets import scan
 from boxlens.llm.simhash_dup import simhash_groups
 from boxlens.llm.topk import top_k
@@ -73,6 +74,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of every benchmark item, among all documents."""
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut into prefix, middle and suffix and put in the order of its form; digests
     of the output and of the text restored from it."""
@@ -95,6 +101,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_ranked_search": op11_ranked_search,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }
@@ -183,3 +190,18 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGIN
        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) output_sha256,
        sha256(t) restored_sha256
 FROM p"""
+
+ORACLE["op11_ranked_search"] = r"""
+WITH dw AS (SELECT doc_id, row_number() OVER () r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') w FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, r, w, CAST(len(w) AS BIGINT) n FROM dw WHERE len(w) > 0),
+s AS (SELECT CAST(count(*) AS BIGINT) nn, CAST(sum(n) AS BIGINT) l FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t FROM benchmark WHERE text IS NOT NULL),
+p AS (SELECT r, t, CAST(count(*) AS BIGINT) tf FROM (SELECT r, unnest(w) t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) wt FROM p, s GROUP BY t, nn),
+m AS (SELECT r, doc_id, 100 - 90 + ((90 * n * nn) // l) m FROM d, s),
+g AS (SELECT item_id, doc_id, r, CAST(sum(wt * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) score
+      FROM q JOIN p USING (t) JOIN f USING (t) JOIN m USING (r) GROUP BY item_id, doc_id, r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM g WHERE score > 0 QUALIFY rank <= 10"""
