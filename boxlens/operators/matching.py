@@ -11,16 +11,17 @@ Design for scale
   (the rule of error analysis, triage and PR matching) the sequential greedy loop equals two
   set operations: best GT per prediction (a partial aggregate, combined map-side) and the first
   claimant per GT (a window partitioned by GT).
-* **Greedy "best unclaimed" matching (E12)** is inherently sequential, but only inside a
-  connected component of the candidate graph (pred--GT edges with IoU >= t).  Components are
-  found by a distributed job of logarithmically many rounds, many small ones are packed into
-  a task, and each is folded in one sorted pass with a set of claimed ids: the unit of
-  sequential work is a cluster of mutually overlapping boxes, never a whole image.
+* **Greedy "best unclaimed" matching (E12)** is inherently sequential, but only inside an image,
+  and there inside a connected component of the candidate graph (pred--GT edges with IoU >= t).
+  Images are packed many to a task by their pair counts and folded in one sorted pass, in which pairs
+  without a rival are taken at once.  An image of more pairs than a task should hold is split into its
+  components by a distributed job of logarithmically many rounds: the unit of sequential work
+  is then a cluster of mutually overlapping boxes, never a huge image.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxlens.functions.geometry import effective_confidence, intersection, iou
@@ -77,40 +78,60 @@ def _solid(boxes: DataFrame, cell: float) -> DataFrame:
     return boxes.filter((F.col("bbox_w") > 0) & (F.col("bbox_h") > 0)).withColumn("_own", level)
 
 
-def _with_cells(boxes: DataFrame, prefix: str, cell: float, levels: list[int]) -> DataFrame:
-    """Corner columns with ``prefix`` plus one row per covered cell of its own and every coarser
-    level in use."""
+def _placed(boxes: DataFrame, prefix: str, cell: float, places: Column) -> DataFrame:
+    """Corner columns with ``prefix`` plus one row per place (turn, level) of ``places`` and cell that
+    the box covers at that level."""
     b = boxes.select(
-        "dataset_id", "sample_id", F.col("_own").alias(f"{prefix}own"),
-        F.col("id").alias(f"{prefix}id"), F.col("category_name").alias(f"{prefix}cat"),
+        "dataset_id", "sample_id", F.col("id").alias(f"{prefix}id"), F.col("category_name").alias(f"{prefix}cat"),
         F.col("bbox_x").alias(f"{prefix}x1"), F.col("bbox_y").alias(f"{prefix}y1"),
         (F.col("bbox_x") + F.col("bbox_w")).alias(f"{prefix}x2"),
         (F.col("bbox_y") + F.col("bbox_h")).alias(f"{prefix}y2"),
-        *([effective_confidence().alias("conf")] if prefix == "p_" else []))
-    known = F.array(*[F.lit(x) for x in levels])
-    b = b.withColumn("level", F.explode(F.filter(known, lambda x: x >= F.col(f"{prefix}own"))))
+        *([effective_confidence().alias("conf")] if prefix == "p_" else []), F.explode(places).alias("_at"))
+    b = b.select("*", F.col("_at.turn").alias("turn"), F.col("_at.level").alias("level")).drop("_at")
     c = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("level"))
     return (b.withColumn("cx", F.explode(F.sequence(F.floor(F.col(f"{prefix}x1") / c), F.floor(F.col(f"{prefix}x2") / c))))
              .withColumn("cy", F.explode(F.sequence(F.floor(F.col(f"{prefix}y1") / c), F.floor(F.col(f"{prefix}y2") / c)))))
 
 
+HOME_PRED, HOME_GT = 0, 1      # whose own level a meeting place is on
+
+
+def placed_sides(preds: DataFrame, gts: DataFrame, cell: float = DEFAULT_CELL) -> tuple[DataFrame, DataFrame]:
+    """The two sides of the pair join.  Each box stands at its own level, to be met by boxes of the
+    other side, and is lifted to the levels on which larger boxes of the other side stand.  A pair
+    of equal levels meets on the predictions' turn only, so every pair has one level, that of its
+    larger box, and two boxes of which neither is at home never meet.  One small job finds the
+    levels in use."""
+    ps, gs = _solid(preds, cell), _solid(gts, cell)
+    used = ps.select("_own", F.lit(HOME_PRED).alias("t")).union(gs.select("_own", F.lit(HOME_GT).alias("t"))).distinct().collect()   # at most 38 rows
+    p_levels, g_levels = (sorted(r["_own"] for r in used if r["t"] == t) for t in (HOME_PRED, HOME_GT))
+
+    def at(turn: int, level: Column) -> Column:
+        return F.struct(F.lit(turn).alias("turn"), level.cast("int").alias("level"))
+
+    def lifted(turn: int, levels: list[int], strictly: bool) -> Column:
+        own = F.col("_own") + (1 if strictly else 0)
+        return F.transform(F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x >= own), lambda x: at(turn, x))
+    p = _placed(ps, "p_", cell, F.concat(F.array(at(HOME_PRED, F.col("_own"))), lifted(HOME_GT, g_levels, True)))
+    g = _placed(gs, "g_", cell, F.concat(F.array(at(HOME_GT, F.col("_own"))), lifted(HOME_PRED, p_levels, False)))
+    return p, g
+
+
 def candidate_pairs(preds: DataFrame, gts: DataFrame, same_class: bool = False,
                     cell: float = DEFAULT_CELL) -> DataFrame:
     """Every (prediction, GT) pair of one image with positive overlap, exactly once.
 
     The grid has levels of doubling cell size.  A pair meets at the level of its larger box, so
     small boxes crowded at one spot are told apart by small cells, and a box over the whole image
-    covers four cells instead of hundreds.  One small job finds the levels in use.
+    covers four cells instead of hundreds and meets each smaller box once, while those don't meet
+    each other there.
 
     Columns: dataset_id, sample_id, p_id, p_cat, conf, g_id, g_cat, iou.
     """
-    ps, gs = _solid(preds, cell), _solid(gts, cell)
-    levels = sorted(r["_own"] for r in ps.select("_own").union(gs.select("_own")).distinct().collect()) or [0]   # at most 19 numbers
-    p = _with_cells(ps, "p_", cell, levels)
-    g = _with_cells(gs, "g_", cell, levels)
-    keys = ["dataset_id", "sample_id", "level", "cx", "cy"]
+    p, g = placed_sides(preds, gts, cell)
+    keys = ["dataset_id", "sample_id", "turn", "level", "cx", "cy"]
     c = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("level"))
-    pairs = p.join(g, keys).filter((F.col("level") == F.col("p_own")) | (F.col("level") == F.col("g_own")))
+    pairs = p.join(g, keys)
     if same_class:
         pairs = pairs.filter(F.col("p_cat") == F.col("g_cat"))
     inter = intersection("p_", "g_")
@@ -181,46 +202,71 @@ def argmax_match(preds: DataFrame, gts: DataFrame, iou_threshold: float, same_cl
 
 
 # ---------------------------------------------------------------------------------------
-# Greedy best-unclaimed matching, folded per connected component
+# Greedy best-unclaimed matching, folded per image or connected component
 # ---------------------------------------------------------------------------------------
 
-FOLD_PACK_PAIRS = 50_000     # candidate pairs packed into one fold task
+FOLD_PACK_PAIRS = 50_000     # candidate pairs packed into one fold task, and the largest image folded whole
 
 
 def fold_groups(pairs: DataFrame, group_cols: list[str]) -> DataFrame:
-    """``pairs``, stored, with ``grp``: the connected component of the candidate graph inside the
-    natural group (image, or image and class), and ``pack``, the task it is folded in.  An exact
-    split: greedy choices never cross components."""
-    pairs = pin(pairs)      # the component search, the size and the fold read the same rows
-    natural = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in group_cols])
-    pnode = F.concat(F.lit("p"), natural, F.lit("\u0001"), F.col("p_id"))
-    gnode = F.concat(F.lit("g"), natural, F.lit("\u0001"), F.col("g_id"))
-    comp = connected_components(pairs.select(pnode.alias("src"), gnode.alias("dst")))
-    packs = pairs.count() // FOLD_PACK_PAIRS + 1
-    return (pairs.withColumn("_node", pnode).join(comp.select(F.col("node").alias("_node"), F.col("component").alias("grp")), "_node")
-                 .drop("_node").withColumn("pack", F.pmod(F.xxhash64("grp"), F.lit(packs))))
+    """``pairs``, stored, with ``grp`` and ``pack``, the task a group is folded in.
+
+    A group is a natural group (image, or image and class) of up to FOLD_PACK_PAIRS pairs.  The pairs of larger
+    ones are grouped by connected component of the candidate graph instead, which a distributed search finds.
+    Both are exact: greedy choices cross neither.  Groups and nodes are named by hashes; two
+    that share a hash are folded side by side, as boxes are told apart by their ids."""
+    pairs = pin(pairs)      # the sizes, the component search and the fold read the same rows
+    natural = F.xxhash64(*group_cols)
+    sizes = pairs.groupBy(natural.alias("grp")).agg(F.count("*").alias("n"))
+    total, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    packs = total // max(1, FOLD_PACK_PAIRS) + 1
+    grouped = pairs.withColumn("grp", natural)
+    if largest > FOLD_PACK_PAIRS:
+        large = sizes.filter(F.col("n") > FOLD_PACK_PAIRS).select("grp")
+        wide = pin(grouped.join(large, "grp", "left_semi").withColumn("_p", F.xxhash64(F.lit("p"), *group_cols, "p_id"))
+                          .withColumn("_g", F.xxhash64(F.lit("g"), *group_cols, "g_id")))
+        comp = connected_components(wide.select(F.col("_p").alias("src"), F.col("_g").alias("dst")))
+        split = wide.drop("grp", "_g").join(comp.select(F.col("node").alias("_p"), F.col("component").alias("grp")), "_p").drop("_p")
+        grouped = grouped.join(large, "grp", "left_anti").unionByName(split)
+    return grouped.withColumn("pack", F.pmod(F.xxhash64("grp"), F.lit(packs)))
+
+
+def _codes(table, group: str, column: str):
+    """A number per row that is equal for equal (dataset, group, value of ``column``), and how often
+    each occurs."""
+    import numpy as np
+    names = [table[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for c in ("dataset_id", group, column)]
+    key = names[0].astype(np.int64)
+    for n in names[1:]:
+        _, key = np.unique(key * (int(n.max(initial=0)) + 1) + n, return_inverse=True)
+    return key, np.bincount(key)
 
 
 def _fold_best_unclaimed(thresholds: list[float]):
     """Predictions in confidence order (conf desc, id) each take their best candidate with IoU >= t
     (IoU desc, GT id) that no earlier prediction took."""
+    levels = sorted(thresholds)
+
     def run(table):
-        import pandas as pd
-        pdf = table.to_pandas().sort_values(["grp", "conf", "p_id", "iou", "g_id"], ascending=[True, False, True, False, True])
-        rows = list(zip(pdf["grp"], pdf["dataset_id"], pdf["p_id"], pdf["g_id"], pdf["g_cat"], pdf["iou"]))
-        out = []
-        for t in thresholds:
-            group, claimed, done = None, set(), None
-            for grp, ds, p, g, cat, iou in rows:
-                if grp != group:
-                    group, claimed, done = grp, set(), None
-                if p != done and iou >= t and g not in claimed:
-                    claimed.add(g)
-                    done = p
-                    out.append((t, ds, p, g, cat, iou))
+        import numpy as np
         import pyarrow as pa
-        return pa.Table.from_pandas(pd.DataFrame(out, columns=["t", "dataset_id", "p_id", "g_id", "g_cat", "iou"])
-                                      .astype({"t": "float64", "iou": "float64"}), preserve_index=False)
+        table = table.sort_by([("grp", "ascending"), ("conf", "descending"), ("p_id", "ascending"), ("iou", "descending"), ("g_id", "ascending")])
+        (p, np_), (g, ng), v = _codes(table, "grp", "p_id"), _codes(table, "grp", "g_id"), table["iou"].to_numpy()
+        alone = (np_[p] == 1) & (ng[g] == 1) if len(p) else np.zeros(0, bool)     # the only candidates of each other
+        at = [np.flatnonzero(alone & (v >= t)) for t in levels]
+        rest = np.flatnonzero(~alone)
+        claimed, done, rows = [set() for _ in levels], [-1] * len(levels), [[] for _ in levels]
+        for i, pi, gi, vi in zip(rest.tolist(), p[rest].tolist(), g[rest].tolist(), v[rest].tolist()):
+            for k, t in enumerate(levels):
+                if vi < t:
+                    break
+                if done[k] != pi and gi not in claimed[k]:
+                    claimed[k].add(gi)
+                    done[k] = pi
+                    rows[k].append(i)
+        take = np.concatenate([*at, *(np.array(r, np.int64) for r in rows)])
+        t = np.repeat(np.array(levels * 2), [len(x) for x in (*at, *rows)])
+        return table.select(["dataset_id", "p_id", "g_id", "g_cat", "iou"]).take(pa.array(take, pa.int64())).add_column(0, "t", pa.array(t, pa.float64()))
     return run
 
 
@@ -264,21 +310,22 @@ def greedy_match(preds: DataFrame, gts: DataFrame, thresholds: list[float], same
 def _fold_one_to_one(table):
     """Pairs in order (same class first, IoU desc, prediction id, GT id) are taken when neither
     side is taken yet."""
-    import pandas as pd
+    import numpy as np
     import pyarrow as pa
-    pdf = table.to_pandas()
-    pdf["k"] = pdf["p_cat"] != pdf["g_cat"]
-    pdf = pdf.sort_values(["grp", "k", "iou", "p_id", "g_id"], ascending=[True, True, False, True, True])
+    import pyarrow.compute as pc
+    table = table.append_column("k", pc.cast(pc.not_equal(table["p_cat"], table["g_cat"]), pa.int8()))
+    table = table.sort_by([("grp", "ascending"), ("k", "ascending"), ("iou", "descending"), ("p_id", "ascending"), ("g_id", "ascending")])
+    (p, np_), (g, ng) = _codes(table, "grp", "p_id"), _codes(table, "grp", "g_id")
+    alone = (np_[p] == 1) & (ng[g] == 1) if len(p) else np.zeros(0, bool)
+    rest, take = np.flatnonzero(~alone), []
+    ptaken, gtaken = set(), set()
+    for i, pi, gi in zip(rest.tolist(), p[rest].tolist(), g[rest].tolist()):
+        if pi not in ptaken and gi not in gtaken:
+            ptaken.add(pi)
+            gtaken.add(gi)
+            take.append(i)
     cols = ["dataset_id", "sample_id", "p_id", "p_cat", "g_id", "g_cat", "iou"]
-    out, group, taken = [], None, set()
-    for grp, *row in zip(pdf["grp"], *(pdf[c] for c in cols)):
-        if grp != group:
-            group, taken = grp, set()
-        p, g = ("p", row[2]), ("g", row[4])
-        if p not in taken and g not in taken:
-            taken |= {p, g}
-            out.append(row)
-    return pa.Table.from_pandas(pd.DataFrame(out, columns=cols).astype({"iou": "float64"}), preserve_index=False)
+    return table.select(cols).take(pa.array(np.concatenate([np.flatnonzero(alone), np.array(take, np.int64)]), pa.int64()))
 
 
 def confusion_match(preds: DataFrame, gts: DataFrame, iou_threshold: float, cell: float = DEFAULT_CELL,

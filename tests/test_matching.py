@@ -98,14 +98,65 @@ def test_error_labels_equal_loop(spark):
         assert got == _loop_error_analysis(gts, prs, 0.5)
 
 
-def test_greedy_fold_equal_loop_and_components(spark, monkeypatch):
+def _loop_one_to_one(gts, prs, t):
+    pairs = []
+    for p in prs:
+        for g in gts:
+            if p[1] == g[1]:
+                v = _iou((None,) + p[3:7], (None,) + g[3:7])
+                if v > t:
+                    pairs.append((p[2] != g[2], -v, p[0], g[0]))
+    taken, out = set(), set()
+    for _, _, p, g in sorted(pairs):
+        if p not in taken and g not in taken:
+            taken |= {p, g}
+            out.add((p, g))
+    return out
+
+
+def test_folds_of_images_and_of_components_equal_loops(spark, monkeypatch):
+    """Whole images packed into tasks, all images split into components, and only the larger ones."""
     gts, prs = _random_boxes(3)
     p, g = _frames(spark, gts, prs)
-    want = _loop_greedy(gts, prs, 0.3)
-    for pack in (50_000, 3):   # all components in one task, then a few pairs a task
+    want, one = _loop_greedy(gts, prs, 0.3), _loop_one_to_one(gts, prs, 0.2)
+    searched = []
+    search = M.connected_components
+    monkeypatch.setattr(M, "connected_components", lambda e: searched.append(e.count()) or search(e))
+    for pack, split in ((50_000, "none"), (0, "all"), (3, "some")):
         monkeypatch.setattr(M, "FOLD_PACK_PAIRS", pack)
+        searched.clear()
         got = {r.p_id: r.g_id for r in M.greedy_match(p, g, [0.3], cell=48.0).collect()}
         assert got == want
+        assert {(r.p_id, r.g_id) for r in M.confusion_match(p, g, 0.2, cell=48.0).collect()} == one
+        total = M.candidate_pairs(p, g).filter("iou > 0.2").count()
+        assert {"none": searched == [], "all": searched[-1:] == [total], "some": 0 < sum(searched[-1:]) < total}[split]
+    assert M.greedy_match(p.limit(0), g, [0.3]).collect() == [] == M.confusion_match(p, g.limit(0), 0.3).collect()
+
+
+def test_several_thresholds_in_one_fold(spark):
+    gts, prs = _random_boxes(5)
+    p, g = _frames(spark, gts, prs)
+    rows = M.greedy_match(p, g, [0.7, 0.1, 0.4]).collect()
+    for t in (0.1, 0.4, 0.7):
+        assert {r.p_id: r.g_id for r in rows if r.t == t} == _loop_greedy(gts, prs, t)
+
+
+def test_meetings_stay_linear_with_one_large_box(spark):
+    """Boxes only meet where one of them is at home: a box over the whole image meets each other box
+    once a cell and brings no two small ones together."""
+    rnd = random.Random(12)
+    n = 2000
+    box = lambda k, i: (f"{k}{i:05d}", "s1", "a", rnd.uniform(0, 8000), rnd.uniform(0, 8000), rnd.uniform(4, 8), rnd.uniform(4, 8))
+    gts, prs = [box("g", i) for i in range(n)], [(*box("p", i), 0.5) for i in range(n)]
+
+    def meetings(g_rows):
+        p, g = _frames(spark, g_rows, prs)
+        a, b = M.placed_sides(p, g)
+        return a.join(b, ["dataset_id", "sample_id", "turn", "level", "cx", "cy"]).count(), M.candidate_pairs(p, g).count()
+    base, pairs = meetings(gts)
+    with_large, more = meetings([*gts, ("gall", "s1", "a", 0.0, 0.0, 8100.0, 8100.0)])
+    assert more == pairs + n
+    assert with_large <= base + 2 * n and base < 4 * n
 
 
 def test_candidate_pairs_exact_once(spark):
