@@ -115,17 +115,18 @@ def merge_tags(samples: DataFrame, generated: DataFrame) -> DataFrame:
 
 
 def set_triage_override(overrides: DataFrame, samples: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Upsert overrides (annotation_id, dataset_id, sample_id, label[, created_at]).
+    """Upsert overrides (annotation_id, dataset_id, sample_id, label[, created_at][, seq]).
 
-    Invalid labels are rejected (rows dropped and returned by ``invalid_overrides``).  The
-    newest row per (annotation_id, dataset_id) wins; samples receiving an override get
+    Invalid labels are rejected (rows dropped and returned by ``invalid_overrides``).  The last write
+    per (annotation_id, dataset_id) wins: the newest created_at, and of equal ones, or without the
+    column, the highest ``seq`` (the last row of the frame without it).  Samples receiving an override get
     ``triage:annotated`` after dropping their ``triage:ann*`` tags.  Returns (overrides, samples).
     """
+    new = _ordered(new)
     if "created_at" not in new.columns:
         new = new.withColumn("created_at", F.current_timestamp())
     new = new.filter(F.col("label").isin(ANNOTATION_TRIAGE_LABELS)).withColumn("is_override", F.lit(True))
-    # last write wins inside the batch too: newest created_at, then the larger label
-    last = Window.partitionBy("annotation_id", "dataset_id").orderBy(F.col("created_at").desc_nulls_last(), F.col("label").desc(), F.col("sample_id").desc())
+    last = Window.partitionBy("annotation_id", "dataset_id").orderBy(F.col("created_at").desc_nulls_last(), F.col("seq").desc())
     new = new.withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r")
     # new rows replace old ones for the same key, whatever their timestamps
     kept = overrides.join(new.select("annotation_id", "dataset_id"), ["annotation_id", "dataset_id"], "left_anti")
@@ -153,57 +154,67 @@ def remove_triage_override(overrides: DataFrame, samples: DataFrame, removed: Da
 _EDITED = ["category_name", "bbox_x", "bbox_y", "bbox_w", "bbox_h"]
 
 
+def _ordered(batch: DataFrame) -> DataFrame:
+    """A batch with its sequence ``seq``: given, or the order of the frame."""
+    return batch if "seq" in batch.columns else batch.withColumn("seq", F.monotonically_increasing_id())
+
+
 def _last_edits(edits: DataFrame) -> DataFrame:
     """One row per (dataset_id, id): the outcome of its edits in order.  The last op decides; each
     field takes its last non-null value since the last delete."""
-    if "seq" not in edits.columns:
-        edits = edits.withColumn("seq", F.monotonically_increasing_id())   # the order of the frame
     key = ["dataset_id", "id"]
     since = F.max(F.when(F.col("op") == "delete", F.col("seq"))).over(Window.partitionBy(*key))
-    e = edits.withColumn("_live", F.coalesce(F.col("seq") > since, F.lit(True)))
+    e = _ordered(edits).withColumn("_live", F.coalesce(F.col("seq") > since, F.lit(True)))
     field = lambda c: F.max_by(c, F.when(F.col("_live") & F.col(c).isNotNull(), F.col("seq"))).alias(f"_n_{c}")
     return e.groupBy(*key).agg(
         F.max_by("op", "seq").alias("_op"), F.max((F.col("_live") & (F.col("op") == "create")).cast("int")).alias("_new"),
         F.max((F.col("op") == "delete").cast("int")).alias("_del"), *[field(c) for c in ["sample_id", *_EDITED]])
 
 
+def _present(ann: DataFrame, edits: DataFrame) -> DataFrame:
+    """(dataset_id, id, _pred) of the edited ids that exist: whether a prediction has the id."""
+    key = ["dataset_id", "id"]
+    return (ann.select(*key, "source").join(edits.select(*key).distinct(), key, "left_semi")
+               .groupBy(*key).agg(F.max((F.col("source") != GT_SOURCE).cast("int")).alias("_pred")))
+
+
+def rejected_edits(ann: DataFrame, edits: DataFrame) -> DataFrame:
+    """M6: the edits that cannot be applied: updates and deletes aimed at prediction rows or at ids
+    that neither exist nor are created in the batch, and creates of an id that exists and is
+    not deleted in the batch."""
+    key = Window.partitionBy("dataset_id", "id")
+    op = F.col("op")
+    has = lambda name: F.max((op == name).cast("int")).over(key)
+    e = edits.withColumn("_del", has("delete")).withColumn("_c", has("create")).join(_present(ann, edits), ["dataset_id", "id"], "left")
+    changes = op.isin("update", "delete")
+    bad = ((changes & (F.col("_pred") == 1)) | (changes & F.col("_pred").isNull() & (F.col("_c") == 0))
+           | ((op == "create") & F.col("_pred").isNotNull() & ((F.col("_pred") == 1) | (F.col("_del") == 0))))
+    return e.filter(F.coalesce(bad, F.lit(False))).select(*edits.columns)
+
+
 def apply_annotation_edits(ann: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M6: batch edits {op: update|create|delete, id, dataset_id, sample_id, category_name,
     bbox_x/y/w/h[, seq]}, applied per id in the order of ``seq`` (the frame's order without it).
 
     Only ground-truth rows are editable.  Updates recompute area = w*h; creates are GT with null
-    confidence.  Returns (annotations, rejected edits): rejected are updates and deletes aimed
-    at prediction rows or at ids that neither exist nor are created in the batch, and creates of
-    an id that exists and is not deleted in the batch."""
+    confidence.  Returns (annotations, ``rejected_edits``)."""
     is_gt = F.col("source") == GT_SOURCE
     last = _last_edits(edits)
     a = ann.join(last, ["dataset_id", "id"], "left")
     hit = F.col("_op").isNotNull() & is_gt
     # a row deleted in the batch is gone, even if a later create brings its id back
     a = a.filter(~(hit & (F.col("_del") == 1)))
-    u = hit
-    for c in _EDITED:
-        a = a.withColumn(c, F.when(u, F.coalesce(F.col(f"_n_{c}"), F.col(c))).otherwise(F.col(c)))
-    a = a.withColumn("area", F.when(u, F.col("bbox_w") * F.col("bbox_h")).otherwise(F.col("area")))
-    kept = a.select(*ann.columns)
-    there = ann.groupBy("dataset_id", "id").agg(F.max((~is_gt).cast("int")).alias("_pred"))
-    state = last.join(there, ["dataset_id", "id"], "left").select(
-        "dataset_id", "id", "_op", "_new", "_del", "_pred", *[f"_n_{c}" for c in ["sample_id", *_EDITED]])
+    new = {c: F.when(hit, F.coalesce(F.col(f"_n_{c}"), F.col(c))).otherwise(F.col(c)) for c in _EDITED}
+    new["area"] = F.when(hit, new["bbox_w"] * new["bbox_h"]).otherwise(F.col("area"))
+    kept = a.select(*[new.get(c, F.col(c)).alias(c) for c in ann.columns])
+    state = last.filter((F.col("_new") == 1) & (F.col("_op") != "delete")).join(_present(ann, edits), ["dataset_id", "id"], "left")
     free = F.col("_pred").isNull() | ((F.col("_pred") == 0) & (F.col("_del") == 1))
-    created = state.filter((F.col("_new") == 1) & (F.col("_op") != "delete") & free).select(
+    created = state.filter(free).select(
         "dataset_id", "id", *[F.col(f"_n_{c}").alias(c) for c in ["sample_id", *_EDITED]],
         (F.col("_n_bbox_w") * F.col("_n_bbox_h")).alias("area"), F.lit(False).alias("is_crowd"),
         F.lit(GT_SOURCE).alias("source"), F.lit(None).cast("double").alias("confidence"))
-    for c in ann.columns:
-        if c not in created.columns:
-            created = created.withColumn(c, F.lit(None).cast(ann.schema[c].dataType))
-    has_create = edits.filter(F.col("op") == "create").select("dataset_id", "id").distinct().withColumn("_c", F.lit(True))
-    flags = state.select("dataset_id", "id", "_pred", "_del").join(has_create, ["dataset_id", "id"], "left")
-    changes = F.col("op").isin("update", "delete")
-    bad = ((changes & (F.col("_pred") == 1)) | (changes & F.col("_pred").isNull() & F.col("_c").isNull())
-           | ((F.col("op") == "create") & F.col("_pred").isNotNull() & ((F.col("_pred") == 1) | (F.col("_del") == 0))))
-    rejected = edits.join(flags, ["dataset_id", "id"]).filter(F.coalesce(bad, F.lit(False))).select(*edits.columns)
-    return kept.unionByName(created.select(*ann.columns)), rejected
+    rest = [F.lit(None).cast(ann.schema[c].dataType).alias(c) for c in ann.columns if c not in created.columns]
+    return kept.unionByName(created.select("*", *rest).select(*ann.columns)), rejected_edits(ann, edits)
 
 
 def refresh_counts(ann: DataFrame) -> DataFrame:

@@ -104,14 +104,17 @@ def count_matching(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"))
 
 
+def source_filter(annotations: DataFrame, sources: list[str] | None) -> DataFrame:
+    """F8: rows of the given sources (ground truth, runs); all without a selection."""
+    return annotations.filter(F.col("source").isin(sources)) if sources else annotations
+
+
 def annotations_by_sample(annotations: DataFrame, dataset_id: str, sample_ids: DataFrame | None = None,
                           sources: list[str] | None = None) -> DataFrame:
     """A10 (+F8), long format: the annotations of the selected samples ordered by (sample_id,
     id).  The sort is a range-partitioned global sort, so one image with a third of all boxes
     is still spread over many tasks."""
-    a = annotations.filter(F.col("dataset_id") == dataset_id)
-    if sources:
-        a = a.filter(F.col("source").isin(sources))
+    a = source_filter(annotations.filter(F.col("dataset_id") == dataset_id), sources)
     if sample_ids is not None:
         a = a.join(sample_ids.select(F.col("id").alias("sample_id")), "sample_id", "left_semi")
     return a.orderBy("sample_id", "id")
@@ -121,9 +124,7 @@ def group_annotations(annotations: DataFrame, dataset_id: str, sample_ids: DataF
                       sources: list[str] | None = None) -> DataFrame:
     """A10 nested: annotations per sample as a sorted list of structs, for a *page* of samples
     (the selection is required: a list per sample is only bounded for a bounded selection)."""
-    a = annotations.filter(F.col("dataset_id") == dataset_id)
-    if sources:
-        a = a.filter(F.col("source").isin(sources))
+    a = source_filter(annotations.filter(F.col("dataset_id") == dataset_id), sources)
     a = a.join(sample_ids.select(F.col("id").alias("sample_id")), "sample_id", "left_semi")
     return (a.groupBy("sample_id")
              .agg(F.array_sort(F.collect_list(F.struct(

@@ -270,14 +270,20 @@ def a5(spark, sf_dir):
     return S.embedding_status(_d(spark, sf_dir).embeddings, DATASET)
 
 
-@query("A10_group_annotations", W() + """
-SELECT sample_id, COUNT(*) n, MIN(id) first_id, MAX(id) last_id, ROUND(SUM(bbox_w * bbox_h), 6) box_area
-FROM annotations WHERE dataset_id='ds1' AND source IN ('ground_truth', 'run_b') GROUP BY sample_id""")
+_ANN_OUT = ["sample_id", "id", "category_name", "source", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "area", "confidence"]
+
+
+def _ann_out(df):
+    return df.select(*[r9(c) if c in ("area", "confidence") or c.startswith("bbox") else c for c in _ANN_OUT])
+
+
+_ANN_SQL = ", ".join(f"ROUND({c}, 9) {c}" if c in ("area", "confidence") or c.startswith("bbox") else c for c in _ANN_OUT)
+
+
+@query("A10_group_annotations", W() + f"""
+SELECT {_ANN_SQL} FROM annotations WHERE dataset_id='ds1' AND source IN ('ground_truth', 'run_b')""")
 def a10(spark, sf_dir):
-    g = SM.annotations_by_sample(_d(spark, sf_dir).annotations, DATASET, sources=["ground_truth", "run_b"])
-    return (g.groupBy("sample_id")
-             .agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"),
-                  F.round(F.sum(F.col("bbox_w") * F.col("bbox_h")), 6).alias("box_area")))
+    return _ann_out(SM.annotations_by_sample(_d(spark, sf_dir).annotations, DATASET, sources=["ground_truth", "run_b"]))
 
 
 # ---------------------------------------------------------------------------------------
@@ -301,12 +307,12 @@ def f7(spark, sf_dir):
                                          category="A", search=" img_1 ", tags=["1-URGENT"]))
 
 
-@query("F3_category_filter", W() + """
-SELECT COUNT(DISTINCT s.id) total FROM samples s JOIN annotations a ON s.id = a.sample_id AND a.dataset_id = s.dataset_id
-WHERE s.dataset_id='ds1' AND a.category_name='N'""")
+@query("F3_category_filter", W() + f"""
+SELECT {_SAMPLE_COLS_SQL} FROM samples s WHERE dataset_id='ds1'
+  AND EXISTS (SELECT 1 FROM annotations a WHERE s.id = a.sample_id AND a.dataset_id = s.dataset_id AND a.category_name='N')""")
 def f3(spark, sf_dir):
     d = _d(spark, sf_dir)
-    return SM.count_matching(SM.filter_samples(d.samples, DATASET, annotations=d.annotations, category="N"))
+    return _sample_out(SM.filter_samples(d.samples, DATASET, annotations=d.annotations, category="N"))
 
 
 @query("F4_search_wildcards", W() + f"""
@@ -337,35 +343,33 @@ def f16(spark, sf_dir):
     return _sample_out(SM.filter_samples(_d(spark, sf_dir).samples, DATASET, split="val", min_width=1280, min_height=960))
 
 
-@query("F8_source_filter", W() + """
-SELECT source, COUNT(*) n FROM annotations WHERE dataset_id='ds1' AND source IN ('ground_truth', 'run_b') GROUP BY source""")
+@query("F8_source_filter", W() + f"""
+SELECT {_ANN_SQL} FROM annotations WHERE dataset_id='ds1' AND source IN ('ground_truth', 'run_b')""")
 def f8(spark, sf_dir):
-    a = _d(spark, sf_dir).annotations
-    return (a.filter((F.col("dataset_id") == DATASET) & F.col("source").isin("ground_truth", "run_b"))
-             .groupBy("source").agg(F.count("*").alias("n")))
+    a = _d(spark, sf_dir).annotations.filter(F.col("dataset_id") == DATASET)
+    return _ann_out(SM.source_filter(a, ["ground_truth", "run_b"]))
 
 
-@query("F9_confidence_threshold", W() + """
-SELECT source, COUNT(*) n FROM annotations WHERE dataset_id='ds1' AND COALESCE(confidence, 1.0) >= 0.6 GROUP BY source""")
+@query("F9_confidence_threshold", W() + f"""
+SELECT {_ANN_SQL} FROM annotations WHERE dataset_id='ds1' AND source = 'run_a' AND COALESCE(confidence, 1.0) >= 0.6""")
 def f9(spark, sf_dir):
-    from boxlens.functions.geometry import effective_confidence
-    a = _d(spark, sf_dir).annotations
-    return (a.filter((F.col("dataset_id") == DATASET) & (effective_confidence() >= 0.6))
-             .groupBy("source").agg(F.count("*").alias("n")))
+    p = MT.predictions(_d(spark, sf_dir).annotations.withColumn("_a", F.col("area")), DATASET, RUN_A, conf_threshold=0.6)
+    return p.select("sample_id", "id", "category_name", F.lit(RUN_A).alias("source"), *[r9(c) for c in _ANN_OUT[4:8]],
+                    F.round(F.col("bbox_w") * F.col("bbox_h"), 9).alias("area"), r9("confidence"))
 
 
 @query("F13_highlight", W() + """
-SELECT COUNT(*) FILTER (WHERE COALESCE(list_bool_or(list_transform(
+SELECT id, COALESCE(list_bool_or(list_transform(
          list_filter(tags, lambda t: t NOT IN ('triage:tp','triage:fp','triage:fn','triage:mistake')),
-         lambda t: starts_with(t, 'triage:'))), false)) highlighted,
-       COUNT(*) total FROM (SELECT id, CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN list_append(COALESCE(tags, []), 'triage:annotated')
-                                          ELSE tags END tags FROM samples)""")
+         lambda t: starts_with(t, 'triage:'))), false) highlighted
+FROM (SELECT id, CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN list_append(COALESCE(tags, []), 'triage:annotated')
+                      ELSE tags END tags FROM samples)""")
 def f13(spark, sf_dir):
     s = _d(spark, sf_dir).samples
     s = s.withColumn("tags", F.when(F.col("id").cast("long") % 7 == 0,
                                     F.array_append(F.coalesce("tags", F.array().cast("array<string>")), F.lit("triage:annotated")))
                               .otherwise(F.col("tags")))
-    return s.agg(F.count_if(SM.highlight(F.col("tags"))).alias("highlighted"), F.count("*").alias("total"))
+    return s.select("id", SM.highlight(F.col("tags")).alias("highlighted"))
 
 
 _POLY = [(-0.5, -0.5), (0.6, -0.4), (0.7, 0.5), (0.0, 0.9), (-0.6, 0.3)]
@@ -607,13 +611,12 @@ def m3(spark, sf_dir):
 newrows AS (SELECT dataset_id, 'n' || id id, sample_id, category_name, bbox_x, bbox_y, bbox_w, bbox_h, area, is_crowd,
                    'run_b' source, confidence FROM annotations WHERE source = 'run_a' AND confidence >= 0.5),
 res AS (SELECT * FROM annotations WHERE NOT (dataset_id = 'ds1' AND source = 'run_b') UNION ALL SELECT * FROM newrows)
-SELECT source, COUNT(*) n, ROUND(SUM(area), 6) area_sum FROM res GROUP BY source""")
+SELECT {ann} FROM res""".format(ann=_ANN_SQL))
 def m4(spark, sf_dir):
     a = _d(spark, sf_dir).annotations
     new = (a.filter((F.col("source") == "run_a") & (F.col("confidence") >= 0.5))
            .withColumn("id", F.concat(F.lit("n"), F.col("id"))).withColumn("source", F.lit("run_b")))
-    r = MU.replace_run(a, new, DATASET, "run_b")
-    return r.groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum("area"), 6).alias("area_sum"))
+    return _ann_out(MU.replace_run(a, new, DATASET, "run_b"))
 
 
 @query("M4_prediction_count", W() + """
@@ -626,10 +629,10 @@ def m4c(spark, sf_dir):
 a2 AS (SELECT * FROM annotations UNION ALL SELECT 'ds2' dataset_id, id, sample_id, category_name, bbox_x, bbox_y,
        bbox_w, bbox_h, area, is_crowd, source, confidence FROM annotations WHERE source = 'run_b'),
 s2 AS (SELECT id, dataset_id FROM samples UNION ALL SELECT id, 'ds2' FROM samples WHERE split = 'val'),
-o2 AS (SELECT dataset_id FROM overrides UNION ALL SELECT 'ds2' FROM overrides WHERE label = 'fp')
-SELECT 'annotations' tbl, COUNT(*) n FROM a2 WHERE dataset_id <> 'ds1'
-UNION ALL SELECT 'samples', COUNT(*) FROM s2 WHERE dataset_id <> 'ds1'
-UNION ALL SELECT 'annotation_triage', COUNT(*) FROM o2 WHERE dataset_id <> 'ds1'""")
+o2 AS (SELECT dataset_id, annotation_id FROM overrides UNION ALL SELECT 'ds2', annotation_id FROM overrides WHERE label = 'fp')
+SELECT 'annotations' tbl, dataset_id, id FROM a2 WHERE dataset_id <> 'ds1'
+UNION ALL SELECT 'samples', dataset_id, id FROM s2 WHERE dataset_id <> 'ds1'
+UNION ALL SELECT 'annotation_triage', dataset_id, annotation_id FROM o2 WHERE dataset_id <> 'ds1'""")
 def m5(spark, sf_dir):
     d = _d(spark, sf_dir)
     tables = {
@@ -638,7 +641,8 @@ def m5(spark, sf_dir):
         "annotation_triage": d.overrides.unionByName(d.overrides.filter(F.col("label") == "fp").withColumn("dataset_id", F.lit("ds2"))),
     }
     out = MU.delete_dataset(tables, DATASET)
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("tbl"), "n") for k, df in out.items()]
+    parts = [df.select(F.lit(k).alias("tbl"), "dataset_id", F.col("annotation_id" if k == "annotation_triage" else "id").alias("id"))
+             for k, df in out.items()]
     res = parts[0]
     for p in parts[1:]:
         res = res.unionByName(p)
@@ -646,15 +650,15 @@ def m5(spark, sf_dir):
 
 
 @query("M15_backfill_image_dir", W() + """
-SELECT COALESCE(NULLIF(CASE CAST(id AS BIGINT) % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'own/' || split END, ''), '/data/ds1') image_dir,
-       COUNT(*) n FROM samples GROUP BY 1""")
+SELECT id, COALESCE(NULLIF(CASE CAST(id AS BIGINT) % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'own/' || split END, ''), '/data/ds1') image_dir
+FROM samples""")
 def m15(spark, sf_dir):
     d = _d(spark, sf_dir)
     m = F.col("id").cast("long") % 3
     s = d.samples.withColumn("image_dir", F.when(m == 0, F.lit(None).cast("string")).when(m == 1, F.lit(""))
                              .otherwise(F.concat(F.lit("own/"), F.col("split"))))
     ds = spark.createDataFrame([(DATASET, "/data/ds1")], "id string, image_dir string")
-    return MU.backfill_image_dir(s, ds).groupBy("image_dir").agg(F.count("*").alias("n"))
+    return MU.backfill_image_dir(s, ds).select("id", "image_dir")
 
 
 @query("M16_views_by_priority", W() + """,
@@ -679,13 +683,13 @@ def m16(spark, sf_dir):
 
 
 @query("M17_replace_embeddings", W() + """
-SELECT COUNT(*) n, ROUND(SUM(vector[1]), 6) s1 FROM (
-  SELECT sample_id, list_transform(vector, lambda x: x * 0.5) vector FROM emb)""")
+SELECT sample_id, array_to_string(list_transform(vector, lambda x: CAST(CAST(round(x * 0.5 * 1e6) AS BIGINT) AS VARCHAR)), ',') vector FROM emb""")
 def m17(spark, sf_dir):
     e = _d(spark, sf_dir).embeddings
     new = e.withColumn("vector", F.transform("vector", lambda x: x * 0.5))
     r = MU.replace_embeddings(e, new, DATASET)
-    return r.agg(F.count("*").alias("n"), F.round(F.sum(F.element_at("vector", 1)), 6).alias("s1"))
+    # whole vectors as text, components in millionths
+    return r.select("sample_id", F.array_join(F.transform("vector", lambda x: F.round(x * 1e6).cast("long").cast("string")), ",").alias("vector"))
 
 
 @query("M18_write_coordinates", W() + """
