@@ -74,19 +74,21 @@ class Ingested:
 
 def ingest_dataset(spark: SparkSession, annotation_path: str, dataset_id: str, *, image_dir: str = "",
                    name: str | None = None, split: str | None = None, hooks: Hooks | None = None,
-                   stream_sections: bool = False) -> Ingested:
+                   reader: str = "ranges") -> Ingested:
     """M1: one COCO document -> dataset row, samples, annotations, categories.
 
-    Small documents are parsed whole by the multiLine reader; with ``stream_sections=True``
-    (multi-GB documents) each section is streamed by its own task with bounded memory
-    (``coco.read_coco_streaming``).  The dataset name defaults to the file stem; counts are
+    The document is read by byte ranges, many tasks to a file (``coco.read_coco_ranges``).  The reader
+    "stream" reads each section in one task with bounded memory (for filesystems without random
+    access), "document" parses the whole document as one row.  The dataset name defaults to the file stem; counts are
     image / GT / category counts of the file (D10).  Nothing is written here:
     ``write_ingested`` appends the partitions."""
     hooks = hooks or Hooks()
     name = name or os.path.splitext(os.path.basename(annotation_path))[0]
     results = hooks.fire("on_start", dataset_id=dataset_id, name=name)
     # the document is parsed once; every table and count reads the stored sections
-    if stream_sections:
+    if reader == "ranges":
+        src = coco.read_coco_ranges(spark, annotation_path)
+    elif reader == "stream":
         parts = coco.read_coco_streaming(spark, [annotation_path])
         src = {k: pin(parts[k]) for k in ("categories", "images", "annotations")}
     else:

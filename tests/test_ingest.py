@@ -43,7 +43,7 @@ def test_ingest_counts_and_hooks(spark, tmp):
 def test_ingest_streamed_sections_same_result(spark, tmp):
     p = write(f"{tmp}/small.json", small_doc())
     a = ingest_dataset(spark, p, "d1")
-    b = ingest_dataset(spark, p, "d1", stream_sections=True)
+    b = ingest_dataset(spark, p, "d1", reader="stream")
     for x, y in ((a.samples, b.samples), (a.annotations, b.annotations), (a.categories, b.categories)):
         assert sorted(x.collect()) == sorted(y.collect())
     ra, rb = a.dataset.first(), b.dataset.first()
