@@ -1215,3 +1215,7 @@ def t6(spark, sf_dir):
 def v5(spark, sf_dir):
     """PCA(k=2) of the unit vectors; not the reference's projection, so rows-only."""
     return V.reduce_2d(_d(spark, sf_dir).embeddings, DATASET).select("sample_id", "x", "y")
+
+
+# the queries of files, ingestion and reports register themselves
+from boxlens.plans import roundtrip  # noqa: E402, F401
