@@ -31,7 +31,7 @@ MAX_REPEATS = 3
 DOCS_PER_BLOCK = 64
 MAX_BLOCKS = 4096            # blocks of one source; larger sources have larger blocks
 WORDS_PER_SHARD = 8_000_000
-FILL_PASSES = 4
+FILL_PASSES = 4              # window passes of one round of filling
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -97,25 +97,15 @@ def plan(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, wor
     run = F.sum("block_size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     blocks = _join(thin.groupBy("source", "block").agg(F.sum("size").alias("block_size")).withColumn("run", run),
                    sources.select("source", "passes", "rest"))
-    blocks = pin(blocks.withColumn("whole", (F.col("run") <= F.col("rest")) & (F.col("rest") > 0))
-                       .withColumn("partial", (F.col("run") > F.col("rest")) & (F.col("run") - F.col("block_size") < F.col("rest"))))
-
-    # the crossing block: documents in hashed order as long as they fit, in a few passes
-    edge = blocks.filter("partial").select("source", "block", (F.col("rest") - F.col("run") + F.col("block_size")).alias("room"))
+    blocks = pin(blocks.withColumn("whole", (F.col("run") <= F.col("rest")) & (F.col("rest") > 0)))
     by_source = Window.partitionBy("source")
-    d = _join(thin.select("source", "block", "doc_id", "th", "size"), edge, "block").withColumn("took", F.lit(False))
-    place = by_source.orderBy(F.xxhash64(F.lit(seed + 2), "doc_id", "th"), "doc_id", "th").rowsBetween(Window.unboundedPreceding, 0)
-    for _ in range(FILL_PASSES):
-        d = d.withColumn("_left", F.col("room") - F.sum(F.when(F.col("took"), F.col("size")).otherwise(0)).over(by_source))
-        fits = ~F.col("took") & (F.col("size") <= F.col("_left"))
-        d = d.withColumn("_run", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(place))
-        d = d.withColumn("took", F.col("took") | (fits & (F.col("_run") <= F.col("_left"))))
-    chosen = pin(d.filter("took").select("source", "block", "doc_id", "th"))
+    chosen = fill(thin.select("source", "block", "doc_id", "th", "size"), blocks.filter(~F.col("whole") & (F.col("rest") > 0)), seed)
 
     # one row per taken copy of a block
     copies = F.col("passes") + F.col("whole").cast("int")
+    partial = _join(blocks, chosen.select("source", "block").distinct(), "block", how="left_semi")
     taken = (blocks.filter(copies > 0).select("source", "block", F.explode(F.sequence(F.lit(1), copies)).alias("copy"), F.lit(False).alias("partial"))
-                   .unionByName(blocks.filter("partial").select("source", "block", (F.col("passes") + 1).alias("copy"), F.lit(True).alias("partial"))))
+                   .unionByName(partial.select("source", "block", (F.col("passes") + 1).alias("copy"), F.lit(True).alias("partial"))))
     units = pin(taken.withColumn("place", F.row_number().over(
         by_source.orderBy(F.xxhash64(F.lit(seed + 3), "source", "block", "copy"), "block", "copy"))))
     total = thin0.agg(F.sum("size")).first()[0] or 0
@@ -129,6 +119,42 @@ def plan(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, wor
     return {"thin": thin, "sources": sources, "units": units, "chosen": chosen, "depth": depth}
 
 
+def fill(docs: DataFrame, blocks: DataFrame, seed: int) -> DataFrame:
+    """Documents (source, block, doc_id, th) that fill what whole blocks leave of each target.
+
+    ``blocks`` (source, block, block_size, run, rest) are those that are not taken whole, in the source's
+    order.  Documents that exceed the room left are passed over.  A round takes the first blocks whose fitting
+    documents could fill the room and their documents in hashed order as long as they fit, in a few
+    passes; rounds go on, over all blocks, until no document fits.  Each round's windows hold about
+    the room's words; rows equal in source, doc_id and text of an earlier round's choice stay out."""
+    # what the whole blocks leave: the first block of the others begins at their end
+    room = pin(blocks.groupBy("source").agg(F.max(F.col("rest") - F.col("run") + F.col("block_size")).alias("room")).filter("room > 0"))
+    places = blocks.select("source", "block", "run")
+    by_source = Window.partitionBy("source")
+    before = by_source.orderBy("run", "block").rowsBetween(Window.unboundedPreceding, -1)
+    place = by_source.orderBy(F.xxhash64(F.lit(seed + 2), "doc_id", "th"), "doc_id", "th").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = None
+    while True:
+        d = _join(_join(docs.filter("size > 0"), room), places, "block").filter(F.col("size") <= F.col("room"))
+        if chosen is not None:
+            c = chosen.select(F.col("source").alias("_cs"), F.col("doc_id").alias("_cd"), F.col("th").alias("_ct"))
+            d = d.join(c, d["source"].eqNullSafe(c["_cs"]) & d["doc_id"].eqNullSafe(c["_cd"]) & d["th"].eqNullSafe(c["_ct"]), "left_anti")
+        fitting = d.groupBy("source", "block", "run", "room").agg(F.sum("size").alias("_fit"))
+        fitting = fitting.withColumn("_before", F.coalesce(F.sum("_fit").over(before), F.lit(0))).filter(F.col("_before") < F.col("room"))
+        d = _join(d, fitting.select("source", "block"), "block").withColumn("took", F.lit(False))
+        for _ in range(FILL_PASSES):
+            d = d.withColumn("_left", F.col("room") - F.sum(F.when(F.col("took"), F.col("size")).otherwise(0)).over(by_source))
+            fits = ~F.col("took") & (F.col("size") <= F.col("_left"))
+            d = d.withColumn("_run", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(place))
+            d = d.withColumn("took", F.col("took") | (fits & (F.col("_run") <= F.col("_left"))))
+        now = pin(d.filter("took").select("source", "block", "doc_id", "th", "size", "room"))
+        if now.limit(1).count() == 0:
+            return now.select("source", "block", "doc_id", "th") if chosen is None else chosen
+        now_docs = now.select("source", "block", "doc_id", "th")
+        chosen = now_docs if chosen is None else pin(chosen.unionByName(now_docs))
+        room = pin(now.groupBy("source", "room").agg(F.sum("size").alias("_s")).select("source", (F.col("room") - F.col("_s")).alias("room")).filter("room > 0"))
+
+
 def split_quotas(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     """``quotas`` (source, quota) dealt to 2^depth shards: (source, shard, quota).
 

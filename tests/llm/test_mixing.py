@@ -87,6 +87,24 @@ def test_small_blocks_hit_targets(spark, monkeypatch):
     assert {r["doc_id"]: r["count"] * size[r["doc_id"]] for r in m} == {r["doc_id"]: r["taken"] for r in rows if r["taken"]}
 
 
+def test_room_is_filled_from_later_blocks(spark, monkeypatch):
+    """Long documents that don't fit are passed over, and blocks behind them fill the room to the word."""
+    from boxlens.llm import mixing
+    monkeypatch.setattr(mixing, "DOCS_PER_BLOCK", 2)
+    # 'a' is capped by nothing and gets 5/8 of all words, part of it in whole passes; every other document is long
+    docs = [(i, "a", "w " * (900 if i % 2 else 1 + i % 5)) for i in range(60)] + [(100 + i, "b", "x " * 40) for i in range(1000)]
+    docs += [(5000 + i, "c", "y " * (7000 if i < 3 else 3)) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    rows = taken_words(df).collect()
+    check(rows, docs)
+    for s in "abc":
+        mine = [r for r in rows if r["source"] == s]
+        passes = int(mine[0]["target"] // mine[0]["source_size"])
+        smallest = min(r["size"] for r in mine if r["taken"] <= passes * r["size"])      # of those that could still be taken
+        assert 0 <= mine[0]["target"] - sum(r["taken"] for r in mine) < smallest + 1
+    assert {(r["doc_id"], r["taken"]) for r in rows} == {(r["doc_id"], r["taken"]) for r in taken_words(df).collect()}
+
+
 def test_edge_cases(spark):
     docs = [(1, "a", None), (2, "a", ""), (3, "b", " \t\n"), (None, "b", "x y"), (4, None, "p q r"), (5, None, None),
             (6, "c", "same text"), (6, "c", "same text"), (7, "c", "é" * 100_000 + " z"), (8, "", "empty name")]
