@@ -31,6 +31,7 @@ MAX_PIVOTS = 4096
 QUERY_CHUNK = 4096
 PAGE = 512
 FANOUT = 16
+FLOAT_EXACT = 2.0 ** 53     # scores below are exact in floats; larger ones are computed in integers
 
 
 def _matrix(arr) -> np.ndarray:
@@ -45,15 +46,25 @@ def _matrix(arr) -> np.ndarray:
     return out
 
 
+def _integers(arr, width: int) -> np.ndarray:
+    """Rows of a list column as int64, padded with zeros to ``width``."""
+    rows = (arr.combine_chunks() if isinstance(arr, pa.ChunkedArray) else arr).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(rows), width), np.int64)
+    for i, r in enumerate(rows):
+        out[i, :len(r)] = r
+    return out
+
+
 def _wide(x: np.ndarray, width: int) -> np.ndarray:
     return x if x.shape[1] == width else np.concatenate([x, np.zeros((len(x), width - x.shape[1]))], axis=1)
 
 
 class MTree:
-    """M-tree over the rows of ``x`` (integers as floats) in the space of the reduction."""
+    """M-tree over the rows of ``x`` (integers as floats) in the space of the reduction.  ``exact`` holds
+    the rows as integers where floats could not hold a score; the bounds stay floats with slack."""
 
-    def __init__(self, x: np.ndarray, ids: list, m2: float):
-        self.x, self.ids, self.m2 = x, ids, m2
+    def __init__(self, x: np.ndarray, ids: list, m2: float, exact: np.ndarray | None = None):
+        self.x, self.ids, self.m2, self.exact = x, ids, m2, exact
         self.first = np.array([i[0] for i in ids], np.int64)
         self.aug = np.concatenate([x, np.sqrt(np.maximum(m2 - np.einsum("ij,ij->i", x, x), 0.0))[:, None]], axis=1)
         self.slack = 1e-5 * (np.sqrt(m2) + 1.0)
@@ -82,16 +93,17 @@ class MTree:
         centers = np.array([c for c, _ in parts])
         return node | {"kids": kids, "centers": centers, "radii": np.array([k["radius"] for k in kids]), "to_parent": self._dist(centers, center)}
 
-    def search(self, q: np.ndarray, k: int, floor: float = -np.inf):
-        """The k best (score, id), score descending, id ascending, of those scoring ``floor`` or more."""
-        best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
+    def search(self, q: np.ndarray, k: int, floor: float = -np.inf, whole: np.ndarray | None = None):
+        """The k best (score, id), score descending, id ascending, of those scoring ``floor`` or more; ``whole``
+        is the query in integers, for a tree that holds them."""
+        best_s, best_i = np.zeros(0, float if self.exact is None else np.int64), np.zeros(0, np.int64)
         if self.root is None:
             return best_s, best_i
         base = float(q @ q) + self.m2
 
         def bound() -> float:
             s = max(floor, best_s[-1]) if len(best_s) == k else floor
-            return np.inf if s == -np.inf else np.sqrt(max(base - 2.0 * s, 0.0)) + self.slack
+            return np.inf if s == -np.inf else np.sqrt(max(base - 2.0 * float(s), 0.0)) + self.slack
         d0 = float(np.sqrt(max(base - 2.0 * float(self.x[self.root["center"]] @ q), 0.0)))
         heap = [(max(0.0, d0 - self.root["radius"]), 0, self.root, d0)]
         n, tau = 1, bound()
@@ -111,7 +123,7 @@ class MTree:
                 continue
             rows = node["rows"]
             rows = rows[np.abs(d - node["to_parent"]) <= tau]
-            s = self.x[rows] @ q
+            s = self.x[rows] @ q if self.exact is None else self.exact[rows] @ whole
             least = max(floor, best_s[-1]) if len(best_s) == k else floor
             keep = np.flatnonzero(s >= least)
             if not len(keep):
@@ -136,10 +148,12 @@ def _searcher(m2: float, k: int):
             width = max(x.shape[1], q.shape[1])
             ids = [np.asarray(i, np.int64) for i in left["ids"].to_pylist()]
             order = np.argsort([i[0] for i in ids], kind="stable")
-            tree = MTree(_wide(x, width)[order], [ids[o] for o in order], m2)
+            large = m2 >= FLOAT_EXACT
+            tree = MTree(_wide(x, width)[order], [ids[o] for o in order], m2, _integers(left["v"], width)[order] if large else None)
             q = _wide(q, width)
-            for qid, row, floor in zip(right["qid"].to_pylist(), q, right["floor"].to_pylist()):
-                s, i = tree.search(row, k, -np.inf if floor is None else float(floor))
+            whole = _integers(right["v"], width) if large else [None] * len(q)
+            for qid, row, exact, floor in zip(right["qid"].to_pylist(), q, whole, right["floor"].to_pylist()):
+                s, i = tree.search(row, k, -np.inf if floor is None else floor, exact)
                 qs.append(np.full(len(s), qid))
                 ss.append(s)
                 vs.append(i)
@@ -207,8 +221,8 @@ def top_k(emb: DataFrame, query_filter, k: int = K) -> DataFrame:
     ``query_filter`` is a column over vec_id.  Vectors that are null or hold null or non-finite
     components, and rows without vec_id, take no part; shorter vectors count as padded with zeros.
     Repeated (vec_id, vector) rows count once; a query never meets rows of its own vec_id.
-    Fewer than ``k`` candidates give all of them; other columns are ignored.  Exact while squared norms
-    stay below 2^53; larger ones raise."""
+    Fewer than ``k`` candidates give all of them; other columns are ignored.  Scores are exact; a squared norm
+    that does not fit the score's type (long) raises."""
     spark = emb.sparkSession
     comp = F.col("embedding")
     ok = comp.isNotNull() & F.col("vec_id").isNotNull() & ~F.exists(comp, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -225,8 +239,8 @@ def top_k(emb: DataFrame, query_filter, k: int = K) -> DataFrame:
     if not stats["n"]:
         return spark.createDataFrame([], empty)
     m2, dim = float(stats["m2"]), max(1, stats["dim"])
-    if m2 >= 2.0 ** 53:
-        raise ValueError("squared norms beyond 2^53 are not exact")
+    if m2 >= 2.0 ** 63:
+        raise ValueError("the scores do not fit a long")
     n_pivots = max(1, min(MAX_PIVOTS, -(-stats["n"] // CELL_ROWS)))
     pivots = _wide(_matrix(classes.orderBy(F.xxhash64("h"), "cid").limit(n_pivots).select("v").toArrow()["v"]), dim)
     cells = pin(classes.select("cid", "v", "ids").mapInArrow(_assign(pivots, m2), "cid long, v array<long>, ids array<long>, cell int, dist double"))

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from boxlens.llm import topk
@@ -61,3 +62,19 @@ def test_tree_prunes_and_stays_exact(monkeypatch):
         s, i = tree.search(q, 21)
         order = np.lexsort((np.arange(len(x)), -(x @ q)))[:21]
         assert i.tolist() == order.tolist() and s.tolist() == (x @ q)[order].tolist()
+
+
+def test_scores_beyond_the_floats(spark, monkeypatch):
+    """Squared norms far beyond 2^53, scores that differ in their last digits only."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) / 64 for x in rng.integers(-2 * 10**8, 2 * 10**8, 4)]) for i in range(300)]
+    rows += [(1000 + i, [2e6, 2e6, 2e6, (1 + i % 7) / 64]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exp = brute(rows)
+    assert max(abs(r[3]) for r in exp) > 2**55
+    assert run(df) == exp
+    monkeypatch.setattr(topk, "CELL_ROWS", 40)
+    monkeypatch.setattr(topk, "PAGE", 8)
+    assert run(df) == exp
+    with pytest.raises(ValueError, match="long"):
+        top_k(spark.createDataFrame([(0, [1e12])], "vec_id long, embedding array<double>"), F.lit(True))
