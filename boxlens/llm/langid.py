@@ -126,21 +126,10 @@ def _count(batches):
         yield from out(name)
 
 
-def ngram_counts(docs: DataFrame, max_entries: int | None = None) -> DataFrame:
-    """(lang, key, n) 5-gram counts of labelled ``docs`` (lang, text): all, or cut to ``max_entries``
-    rows by the smallest count threshold that fits."""
-    counts = pin(docs.select("lang", "text").mapInArrow(_count, "lang string, key long, n long")
-                     .groupBy("lang", "key").agg(F.sum("n").alias("n")))
-    if max_entries is None:
-        return counts
-    hist = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("n")).collect()
-    total, least = 0, 1
-    for r in hist:
-        total += r["c"]
-        if total > max_entries:
-            least = r["n"] + 1
-            break
-    return counts.filter(F.col("n") >= least)
+def ngram_counts(docs: DataFrame) -> DataFrame:
+    """(lang, key, n): all 5-gram counts of labelled ``docs`` (lang, text)."""
+    return pin(docs.select("lang", "text").mapInArrow(_count, "lang string, key long, n long")
+                   .groupBy("lang", "key").agg(F.sum("n").alias("n")))
 
 
 # ------------------------------------------------------------------ model

@@ -106,13 +106,6 @@ def test_edge_cases(spark):
     assert {r["lang_pred"] for r in unlabelled} == {"und"}
 
 
-def test_entry_bound_keeps_most_frequent(spark):
-    df = spark.createDataFrame([("a", "abcabcabcabc xyz")], "lang string, text string")
-    full = langid.ngram_counts(df, 10_000).count()
-    cut = langid.ngram_counts(df, 5)
-    assert cut.count() <= 5 < full
-
-
 def test_blocks_of_the_model_score_like_the_whole(spark):
     """However small a block, no n-gram and no language is lost."""
     rows = [(i, "the quick brown fox number " + "abcdefghij"[i % 10] * 3, "en") for i in range(60)]
