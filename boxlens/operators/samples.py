@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The largest literal id list accepted (bigger selections are DataFrames).
@@ -92,6 +92,43 @@ def sort_samples(df: DataFrame, sort_by: str | None = "id", sort_dir: str | None
     return df.orderBy(c, F.col("id").asc())
 
 
+def _order(sort_by: str | None, sort_dir: str | None) -> list[Column]:
+    c = F.col(sort_by if sort_by in SORTABLE_COLUMNS else "id")
+    if sort_by not in SORTABLE_COLUMNS:
+        return [c.asc()]
+    return [c.desc_nulls_last() if sort_dir == "desc" else c.asc_nulls_last(), F.col("id").asc()]
+
+
+def store_order(df: DataFrame, path: str, sort_by: str | None = "id", sort_dir: str | None = "asc", partitions: int | None = None) -> None:
+    """T2 for deep pages: store ``df`` in ranges of its order (T1) with the number of rows of each.
+
+    A range is a folder ``part=n`` of ``path/rows``; the counts are a small table beside it.  ``partitions``
+    (the session's shuffle partitions by default) bounds a range to about its share of the rows."""
+    order = _order(sort_by, sort_dir)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
+    ranges.write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
+    stored = df.sparkSession.read.parquet(f"{path}/rows")
+    stored.groupBy("part").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/counts")
+
+
+def seek_page(spark: SparkSession, path: str, offset: int = 0, limit: int = 50, sort_by: str | None = "id",
+              sort_dir: str | None = "asc") -> DataFrame:
+    """A page of an order stored by ``store_order`` (of the same sort): only the ranges that the page lies in are
+    read and sorted, however many rows come before."""
+    if not 1 <= limit <= 200 or offset < 0:
+        raise ValueError("limit must be in [1, 200] and offset >= 0")
+    counts = sorted((r["part"], r["n"]) for r in spark.read.parquet(f"{path}/counts").collect())     # a row a range
+    before, first, parts = 0, 0, []
+    for part, n in counts:
+        if before < offset + limit and before + n > offset:
+            first = before if not parts else first
+            parts.append(part)
+        before += n
+    rows = spark.read.parquet(f"{path}/rows").filter(F.col("part").isin(parts)).drop("part")
+    return rows.orderBy(*_order(sort_by, sort_dir)).offset(max(0, offset - first)).limit(limit)
+
+
 def page(df: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
     """One page after a total order (limit 1-200)."""
     if not 1 <= limit <= 200 or offset < 0:

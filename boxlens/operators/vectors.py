@@ -60,7 +60,7 @@ def unit(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    return F.try_divide(dot(a, b), norm(a) * norm(b))       # null for a zero vector
 
 
 def find_similar(emb: DataFrame, dataset_id: str, sample_id: str, limit: int = 20) -> DataFrame:
@@ -79,6 +79,70 @@ def find_similar(emb: DataFrame, dataset_id: str, sample_id: str, limit: int = 2
     return scored.orderBy(F.round("score", 9).desc(), "sample_id").limit(limit)
 
 
+def build_index(emb: DataFrame, dataset_id: str, path: str, cells: int | None = None) -> None:
+    """V1 with an index: the dataset's vectors stored by cell, a folder ``cell=n`` of ``path/vectors`` for each of
+    ``cells`` pivots (some of the vectors, by default about the square root of their number, 1,024 at most).
+    A vector lies in the cell of its nearest pivot; ``path/cells`` has the pivots, the largest
+    distance of a member (radius) and the number of members.  Zero vectors have no direction and are left out."""
+    import numpy as np
+
+    from boxlens.session import pin, release
+    e = emb.filter((F.col("dataset_id") == dataset_id) & F.exists("vector", lambda x: x != 0)).select("sample_id", "vector")
+    e = pin(e.withColumn("u", unit(F.col("vector"))))
+    n = cells or min(1024, max(1, math.isqrt(e.count())))
+    # one pivot a distinct vector, in hash order: a bounded number of them
+    pivots = [r["u"] for r in e.groupBy("u").agg(F.min("sample_id").alias("s")).orderBy(F.xxhash64("s"), "s").limit(n).collect()]
+    table = np.array(pivots, float).reshape(len(pivots), -1)
+
+    def nearest(u):
+        import pandas as pd
+        x = np.stack(u.to_numpy()) if len(u) else np.zeros((0, table.shape[1]))
+        cos = x @ table.T
+        c = cos.argmax(axis=1)
+        d = np.sqrt(np.maximum(2.0 - 2.0 * cos[np.arange(len(c)), c], 0.0)) if len(c) else np.zeros(0)
+        return pd.DataFrame({"cell": c.astype("int32"), "d": d})
+    placed = e.withColumn("at", F.pandas_udf(nearest, "cell int, d double")("u"))
+    placed.select("sample_id", "vector", "at.cell", "at.d").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+    stored = e.sparkSession.read.parquet(f"{path}/vectors")
+    of = e.sparkSession.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(pivots)], "cell int, pivot array<double>")
+    (stored.groupBy("cell").agg(F.max("d").alias("radius"), F.count("*").alias("n")).join(of, "cell")
+           .write.mode("overwrite").parquet(f"{path}/cells"))
+    release(e)
+
+
+_SLACK = 1e-6      # of distances, for rounding
+
+
+def search_index(spark, path: str, query: list[float] | None, limit: int = 20, exclude: str | None = None) -> DataFrame:
+    """The ``limit`` nearest vectors (sample_id, score) of a stored index, the rows that a scan gives.
+
+    The nearest cells that hold ``limit`` vectors give a first score; no vector of a cell is nearer than the
+    distance to its pivot less its radius, so only cells that may hold a better one are read."""
+    import numpy as np
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be in [1, 100]")
+    q = np.asarray([] if query is None else query, float)
+    size = float(np.sqrt(q @ q))
+    cells = spark.read.parquet(f"{path}/cells").collect() if size > 0 else []         # at most 1,024 rows
+    near = sorted((max(0.0, float(np.sqrt(max(0.0, 2.0 - 2.0 * float(np.dot(c["pivot"], q)) / size))) - c["radius"]), c["cell"], c["n"]) for c in cells)
+
+    def scored(numbers: list[int]) -> DataFrame:
+        v = spark.read.parquet(f"{path}/vectors").filter(F.col("cell").isin(numbers))
+        if exclude is not None:
+            v = v.filter(F.col("sample_id") != exclude)
+        return v.select("sample_id", cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in q])).alias("score"))
+    first, held = [], 0
+    for low, cell, n in near:
+        if held > limit:
+            break
+        first.append(cell)
+        held += n
+    best = scored(first).orderBy(F.desc("score")).limit(limit).agg(F.min("score").alias("s"), F.count("*").alias("n")).first() if first else None
+    # beyond this distance no vector is among the best
+    tau = math.sqrt(max(0.0, 2.0 - 2.0 * best["s"])) + _SLACK if best and best["n"] == limit else math.inf
+    return scored([cell for low, cell, _ in near if low <= tau]).orderBy(F.round("score", 9).desc(), "sample_id").limit(limit)
+
+
 def similar_with_samples(emb: DataFrame, samples: DataFrame, dataset_id: str, sample_id: str, limit: int = 20) -> DataFrame:
     """V1's neighbours with their sample's file_name and thumbnail_path, null where the sample
     (or the column) is missing; best first."""
@@ -91,15 +155,17 @@ def similar_with_samples(emb: DataFrame, samples: DataFrame, dataset_id: str, sa
 def _prepared(emb: DataFrame, dataset_id: str) -> DataFrame:
     # a zero vector has no direction: it is a near-duplicate of nothing
     e = emb.filter((F.col("dataset_id") == dataset_id) & F.exists("vector", lambda x: x != 0)).select("sample_id", "vector")
-    return (e.withColumn("u", unit(F.col("vector")))
-             .withColumn("key", F.transform("u", lambda x: F.round(x, COPY_DECIMALS))))
+    # copies are found by a 128-bit hash of the rounded coordinates, not by the vectors themselves
+    r = F.transform("u", lambda x: F.round(x, COPY_DECIMALS) + 0.0)
+    return (e.withColumn("u", unit(F.col("vector"))).withColumn("h1", F.xxhash64(r)).withColumn("h2", F.xxhash64(F.lit(1), r)))
 
 
 def copy_groups(emb: DataFrame, dataset_id: str) -> DataFrame:
-    """Exact-copy collapse: (sample_id, rep) with rep = smallest sample id sharing the key."""
+    """Exact-copy collapse: (sample_id, rep) with rep = smallest sample id of equal rounded coordinates.  A group
+    of many copies is one row a task in the aggregate, and its key in the join is split by AQE."""
     p = _prepared(emb, dataset_id)
-    reps = p.groupBy("key").agg(F.min("sample_id").alias("rep"))
-    return p.join(reps, "key").select("sample_id", "rep", "u")
+    reps = p.groupBy("h1", "h2").agg(F.min("sample_id").alias("rep"))
+    return p.join(reps, ["h1", "h2"]).select("sample_id", "rep", "u")
 
 
 def near_duplicate_pairs(emb: DataFrame, dataset_id: str, threshold: float = DEFAULT_THRESHOLD,
@@ -195,6 +261,15 @@ def near_duplicate_groups(emb: DataFrame, dataset_id: str, threshold: float = DE
              .orderBy(F.col("size").desc(), "group_id"))
 
 
+def near_duplicate_members(emb: DataFrame, dataset_id: str, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """V3 in rows: sample_id, group_id (smallest member), size, for every member of a group of two or more;
+    no list of a group's members is built."""
+    edges = near_duplicate_pairs(emb, dataset_id, threshold)
+    comp = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    sizes = comp.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") >= 2)
+    return comp.join(sizes, "component").select(F.col("node").alias("sample_id"), F.col("component").alias("group_id"), "size")
+
+
 def duplicate_totals(groups: DataFrame) -> DataFrame:
     """V3 totals: number of groups and of samples in them."""
     return groups.agg(F.count("*").alias("total_groups"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_duplicates"))

@@ -1004,6 +1004,15 @@ def v3(spark, sf_dir):
     return g.select("group_id", "size", F.array_join("members", "|").alias("members"))
 
 
+@query("V3_group_members", "WITH RECURSIVE " + W(*_DUP_CTES)[5:] + """,
+und AS (SELECT a x, b y FROM edges UNION SELECT b, a FROM edges),
+reach(node, other) AS (SELECT x, x FROM und UNION SELECT r.node, u.y FROM reach r JOIN und u ON u.x = r.other),
+comp AS (SELECT node, MIN(other) component FROM reach GROUP BY node)
+SELECT node sample_id, component group_id, COUNT(*) OVER (PARTITION BY component) size FROM comp""")
+def v3m(spark, sf_dir):
+    return V.near_duplicate_members(_d(spark, sf_dir).embeddings, DATASET, 0.95)
+
+
 @query("V3_duplicate_totals", "WITH RECURSIVE " + W(*_DUP_CTES)[5:] + """,
 und AS (SELECT a x, b y FROM edges UNION SELECT b, a FROM edges),
 reach(node, other) AS (SELECT x, x FROM und UNION SELECT r.node, u.y FROM reach r JOIN und u ON u.x = r.other),

@@ -16,6 +16,7 @@ from boxlens.fixtures import DATASET, RUN_A
 from boxlens.operators import errors as E
 from boxlens.operators import evaluate as EV
 from boxlens.operators import mutate as MU
+from boxlens.operators import samples as SM
 from boxlens.operators import vectors as V
 from boxlens.plans import ingest
 from boxlens.plans.catalog import ORACLE, W, _d, query, r9
@@ -261,33 +262,51 @@ _S9 = """R AS (SELECT * REPLACE (CAST(0.95 AS DOUBLE) - row_number() OVER (PARTI
 _S9_LABELS = [c.replace("FROM annotations", "FROM annotations_s9") for c in error_label_ctes("live", 0.5, 0.25)]
 
 
-def _imported(spark, sf_dir, table):
+@query("S9_stream_import", W(_S9, """annotations_s9 AS (
+SELECT * FROM annotations WHERE source = 'ground_truth' AND sample_id IN (SELECT sample_id FROM R)
+UNION ALL SELECT 'ds1', id, sample_id, category_name, x / width * width, y / height * height, w / width * width, h / height * height, 0, false, 'live', conf
+FROM R JOIN (SELECT id mid, width, height FROM samples) m ON m.mid = sample_id)""", *_S9_LABELS) + """
+SELECT 'box' kind, sample_id, category_name, NULL error_type, ROUND(confidence, 9) confidence, ROUND(bbox_x + bbox_h, 6) AS value
+FROM annotations_s9 WHERE source = 'live'
+UNION ALL SELECT 'label', sample_id, category_name, error_type, ROUND(confidence, 9), ROUND(iou, 6) FROM labels""")
+def s9(spark, sf_dir):
     from boxlens.streaming import ingest as stream
     d, root = _d(spark, sf_dir), shared_path(spark, "live")
     folder = detection_folder(d, shared_path(spark, "inbox"), faults=False)
     d.annotations.filter("source = 'ground_truth'").withColumn("metadata", F.lit(None).cast("string")).write.parquet(f"{root}/ground_truth")
-    # a state partition holds some ten thousand images
-    parts = int(max(4, d.samples.count() // 20_000))
+    # a state partition holds some thousand images
+    parts = int(max(8, d.samples.count() // 5_000))
     q = stream.start_ingest_stream(spark, folder, root, d.samples, DATASET, "live", shared_path(spark, "stream"), trigger_once=True, state_partitions=parts)
     q.awaitTermination()
-    return stream.current(spark, root, table, DATASET, "live")
-
+    boxes, labels = (stream.current(spark, root, t, DATASET, "live") for t in ("annotations", "error_labels"))
+    return (boxes.select(F.lit("box").alias("kind"), "sample_id", "category_name", F.lit(None).cast("string").alias("error_type"), r9("confidence"),
+                         F.round(F.col("bbox_x") + F.col("bbox_h"), 6).alias("value"))
+                 .unionByName(labels.select(F.lit("label").alias("kind"), "sample_id", "category_name", "error_type", r9("confidence"),
+                                            F.round("iou", 6).alias("value"))))
 
-@query("S9_stream_import", W(_S9) + """
-SELECT sample_id, category_name, ROUND(x / width * width, 6) bbox_x, ROUND(y / height * height, 6) bbox_y, ROUND(conf, 9) confidence
-FROM R JOIN samples m ON m.id = sample_id""")
-def s9(spark, sf_dir):
-    return _imported(spark, sf_dir, "annotations").select("sample_id", "category_name", F.round("bbox_x", 6).alias("bbox_x"),
-                                                          F.round("bbox_y", 6).alias("bbox_y"), r9("confidence"))
 
+# ---------------------------------------------------------------------------------------
+# Stored orders and vector indexes
+# ---------------------------------------------------------------------------------------
 
-@query("S9_stream_labels", W(_S9, """annotations_s9 AS (
-SELECT * FROM annotations WHERE source = 'ground_truth' AND sample_id IN (SELECT sample_id FROM R)
-UNION ALL SELECT 'ds1', id, sample_id, category_name, x / width * width, y / height * height, w / width * width, h / height * height, 0, false, 'live', conf
-FROM R JOIN (SELECT id mid, width, height FROM samples) m ON m.mid = sample_id)""", *_S9_LABELS) + """
-SELECT sample_id, error_type, category_name, ROUND(confidence, 9) confidence, ROUND(iou, 6) iou FROM labels""")
-def s9_labels(spark, sf_dir):
-    return _imported(spark, sf_dir, "error_labels").select("sample_id", "error_type", "category_name", r9("confidence"), F.round("iou", 6).alias("iou"))
+@query("T2_seek_page", W() + """
+SELECT id, file_name, width, height, split, ROW_NUMBER() OVER (ORDER BY width DESC NULLS LAST, id) pos
+FROM samples WHERE dataset_id = 'ds1' QUALIFY pos > 1200 AND pos <= 1400""")
+def t2_seek(spark, sf_dir):
+    path = shared_path(spark, "order")
+    SM.store_order(_d(spark, sf_dir).samples.filter(F.col("dataset_id") == DATASET), path, "width", "desc")
+    page = SM.seek_page(spark, path, 1200, 200, "width", "desc")
+    # the places inside the page: one window over its rows, 200 at most
+    at = F.row_number().over(Window.orderBy(F.col("width").desc_nulls_last(), "id")) + 1200
+    return page.select("id", "file_name", "width", "height", "split", at.cast("long").alias("pos"))
+
+
+@query("V1_index_search", ORACLE["V1_find_similar"])
+def v1_index(spark, sf_dir):
+    e, path = _d(spark, sf_dir).embeddings, shared_path(spark, "index")
+    V.build_index(e, DATASET, path)
+    q = e.filter("sample_id = '10'").select("vector").first()
+    return V.search_index(spark, path, q["vector"], 20, "10").select("sample_id", F.round("score", 9).alias("score"))
 
 
 # ---------------------------------------------------------------------------------------

@@ -100,3 +100,20 @@ def test_split_list_and_dataset_order(spark):
     ds = spark.createDataFrame([("x", "2024-01-01 00:00:00"), ("y", "2024-02-01 00:00:00")], "id string, created_at string")
     ds = ds.withColumn("created_at", F.col("created_at").cast("timestamp"))
     assert [r.id for r in SM.list_datasets(ds).collect()] == ["y", "x"]
+
+
+def test_seek_pages_read_their_range_only(spark, tmp):
+    from boxlens.operators import samples as SM
+    rows = [(f"{i:05d}", None if i % 50 == 0 else (i * 37) % 101, "d") for i in range(5000)]
+    df = spark.createDataFrame(rows, "id string, width int, dataset_id string")
+    for direction in ("asc", "desc"):
+        SM.store_order(df, f"{tmp}/{direction}", "width", direction, 10)
+        whole = [r["id"] for r in SM.sort_samples(df, "width", direction).collect()]
+        for offset, limit in ((0, 50), (4321, 200), (4990, 50), (777, 1), (9000, 10), (480, 60)):
+            got = SM.seek_page(spark, f"{tmp}/{direction}", offset, limit, "width", direction)
+            assert [r["id"] for r in got.collect()] == whole[offset:offset + limit]
+    deep = SM.seek_page(spark, f"{tmp}/asc", 4321, 20, "width", "asc")
+    plan = deep._jdf.queryExecution().toString()
+    assert "(part#" in plan.split("PartitionFilters: ")[1].split("]")[0] and deep.select("id").count() == 20
+    counts = spark.read.parquet(f"{tmp}/asc/counts").collect()
+    assert len(counts) > 5 and max(r["n"] for r in counts) < 1500

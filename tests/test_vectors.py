@@ -1,3 +1,4 @@
+import re
 import math
 import random
 
@@ -86,3 +87,33 @@ def test_similar_results_with_samples(spark):
     r = V.similar_with_samples(emb, samples, "d", "a", 5).collect()
     assert [(x.sample_id, x.file_name, x.thumbnail_path) for x in r] == [("b", "b.jpg", "t/b.png"), ("c", None, None)]
     assert V.similar_with_samples(emb, samples.drop("thumbnail_path"), "d", "a", 1).first().thumbnail_path is None
+
+
+def test_index_gives_the_rows_of_the_scan_and_prunes(spark, tmp):
+    import numpy as np
+
+    from boxlens.operators.vectors import build_index, find_similar, search_index
+    rng = np.random.default_rng(7)
+    centers = rng.normal(size=(12, 8))
+    rows = [(f"s{i}", "d", [float(x) for x in centers[i % 12] + rng.normal(size=8) * 0.03]) for i in range(600)]
+    rows += [("zero", "d", [0.0] * 8), ("other", "e", [1.0] * 8), ("copy", "d", [2 * x for x in rows[3][2]])]
+    emb = spark.createDataFrame(rows, "sample_id string, dataset_id string, vector array<double>")
+    build_index(emb, "d", f"{tmp}/index", 12)
+    by = {r[0]: r[2] for r in rows}
+    show = lambda df: [(r["sample_id"], round(r["score"], 9)) for r in df.collect()]
+    for s, k in (("s3", 20), ("s77", 5), ("copy", 100), ("s0", 1)):
+        got = search_index(spark, f"{tmp}/index", by[s], k, s)
+        assert show(got) == show(find_similar(emb, "d", s, k))
+    plan = search_index(spark, f"{tmp}/index", by["s3"], 20, "s3")._jdf.queryExecution().toString()
+    filters = re.search(r"PartitionFilters: \[([^\]]*)\]", plan)[1]
+    assert "cell" in filters and len(re.findall(r"\b\d+\b", re.sub(r"#\d+", "", filters))) < 6       # a few of the twelve cells
+    assert spark.read.parquet(f"{tmp}/index/cells").count() == 12
+    assert search_index(spark, f"{tmp}/index", None).collect() == [] == search_index(spark, f"{tmp}/index", [0.0] * 8).collect()
+
+
+def test_group_members_in_rows(spark):
+    from boxlens.operators.vectors import near_duplicate_groups, near_duplicate_members
+    rows = [(f"{i:02d}", "d", [1.0, 0.0, 0.001 * (i % 3), float(i // 10)]) for i in range(30)] + [("zz", "d", [0.0, 1.0, 0.0, 0.0])]
+    emb = spark.createDataFrame(rows, "sample_id string, dataset_id string, vector array<double>")
+    groups = {(r["group_id"], r["size"], m) for r in near_duplicate_groups(emb, "d").collect() for m in r["members"]}
+    assert {(r["group_id"], r["size"], r["sample_id"]) for r in near_duplicate_members(emb, "d").collect()} == groups and groups
