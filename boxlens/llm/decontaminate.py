@@ -23,7 +23,6 @@ SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 16 << 20        # text of one block of test items sent to the tasks
 
 _TABLE = textvec.byte_table("alnum")
-_MATCH = "array<struct<item:bigint,doc_start:int,item_start:int,n_words:int>>"
 
 
 def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
@@ -158,11 +157,10 @@ def shard_matches(h: np.ndarray, woff: np.ndarray, tests: dict):
     return [doc[at], item[at], pos[at] - start[doc[at]], place[at], run - 1 + ln[at]]
 
 
-def _scan(tests_bc):
+def _scan(tests_bc, item_type: pa.DataType):
     def scan(batches):
         tests = tests_bc.value
-        ids = np.array([-1 if x is None else x for x in tests["ids"]], np.int64)
-        no_id = np.array([x is None for x in tests["ids"]], bool)
+        ids = pa.array(tests["ids"], item_type)
         for b in batches:
             data, off = textvec.buffers(b.column("text"))
             for i, j in textvec.slices(off, SHARD_BYTES):
@@ -177,7 +175,7 @@ def _scan(tests_bc):
                 doc, item, start, istart, n = doc[by], item[by], start[by], istart[by], n[by]
                 offs = np.searchsorted(doc, np.arange(j - i + 1))
                 st = pa.StructArray.from_arrays(
-                    [pa.array(ids[item] if len(item) else item, pa.int64(), mask=no_id[item] if len(item) else None),
+                    [ids.take(pa.array(item, pa.int64())),
                      pa.array(start, pa.int32()), pa.array(istart, pa.int32()), pa.array(n, pa.int32())],
                     ["item", "doc_start", "item_start", "n_words"])
                 yield pa.RecordBatch.from_arrays(
@@ -191,19 +189,22 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = B
     verbatim matches with test items as (item, doc_start, item_start, n_words), words from 0.
 
     A match is at least ten words long, or a whole item of fewer.  Null and wordless texts have
-    no words and no matches; a null item_id leaves ``item`` null; other columns are ignored."""
+    no words and no matches; a null item_id leaves ``item`` null; other columns are ignored.  doc_id
+    and item_id may be of any type."""
     spark = docs.sparkSession
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+    src = docs.select("doc_id", F.col("text").cast("string").alias("text"),
                       F.xxhash64(F.col("text").cast("string")).alias("th"))
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    bench = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null")
+    doc_kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (bench, "item_id")))
+    match = f"array<struct<item:{item_kind},doc_start:int,item_start:int,n_words:int>>"
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     found = None
     for k in range(blocks):
         part = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
         tests = test_suffixes(part["item_id"].to_pylist(), part["text"].combine_chunks())
-        one = src.mapInArrow(_scan(spark.sparkContext.broadcast(tests)),
-                             f"doc_id long, th long, n_words long, matches {_MATCH}")
+        one = src.mapInArrow(_scan(spark.sparkContext.broadcast(tests), part.schema.field("item_id").type),
+                             f"doc_id {doc_kind}, th long, n_words long, matches {match}")
         found = one if found is None else found.unionByName(one)
     if blocks > 1:
         # every row was seen once per block; equal rows are told apart by their number
@@ -239,4 +240,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     one are contaminated too, so rows go by the hash of their text."""
     bad = contamination(docs, benchmark).filter("contaminated").select("th", "doc_id").distinct()
     key = F.xxhash64(docs["text"].cast("string")) == bad["th"]
-    return docs.join(bad, key & docs["doc_id"].cast("long").eqNullSafe(bad["doc_id"]), "left_anti")
+    return docs.join(bad, key & docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")

@@ -342,7 +342,8 @@ def identify(docs: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
     inputs of a prediction; equal cross-entropies go to the smaller lang value; rows without
     lang are predicted like others.  Other columns are ignored."""
     spark = docs.sparkSession
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    src = docs.select("doc_id", F.col("text").cast("string").alias("text"),
                       F.col("lang").cast("string").alias("lang"))
     langs, blocks = fit_blocks(src.filter(fold(F.col("doc_id")) == 0), max_entries)
     if not langs:
@@ -354,7 +355,7 @@ def identify(docs: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
     for first, last, model in blocks:
         sent = spark.sparkContext.broadcast(model)
         parts.append(pin(hashed.mapInArrow(_score(sent, first, last),
-                                           "doc_id long, lang string, th long, chars long, letters long, ce array<double>, bare array<double>")))
+                                           f"doc_id {kind}, lang string, th long, chars long, letters long, ce array<double>, bare array<double>")))
         sent.unpersist()
         del model
     scored = parts[0]

@@ -81,7 +81,7 @@ def plan(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, wor
     thin (a row per document: doc_id, th, source, size, source_size, target, n_blocks, block),
     sources, units (a row per taken copy of a block: source, block, copy, partial, shard),
     chosen (documents taken from partial units: source, doc_id, th)."""
-    thin0 = pin(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+    thin0 = pin(docs.select("doc_id", F.col("source").cast("string").alias("source"),
                             F.xxhash64(F.col("text").cast("string")).alias("th"), word_count(F.col("text").cast("string")).alias("size")))
     sizes = thin0.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     sources = source_targets(sizes, weights)
@@ -180,7 +180,7 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, word
     shard or shuffle_key are replaced."""
     p = plan(docs, seed, weights, words_per_shard)
     base = docs.drop("copy", "shard", "shuffle_key")
-    keyed = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"),
+    keyed = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("_row"), "doc_id",
                         F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("th"))
     keyed = _join(keyed, p["sources"].select("source", "n_blocks")).withColumn("block", _block_of(seed))
     units = p["units"]

@@ -145,7 +145,8 @@ def near_duplicates(docs: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:
 
     Null or wordless text: empty set, linked with nothing, kept.  Rows with the same doc_id
     count as one document for ``kept``; a null doc_id never is a component's smallest unless
-    the whole component has none (then null, and kept).  Other columns are ignored."""
+    the whole component has none (then null, and kept).  doc_id may be of any type that has
+    an order; other columns are ignored."""
     return near_duplicate_rows(docs, percent).drop("th")
 
 
@@ -153,9 +154,10 @@ def near_duplicate_rows(docs: DataFrame, percent: int = MIN_PERCENT) -> DataFram
     """``near_duplicates`` plus th, the hash of the row's text, which tells rows of one doc_id apart."""
     if percent < MIN_PERCENT:
         raise ValueError("the signature threshold is set for a similarity of 0.85 or more")
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    src = docs.select("doc_id", F.col("text").cast("string").alias("text"),
                       F.xxhash64(F.col("text").cast("string")).alias("th"))
-    prof = pin(src.mapInArrow(_profile, "doc_id long, th long, h1 long, h2 long, n_shingles long, sig binary"))
+    prof = pin(src.mapInArrow(_profile, f"doc_id {kind}, th long, h1 long, h2 long, n_shingles long, sig binary"))
     # a class is one word sequence; its text is read from the row with the smallest doc_id
     classes = pin(prof.filter("n_shingles > 0").groupBy("h1", "h2")
                       .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("r"),

@@ -213,9 +213,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     0.5.  score lies in 0 to 1, 0.5 at the learned threshold; predicted is 1 from there on; ties
     get equal scores.  labels, lang, source and doc_id are never inputs of a score."""
     spark = docs.sparkSession
-    feats = pin(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                    .mapInArrow(_extract, "doc_id long, x array<float>"))
-    known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    feats = pin(docs.select("doc_id", F.col("text").cast("string").alias("text"))
+                    .mapInArrow(_extract, f"doc_id {kind}, x array<float>"))
+    known = (labels.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("quality").cast("int").alias("quality"))
                    .filter((fold(F.col("doc_id")) != 1) & F.col("quality").isin(0, 1)).join(feats, "doc_id"))
     known = pin(known)
     rows = {}
@@ -226,11 +227,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     if not len(rows[0]) or not len(rows[1]):
         return feats.select("doc_id", held, F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
     model = spark.sparkContext.broadcast(learn(rows[1], rows[0], pairs))
-    taught = pin(known.select("quality", "doc_id", "x").mapInArrow(_raw_scores(model), "doc_id long, raw double"))
+    taught = pin(known.select("quality", "doc_id", "x").mapInArrow(_raw_scores(model), f"doc_id {kind}, raw double"))
     bad = known.filter("quality = 0").count()
     threshold = _threshold(taught, bad / taught.count())
     release(taught, known)
-    raw = feats.mapInArrow(_raw_scores(model), "doc_id long, raw double")
+    raw = feats.mapInArrow(_raw_scores(model), f"doc_id {kind}, raw double")
     bound = F.greatest(F.least(F.col("raw") - F.lit(threshold), F.lit(40.0)), F.lit(-40.0))
     scored = raw.select("doc_id", (1.0 / (1.0 + F.exp(-bound))).alias("score"))
     return scored.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

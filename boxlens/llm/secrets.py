@@ -54,7 +54,7 @@ def find_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows (rid, doc_id), a row per row of ``docs``, pinned; spans (rid, kind, no,
     start, end) of every match long enough, weak ones included; end is exclusive."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = pin(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), *[
+    found = pin(docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), *[
         _matches(text, before, part).alias(kind) for kind, (before, part, _) in KINDS.items()]))
     spans = None
     for no, (kind, (_, _, least)) in enumerate(KINDS.items()):
