@@ -194,7 +194,8 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, word
     some = some.withColumn("_nth", nth).filter("_nth <= n").drop("_ls", "_ld", "_lt", "n", "_nth")
     rows = whole.unionByName(some).withColumn("shuffle_key", F.xxhash64(F.lit(seed + 5), "doc_id", "th", "copy"))
     out = rows.select("_row.*", "copy", "shard", "shuffle_key")
-    return out.repartition(2 ** p["depth"], "shard").sortWithinPartitions("shard", "shuffle_key")
+    # a task a shard: partitions are named, not hashed
+    return out.repartitionById(2 ** p["depth"], F.col("shard").cast("int")).sortWithinPartitions("shard", "shuffle_key")
 
 
 def taken_words(docs: DataFrame, seed: int = 1) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from boxlens.llm.mixing import mix, source_targets, split_quotas, taken_words
 
@@ -73,6 +74,8 @@ def test_whole_table_and_mix_agree(spark):
     assert dict(by_doc) == {r["doc_id"]: r["taken"] for r in rows if r["taken"]}
     assert len({(r["doc_id"], r["copy"]) for r in got}) == len(got)
     assert len(shard_words) > 16
+    held = m.select("shard", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(held) == len({r["p"] for r in held}) == len(shard_words)          # a task a shard
 
 
 def test_small_blocks_hit_targets(spark, monkeypatch):
