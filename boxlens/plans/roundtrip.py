@@ -128,7 +128,7 @@ def detection_folder(d, root: str, faults: bool = True) -> str:
     doc = F.to_json(F.struct(name.alias("filename"), "categories", F.struct(
         F.concat(F.lit("cam"), F.col("width").cast("string")).alias("annotations_source"), F.lit("2024-05-01T10:00:00").alias("created_at")).alias("info"), "annotations"))
     line = F.when(F.lit(faults) & (F.col("o") % 101 == 1), F.lit("{not json")).otherwise(doc)
-    rows = docs.join(names.hint("broadcast"), F.lit(True)).select(
+    rows = docs.withColumn("k", F.lit(1)).join(names.withColumn("k", F.lit(1)), "k").select(
         F.concat(F.lit(f"{root}/"), "sample_id", F.lit(".json")).alias("path"), line.alias("line"), F.lit(0).alias("ord"))
     store_files(rows, "ord")
     return root

@@ -12,7 +12,8 @@ from conftest import SF
 FAST = ["E9_error_summary", "E9_error_per_class", "E10_annotation_triage", "E11_worst_images", "E4_pr_curve",
         "E5_interpolated_ap", "E7_confusion_matrix", "E12_greedy_match", "E6_map_per_class", "A4_facets", "F7_filter_samples",
         "F14_apply_saved_views", "M6_apply_annotation_edits", "M12_annotated_tags", "V3_near_duplicate_groups",
-        "V7_normalize_tag_answers", "V8_tag_images", "E1_iou_pairs_wide", "F14_saved_view_order", "T2_page"]
+        "V7_normalize_tag_answers", "V8_tag_images", "E1_iou_pairs_wide", "F14_saved_view_order", "T2_page",
+        "S3_coco_annotations", "S4_coco_predictions", "T2_seek_page", "V1_index_search", "M6_rejected_edits", "M2_ingest_splits"]
 
 
 def _norm(v):
