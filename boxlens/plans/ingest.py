@@ -75,11 +75,12 @@ class Ingested:
 def ingest_dataset(spark: SparkSession, annotation_path: str, dataset_id: str, *, image_dir: str = "",
                    name: str | None = None, split: str | None = None, hooks: Hooks | None = None,
                    reader: str = "ranges") -> Ingested:
-    """M1: one COCO document -> dataset row, samples, annotations, categories.
+    """M1: one COCO document, or a folder of documents that make up one, -> dataset row, samples, annotations,
+    categories.
 
     The document is read by byte ranges, many tasks to a file (``coco.read_coco_ranges``).  The reader
     "stream" reads each section in one task with bounded memory (for filesystems without random
-    access), "document" parses the whole document as one row.  The dataset name defaults to the file stem; counts are
+    access; no folders), "document" parses the whole document as one row.  The dataset name defaults to the file stem; counts are
     image / GT / category counts of the file (D10).  Nothing is written here:
     ``write_ingested`` appends the partitions."""
     hooks = hooks or Hooks()
