@@ -23,6 +23,11 @@ def class_names(preds: DataFrame, gts: DataFrame) -> DataFrame:
                  .union(gts.select(F.col("category_name").alias("class_name"))).distinct())
 
 
+def stored_sides(preds: DataFrame, gts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides, stored once: the levels, the pairs, the ranks and the counts of an evaluation read them."""
+    return tuple(df if hasattr(df, "_pin_path") else pin(df) for df in (preds, gts))
+
+
 def shared_pairs(preds: DataFrame, gts: DataFrame, same_class: bool, cell: float = M.DEFAULT_CELL) -> DataFrame:
     """The pair join, stored once for all tables of a report: pairs with IoU >= 0.1, the least
     threshold a request may ask for (a lesser pair can neither match nor be claimed)."""
@@ -113,6 +118,7 @@ def pr_curves(preds: DataFrame, gts: DataFrame, iou_threshold: float,
 
     Curves exist for every class with GT or predictions and for ``all``; a curve without
     predictions or without GT is the single point (recall 0, precision 1, confidence 1)."""
+    preds, gts = stored_sides(preds, gts)
     matches = pr_matches(preds, gts, iou_threshold, cell, pairs)
     full = pr_points(matches, gts)
     classes = _curve_classes(preds, gts)
@@ -175,19 +181,26 @@ def map_metrics(preds: DataFrame, gts: DataFrame, max_det: int | None = None,
     map50_95 as means over classes with GT)."""
     # A prediction's rank in its class curve does not depend on the threshold, and the
     # interpolated precision is always attained at a true-positive row (precision only falls
-    # along false positives).  So: rank every prediction once, then per threshold count the
-    # true positives (the accepted matches) in rank order -- no threshold x prediction table.
+    # along false positives).  So: every prediction carries the thresholds at which it is one, as bits, and one pass
+    # in rank order counts them all -- no threshold x prediction table.
+    preds, gts = stored_sides(preds, gts)
     p = M.cap_detections(preds, max_det)
     folded = M.greedy_pairs(p, gts, COCO_THRESHOLDS, True, cell, pairs if max_det is None else None)
-    base = p.select(F.col("category_name").alias("class_name"), F.col("id").alias("p_id"), "dataset_id",
-                    F.coalesce("confidence", F.lit(1.0)).alias("conf"), F.lit(0).alias("_z"))
-    ranked = running_counts(base, ["class_name"], [F.col("conf").desc(), F.col("p_id").asc()], "_z")
-    tps = folded.join(ranked.select("dataset_id", "p_id", "class_name", F.col("rank").alias("prank")), ["dataset_id", "p_id"])
-    tps = running_counts(tps.withColumn("_o", F.lit(1)), ["t", "class_name"], [F.col("prank").asc()], "_o")
+    bit = F.coalesce(*[F.when(F.col("t") == t, F.lit(1 << k)) for k, t in enumerate(COCO_THRESHOLDS)])
+    hits = folded.groupBy("dataset_id", "p_id").agg(F.bit_or(bit).alias("bits"))
+    base = (p.select(F.col("category_name").alias("class_name"), F.col("id").alias("p_id"), "dataset_id",
+                     F.coalesce("confidence", F.lit(1.0)).alias("conf"))
+             .join(hits, ["dataset_id", "p_id"], "left").select("class_name", "p_id", "conf", F.coalesce("bits", F.lit(0)).alias("bits")))
+    flags = [f"_f{k}" for k in range(len(COCO_THRESHOLDS))]
+    base = base.select("*", *[F.getbit("bits", F.lit(k)).cast("int").alias(f) for k, f in enumerate(flags)])
+    ranked = running_counts(base, ["class_name"], [F.col("conf").desc(), F.col("p_id").asc()], flags)
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.getbit("bits", F.lit(k)).alias("tp"), F.col("cum")[k].alias("cum"))
+                               for k, t in enumerate(COCO_THRESHOLDS)])).alias("e")
+    tps = ranked.filter("bits > 0").select("class_name", "rank", each).filter("e.tp = 1")
     ng = gts.groupBy(F.col("category_name").alias("class_name")).agg(F.count("*").alias("n_gt"))
-    pts = (tps.join(ng, "class_name")
-              .select("t", "class_name", "n_gt", (F.col("cum") / F.col("n_gt")).alias("recall"),
-                      (F.col("cum") / F.col("prank")).alias("precision")))
+    pts = (tps.join(F.broadcast(ng), "class_name")
+              .select("e.t", "class_name", "n_gt", (F.col("e.cum") / F.col("n_gt")).alias("recall"),
+                      (F.col("e.cum") / F.col("rank")).alias("precision")))
     tarr = F.array(*[F.lit(t) for t in COCO_THRESHOLDS])
     keys = ng.select("class_name").withColumn("t", F.explode(tarr))
     ap = interpolated_ap(pts, keys, ["t", "class_name"])
@@ -251,6 +264,7 @@ def per_class_metrics(preds: DataFrame, gts: DataFrame, iou_threshold: float, co
                       per_class: DataFrame | None = None, max_points: int = MAX_POINTS) -> DataFrame:
     """Class x (ap50, ap75, ap50_95, precision, recall at the operating point).  Curves and
     per-class AP already built (E14) can be passed in instead of being recomputed."""
+    preds, gts = stored_sides(preds, gts)
     pairs = shared_pairs(preds, gts, True, cell) if curve is None or per_class is None else None
     if curve is None:
         curve, _ = pr_curves(preds, gts, iou_threshold, max_points, cell, pairs)
@@ -270,8 +284,7 @@ def evaluation_report(ann: DataFrame, dataset_id: str, source: str, iou_threshol
     candidate pairs serves the curves, the mAP and the confusion matrix.  Building the report runs the
     shared jobs (pairs, components, ranks); the returned frames are evaluated lazily."""
     M.check_thresholds(iou_threshold, conf_threshold)
-    preds = M.predictions(ann, dataset_id, source, None, samples, split)
-    gts = M.ground_truth(ann, dataset_id, samples, split)
+    preds, gts = stored_sides(M.predictions(ann, dataset_id, source, None, samples, split), M.ground_truth(ann, dataset_id, samples, split))
     pairs = shared_pairs(preds, gts, False)
     same = pairs.filter(F.col("p_cat") == F.col("g_cat"))
     curve, ap = pr_curves(preds, gts, iou_threshold, max_points, pairs=same)

@@ -206,3 +206,31 @@ def test_pairs_of_very_different_sizes_and_a_dense_spot(spark):
     want = sorted((a[0], b[0]) for a in prs for b in gts
                   if min(a[3] + a[5], b[3] + b[5]) > max(a[3], b[3]) and min(a[4] + a[6], b[4] + b[6]) > max(a[4], b[4]))
     assert got == want
+
+
+def test_running_counts_of_several_flags_over_batches(spark):
+    from boxlens.operators.cumulative import running_counts
+    rows = [(None if i % 5 == 4 else i % 3 % 2, i, i * 7 % 31, i % 2, i % 3 % 2) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, id int, c int, f int, g int").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = running_counts(df, ["k"], [F.col("c").desc(), F.col("id")], ["f", "g"], 3)
+        got = {(r.k, r.id): (r.rank, r.cum, r.total) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for k in (0, 1):
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (-r[2], r[1]))
+        for n, r in enumerate(mine, 1):
+            want[k, r[1]] = (n, [sum(x[3] for x in mine[:n]), sum(x[4] for x in mine[:n])], len(mine))
+    assert got == want
+
+
+def test_boxes_stand_only_where_others_can_come(spark):
+    from boxlens.operators.matching import placed_sides
+    cols = "dataset_id string, sample_id string, id string, category_name string, bbox_x double, bbox_y double, bbox_w double, bbox_h double, confidence double"
+    p = spark.createDataFrame([("d", "1", f"p{i}", "A", 10.0 * i, 1.0, 20.0, 20.0, 0.5) for i in range(4)], cols)
+    g = spark.createDataFrame([("d", "1", f"g{i}", "A", 10.0 * i, 2.0, 20.0, 20.0, None) for i in range(4)], cols)
+    _, gs = placed_sides(p, g)
+    assert {r.turn for r in gs.select("turn").distinct().collect()} == {0}          # all of one level: none is a place of its own
+    assert M.candidate_pairs(p, g).count() == sum(abs(i - j) < 2 for i in range(4) for j in range(4))
