@@ -29,6 +29,8 @@ from boxlens.operators.components import connected_components
 
 DEFAULT_THRESHOLD = 0.95
 COPY_DECIMALS = 6
+BLOCKS_A_TASK = 4               # blocks of the grid join in a partition
+MAX_BLOCK_PARTITIONS = 20_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -245,7 +247,11 @@ def _grid_pairs(reps: DataFrame, threshold: float, num_pivots: int, block_rows:
         first = a < b
         return pd.DataFrame({"a": np.where(first, a, b), "b": np.where(first, b, a), "cosine": S[qi, hi][keep]})
 
-    blocks = home.unionByName(probe)
+    # a task sorts and holds the blocks of its partition: the more blocks, the more partitions
+    count = sizes.join(psizes, "cell").agg(F.coalesce(F.sum(F.col("chunks").cast("long") * F.col("pchunks")), F.lit(0))).first()[0]
+    least = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, min(MAX_BLOCK_PARTITIONS, -(-count // BLOCKS_A_TASK)))
+    blocks = home.unionByName(probe).repartition(parts, "cell", "chunk", "pchunk")
     return blocks.groupBy("cell", "chunk", "pchunk").applyInPandas(verify, "a string, b string, cosine double")
 
 
