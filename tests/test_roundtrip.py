@@ -41,3 +41,12 @@ def test_items_of_an_array_are_not_broadcast(spark, tmp):
         assert [r.category_name for r in found.collect()] == ["1"] and skipped.count() == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_small_files_are_written_by_many_tasks(spark, tmp):
+    rows = spark.range(400).select(F.concat(F.lit(f"{tmp}/a/f"), F.col("id"), F.lit(".txt")).alias("path"),
+                                   F.when(F.col("id") % 2 == 0, F.lit("x")).alias("line"), F.lit(0).alias("ord"))
+    done = R.store_files(rows, "ord")
+    assert done.count() == 400 and done.agg(F.sum("lines")).first()[0] == 200 and len(os.listdir(f"{tmp}/a")) == 400
+    # a part file a task: small files are not taken together in one
+    assert len([f for f in os.listdir(done._pin_path.removeprefix("file:")) if f.endswith(".parquet")]) > 1
