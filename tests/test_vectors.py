@@ -117,3 +117,17 @@ def test_group_members_in_rows(spark):
     emb = spark.createDataFrame(rows, "sample_id string, dataset_id string, vector array<double>")
     groups = {(r["group_id"], r["size"], m) for r in near_duplicate_groups(emb, "d").collect() for m in r["members"]}
     assert {(r["group_id"], r["size"], r["sample_id"]) for r in near_duplicate_members(emb, "d").collect()} == groups and groups
+
+
+def test_blocks_of_a_cell_go_to_many_tasks(spark, monkeypatch):
+    import random
+
+    from boxlens.operators import vectors as V
+    rnd = random.Random(5)
+    rows = [(str(i), "d", [1.0 + rnd.random() / 3 for _ in range(6)]) for i in range(120)]
+    e = spark.createDataFrame(rows, "sample_id string, dataset_id string, vector array<double>")
+    want = {(r.a, r.b) for r in V.near_duplicate_pairs(e, "d", 0.99).collect()}
+    monkeypatch.setattr(V, "BLOCKS_A_TASK", 1)
+    pairs = V.near_duplicate_pairs(e, "d", 0.99, block_rows=16)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and {(r.a, r.b) for r in pairs.collect()} == want and want
