@@ -11,17 +11,22 @@ Near-duplicates without all-pairs work
    p, so two representatives can only be neighbours if their pivot-distance cells
    floor(d(., p_j) / r) differ by at most one for every pivot.  Each representative is
    replicated to the 3^k neighbouring cells and meets the representatives living there; the
-   exact cosine is computed per (cell, chunk) block as one dense matrix product (numpy in
-   ``applyInPandas``), and a cell with many representatives is split into bounded chunks.
+   exact cosine is computed per (cell, chunk) block by dense matrix products of strips (numpy in
+   ``applyInArrow``), and a cell with many representatives is split into bounded chunks.
    The k pivots are k representatives (a bounded k x dim literal).
-3. **Components** of the threshold graph by distributed label propagation (V3).
+3. **Components** of the threshold graph by distributed label propagation (V3), over a spanning forest of
+   every block's pairs.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,35 +176,86 @@ def copy_groups(emb: DataFrame, dataset_id: str) -> DataFrame:
 
 
 def near_duplicate_pairs(emb: DataFrame, dataset_id: str, threshold: float = DEFAULT_THRESHOLD,
-                         num_pivots: int = 3, block_rows: int = 4096) -> DataFrame:
+                         num_pivots: int = 3, block_rows: int = 4096, spanning: bool = False) -> DataFrame:
     """V2: edges of the threshold graph with copies collapsed.
 
     Returns (a, b, cosine) with a < b: every member -> representative link of an exact copy
     group, and every representative pair with cosine >= threshold (exact check).  Zero vectors
-    take no part."""
+    take no part.  ``spanning`` gives (a, b) of fewer edges with the same components: a block yields a spanning
+    forest of its pairs, so n vectors near each other give about n edges a block instead of n^2."""
     if not 0.80 <= threshold <= 0.99:
         raise ValueError("threshold must be in [0.80, 0.99]")
     from boxlens.session import pin
     cg = pin(copy_groups(emb, dataset_id))   # read by the pivots, the links and the grid
-    ru = cg.filter(F.col("sample_id") == F.col("rep")).select("rep", F.col("u").alias("ur"))
-    links = (cg.filter(F.col("sample_id") != F.col("rep")).join(ru, "rep")
-               .select(F.least("sample_id", "rep").alias("a"), F.greatest("sample_id", "rep").alias("b"),
-                       dot(F.col("u"), F.col("ur")).alias("cosine")))
+    members = cg.filter(F.col("sample_id") != F.col("rep"))
     reps = cg.filter(F.col("sample_id") == F.col("rep")).select(F.col("rep").alias("id"), "u")
+    if spanning:
+        links = members.select(F.least("sample_id", "rep").alias("a"), F.greatest("sample_id", "rep").alias("b"))
+        return links.unionByName(_grid_pairs(reps, threshold, num_pivots, block_rows, True).select("a", "b"))
+    links = (members.join(reps.select(F.col("id").alias("rep"), F.col("u").alias("ur")), "rep")
+                    .select(F.least("sample_id", "rep").alias("a"), F.greatest("sample_id", "rep").alias("b"),
+                            dot(F.col("u"), F.col("ur")).alias("cosine")))
     return links.unionByName(_grid_pairs(reps, threshold, num_pivots, block_rows))
 
 
-def _grid_pairs(reps: DataFrame, threshold: float, num_pivots: int, block_rows: int) -> DataFrame:
-    """Representative pairs with cosine >= threshold: pivot-grid candidate blocks, verified
-    by dense matrix products per block (numpy inside ``applyInPandas``).
+_STRIP_ROWS = 256               # probe rows of a block compared at once
+
+
+def _matrix(vectors) -> np.ndarray:
+    """Arrow lists of one length as the rows of a matrix."""
+    vectors = vectors.combine_chunks()
+    if len(vectors) and len(pc.unique(pc.list_value_length(vectors))) > 1:
+        raise ValueError("vectors of unlike lengths")
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _forest(hits: np.ndarray, tree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the hits (probe rows x home rows), for every probe row one home row of each tree that it reaches; ``tree``
+    has the tree of every home row, and trees that a probe row joins become one."""
+    qi, hi = [], []
+    for i in np.flatnonzero(hits.any(axis=1)).tolist():
+        h = np.flatnonzero(hits[i])
+        trees, at = np.unique(tree[h], return_index=True)
+        if len(trees) > 1:
+            tree[np.isin(tree, trees)] = trees[0]
+        qi.append(np.full(len(at), i))
+        hi.append(h[at])
+    return (np.concatenate(qi), np.concatenate(hi)) if qi else (np.zeros(0, int), np.zeros(0, int))
+
+
+def _block_pairs(threshold: float, spanning: bool):
+    """A block's rows -> its pairs with cosine >= threshold, or a spanning forest of them; held are the vectors of
+    the block and the products of a strip."""
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        h, q = table.filter(table["is_home"]), table.filter(pc.invert(table["is_home"]))
+        if not (h.num_rows and q.num_rows):
+            return
+        H, Q, tree = _matrix(h["u"]), _matrix(q["u"]), np.arange(h.num_rows)
+        hid, qid, own = h["id"].combine_chunks(), q["id"].combine_chunks(), q["own"].combine_chunks()
+        for start in range(0, len(Q), _STRIP_ROWS):
+            S = Q[start:start + _STRIP_ROWS] @ H.T
+            hits = S >= threshold
+            qi, hi = _forest(hits, tree) if spanning else np.nonzero(hits)
+            at = pa.array(qi + start)
+            a, b = qid.take(at), hid.take(pa.array(hi))
+            first = pc.less(a, b)
+            # inside a cell every pair meets twice, between cells once; a tree may use either meeting
+            keep = pc.not_equal(a, b) if spanning else pc.or_(pc.invert(own.take(at)), first)
+            out = pa.RecordBatch.from_arrays([pc.if_else(first, a, b), pc.if_else(first, b, a), pa.array(S[qi, hi])], names=["a", "b", "cosine"]).filter(keep)
+            if out.num_rows:
+                yield out
+    return verify
+
+
+def _grid_pairs(reps: DataFrame, threshold: float, num_pivots: int, block_rows: int, spanning: bool = False) -> DataFrame:
+    """Representative pairs with cosine >= threshold (``spanning``: a spanning forest of each block's): pivot-grid
+    candidate blocks, verified by dense matrix products per block (numpy inside ``applyInArrow``).
 
     Blocks are (home cell, home chunk, probe chunk): both sides of a cell are cut into chunks of
     about ``block_rows`` rows, so no task receives more than that of either side whatever the
     skew.  A cell probes itself and, of every pair of neighbours, only the one that comes later,
     so each block pair is computed once."""
-    import numpy as np
-    import pandas as pd
-
     r = math.sqrt(2.0 - 2.0 * threshold)
     # pivots: a bounded number of representatives (k x dim values), chosen by hash order
     piv = reps.orderBy(F.xxhash64("id"), "id").limit(num_pivots).select("u").collect()
@@ -228,37 +284,18 @@ def _grid_pairs(reps: DataFrame, threshold: float, num_pivots: int, block_rows:
                   .select("cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
                           F.pmod(F.xxhash64("id", F.lit(5)), F.col("pchunks")).cast("int").alias("pchunk"),
                           F.lit(False).alias("is_home"), "own", "id", "u"))
-    t = float(threshold)
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = pdf[pdf["is_home"]]
-        q = pdf[~pdf["is_home"]]
-        if h.empty or q.empty:
-            return pd.DataFrame({"a": [], "b": [], "cosine": []})
-        H = np.stack(h["u"].to_numpy())
-        Q = np.stack(q["u"].to_numpy())
-        S = Q @ H.T
-        qi, hi = np.nonzero(S >= t)
-        a = q["id"].to_numpy()[qi]
-        b = h["id"].to_numpy()[hi]
-        # inside a cell every pair meets twice, between cells once
-        keep = ~q["own"].to_numpy()[qi] | (a < b)
-        a, b = a[keep], b[keep]
-        first = a < b
-        return pd.DataFrame({"a": np.where(first, a, b), "b": np.where(first, b, a), "cosine": S[qi, hi][keep]})
-
     # a task sorts and holds the blocks of its partition: the more blocks, the more partitions
     count = sizes.join(psizes, "cell").agg(F.coalesce(F.sum(F.col("chunks").cast("long") * F.col("pchunks")), F.lit(0))).first()[0]
     least = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(least, min(MAX_BLOCK_PARTITIONS, -(-count // BLOCKS_A_TASK)))
     blocks = home.unionByName(probe).repartition(parts, "cell", "chunk", "pchunk")
-    return blocks.groupBy("cell", "chunk", "pchunk").applyInPandas(verify, "a string, b string, cosine double")
+    return blocks.groupBy("cell", "chunk", "pchunk").applyInArrow(_block_pairs(float(threshold), spanning), "a string, b string, cosine double")
 
 
 def near_duplicate_groups(emb: DataFrame, dataset_id: str, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """V3: connected components (size >= 2) of the threshold graph: group_id (smallest member),
     size, members (sorted), biggest first.  True components (D4)."""
-    edges = near_duplicate_pairs(emb, dataset_id, threshold)
+    edges = near_duplicate_pairs(emb, dataset_id, threshold, spanning=True)
     comp = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     g = comp.groupBy("component").agg(F.count("*").alias("size"),
                                       F.array_sort(F.collect_list("node")).alias("members"))
@@ -270,7 +307,7 @@ def near_duplicate_groups(emb: DataFrame, dataset_id: str, threshold: float = DE
 def near_duplicate_members(emb: DataFrame, dataset_id: str, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """V3 in rows: sample_id, group_id (smallest member), size, for every member of a group of two or more;
     no list of a group's members is built."""
-    edges = near_duplicate_pairs(emb, dataset_id, threshold)
+    edges = near_duplicate_pairs(emb, dataset_id, threshold, spanning=True)
     comp = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     sizes = comp.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") >= 2)
     return comp.join(sizes, "component").select(F.col("node").alias("sample_id"), F.col("component").alias("group_id"), "size")

@@ -131,3 +131,29 @@ def test_blocks_of_a_cell_go_to_many_tasks(spark, monkeypatch):
     pairs = V.near_duplicate_pairs(e, "d", 0.99, block_rows=16)
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and {(r.a, r.b) for r in pairs.collect()} == want and want
+
+
+def test_groups_of_a_dense_cluster_need_no_list_of_its_pairs(spark):
+    rnd = random.Random(11)
+    centers = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(3)]
+    rows = [(f"c{i:04d}", "d", [x + rnd.gauss(0, 0.01) for x in centers[i % 3]]) for i in range(450)]
+    emb = spark.createDataFrame(rows, "sample_id string, dataset_id string, vector array<double>")
+    pairs = V.near_duplicate_pairs(emb, "d", 0.95)
+    assert pairs.count() == 3 * 150 * 149 // 2
+    # blocks of some 100 rows: the rows of one side join a tree each
+    links = V.near_duplicate_pairs(emb, "d", 0.95, block_rows=100, spanning=True)
+    assert links.count() < 20 * 450 and links.filter("a >= b").count() == 0
+    assert links.join(pairs, ["a", "b"], "left_anti").count() == 0
+    groups = {tuple(r.members) for r in V.near_duplicate_groups(emb, "d", 0.95).collect()}
+    assert groups == {tuple(f"c{i:04d}" for i in range(k, 450, 3)) for k in range(3)}
+
+
+def test_forest_joins_trees_over_strips():
+    import numpy as np
+    tree = np.arange(5)
+    hits = np.array([[1, 1, 0, 0, 0], [0, 0, 1, 1, 0], [0, 0, 0, 0, 0]], bool)
+    assert [list(x) for x in V._forest(hits, tree)] == [[0, 0, 1, 1], [0, 1, 2, 3]]
+    assert tree.tolist() == [0, 0, 2, 2, 4]
+    # a later strip: one edge a tree, however many rows of it are hit
+    qi, hi = V._forest(np.array([[1, 1, 1, 1, 0]], bool), tree)
+    assert list(qi) == [0, 0] and list(hi) == [0, 2] and tree.tolist() == [0, 0, 0, 0, 4]
