@@ -1,4 +1,6 @@
+import json
 import os
+import re
 
 from pyspark.sql import functions as F
 
@@ -50,3 +52,43 @@ def test_small_files_are_written_by_many_tasks(spark, tmp):
     assert done.count() == 400 and done.agg(F.sum("lines")).first()[0] == 200 and len(os.listdir(f"{tmp}/a")) == 400
     # a part file a task: small files are not taken together in one
     assert len([f for f in os.listdir(done._pin_path.removeprefix("file:")) if f.endswith(".parquet")]) > 1
+
+
+def test_boxes_are_not_dealt_by_their_category(spark, tmp, monkeypatch):
+    plans = []
+    monkeypatch.setattr(R, "store_files", lambda rows, *order: plans.append(rows._jdf.queryExecution().executedPlan().toString()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")      # no size is small enough: only what is asked for travels
+    try:
+        R.coco_documents(R._d(spark, SF), f"{tmp}/a")
+        R.prediction_arrays(R._d(spark, SF), f"{tmp}/b")
+        one = spark.range(1)
+        items = one.selectExpr("'1' id", "'1' image_id", "id category_id", "array(1D, 2D, 3D, 4D) bbox", "1D area", "0L iscrowd")
+        cats = one.selectExpr("cast(id as int) category_id", "'a' name")
+        read = coco.read_coco_annotations(items, "d", cats)
+        assert [r.category_name for r in read.collect()] == ["a"]
+        plans.append(read._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) == 3
+    for p in plans:
+        assert "BroadcastHashJoin" in p and not re.search(r"hashpartitioning\((category_name|category_id|_cid)#", p)
+
+
+def test_files_of_many_items_get_tasks_of_their_own(spark, tmp, monkeypatch):
+    monkeypatch.setattr(R, "FILE_ITEMS", 100)
+    done = []
+    monkeypatch.setattr(R, "pin", lambda df, f=R.pin: done.append(df) or f(df))
+    R.prediction_arrays(R._d(spark, SF), f"{tmp}/b")
+    written = done[-1]
+    plan = written._jdf.queryExecution().executedPlan().toString()
+    files = len(os.listdir(f"{tmp}/b"))
+    assert files > 20 and written.rdd.getNumPartitions() >= 2 * files
+    # the commas and the writing share one shuffle of the lines and one sort
+    assert plan.count("REPARTITION_BY_NUM") == 1 and plan.split("Union")[0].count("Sort [") == 1, plan
+    # items of one order key and of keys whose text order is another one still make a valid array
+    items = spark.createDataFrame([(f"{tmp}/c.json", k, (k,)) for k in (9, 10, 10, None)], "path string, k int, item struct<v int>")
+    paths = items.select("path").distinct()
+    rows = R._mark_lines(paths, 0, "[").unionByName(R._array_lines(items, 1, "k")).unionByName(R._mark_lines(paths, 2, "]"))
+    R._store_arrays(rows, paths)
+    with open(f"{tmp}/c.json") as f:
+        assert sorted(x.get("v", 0) for x in json.load(f)) == [0, 9, 10, 10]
