@@ -57,7 +57,8 @@ def gt_counts(gts: DataFrame) -> DataFrame:
 def pr_points(matches: DataFrame, gts: DataFrame) -> DataFrame:
     """Full PR curve per class and pooled: one row per prediction with rank, recall,
     precision, confidence (conf desc, prediction id asc)."""
-    m = _with_pooled(matches)
+    # only what a point needs is ranked: ranked rows are shuffled and stored whole, twice the predictions
+    m = _with_pooled(matches).select("class_name", "p_id", "conf", "is_tp")
     ranked = running_counts(m, ["class_name"], [F.col("conf").desc(), F.col("p_id").asc()], "is_tp")
     return (ranked.join(gt_counts(gts), "class_name", "left")
                   .select("class_name", "rank", "total", "p_id", F.col("conf").alias("confidence"), "is_tp",

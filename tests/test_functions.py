@@ -117,3 +117,15 @@ def test_seek_pages_read_their_range_only(spark, tmp):
     assert "(part#" in plan.split("PartitionFilters: ")[1].split("]")[0] and deep.select("id").count() == 20
     counts = spark.read.parquet(f"{tmp}/asc/counts").collect()
     assert len(counts) > 5 and max(r["n"] for r in counts) < 1500
+
+
+def test_ranked_rows_carry_only_what_a_point_needs(spark, monkeypatch):
+    from boxlens.operators import evaluate as EV
+    ranked = []
+    monkeypatch.setattr(EV, "running_counts", lambda df, *a, f=EV.running_counts: ranked.append(df.columns) or f(df, *a))
+    matches = spark.createDataFrame([("d", "s", "p1", "A", 0.9, 1), ("d", "s", "p2", "A", 0.8, 0)],
+                                    "dataset_id string, sample_id string, p_id string, class_name string, conf double, is_tp int")
+    gts = spark.createDataFrame([("A",), ("A",)], "category_name string")
+    points = {(r.class_name, r.p_id): (r.rank, r.tp_cum, r.recall, r.precision) for r in EV.pr_points(matches, gts).collect()}
+    assert points == {(c, p): v for c in ("A", "all") for p, v in (("p1", (1, 1, 0.5, 1.0)), ("p2", (2, 1, 0.5, 0.5)))}
+    assert ranked == [["class_name", "p_id", "conf", "is_tp"]]
