@@ -92,3 +92,19 @@ def test_files_of_many_items_get_tasks_of_their_own(spark, tmp, monkeypatch):
     R._store_arrays(rows, paths)
     with open(f"{tmp}/c.json") as f:
         assert sorted(x.get("v", 0) for x in json.load(f)) == [0, 9, 10, 10]
+
+
+def test_boxes_and_images_are_dealt_to_tasks_by_their_number(spark, tmp, monkeypatch):
+    from boxlens import fixtures
+    whole = _rows(R._d(spark, SF).gt)
+    monkeypatch.setattr(fixtures, "BOX_ROWS", 300)
+    d = R._d(spark, SF)
+    # 6000 rows of lineitem; the session has 4 shuffle partitions
+    assert d.base.rdd.getNumPartitions() == 20 and _rows(d.gt) == whole
+    plans = []
+    monkeypatch.setattr(R, "pin", lambda df, f=R.pin: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df))
+    R.coco_documents(d, f"{tmp}/a")
+    boxes = [p for p in plans if "SortMergeJoin" in p]
+    # no side of boxes and images is broadcast, however small it seems
+    assert len(boxes) == 1 and boxes[0].count("hashpartitioning(sample_id") == 2, plans
+    assert len(re.findall(r"hashpartitioning\(sample_id#\d+, 20\)", boxes[0])) == 2, boxes[0]
