@@ -33,6 +33,7 @@ BITS = 12
 MAX_ENTRIES = 3_000_000      # (language, 5-gram) counts of one block of the model (more if two characters alone have more)
 DISCOUNT = 0.75
 FLUSH = 2_000_000            # n-grams a counting task holds before it hands them on
+SLICE_BYTES = 1 << 18        # of text worked on at once: its arrays take over a hundred times as much
 MIN_SPREAD = 6.0             # standard deviations a text may always lie above its language
 MIN_GAIN = 0.25              # and the share of the model's usual gain over single characters that keeps a text
 _MASK = [np.int64((1 << (BITS * o)) - 1) for o in range(ORDER + 1)]
@@ -109,7 +110,7 @@ def _count(batches):
     for b in batches:
         data, off = textvec.buffers(b.column("text"))
         lang = np.array(b.column("lang").to_pylist(), object)
-        for i, j in textvec.slices(off):
+        for i, j in textvec.slices(off, SLICE_BYTES):
             key, koff, _ = keys_of(data, off[i:j + 1])
             of = np.repeat(lang[i:j], np.diff(koff)) if j > i else lang[:0]
             for name in set(lang[i:j]):
@@ -304,7 +305,7 @@ def _score(model_bc, first: int, last: int):
         nl = len(model["langs"])
         for b in batches:
             data, off = textvec.buffers(b.column("text"))
-            for i, j in textvec.slices(off):
+            for i, j in textvec.slices(off, SLICE_BYTES):
                 key, koff, letters = keys_of(data, off[i:j + 1])
                 ce, bare = np.zeros((j - i, nl)), np.zeros((j - i, nl))
                 full = np.flatnonzero(np.diff(koff) > 0)

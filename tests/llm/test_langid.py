@@ -139,3 +139,21 @@ def test_unlearned_text_is_rejected_whatever_stray_letters_were_learned(spark):
     rows = {r["doc_id"]: r for r in identify(df).collect()}
     assert [d for d, *_ in bad if not rows[d]["rejected"]] == []
     assert [d for d, r in rows.items() if r["rejected"] and d < 1_000_000] == []
+
+
+def test_scoring_holds_little_beside_its_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+    text = "the quick brown fox jumps over the lazy dog " * 40
+    key, koff, _ = langid.keys_of(*textvec.buffers(pa.array([text])))
+    class sent:
+        value = langid.build_model(["a"], np.zeros(len(key), np.int64), key, np.ones(len(key), np.int64))
+    n = 1500                        # 2.6 MB of text
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "lang": ["a"] * n, "th": list(range(n)), "text": [text] * n})
+    for run in (langid._score(sent, 0, int(langid._MASK[2])), langid._count):
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in run([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows and peak < 48 << 20, (run, peak)
