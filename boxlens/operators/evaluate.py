@@ -29,7 +29,7 @@ def stored_sides(preds: DataFrame, gts: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def shared_pairs(preds: DataFrame, gts: DataFrame, same_class: bool, cell: float = M.DEFAULT_CELL) -> DataFrame:
-    """The pair join, stored once for all tables of a report: pairs with IoU >= 0.1, the least
+    """The pairs, stored once for the folds of a report: pairs with IoU >= 0.1, the least
     threshold a request may ask for (a lesser pair can neither match nor be claimed)."""
     return pin(M.candidate_pairs(preds, gts, same_class, cell).filter(F.col("iou") >= 0.1))
 
@@ -266,9 +266,9 @@ def per_class_metrics(preds: DataFrame, gts: DataFrame, iou_threshold: float, co
     """Class x (ap50, ap75, ap50_95, precision, recall at the operating point).  Curves and
     per-class AP already built (E14) can be passed in instead of being recomputed."""
     preds, gts = stored_sides(preds, gts)
-    pairs = shared_pairs(preds, gts, True, cell) if curve is None or per_class is None else None
+    pairs = shared_pairs(preds, gts, True, cell) if per_class is None else None
     if curve is None:
-        curve, _ = pr_curves(preds, gts, iou_threshold, max_points, cell, pairs)
+        curve, _ = pr_curves(preds, gts, iou_threshold, max_points, cell)      # matched inside tasks: less travels than the pairs and what is joined to them
     op = operating_points(curve.filter(F.col("class_name") != ALL), conf_threshold)
     if per_class is None:
         per_class, _ = map_metrics(preds, gts, max_det, cell, pairs)
@@ -281,14 +281,14 @@ def evaluation_report(ann: DataFrame, dataset_id: str, source: str, iou_threshol
                       conf_threshold: float = 0.25, samples: DataFrame | None = None,
                       split: str | None = None, max_points: int = MAX_POINTS,
                       max_det: int | None = None) -> dict[str, DataFrame]:
-    """Every evaluation table for one run.  The boxes are matched once: one stored table of
-    candidate pairs serves the curves, the mAP and the confusion matrix.  Building the report runs the
+    """Every evaluation table for one run.  One stored table of candidate pairs serves the mAP and the
+    confusion matrix; the curves match the boxes inside tasks.  Building the report runs the
     shared jobs (pairs, components, ranks); the returned frames are evaluated lazily."""
     M.check_thresholds(iou_threshold, conf_threshold)
     preds, gts = stored_sides(M.predictions(ann, dataset_id, source, None, samples, split), M.ground_truth(ann, dataset_id, samples, split))
     pairs = shared_pairs(preds, gts, False)
     same = pairs.filter(F.col("p_cat") == F.col("g_cat"))
-    curve, ap = pr_curves(preds, gts, iou_threshold, max_points, pairs=same)
+    curve, ap = pr_curves(preds, gts, iou_threshold, max_points)
     per_class, summary = map_metrics(preds, gts, max_det, pairs=same)
     return {"pr_curves": curve, "ap": ap, "ap_metrics": summary,
             "per_class": per_class_metrics(preds, gts, iou_threshold, conf_threshold, curve=curve, per_class=per_class),
