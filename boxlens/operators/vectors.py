@@ -34,6 +34,9 @@ from boxlens.operators.components import connected_components
 
 DEFAULT_THRESHOLD = 0.95
 COPY_DECIMALS = 6
+BLOCK_BYTES = 16 << 20          # vectors of one side of a block
+BLOCK_ROWS = 4096               # of one side where there are few vectors
+CHUNKS = 16                     # a side of all vectors is cut into no more, as far as BLOCK_BYTES allows
 BLOCKS_A_TASK = 4               # blocks of the grid join in a partition
 MAX_BLOCK_PARTITIONS = 20_000
 
@@ -176,7 +179,7 @@ def copy_groups(emb: DataFrame, dataset_id: str) -> DataFrame:
 
 
 def near_duplicate_pairs(emb: DataFrame, dataset_id: str, threshold: float = DEFAULT_THRESHOLD,
-                         num_pivots: int = 3, block_rows: int = 4096, spanning: bool = False) -> DataFrame:
+                         num_pivots: int = 3, block_rows: int | None = None, spanning: bool = False) -> DataFrame:
     """V2: edges of the threshold graph with copies collapsed.
 
     Returns (a, b, cosine) with a < b: every member -> representative link of an exact copy
@@ -198,7 +201,14 @@ def near_duplicate_pairs(emb: DataFrame, dataset_id: str, threshold: float = DEF
     return links.unionByName(_grid_pairs(reps, threshold, num_pivots, block_rows))
 
 
-_STRIP_ROWS = 256               # probe rows of a block compared at once
+_STRIP_PAIRS = 1 << 20          # pairs of a block compared at once
+
+
+def _block_size(reps: DataFrame) -> int:
+    """Rows of a chunk.  Every chunk is sent to each block it meets in, so chunks of a fixed size would be sent the more
+    often the more vectors there are; chunks grow with the vectors, up to BLOCK_BYTES."""
+    n, width = reps.agg(F.count("*"), F.coalesce(F.max(F.size("u")), F.lit(1))).first()
+    return max(1, min(max(BLOCK_ROWS, -(-n // CHUNKS)), BLOCK_BYTES // (8 * max(1, width))))
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -233,8 +243,9 @@ def _block_pairs(threshold: float, spanning: bool):
             return
         H, Q, tree = _matrix(h["u"]), _matrix(q["u"]), np.arange(h.num_rows)
         hid, qid, own = h["id"].combine_chunks(), q["id"].combine_chunks(), q["own"].combine_chunks()
-        for start in range(0, len(Q), _STRIP_ROWS):
-            S = Q[start:start + _STRIP_ROWS] @ H.T
+        strip = max(1, _STRIP_PAIRS // len(H))
+        for start in range(0, len(Q), strip):
+            S = Q[start:start + strip] @ H.T
             hits = S >= threshold
             qi, hi = _forest(hits, tree) if spanning else np.nonzero(hits)
             at = pa.array(qi + start)
@@ -248,7 +259,7 @@ def _block_pairs(threshold: float, spanning: bool):
     return verify
 
 
-def _grid_pairs(reps: DataFrame, threshold: float, num_pivots: int, block_rows: int, spanning: bool = False) -> DataFrame:
+def _grid_pairs(reps: DataFrame, threshold: float, num_pivots: int, block_rows: int | None, spanning: bool = False) -> DataFrame:
     """Representative pairs with cosine >= threshold (``spanning``: a spanning forest of each block's): pivot-grid
     candidate blocks, verified by dense matrix products per block (numpy inside ``applyInArrow``).
 
@@ -257,6 +268,7 @@ def _grid_pairs(reps: DataFrame, threshold: float, num_pivots: int, block_rows:
     skew.  A cell probes itself and, of every pair of neighbours, only the one that comes later,
     so each block pair is computed once."""
     r = math.sqrt(2.0 - 2.0 * threshold)
+    block_rows = block_rows or _block_size(reps)
     # pivots: a bounded number of representatives (k x dim values), chosen by hash order
     piv = reps.orderBy(F.xxhash64("id"), "id").limit(num_pivots).select("u").collect()
     if not piv:

@@ -157,3 +157,19 @@ def test_forest_joins_trees_over_strips():
     # a later strip: one edge a tree, however many rows of it are hit
     qi, hi = V._forest(np.array([[1, 1, 1, 1, 0]], bool), tree)
     assert list(qi) == [0, 0] and list(hi) == [0, 2] and tree.tolist() == [0, 0, 0, 0, 4]
+
+
+def test_chunks_grow_with_the_vectors(spark, monkeypatch):
+    """A vector is sent to a fixed number of blocks, however many vectors there are; the pairs stay the same."""
+    rnd = random.Random(2)
+    emb = spark.createDataFrame([(f"{i:03d}", "d", [1.0 + rnd.random() / 3 for _ in range(6)]) for i in range(240)],
+                                "sample_id string, dataset_id string, vector array<double>")
+    want = {(r.a, r.b) for r in V.near_duplicate_pairs(emb, "d", 0.99).collect()}
+    monkeypatch.setattr(V, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(V, "CHUNKS", 4)
+    sizes = [V._block_size(emb.limit(n).withColumnRenamed("vector", "u")) for n in (10, 120, 240)]
+    assert sizes == [8, 30, 60]
+    monkeypatch.setattr(V, "_STRIP_PAIRS", 100)
+    assert {(r.a, r.b) for r in V.near_duplicate_pairs(emb, "d", 0.99).collect()} == want and want
+    monkeypatch.setattr(V, "BLOCK_BYTES", 12 * 6 * 8)
+    assert V._block_size(emb.withColumnRenamed("vector", "u")) == 12
